@@ -93,8 +93,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(c: Chunk) -> Words:
-    solid = ~_SPACE[c.data]
+#: All ASCII characters but letters and digits; for terms rather than words.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(c: Chunk, apart: np.ndarray = _SPACE) -> Words:
+    """Runs of bytes that are not in the table ``apart``; white space unless given."""
+    solid = ~apart[c.data]
     n = len(solid)
     if not n:
         none = np.zeros(0, np.int64)

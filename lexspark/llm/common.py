@@ -7,6 +7,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words in every contract: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -45,3 +46,16 @@ def row_key(*columns: str) -> F.Column:
 def emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch in the order of the schema."""
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_column_type(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of df and one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
