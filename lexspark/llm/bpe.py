@@ -38,18 +38,10 @@ def encoder(path: str) -> "Encoder":
     return Encoder(path)
 
 
-class Encoder:
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+class Known:
+    """Ids of the pieces seen so far in this process, by 64-bit key."""
 
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != "<|endoftext|>"}
-        self.whole = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self):
         self.forget()
 
     def forget(self) -> None:
@@ -57,9 +49,8 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, pieces: list[bytes], keys: list[int]) -> None:
-        """Encode new pieces; they take the next places in order."""
-        ids = [self.whole.encode_ordinary(p.decode("utf-8")) for p in pieces]
+    def learn(self, ids: list[list[int]], keys: list[int]) -> None:
+        """Keep the ids of new pieces; they take the next places in order."""
         i, lengths = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while self.used + len(flat) > len(self.pool):
@@ -72,6 +63,16 @@ class Encoder:
         self.used += len(flat)
         self.index.update(zip(keys, range(i, i + len(ids)), strict=True))
 
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if it is new."""
+        return np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+
+    def gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, end to end, and how many there are up to each one's end."""
+        length = np.where(slot < 0, 0, self.length[slot])
+        done = np.cumsum(length)
+        return self.pool[np.repeat(self.begin[slot] - (done - length), length) + np.arange(done[-1] if len(done) else 0)], done
+
     @staticmethod
     def keys(raw: bytes, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """64-bit keys of pieces, good within this process."""
@@ -83,6 +84,21 @@ class Encoder:
             h[i] = hash(raw[begin[i] : begin[i] + length[i]]) & 0xFFFFFFFFFFFFFFFF
         return h
 
+
+class Encoder(Known):
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != "<|endoftext|>"}
+        self.whole = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        super().__init__()
+
     def encode(self, c: Chunk) -> list[np.ndarray]:
         """The ids of each text of the chunk."""
         data, at, n = c.data, c.at, len(c.data)
@@ -112,21 +128,19 @@ class Encoder:
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.index) > KNOWN_PIECES:
             self.forget()
-        listed = keys.tolist()
-        found = np.fromiter((self.index.get(k, -1) for k in listed), np.int64, len(listed))
+        found = self.places(keys)
         sure = ~odd[np.searchsorted(at, begin[first], "right") - 1]  # pieces of odd texts may not be pieces, or not be UTF-8
         new = np.flatnonzero((found < 0) & sure)
         found[new] = len(self.index) + np.arange(len(new))
-        self.learn([raw[x:y] for x, y in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)], keys[new].tolist())
+        ids_of = lambda j: self.whole.encode_ordinary(raw[begin[j] : end[j]].decode("utf-8"))
+        self.learn([ids_of(j) for j in first[new].tolist()], keys[new].tolist())
         slot = found[back]
         lone = np.flatnonzero(slot < 0)  # a piece whose first place was in an odd text
         for j in lone[~odd[np.searchsorted(at, begin[lone], "right") - 1]].tolist():
             if (k := int(h[j])) not in self.index:
-                self.learn([raw[begin[j] : end[j]]], [k])
+                self.learn([ids_of(j)], [k])
             slot[j] = self.index[k]
-        length = np.where(slot < 0, 0, self.length[slot])
-        done = np.cumsum(length)
-        ids = self.pool[np.repeat(self.begin[slot] - (done - length), length) + np.arange(done[-1])]
+        ids, done = self.gather(slot)
         edges = np.append(0, done)[np.searchsorted(begin, at)]
         for i in range(len(out)):
             out[i] = np.array(self.whole.encode_ordinary(raw[at[i] : at[i + 1]].decode("utf-8")), np.uint32) if odd[i] else ids[edges[i] : edges[i + 1]]

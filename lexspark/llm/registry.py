@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, packing, quality_rules, warc
+from lexspark.llm import chat, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_sentencepiece": sentence_pieces.op2_sentencepiece,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_chat_prefix_tree": chat.op5_chat_prefix_tree,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL}
