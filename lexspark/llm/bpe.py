@@ -49,19 +49,18 @@ class Known:
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, ids: list[list[int]], keys: list[int]) -> None:
-        """Keep the ids of new pieces; they take the next places in order."""
-        i, lengths = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+    def learn(self, flat: np.ndarray, lengths: np.ndarray, keys: list[int]) -> None:
+        """Keep the ids of new pieces, given end to end; they take the next places in order."""
+        i, n = len(self.index), len(keys)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while i + len(ids) > len(self.begin):
+        while i + n > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.begin[i : i + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.length[i : i + len(ids)] = lengths
+        self.begin[i : i + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[i : i + n] = lengths
         self.used += len(flat)
-        self.index.update(zip(keys, range(i, i + len(ids)), strict=True))
+        self.index.update(zip(keys, range(i, i + n), strict=True))
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 if it is new."""
@@ -132,13 +131,18 @@ class Encoder(Known):
         sure = ~odd[np.searchsorted(at, begin[first], "right") - 1]  # pieces of odd texts may not be pieces, or not be UTF-8
         new = np.flatnonzero((found < 0) & sure)
         found[new] = len(self.index) + np.arange(len(new))
-        ids_of = lambda j: self.whole.encode_ordinary(raw[begin[j] : end[j]].decode("utf-8"))
-        self.learn([ids_of(j) for j in first[new].tolist()], keys[new].tolist())
+
+        def learn(places: list[int], keys: list[int]) -> None:
+            ids = [self.whole.encode_ordinary(raw[begin[j] : end[j]].decode("utf-8")) for j in places]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.learn(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths, keys)
+
+        learn(first[new].tolist(), keys[new].tolist())
         slot = found[back]
         lone = np.flatnonzero(slot < 0)  # a piece whose first place was in an odd text
         for j in lone[~odd[np.searchsorted(at, begin[lone], "right") - 1]].tolist():
             if (k := int(h[j])) not in self.index:
-                self.learn([ids_of(j)], [k])
+                learn([j], [k])
             slot[j] = self.index[k]
         ids, done = self.gather(slot)
         edges = np.append(0, done)[np.searchsorted(begin, at)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.arrays import U, Chunk, chunks, mix
+from lexspark.llm.arrays import Chunk, Powers, U, chunks, mix
 from lexspark.llm.bpe import KNOWN_PIECES, Known
 from lexspark.llm.common import emit, read
 
@@ -24,6 +24,9 @@ DROPOUT, SEED = 0.1, 7
 #: Keyed streams: each place of a text where a word stands draws one of so many segmentations of the word.
 STREAMS = 16
 _SPACE = "▁"
+#: Stretches of more characters than this have an agenda of their own.
+LONG = 40
+_POWERS = Powers(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=4)
@@ -46,43 +49,134 @@ class Pieces(Known):
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = [model.is_control(i) or model.is_unknown(i) for i in range(len(names))]
         byte = [model.is_byte(i) for i in range(len(names))]
-        self.byte_ids = {int(n[3:5], 16): i for i, n in enumerate(names) if byte[i]}
-        self.ids = {n: i for i, n in enumerate(names) if not byte[i] and not special[i]}
-        self.rank = {n: -model.get_score(i) for n, i in self.ids.items()}
+        self.byte_ids = np.array([i for i, _ in sorted(((i, n) for i, n in enumerate(names) if byte[i]), key=lambda x: x[1])], np.uint32)
+        ids = {n: i for i, n in enumerate(names) if not byte[i] and not special[i]}
         self.bytes = [b"" if special[i] else bytes([int(n[3:5], 16)]) if byte[i] else n.replace(_SPACE, " ").encode() for i, n in enumerate(names)]
-        self.dropout, self.seed = int(dropout * (1 << 64)) if dropout < 1 else 1 << 64, seed
+        symbol = lambda part: ids.get(part, len(names) + ord(part) if len(part) == 1 else -1)
+        order = np.array([-model.get_score(i) for i in range(len(names))])
+        self.rank = np.argsort(np.argsort(order, kind="stable"), kind="stable").astype(np.int64)
+        made = {(symbol(n[:k]) << 21) | symbol(n[k:]): i for n, i in ids.items() for k in range(1, len(n)) if symbol(n[:k]) >= 0 and symbol(n[k:]) >= 0}
+        self.pair = np.array(sorted(made), np.int64)
+        self.merged = np.array([made[k] for k in self.pair.tolist()], np.int64)
+        self.size = len(names)
+        self.of_char = np.arange(0x110000, dtype=np.int64) + len(names)  # a character that is no piece stands for its bytes
+        for n, i in ids.items():
+            if len(n) == 1 and n != _SPACE:
+                self.of_char[ord(n)] = i
+        self.of_char[0x20] = ids[_SPACE]
+        self.dropout, self.seed = min(dropout, 1.0), seed
         super().__init__()
 
-    def segment(self, text: str, stream: int) -> list[int]:
-        """Ids of one stretch of text, spaces as U+2581, by agenda. A skipped candidate comes up again only if a neighbour's merge offers it anew."""
-        part: list[str | None] = list(text)
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, -1 if none."""
+        key = (left << 21) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.merged[at], -1)
+
+    def skipped(self, salt: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash of a candidate (where it starts, what it would make) falls under the rate."""
+        return (mix(salt ^ (place.astype(U) * U(0xD6E8FEB86659FD93) + piece.astype(U) * U(0xA0761D6478BD642F))) >> U(11)).astype(np.float64) < self.dropout * 2.0**53
+
+    def segment(self, symbols: np.ndarray, salt: np.uint64) -> list[int]:
+        """The symbols that one stretch ends up with, by agenda. A skipped candidate comes up again only if a neighbour's merge offers it anew."""
+        part = symbols.tolist()
         n = len(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank, drop = self.rank, self.dropout
-        salt = int(mix(np.array([hash_text(text) ^ (self.seed * 0x9E3779B97F4A7C15 + stream) & _ALL], U))[0]) if drop else 0
-        agenda = [(r, i, i + 1, m) for i in range(n - 1) if (r := rank.get(m := part[i] + part[i + 1])) is not None]
+        made = self.candidates(symbols[:-1], symbols[1:])
+        agenda = [(int(self.rank[made[i]]), i, i + 1, int(made[i]), part[i], part[i + 1]) for i in np.flatnonzero(made >= 0).tolist()]
         heapify(agenda)
+
+        def offer(i: int, j: int) -> None:
+            k = (part[i] << 21) | part[j]
+            at = int(np.searchsorted(self.pair, k))
+            if at < len(self.pair) and self.pair[at] == k:
+                m = int(self.merged[at])
+                heappush(agenda, (int(self.rank[m]), i, j, m, part[i], part[j]))
+
         while agenda:
-            r, i, j, m = heappop(agenda)
-            a, b = part[i], part[j]
-            if a is None or b is None or right[i] != j or len(a) + len(b) != len(m):
+            _, i, j, m, a, b = heappop(agenda)
+            if part[i] != a or right[i] != j or part[j] != b:
                 continue
-            if drop and keyed(salt, i, self.ids[m]) < drop:
+            if self.dropout and self.skipped(np.array([salt], U), np.array([i]), np.array([m]))[0]:
                 continue
-            part[i], part[j] = m, None
+            part[i], part[j] = m, -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if (r := rank.get(x := m + part[k])) is not None:
-                    heappush(agenda, (r, i, k, x))
-            if (h := left[i]) >= 0 and (r := rank.get(x := part[h] + m)) is not None:
-                heappush(agenda, (r, h, i, x))
-        out: list[int] = []
-        for p in part:
-            if p is not None:
-                i = self.ids.get(p)
-                out += [i] if i is not None else [self.byte_ids[x] for x in p.encode()]
-        return out
+                offer(i, k)
+            if left[i] >= 0:
+                offer(left[i], i)
+        return [p for p in part if p >= 0]
+
+    def segments(self, symbols: np.ndarray, first: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many stretches: first has where each begins (and the end).
+
+        Each round takes the best candidate of every stretch that still has one; long stretches
+        have an agenda of their own.
+        """
+        size = np.diff(first)
+        out: list[tuple[np.ndarray, np.ndarray]] = []  # (stretch, symbol), in order within each stretch
+        for i in np.flatnonzero(size > LONG).tolist():
+            got = np.array(self.segment(symbols[first[i] : first[i + 1]], salt[i]), np.int64)
+            out.append((np.full(len(got), i), got))
+        of = np.repeat(np.arange(len(size)), size)
+        keep = size[of] <= LONG
+        of, sym = of[keep], symbols[keep]
+        place = np.arange(len(symbols))[keep] - first[:-1][of]
+        blocked = np.zeros(len(of), bool)
+        made = np.full(len(of), -1)
+        if len(of) > 1:
+            made[:-1] = np.where(of[:-1] == of[1:], self.candidates(sym[:-1], sym[1:]), -1)
+        never = np.int64(1 << 40)
+        while len(of):
+            cost = np.where((made >= 0) & ~blocked, self.rank[made] * (LONG + 1) + place, never)
+            head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            best = np.minimum.reduceat(cost, head)
+            live = best < never
+            if not live.all():
+                spent = np.repeat(~live, np.diff(np.append(head, len(of))))
+                out.append((of[spent], sym[spent]))
+                of, sym, place, blocked, made, cost = (x[~spent] for x in (of, sym, place, blocked, made, cost))
+                best = best[live]
+                if not len(of):
+                    break
+                head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            at = np.flatnonzero(cost == np.repeat(best, np.diff(np.append(head, len(of)))))
+            if self.dropout:
+                skip = self.skipped(salt[of[at]], place[at], made[at])
+                blocked[at[skip]] = True
+                at = at[~skip]
+            sym[at] = made[at]
+            rest = np.ones(len(of), bool)
+            rest[at + 1] = False
+            changed = np.zeros(len(of), bool)
+            changed[at] = True
+            before = at[at > 0] - 1
+            changed[before] = True
+            of, sym, place, blocked, made, changed = (x[rest] for x in (of, sym, place, blocked, made, changed))
+            # the last symbol before a merged pair keeps its place: only a removed one shifts the rest
+            new = np.flatnonzero(changed)
+            inner = new[new + 1 < len(of)]
+            made[new] = -1
+            made[inner] = np.where(of[inner] == of[inner + 1], self.candidates(sym[inner], sym[inner + 1]), -1)
+            blocked[new] = False
+        of = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in out]])
+        sym = np.concatenate([np.zeros(0, np.int64), *[x for _, x in out]])
+        order = np.argsort(of, kind="stable")
+        return sym[order], np.bincount(of, minlength=len(size))
+
+    def spelled(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the symbols; those that are no pieces give the pieces of their bytes."""
+        odd = np.flatnonzero(symbols >= self.size)
+        if not len(odd):
+            return symbols.astype(np.uint32), lengths
+        raw = [chr(x).encode() for x in (symbols[odd] - self.size).tolist()]
+        size = np.ones(len(symbols), np.int64)
+        size[odd] = [len(x) for x in raw]
+        flat = np.repeat(symbols, size)
+        flat[np.repeat(symbols >= self.size, size)] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        return flat.astype(np.uint32), np.bincount(of, size, len(lengths)).astype(np.int64)
 
     def encode(self, c: Chunk, keys: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of the chunk; keys: one 64-bit key for each text, from which it draws its streams.
@@ -121,15 +215,14 @@ class Pieces(Known):
         slot = self.places(distinct)
         new = np.flatnonzero(slot < 0)
         slot[new] = len(self.index) + np.arange(len(new))
-        out = []
-        for j in first[new].tolist():
-            text_of = raw[begin[j] : begin[j] + length[j]].decode()
-            parts = text_of.split(_SPACE)
-            ids = self.segment(parts[0].replace(" ", _SPACE), int(stream[j]))
-            for p in parts[1:]:
-                ids = ids + [self.byte_ids[x] for x in _SPACE.encode()] + self.segment(p.replace(" ", _SPACE), int(stream[j]))
-            out.append(ids)
-        self.learn(out, distinct[new].tolist())
+        if len(new):
+            at_new = first[new]
+            bare = np.frombuffer(b"".join([raw[x:y] for x, y in zip(begin[at_new].tolist(), (begin + length)[at_new].tolist(), strict=True)]).decode().encode("utf-32-le"), np.uint32)
+            lead = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
+            chars = np.append(0, np.cumsum(lead[(begin + length)[at_new]] - lead[begin[at_new]]))
+            symbols = self.of_char[bare]
+            salt = mix(stretch_hashes(bare, chars) + stream[at_new].astype(U), self.seed)
+            self.learn(*self.spelled(*self.segments(symbols, chars, salt)), distinct[new].tolist())
         ids, done = self.gather(slot[back])
         edges = np.append(0, done)[np.searchsorted(begin, at)]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -140,23 +233,12 @@ class Pieces(Known):
         return b"".join([table[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
-_ALL = 0xFFFFFFFFFFFFFFFF
-
-
-def hash_text(text: str) -> int:
-    """A 64-bit hash that is the same in every process."""
-    h = 0xCBF29CE484222325
-    for x in text.encode():
-        h = (h ^ x) * 0x100000001B3 & _ALL
-    return h
-
-
-def keyed(salt: int, place: int, piece: int) -> int:
-    """A 64-bit hash of a candidate: where it starts and the piece that it would make."""
-    x = (salt ^ (place * 0xD6E8FEB86659FD93 + piece * 0xA0761D6478BD642F)) & _ALL
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
-    return x ^ (x >> 31)
+def stretch_hashes(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch's characters, the same in every process."""
+    up, down = _POWERS.upto(len(chars) + 1)
+    total = np.zeros(len(chars) + 1, U)
+    np.cumsum(mix(chars.astype(U), 11) * up[: len(chars)], out=total[1:])
+    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(U))
 
 
 _IDS = pa.schema([("_n", pa.int64()), ("_plain", pa.int64()), ("_ids", pa.binary())])
