@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
+from lexspark.llm import chat, fingerprints, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_chat_prefix_tree": chat.op5_chat_prefix_tree,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -22,7 +22,7 @@ from lexspark.llm.common import emit, read
 
 DROPOUT, SEED = 0.1, 7
 #: Keyed streams: each place of a text where a word stands draws one of so many segmentations of the word.
-STREAMS = 16
+STREAMS = 8
 _SPACE = "▁"
 #: Stretches of more characters than this have an agenda of their own.
 LONG = 40
@@ -241,11 +241,11 @@ def stretch_hashes(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(U))
 
 
-_IDS = pa.schema([("_n", pa.int64()), ("_plain", pa.int64()), ("_ids", pa.binary())])
+_IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (little-endian unsigned 32-bit), n_tokens, plain_tokens (of the segmentation without dropout) of each text.
+    """key, n_tokens and ids (little-endian unsigned 32-bit) of each text.
 
     Which segmentation a row gets follows from the seed, its key and its text only; equal rows get
     equal ids. A null text counts as empty and has no ids; a null key is a key of its own. Other
@@ -255,17 +255,16 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     named = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn, plain = pieces(path, dropout, seed), pieces(path, 0.0, seed)
+        model = pieces(path, dropout, seed)
         for batch in batches:
             hashes = batch.column("_hash").to_numpy().view(U)
             for c in chunks(batch.column("_text")):
-                ids = drawn.encode(c, hashes[c.lo : c.hi])
-                whole = plain.encode(c, hashes[c.lo : c.hi])
-                made = emit(_IDS, _n=[len(x) for x in ids], _plain=[len(x) for x in whole], _ids=[x.astype("<u4").tobytes() for x in ids])
-                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", "n_tokens", "plain_tokens", "ids"])
+                ids = model.encode(c, hashes[c.lo : c.hi])
+                made = emit(_IDS, n_tokens=[len(x) for x in ids], ids=[x.astype("<u4").tobytes() for x in ids])
+                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", *made.schema.names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return named.mapInArrow(run, f"_key {kind}, n_tokens long, plain_tokens long, ids binary").withColumnRenamed("_key", key)
+    return named.mapInArrow(run, f"_key {kind}, n_tokens long, ids binary").withColumnRenamed("_key", key)
 
 
 def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -289,6 +288,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = encode(read(spark, sf_dir, "documents"), path)
     # the ids go through the decoder beside the other columns, so nothing is joined
-    packed = coded.select(F.struct("doc_id", "n_tokens", "plain_tokens", F.crc32("ids").alias("ids_crc32")).alias("row"), "ids")
+    packed = coded.select(F.struct("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")).alias("row"), "ids")
     back = decode(packed, path, key="row")
     return back.select("row.*", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
