@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; a local one only where none is named."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage like a checkpoint, but packed and by column."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the cluster has set them for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

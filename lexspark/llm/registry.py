@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, fingerprints, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
+from lexspark.llm import chat, fingerprints, minhash, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_prefix_tree": chat.op5_chat_prefix_tree,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+    "op8_minhash_dedup": minhash.op8_minhash_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL}

@@ -6,13 +6,10 @@ apart. Joins by digest give the records back, and what is read is verified again
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import checkpoint, read
+from lexspark.llm.common import checkpoint, read, shared_folder
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -26,12 +23,6 @@ def base32_sha1(payload: F.Column) -> F.Column:
     return F.concat(*[letter(part(i), s) for i in range(8) for s in (15, 10, 5, 0)])
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the cluster names; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-warc-")
-    return f"{shared.rstrip('/')}/warc-{uuid.uuid4().hex}"
-
-
 def _header_value(value: F.Column) -> F.Column:
     """A value on one line: per cent signs before CR and LF escapes stay readable."""
     return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -105,6 +96,6 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = archive_folder(spark)
+    folder = shared_folder(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
