@@ -93,7 +93,7 @@ def likeliest(lower: np.ndarray, higher: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 _DOCS = pa.schema([("n", pa.int64()), ("name", pa.binary()), ("registers", pa.binary())])
 _BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,43 +126,45 @@ def _likely(percent: int):
     return run
 
 
-def _verify(percent: int):
+def _compare(percent: int, apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come as runs: the leader's text, then its members'."""
         leader, held = None, np.zeros(0, U)
         for batch in batches:
             a, b, lead = (batch.column(x).to_pylist() for x in ("a", "b", "lead"))
-            out_a, out_b = [], []
             for c in chunks(batch.column("text")):
+                out: dict[str, list] = {f.name: [] for f in _COMPARED}
                 g, first = shingles(c)
                 for i in range(c.lo, c.hi):
                     mine = g[first[i - c.lo] : first[i - c.lo + 1]]
                     if lead[i]:
                         leader, held = a[i], mine.copy()
-                    elif leader != a[i]:
+                        continue
+                    if leader != a[i]:
                         raise ValueError("a member without its leader")
-                    else:
-                        both = len(np.intersect1d(held, mine, assume_unique=True))
-                        if 100 * both >= percent * (len(held) + len(mine) - both):
-                            out_a.append(a[i])
-                            out_b.append(b[i])
-            yield emit(_EDGES, a=out_a, b=out_b)
+                    both = len(np.intersect1d(held, mine, assume_unique=True))
+                    linked = 100 * both >= percent * (len(held) + len(mine) - both)
+                    if linked or apart:
+                        row = (a[i], b[i], len(held), len(mine), linked, np.setxor1d(held, mine, assume_unique=True).view(np.int64) if apart else None)
+                        for x, v in zip(out.values(), row, strict=True):
+                            x.append(v)
+                yield emit(_COMPARED, **out)
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts: node, text.
+def compared(pairs: DataFrame, texts: DataFrame, percent: int, apart: bool = False) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, linked; where apart, the others too, and what lies in one set of a pair only.
 
-    A member's text goes to its leader's run, the leader's text to each run of at most about RUN
-    members, so a leader of very many is no hot key and is not copied for each member.
+    texts: node, text. A member's text goes to its leader's run, the leader's text to each run of
+    at most about RUN members, so a leader of very many is no hot key and isn't copied for each.
     """
     spark = pairs.sparkSession
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs")), "a")
     members = salted.select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run")).join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", F.lit(False).alias("lead"), "b", "text")
     leaders = salted.select("a", "runs").distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(True).alias("lead"), F.lit(None).cast("long").alias("b"), "text")
     runs = members.unionByName(leaders).repartition(width(spark), "a", "run").sortWithinPartitions("a", "run", F.col("lead").desc())
-    return runs.select("a", "b", "lead", "text").mapInArrow(_verify(percent), "a long, b long")
+    return runs.select("a", "b", "lead", "text").mapInArrow(_compare(percent, apart), "a long, b long, n_a long, n_b long, linked boolean, apart array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,11 +177,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     by their texts; a null id is its own smallest only if its component has no other. Other
     columns don't matter, and an empty table gives an empty result.
 
-    Equal sets become one node first, so copies are never paired. Within a bucket (the nodes that
-    share a band) nodes are compared with a few leaders, at first one, in each later round four
-    times as many, until all nodes of the bucket are in one component or have met each other; so
-    no link between nodes of a bucket is lost, and a large group isn't paired out unless its
-    members are alike enough to share bands and yet not linked.
+    Equal sets become one node first, so copies are never paired. The nodes of a bucket (those
+    that share a band) are compared with its first node, and where that doesn't make them one
+    component, with its best linked node, too. Of what is then left, two nodes can only be linked
+    if they differ from the leader in the same shingles, and are found by the rarest of these; so
+    no link between nodes of a bucket is lost, and a large group is not paired out.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -200,7 +202,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
 
 def _links(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Verified edges (a, b) between nodes, enough of them for the components."""
-    spark = named.sparkSession
     keys = nodes.select("node", "registers").mapInArrow(_buckets, "key long, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
     live = saved(keys.join(shared, "key").select("key", "node", "first"), "buckets")
@@ -208,39 +209,64 @@ def _links(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     wanted = live.select("node").distinct().join(nodes.select("node", "least", "n", "name"), "node")
     holds = named.join(wanted, named["doc_id"].eqNullSafe(wanted["least"])).select("node", "n", "name", "text")
     texts = saved(holds.mapInArrow(_own, "node long, text string").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = edges
-    group = nodes.select("node", F.col("node").alias("component"))
-    lead = live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    live, leaders = live.select("key", "node"), 1
     sizes = nodes.select("node", "n", "registers")
-    while True:
-        new = saved(lead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        both = new.join(sizes.toDF("a", "n_a", "r_a"), "a").join(sizes.toDF("b", "n_b", "r_b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-        likely = saved(both.mapInArrow(_likely(percent), "a long, b long"), "likely")
-        edges = edges.unionByName(saved(verified(likely, texts, percent), "links"))
-        tested = tested.unionByName(new)
-        group = saved(components(edges), "groups")
-        # the leaders have met all others of their buckets; what is left is live if it is not all in one component
-        if leaders == 1:
-            used = live.groupBy("key").agg(F.min("node").alias("node"))
-        else:
-            used = _leaders(live, degree, leaders)
-        rest = live.select("key", "node").join(used, ["key", "node"], "left_anti").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = rest.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-        live = saved(rest.join(apart, "key").select("key", "node", "component"), "buckets")
-        if live.isEmpty():
-            return edges
-        leaders *= 4
-        degree = saved(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
-        front = _leaders(live, degree, leaders).select("key", F.col("node").alias("a"), F.col("component").alias("_of"))
-        lead = live.join(front, "key").where((F.col("component") != F.col("_of")) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b"))
-
-
-def _leaders(live: DataFrame, degree: DataFrame, count: int) -> DataFrame:
-    """Up to so many nodes of each bucket: those with most links first. Spark cuts the ranks off in each task before the shuffle."""
-    rank = W.partitionBy("key").orderBy(F.coalesce("degree", F.lit(0)).desc(), "node")
-    return live.join(degree, "node", "left").withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= count).drop("_rank", "degree")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sizes.toDF("a", "n_a", "r_a"), "a").join(sizes.toDF("b", "n_b", "r_b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+        return saved(both.mapInArrow(_likely(percent), "a long, b long"), "likely")
+
+    stars = live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    edges = saved(compared(likely(stars), texts, percent).select("a", "b"), "links")
+    group = saved(components(edges), "groups")
+    # buckets that are not in one component, and the best linked node of each
+    placed = live.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    live = placed.join(apart, "key").join(degree, "node", "left").select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    best = live.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
+    frames = live.join(best, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    framed = saved(compared(frames, texts, percent, apart=True), "frames")
+    edges = edges.unionByName(framed.where("linked").select("a", "b"))
+    group = saved(components(edges), "groups")
+    rest = _apart(framed, group, percent)
+    return edges.unionByName(compared(likely(rest), texts, percent).select("a", "b"))
+
+
+def _apart(framed: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, among the nodes compared with one leader.
+
+    Sets x and y with n and m shingles are linked if they differ in at most d = (n + m) * c
+    shingles, c = (1 - t) / (1 + t). Both are told by what sets them apart from the leader, X and
+    Y: x and y differ in what only one of X and Y has, so X and Y must share
+    o = (|X| + |Y| - d) / 2 at least. Ordered alike, rarest first, the leading |X| - o + 1 of X and
+    |Y| - o + 1 of Y then have one in common (prefix filtering), and these are d / 2 + 1 or so:
+    a node's own edits, as a rule, which no other node has. As one of the two, x, isn't linked
+    with the leader (of l shingles), |X| > (n + l) * c; with that and ||X| - |Y|| <= d, a node's
+    own figures bound what it must send.
+    """
+    c = (100 - percent) / (100 + percent)
+    of = group.toDF("b", "component")
+    sides = framed.join(of, "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"), "n_a", "n_b", "linked", "apart", F.size("apart").alias("s"))
+    tokens = sides.select("a", F.explode("apart").alias("token"))
+    often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    kept = sides.select("a", "b", "component", "n_a", "n_b", "linked", "s", F.explode("apart").alias("token")).join(often, ["a", "token"])
+    # those that no other node has come first, and match nothing
+    line = W.partitionBy("a", "b").orderBy("df", "token")
+    place = F.col("s") - F.count(F.lit(1)).over(W.partitionBy("a", "b")) + F.row_number().over(line)
+    least = lambda share: F.col("s") - F.greatest(F.lit(1), F.ceil(share - 1e-6)) + 1
+    widest = F.col("n_b") * (c * (1 + 100 / percent))
+    ranked = kept.select("*", place.alias("_place")).withColumns({
+        "_any": F.col("_place") <= least(F.greatest((F.col("s") + (F.col("n_a") - F.col("n_b")) * c) / 2, F.col("s") - widest)),
+        "_lone": ~F.col("linked") & (F.col("_place") <= least(F.col("s") - widest)),
+    })
+    x = ranked.where("_lone").select("a", "token", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("n_b").alias("nx"), F.col("_place").alias("px"))
+    y = ranked.where("_any").select("a", "token", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("s").alias("sy"), F.col("n_b").alias("ny"), F.col("_place").alias("py"), F.col("linked").alias("ly"))
+    d = (F.col("nx") + F.col("ny")) * c
+    share = F.greatest(F.lit(1), F.ceil((F.col("sx") + F.col("sy") - d) / 2 - 1e-6))
+    able = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.abs(F.col("sx") - F.col("sy")) <= d + 1e-6)
+    leading = (F.col("px") <= F.col("sx") - share + 1) & (F.col("py") <= F.col("sy") - share + 1)
+    met = x.join(y, ["a", "token"]).where((F.col("cx") != F.col("cy")) & (F.col("ly") | (F.col("x") < F.col("y"))) & able & leading)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
