@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import chat, fingerprints, minhash, packing, quality_classifier, quality_rules, sentence_pieces, toxicity, warc
+from lexspark.llm import chat, fingerprints, minhash, packing, quality_classifier, quality_rules, sentence_pieces, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_minhash_dedup": minhash.op8_minhash_dedup,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL}
