@@ -200,6 +200,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns; of rows that share id and text, one stays."""
+    kept = saved(near_duplicates(docs, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id, text])
+
+
 def _links(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Verified edges (a, b) between nodes, enough of them for the components."""
     keys = nodes.select("node", "registers").mapInArrow(_buckets, "key long, node long")

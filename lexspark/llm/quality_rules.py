@@ -111,16 +111,33 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", key
     named = docs.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(host).alias("host"), F.col(text).alias("_text"))
     measured = checkpoint(measure(named, "_text").drop("_text"))
     hosts = checkpoint(host_verdicts(measured).select("host", "host_ok"))
-    if hosts.count() <= BROADCAST_HOSTS:
-        joined = measured.alias("m").join(F.broadcast(hosts.alias("h")), F.col("m.host").eqNullSafe(F.col("h.host")), "left")
-    else:
-        salted = measured.withColumn("_salt", F.pmod(F.xxhash64("_key0", *MEASURES), F.lit(SALTS)).cast("int"))
-        spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.alias("m").join(spread.alias("h"), F.col("m.host").eqNullSafe(F.col("h.host")) & (F.col("m._salt") == F.col("h._salt")), "left")
+    joined = _with_verdict(measured, hosts, "_key0")
     failed = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
     return joined.select(*[F.col(f"_key{i}").alias(c) for i, c in enumerate(key)], *MEASURES, failed.alias("base_failed"), "host_ok", (~failed & F.col("host_ok")).alias("kept"))
 
 
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns of any name; all other behaviour is that of ``quality_rules``.
+
+    The texts are measured twice, for the hosts' counts and for the rows, rather than moved or stored.
+    """
+    measured = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).alias("host"), F.col(text).alias("_text")), "_text")
+    # rules on what a generator gives are not pushed below it, where the measures would be worked out once for each mention
+    measured = measured.select("_row", "host", F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select("_row", "host", "_m.*")
+    hosts = checkpoint(host_verdicts(measured.select("host", *MEASURES)).select("host", "host_ok"))
+    failed = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
+    return _with_verdict(measured.where(~failed).select("_row", "host", *MEASURES), hosts, "_row").where("host_ok").select("_row.*")
+
+
+def _with_verdict(rows: DataFrame, hosts: DataFrame, salt_by: str) -> DataFrame:
+    """The rows with host_ok: a small table of hosts is broadcast, a larger one joined by salted keys."""
+    if hosts.count() <= BROADCAST_HOSTS:
+        return rows.alias("m").join(F.broadcast(hosts.alias("h")), F.col("m.host").eqNullSafe(F.col("h.host")), "left").select("m.*", "host_ok")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by, *MEASURES), F.lit(SALTS)).cast("int"))
+    spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.alias("m").join(spread.alias("h"), F.col("m.host").eqNullSafe(F.col("h.host")) & (F.col("m._salt") == F.col("h._salt")), "left").select("m.*", "host_ok")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 

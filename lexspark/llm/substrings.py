@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexspark.llm.arrays import Chunk, Powers, U, Words, chunks, gram_hashes, inside, mix, word_hashes, words
 from lexspark.llm.common import emit, read, width
@@ -298,9 +299,9 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     """
     n = width(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
     body = named.select("text")
-    rows = named.mapInArrow(_rows(digest), f"_id {kind}, key long, n_words long, whole string")
+    rows = named.mapInArrow(_rows(digest), schema)
     texts = body.mapInArrow(_texts, "key long, body string")
     found = repeated(body.mapInArrow(_phrases, _OCCURS_DDL), n)
     listed = lambda df: df.groupBy(F.col("text").alias("_key")).agg(F.collect_set("place").alias("places"))
@@ -321,6 +322,15 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     )
 
 
+def without_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """All rows and columns, with the text cut and its characters counted anew; see ``cut_repeats``. A text that loses all words is empty."""
+    rest = [c for c in docs.columns if c not in (text, n_chars)]
+    named = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"))
+    cut = cut_repeats(named, "row")
+    new = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
