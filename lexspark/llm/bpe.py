@@ -17,7 +17,8 @@ import numpy as np
 from lexspark.llm.arrays import U, Chunk, mix
 
 LETTER, NUMBER, SPACE, OTHER, ODD = range(1, 6)
-KNOWN_PIECES = 1_000_000
+#: Pieces held at once, some 250 bytes each.
+KNOWN_PIECES = 500_000
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  # masks of the first n bytes of eight
 
 

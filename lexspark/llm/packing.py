@@ -100,17 +100,18 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        known = encoder(path)
         end = np.array([end_id], np.uint32)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             docs_of = batch.column(0).to_pylist()
             for c in chunks(batch.column(1)):
-                for doc, ids in zip(docs_of[c.lo : c.hi], encode(c), strict=True):
+                for doc, ids in zip(docs_of[c.lo : c.hi], known.encode(c), strict=True):
                     packer.add(doc, np.concatenate([ids, end]))
                     if packer.bytes >= _FLUSH:
                         yield _rows(packer.done)
                         packer.done, packer.bytes = [], 0
+        known.forget()  # the worker outlives the task
         packer.finish()
         yield _rows(packer.done)
 

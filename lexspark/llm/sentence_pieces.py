@@ -262,6 +262,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
                 ids = model.encode(c, hashes[c.lo : c.hi])
                 made = emit(_IDS, n_tokens=[len(x) for x in ids], ids=[x.astype("<u4").tobytes() for x in ids])
                 yield pa.RecordBatch.from_arrays([batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", *made.schema.names])
+        model.forget()  # the worker outlives the task
 
     kind = docs.schema[key].dataType.simpleString()
     return named.mapInArrow(run, f"_key {kind}, n_tokens long, ids binary").withColumnRenamed("_key", key)
