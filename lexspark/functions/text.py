@@ -79,10 +79,10 @@ def letter_count(text: Column) -> Column:
 
 
 def elided(target: str) -> str | None:
-    """How a word looks after the preposition that takes its article's first letter; null for one too short."""
-    if target.startswith("ال") and len(target) > 3:
-        return "لل" + target[2:]
-    return "ل" + target[1:] if len(target) > 3 and target.startswith("ا") else None
+    """How a word with the article looks after the preposition that takes the article's first letter; None for others."""
+    if not target.startswith("ال") or len(target) <= 3:
+        return None
+    return target[1:] if target.startswith("الل") else "ل" + target[1:]
 
 
 def count_target(norm: Column, target: str) -> Column:
