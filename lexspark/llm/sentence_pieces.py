@@ -26,6 +26,8 @@ STREAMS = 8
 _SPACE = "▁"
 #: Stretches of more characters than this have an agenda of their own.
 LONG = 40
+#: Bytes of text that are encoded together, and rows that are decoded together; some 100 bytes of working memory for each byte.
+AT_ONCE, ROWS = 512 << 10, 256
 _POWERS = Powers(0xD6E8FEB86659FD93)
 
 
@@ -258,7 +260,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
         model = pieces(path, dropout, seed)
         for batch in batches:
             hashes = batch.column("_hash").to_numpy().view(U)
-            for c in chunks(batch.column("_text")):
+            for c in chunks(batch.column("_text"), AT_ONCE):
                 ids = model.encode(c, hashes[c.lo : c.hi])
                 made = emit(_IDS, n_tokens=[len(x) for x in ids], ids=[x.astype("<u4").tobytes() for x in ids])
                 yield pa.RecordBatch.from_arrays([batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", *made.schema.names])
@@ -274,7 +276,7 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, 0.0, 0)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [model.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(texts, pa.string())], names=["_key", "text"])
 
