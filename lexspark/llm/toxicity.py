@@ -21,7 +21,7 @@ from lexspark.llm.common import emit, read, with_column_type
 
 BUCKETS = 1 << 20
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 4_000
+SAMPLE = 20_000
 #: Terms that get weights: those of the sample that lean most to one label, by chi-squared.
 TERMS, LEAST_DOCS, LEAST_CHI2 = 1024, 4, 12.0
 THRESHOLD = 0.5
