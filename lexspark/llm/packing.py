@@ -111,7 +111,8 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                     if packer.bytes >= _FLUSH:
                         yield _rows(packer.done)
                         packer.done, packer.bytes = [], 0
-        known.forget()  # the worker outlives the task
+        del known
+        encoder.cache_clear()  # the worker outlives the task, and serves other stages
         packer.finish()
         yield _rows(packer.done)
 
