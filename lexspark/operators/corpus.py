@@ -13,7 +13,7 @@ SHOWN_GROUPS, SHOWN_LOCATIONS = 5, 15
 def as_corpus(table: DataFrame, group: str, ordinal: str, text: str) -> DataFrame:
     """Any table as a corpus; a null text is empty."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return table.select(F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), body.alias("text"), fx.normalize(body).alias("norm"))
+    return table.select(F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), body.alias("text"), F.explode(F.array(fx.normalize(body))).alias("norm"))  # filters stay above a generator, so the norm is made once
 
 
 def count_by_group(corpus: DataFrame, counter: Column) -> DataFrame:
