@@ -102,3 +102,53 @@ def word_excerpt(text: Column) -> Column:
     head = F.substring(flat, 1, LONGEST_EXCERPT)
     cut = F.greatest(F.length(head) - F.instr(F.reverse(head), " "), F.lit(SHORTEST_CUT))
     return F.when(F.length(flat) <= LONGEST_EXCERPT, flat).otherwise(F.concat(F.left(head, cut), F.lit("…")))
+
+
+def contains_arabic(text: Column) -> Column:
+    return text.rlike(r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]")
+
+
+def eastern_digits(text: Column) -> Column:
+    return F.translate(text, WESTERN[:10], DIGITS[:10])
+
+
+def playback_time(seconds: Column) -> Column:
+    """Minutes and seconds in Arabic digits; never below zero."""
+    s = F.greatest(F.lit(0), F.floor(seconds)).cast("long")
+    return eastern_digits(F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")))
+
+
+def percent(fraction: Column) -> Column:
+    whole = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)) * 100 + 0.5).cast("string")
+    return F.concat(eastern_digits(whole), F.lit("٪"))
+
+
+def first_number(text: Column) -> Column:
+    """The first stretch of digits as a number; null if there is none, or if it is too large."""
+    return F.regexp_extract(western_digits(text), r"(\d+)", 1).try_cast("int")
+
+
+def range_label(start: Column, end: Column) -> Column:
+    return F.when(start == end, start.cast("string")).otherwise(F.concat_ws("–", start.cast("string"), end.cast("string")))
+
+
+def highlighted(text: Column, term: str) -> Column:
+    """Struct of the words before, at and after the first word whose normal form has the term; hit is null if none has."""
+    words = F.split(text, " ")
+    at = F.array_position(F.transform(words, lambda w: normalize(w).contains(term)), True)
+    part = lambda lo, n: F.array_join(F.slice(words, lo, n), " ")
+    found = at > 0
+    return F.struct(
+        F.when(found, part(F.lit(1), at.cast("int") - 1)).otherwise(text).alias("before"), F.when(found, F.get(words, at.cast("int") - 1)).alias("hit"),
+        F.when(found, part(at.cast("int") + 1, F.size(words))).otherwise(F.lit("")).alias("after"),
+    )
+
+
+def name_variants(name: Column, other: Column) -> Column:
+    """Forms under which a name is found: with and without article, from another script in one word, without its final h. Null names have none."""
+    own, there = normalize(name), normalize(other)
+    one = F.replace(there, F.lit(" "), F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(one, r"^a([lstdrzn])\1?", ""), "^al", "")
+    forms = [own, F.when(own.startswith("ال") & (F.length(own) > 4), F.substring(own, 3, 1 << 20)), there, one]
+    forms += [F.when(F.length(bare) > 3, bare), F.when((F.length(bare) > 3) & bare.endswith("h"), F.regexp_replace(bare, "h$", ""))]
+    return F.array_distinct(F.filter(F.array(*forms), lambda x: x.isNotNull() & (x != "")))

@@ -1 +1,5 @@
-"""plans of the engine."""
+"""Named queries. Importing the package registers those of all its modules in the catalogue."""
+
+from lexspark.plans import catalogue, questions, schedules
+
+__all__ = ["catalogue", "questions", "schedules"]
