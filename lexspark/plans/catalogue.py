@@ -225,3 +225,18 @@ def next_event_asof(spark, d):
     # the next later purchase: times fall from the end, so each row looks back over what is later
     back = W.partitionBy("user_id").orderBy(F.desc("ts")).rangeBetween(W.unboundedPreceding, -1)
     return micros.select("event_id", F.timestamp_micros(F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(back)).cast("timestamp_ntz").alias("next_purchase"))
+
+
+@query(CORPUS + "SELECT group_key, row_ord FROM c WHERE contains(norm, 'licensed') ORDER BY row_ord LIMIT 50")
+def row_search(spark, d):
+    return documents(spark, d).where(F.col("norm").contains("licensed")).select("group_key", "row_ord").orderBy("row_ord").limit(50)
+
+
+@query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS INT) AS first_number, regexp_matches(coalesce(html, ''), '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]') AS arabic FROM pages")
+def first_number_and_script(spark, d):
+    return table(spark, d, "pages").select("page_id", fx.first_number(F.col("url")).alias("first_number"), fx.contains_arabic(F.coalesce("html", F.lit(""))).alias("arabic"))
+
+
+@query("SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant') AS first_answer, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id")
+def first_match_by_group(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.count_distinct("role").alias("n_roles"))
