@@ -16,19 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.arrays import Chunk, Powers, U, chunks, mix
+from lexspark.llm.arrays import Chunk, U, chunks, mix
 from lexspark.llm.bpe import KNOWN_PIECES, Known
 from lexspark.llm.common import emit, read
 
 DROPOUT, SEED = 0.1, 7
-#: Keyed streams: each place of a text where a word stands draws one of so many segmentations of the word.
-STREAMS = 8
 _SPACE = "▁"
-#: Stretches of more characters than this have an agenda of their own.
+#: Stretches of more characters than this have an agenda of their own, and with dropout are never kept.
 LONG = 40
+#: A merge is written as its place (under LONG) and, in so many low bits, its piece.
+PIECE_BITS = 21
 #: Bytes of text that are encoded together, and rows that are decoded together; some 100 bytes of working memory for each byte.
 AT_ONCE, ROWS = 512 << 10, 256
-_POWERS = Powers(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=4)
@@ -58,6 +57,7 @@ class Pieces(Known):
         order = np.array([-model.get_score(i) for i in range(len(names))])
         self.rank = np.argsort(np.argsort(order, kind="stable"), kind="stable").astype(np.int64)
         made = {(symbol(n[:k]) << 21) | symbol(n[k:]): i for n, i in ids.items() for k in range(1, len(n)) if symbol(n[:k]) >= 0 and symbol(n[k:]) >= 0}
+        self.made = made
         self.pair = np.array(sorted(made), np.int64)
         self.merged = np.array([made[k] for k in self.pair.tolist()], np.int64)
         self.size = len(names)
@@ -69,6 +69,31 @@ class Pieces(Known):
         self.dropout, self.seed = min(dropout, 1.0), seed
         super().__init__()
 
+    def forget(self) -> None:
+        super().forget()
+        self.merges, self.merges_used = np.empty(1 << 16, np.uint32), 0
+        self.merges_begin, self.merges_length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def keep(self, flat: np.ndarray, lengths: np.ndarray, keys: list[int], of: np.ndarray, merges: np.ndarray) -> None:
+        """Keep the ids of new segmentations and the merges that were done for them; of: whose merge each is."""
+        i, n = len(self.index), len(keys)
+        while self.merges_used + len(of) > len(self.merges):
+            self.merges = np.concatenate([self.merges, np.empty_like(self.merges)])
+        while i + n > len(self.merges_begin):
+            self.merges_begin, self.merges_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.merges_begin, self.merges_length))
+        size = np.bincount(of, minlength=n)
+        self.merges[self.merges_used : self.merges_used + len(of)] = merges[np.argsort(of, kind="stable")]
+        self.merges_begin[i : i + n] = self.merges_used + np.cumsum(size) - size
+        self.merges_length[i : i + n] = size
+        self.merges_used += len(of)
+        self.learn(flat, lengths, keys)
+
+    def merges_of(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges of the segmentations at these places, and which of the places each belongs to."""
+        size = self.merges_length[slot].astype(np.int64)
+        of = np.repeat(np.arange(len(slot)), size)
+        return self.merges[np.arange(len(of)) + (self.merges_begin[slot] - (np.cumsum(size) - size))[of]].astype(np.int64), of
+
     def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, -1 if none."""
         key = (left << 21) | right
@@ -82,24 +107,22 @@ class Pieces(Known):
     def segment(self, symbols: np.ndarray, salt: np.uint64) -> list[int]:
         """The symbols that one stretch ends up with, by agenda. A skipped candidate comes up again only if a neighbour's merge offers it anew."""
         part = symbols.tolist()
-        n = len(part)
+        n, salt, least = len(part), int(salt), self.dropout * 2.0**53
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         made = self.candidates(symbols[:-1], symbols[1:])
         agenda = [(int(self.rank[made[i]]), i, i + 1, int(made[i]), part[i], part[i + 1]) for i in np.flatnonzero(made >= 0).tolist()]
         heapify(agenda)
 
         def offer(i: int, j: int) -> None:
-            k = (part[i] << 21) | part[j]
-            at = int(np.searchsorted(self.pair, k))
-            if at < len(self.pair) and self.pair[at] == k:
-                m = int(self.merged[at])
+            m = self.made.get((part[i] << 21) | part[j])
+            if m is not None:
                 heappush(agenda, (int(self.rank[m]), i, j, m, part[i], part[j]))
 
         while agenda:
             _, i, j, m, a, b = heappop(agenda)
             if part[i] != a or right[i] != j or part[j] != b:
                 continue
-            if self.dropout and self.skipped(np.array([salt], U), np.array([i]), np.array([m]))[0]:
+            if self.dropout and _mixed(salt ^ (i * 0xD6E8FEB86659FD93 + m * 0xA0761D6478BD642F & _ALL)) >> 11 < least:
                 continue
             part[i], part[j] = m, -1
             right[i] = k = right[j]
@@ -110,11 +133,13 @@ class Pieces(Known):
                 offer(left[i], i)
         return [p for p in part if p >= 0]
 
-    def segments(self, symbols: np.ndarray, first: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, symbols: np.ndarray, first: np.ndarray, salt: np.ndarray, forced: np.ndarray | None = None, done: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The same for many stretches: first has where each begins (and the end).
 
         Each round takes the best candidate of every stretch that still has one; long stretches
-        have an agenda of their own.
+        have an agenda of their own. forced: instead of what the salts say, just these candidates of
+        the short stretches are skipped (stretch and merge in one number, in order). done: takes
+        stretch and merge of all merges of the short stretches.
         """
         size = np.diff(first)
         out: list[tuple[np.ndarray, np.ndarray]] = []  # (stretch, symbol), in order within each stretch
@@ -144,10 +169,17 @@ class Pieces(Known):
                     break
                 head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             at = np.flatnonzero(cost == np.repeat(best, np.diff(np.append(head, len(of)))))
-            if self.dropout:
+            if forced is None and self.dropout:
                 skip = self.skipped(salt[of[at]], place[at], made[at])
                 blocked[at[skip]] = True
                 at = at[~skip]
+            elif forced is not None and len(forced):
+                asked = (((of[at] << 6) | place[at]) << PIECE_BITS) | made[at]
+                skip = forced[np.minimum(np.searchsorted(forced, asked), len(forced) - 1)] == asked
+                blocked[at[skip]] = True
+                at = at[~skip]
+            if done is not None:
+                done.append((of[at], (place[at] << PIECE_BITS) | made[at]))
             sym[at] = made[at]
             rest = np.ones(len(of), bool)
             rest[at + 1] = False
@@ -181,10 +213,13 @@ class Pieces(Known):
         return flat.astype(np.uint32), np.bincount(of, size, len(lengths)).astype(np.int64)
 
     def encode(self, c: Chunk, keys: np.ndarray) -> list[np.ndarray]:
-        """The ids of each text of the chunk; keys: one 64-bit key for each text, from which it draws its streams.
+        """The ids of each text of the chunk; keys: one 64-bit key for each text, from which the skips of its merges are drawn.
 
         A stretch begins at each run of spaces and at each control character; no piece of the
-        model spans such a place, so stretches are encoded apart, each distinct one once.
+        model spans such a place, so stretches are encoded apart. Every occurrence of a stretch
+        draws for every merge that comes up in it. What a stretch becomes if just some given
+        merges are skipped is worked out once and kept, with the merges then done: an occurrence
+        that skips none of them is settled, any other goes on with those it skips besides.
         """
         size = np.diff(c.at)
         at = c.at + np.cumsum(np.append(0, size > 0))  # a space goes before each text that isn't empty
@@ -202,45 +237,83 @@ class Pieces(Known):
         begin = np.flatnonzero(start)
         length = np.diff(np.append(begin, n))
         raw = data.tobytes()
-        h = self.keys(raw, begin, length)
-        if self.dropout:
-            text = np.searchsorted(at, begin, "right") - 1
-            text = np.maximum.accumulate(text)
-            place = np.arange(len(begin)) - np.searchsorted(begin, at)[text]
-            stream = (mix(keys[text] + place.astype(U), self.seed) % U(STREAMS)).astype(np.int64)
-        else:
-            stream = np.zeros(len(begin), np.int64)
-        h = mix(h + stream.astype(U), 3)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        lead = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
+        n_chars = lead[begin + length] - lead[begin]
+
+        def symbols(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            bare = b"".join([raw[x:y] for x, y in zip(begin[which].tolist(), (begin + length)[which].tolist(), strict=True)]).decode()
+            return self.of_char[np.frombuffer(bare.encode("utf-32-le"), np.uint32)], np.append(0, np.cumsum(n_chars[which]))
+
         if len(self.index) > KNOWN_PIECES:
             self.forget()
-        slot = self.places(distinct)
-        new = np.flatnonzero(slot < 0)
-        slot[new] = len(self.index) + np.arange(len(new))
-        if len(new):
-            at_new = first[new]
-            bare = np.frombuffer(b"".join([raw[x:y] for x, y in zip(begin[at_new].tolist(), (begin + length)[at_new].tolist(), strict=True)]).decode().encode("utf-32-le"), np.uint32)
-            lead = np.cumsum(np.append(0, (data & 0xC0) != 0x80))
-            chars = np.append(0, np.cumsum(lead[(begin + length)[at_new]] - lead[begin[at_new]]))
-            symbols = self.of_char[bare]
-            salt = mix(stretch_hashes(bare, chars) + stream[at_new].astype(U), self.seed)
-            self.learn(*self.spelled(*self.segments(symbols, chars, salt)), distinct[new].tolist())
-        ids, done = self.gather(slot[back])
-        edges = np.append(0, done)[np.searchsorted(begin, at)]
+        salt = self.salts(keys, np.maximum.accumulate(np.searchsorted(at, begin, "right") - 1), begin, at)
+        own = np.flatnonzero(n_chars > LONG) if self.dropout else np.zeros(0, np.int64)
+        slot = np.full(len(begin), -1)
+        name = self.keys(raw, begin, length)  # of the stretch and the merges that its occurrence skips
+        of = np.delete(np.arange(len(begin)), own)
+        skips = np.zeros((2, 0), np.int64)  # occurrence, merge
+        while len(of):
+            distinct, first, back = np.unique(name[of], return_index=True, return_inverse=True)
+            found = self.places(distinct)
+            new = np.flatnonzero(found < 0)
+            found[new] = len(self.index) + np.arange(len(new))
+            if len(new):
+                which = of[first[new]]
+                row = np.full(len(begin), -1)
+                row[which] = np.arange(len(which))
+                held = skips[:, row[skips[0]] >= 0]
+                done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+                made = self.segments(*symbols(which), salt[which], np.sort((row[held[0]] << (6 + PIECE_BITS)) | held[1]), done if self.dropout else None)
+                self.keep(*self.spelled(*made), distinct[new].tolist(), *(np.concatenate(x) for x in zip(*done, strict=True)))
+            slot[of] = found[back]
+            if not self.dropout:
+                break
+            merge, whose = self.merges_of(slot[of])
+            skip = np.flatnonzero(self.skipped(salt[of[whose]], merge >> PIECE_BITS, merge & ((1 << PIECE_BITS) - 1)))
+            whose, merge = of[whose[skip]], merge[skip]
+            np.add.at(name, whose, mix(merge.astype(U), 5))
+            of = np.unique(whose)
+            going = np.zeros(len(begin), bool)
+            going[of] = True
+            skips = np.concatenate([skips[:, going[skips[0]]], [whose, merge]], axis=1)
+        if len(own):
+            extra, extra_size = self.spelled(*self.segments(*symbols(own), salt[own]))
+        else:
+            extra, extra_size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        kept = self.gather(np.delete(slot, own))[0]
+        size_of = np.where(slot < 0, 0, self.length[slot])
+        size_of[own] = extra_size
+        done_of = np.cumsum(size_of)
+        ids = kept
+        if len(own):
+            mine = np.zeros(len(begin), bool)
+            mine[own] = True
+            mine = np.repeat(mine, size_of)
+            ids = np.empty(len(mine), np.uint32)
+            ids[mine], ids[~mine] = extra, kept
+        edges = np.append(0, done_of)[np.searchsorted(begin, at)]
         return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def salts(self, keys: np.ndarray, text: np.ndarray, begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One number for each occurrence of a stretch, from the seed, its text's key and its place among the text's stretches."""
+        place = np.arange(len(begin)) - np.searchsorted(begin, at)[text]
+        return mix(keys[text] + place.astype(U), self.seed)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids, without the space in front that encoding adds."""
         table = self.bytes
         return b"".join([table[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
-def stretch_hashes(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch's characters, the same in every process."""
-    up, down = _POWERS.upto(len(chars) + 1)
-    total = np.zeros(len(chars) + 1, U)
-    np.cumsum(mix(chars.astype(U), 11) * up[: len(chars)], out=total[1:])
-    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(U))
+_ALL = 0xFFFFFFFFFFFFFFFF
+
+
+def _mixed(x: int) -> int:
+    """The same as ``mix`` of one number."""
+    x = (x + 0x9E3779B97F4A7C15) & _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
 
 
 _IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -249,8 +322,9 @@ _IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary())])
 def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and ids (little-endian unsigned 32-bit) of each text.
 
-    Which segmentation a row gets follows from the seed, its key and its text only; equal rows get
-    equal ids. A null text counts as empty and has no ids; a null key is a key of its own. Other
+    Whether a candidate merge is skipped follows from the seed, the row's key, the place of its
+    stretch in the text, its place in the stretch and its piece; nothing else enters, and equal
+    rows get equal ids. A null text counts as empty and has no ids; a null key is a key of its own. Other
     columns don't matter, and an empty table gives an empty result. path: a BPE model file of the
     sentencepiece library, present on the executors.
     """

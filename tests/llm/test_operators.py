@@ -104,6 +104,26 @@ def test_long_stretches_merge_alike():
         assert flat.tolist() == model.segment(symbols, salt[0]) and lengths.tolist() == [len(flat)]
 
 
+def test_each_occurrence_draws_its_own_skips():
+    """A word seen often has many segmentations, and each text's ids are those of an agenda of its own for every stretch."""
+    import public_tokenizers
+
+    model = sentence_pieces.pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.3, 5)
+    held = ["international"] * 300 + [" international cats", "the thing  and\nthe thing", "", "é# 日本 " + "anding" * 20] * 20
+    keys = sentence_pieces.mix(np.arange(len(held)).astype(np.uint64), 1)
+    got = [ids for c in sentence_pieces.chunks(sentence_pieces.pa.array(held)) for ids in model.encode(c, keys[c.lo : c.hi])]
+    assert len({ids.tobytes() for ids in got[:300]}) > 30
+    for t, key, ids in zip(held, keys, got, strict=True):
+        want = []
+        stretches = re.findall(r"[\x00-\x1f]| +[^ \x00-\x1f]*|[^ \x00-\x1f]+", " " + t) if t else []
+        for place, stretch in enumerate(stretches):
+            salt = sentence_pieces.mix(np.array([key]) + np.uint64(place), 5)[0]
+            symbols = model.segment(model.of_char[[ord(x) for x in stretch]], salt)
+            want += model.spelled(np.array(symbols), np.array([len(symbols)]))[0].tolist()
+        assert ids.tolist() == want
+        assert model.decode(ids) == t
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a\r\nX: y", "<p>é</p>"), (5, "u", "<p>é</p>"), (3, None, "<p>é</p>"), (4, "u", None), (9, "u", ""), (7, "u", "other"), (7, "u", "other")]
     warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
