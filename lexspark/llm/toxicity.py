@@ -22,10 +22,10 @@ from lexspark.llm.common import emit, read, with_column_type
 BUCKETS = 1 << 20
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 20_000
-#: Terms that get weights: those of the sample that lean most to one label, by chi-squared.
-TERMS, LEAST_DOCS, LEAST_CHI2 = 1024, 4, 12.0
 THRESHOLD = 0.5
-FACTORS, STEPS, RATE, DECAY = 4, 400, 0.05, 1e-4
+FACTORS, STEPS, RATE, DECAY = 4, 200, 0.05, 1e-4
+#: Pull of weights to 0, in standard errors of their gradient; decay of vectors, in distinct terms of a mean text for each text.
+PULL, SHRINK = 1.0, 1.0
 
 
 def terms(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -52,52 +52,56 @@ class Machine:
         out = np.full(len(first) - 1, self.bias)
         if not len(self.buckets) or not len(bucket):
             return out
-        slot = np.searchsorted(self.buckets, bucket)
-        hit = np.flatnonzero(self.buckets[np.minimum(slot, len(self.buckets) - 1)] == bucket)
-        text, slot = np.searchsorted(first, hit, "right") - 1, slot[hit]
-        np.add.at(out, text, self.w[slot] - 0.5 * (self.v[slot] ** 2).sum(1))
-        total = np.zeros((len(out), self.v.shape[1]))
-        np.add.at(total, text, self.v[slot])
-        return out + 0.5 * (total**2).sum(1)
+        slot = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
+        hit = self.buckets[slot] == bucket
+        slot, first = slot[hit], np.append(0, np.cumsum(hit))[first]
+        out += sums((self.w - 0.5 * (self.v**2).sum(1))[slot], first)
+        for v in self.v.T:
+            out += 0.5 * sums(v[slot], first) ** 2
+        return out
 
     def scores(self, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(bucket, first), -30, 30)))
 
 
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each run of values; first: where each begins (and the end)."""
+    out = np.zeros(len(first) - 1)
+    some = np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(values, first[some])
+    return out
+
+
 def fit(bucket: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Choose the terms, then full-batch Adam on the log loss."""
+    """Full-batch Adam on the log loss; every term has a weight and a vector, which decay."""
     n, positive = len(y), float(y.sum()) if len(y) else 0.0
     if n == 0 or positive in (0, n):  # nothing to tell apart: the same score for all
         return Machine(float(np.log((positive + 1) / (n - positive + 1))), np.zeros(0), np.zeros((0, FACTORS)), np.zeros(0, np.int64))
-    text = np.repeat(np.arange(n), np.diff(first))
-    known, back = np.unique(bucket, return_inverse=True)
-    df = np.bincount(back, minlength=len(known)).astype(float)
-    toxic = np.bincount(back, y[text], len(known))
-    a, b, c, d = toxic, df - toxic, positive - toxic, (n - positive) - (df - toxic)
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum(df * (n - df) * positive * (n - positive), 1e-9)
-    able = np.flatnonzero((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
-    chosen = np.sort(able[np.lexsort((known[able], -chi2[able]))][:TERMS])
-    place = np.full(len(known), -1)
-    place[chosen] = np.arange(len(chosen))
-    slot = place[back]
-    live = slot >= 0
-    text, slot, k = text[live], slot[live], len(chosen)
+    known, slot = np.unique(bucket, return_inverse=True)
+    k, slot = len(known), slot.astype(np.int32)
+    # the texts of each term in runs, too, so that sums go along memory in both directions
+    text = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))[np.argsort(slot, kind="stable")]
+    of_slot = np.append(0, np.cumsum(np.bincount(slot, minlength=k)))
+    # what chance alone does to a term's gradient, and one text to the vectors of its terms, is held down
+    share, df = positive / n, np.diff(of_slot)
+    pull = PULL * np.sqrt(share * (1 - share) * df * (n - df) / n) / n
+    shrink = SHRINK * len(slot) / n**2
     rng = np.random.default_rng(seed)
-    p = {"bias": np.array([np.log(positive / (n - positive))]), "w": np.zeros(k), "v": rng.normal(0, 0.05, (k, FACTORS))}
+    p = {"bias": np.array([np.log(positive / (n - positive))]), "w": np.zeros(k), "v": rng.normal(0, 0.05, (FACTORS, k))}
     m, s = ({x: np.zeros_like(q) for x, q in p.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        total = np.zeros((n, FACTORS))
-        np.add.at(total, text, p["v"][slot])
-        logit = p["bias"] + np.bincount(text, p["w"][slot] - 0.5 * (p["v"][slot] ** 2).sum(1), n) + 0.5 * (total**2).sum(1)
+        total = [sums(v[slot], first) for v in p["v"]]
+        logit = p["bias"] + sums((p["w"] - 0.5 * (p["v"] ** 2).sum(0))[slot], first) + 0.5 * sum(t**2 for t in total)
         err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
-        dv = np.zeros_like(p["v"])
-        np.add.at(dv, slot, err[text, None] * (total[text] - p["v"][slot]))
-        grad = {"bias": err.sum(keepdims=True), "w": np.bincount(slot, err[text], k) + DECAY * p["w"], "v": dv + DECAY * p["v"]}
+        dw = sums(err[text], of_slot)
+        dv = np.stack([sums((err * t)[text], of_slot) for t in total]) - p["v"] * dw
+        grad = {"bias": err.sum(keepdims=True), "w": dw + DECAY * p["w"] + pull * np.sign(p["w"]), "v": dv + shrink * p["v"]}
         for x, q in p.items():
             m[x] = 0.9 * m[x] + 0.1 * grad[x]
             s[x] = 0.999 * s[x] + 0.001 * grad[x] ** 2
-            q -= RATE * (m[x] / (1 - 0.9**step)) / (np.sqrt(s[x] / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(p["bias"][0]), p["w"], p["v"], known[chosen])
+            q -= RATE * (1 - step / (STEPS + 1)) * (m[x] / (1 - 0.9**step)) / (np.sqrt(s[x] / (1 - 0.999**step)) + 1e-8)
+    return Machine(float(p["bias"][0]), p["w"], np.ascontiguousarray(p["v"].T), known)
 
 
 _BAG = pa.schema([("y", pa.int32()), ("terms", pa.binary())])

@@ -363,6 +363,18 @@ def test_pairs_of_terms_count():
     assert score([1, 2]) > 0.5 > max(score([1, 11]), score([2, 12]), score([15]))
 
 
+def test_pairs_without_a_lean_count():
+    """Neither term tells anything alone: half of the texts are toxic with it, and without it."""
+    rng = np.random.default_rng(1)
+    bags = [np.unique([i for i in (1, 2) if rng.random() < 0.5] + rng.integers(10, 3000, 5).tolist()) for _ in range(1600)]
+    y = np.array([float((1 in b) == (2 in b)) for b in bags])
+    machine = toxicity.fit(np.concatenate(bags), np.append(0, np.cumsum([len(b) for b in bags])), y)
+    assert machine.buckets.tolist() == sorted({int(x) for b in bags for x in b})  # none is left out
+    score = lambda b: machine.scores(np.array(b), np.array([0, len(b)]))[0]
+    assert min(score([1, 2]), score([])) > 0.5 > max(score([1]), score([2]))
+    assert np.allclose(machine.scores(np.array([1, 2, 1]), np.array([0, 0, 2, 3, 3])), [score([]), score([1, 2]), score([1]), score([])])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
