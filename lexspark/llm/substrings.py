@@ -249,44 +249,62 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CUT = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(as_is: bool):
     """What is left of each text without the words of its repeated windows."""
-    for batch in batches:
-        for c in chunks(batch.column("body")):
-            w: Words = words(c)
-            starts, first = _flat(batch.column("places").slice(c.lo, c.hi - c.lo))
-            row = np.repeat(np.arange(c.hi - c.lo), np.diff(first))
-            step = np.zeros(w.first[-1] + 1, np.int64)
-            np.add.at(step, w.first[row] + starts, 1)
-            np.add.at(step, w.first[row] + starts + WINDOW, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            kept = []
-            raw = c.data.tobytes()
-            for i in range(c.hi - c.lo):
-                of = raw[c.at[i] : c.at[i + 1]].split()
-                kept.append(b" ".join([of[j] for j in np.flatnonzero(~gone[w.first[i] : w.first[i + 1]]).tolist()]).decode())
-            yield emit(_CUT, key=batch.column("key").slice(c.lo, c.hi - c.lo), n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column("body")):
+                w: Words = words(c)
+                starts, first = _flat(batch.column("places").slice(c.lo, c.hi - c.lo))
+                row = np.repeat(np.arange(c.hi - c.lo), np.diff(first))
+                step = np.zeros(w.first[-1] + 1, np.int64)
+                np.add.at(step, w.first[row] + starts, 1)
+                np.add.at(step, w.first[row] + starts + WINDOW, -1)
+                gone = np.cumsum(step)[:-1] > 0
+                kept = []
+                raw = c.data.tobytes()
+                for i in range(c.hi - c.lo):
+                    mine = slice(w.first[i], w.first[i + 1])
+                    if as_is:
+                        kept.append(_around(raw, c.at[i], c.at[i + 1], w.start[mine], w.end[mine], gone[mine]).decode())
+                    else:
+                        of = raw[c.at[i] : c.at[i + 1]].split()
+                        kept.append(b" ".join([of[j] for j in np.flatnonzero(~gone[mine]).tolist()]).decode())
+                yield emit(_CUT, key=batch.column("key").slice(c.lo, c.hi - c.lo), n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept)
+
+    return run
+
+
+def _around(raw: bytes, lo: int, hi: int, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
+    """The bytes lo..hi but those from the first to the last word of each run of words that are gone; none if all are."""
+    if gone.all():
+        return b""
+    head, last = gone & ~np.append(False, gone[:-1]), gone & ~np.append(gone[1:], False)
+    return b"".join([raw[a:b] for a, b in zip([lo, *end[last].tolist()], [*start[head].tolist(), hi], strict=True)])
 
 
 _ROWS = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("whole", pa.string())])
 
 
-def _rows(digest: bool):
+def _rows(digest: bool, as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column("text")):
                 w = words(c)
                 key = text_keys(word_hashes(c, w), w.first)
                 raw = c.data.tobytes()
-                whole = (b" ".join(raw[a:b].split()) for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True))
+                whole = (raw[a:b] if as_is else b" ".join(raw[a:b].split()) for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True))
                 made = emit(_ROWS, key=key.view(np.int64), n_words=w.counts, whole=[hashlib.sha256(x).hexdigest() if digest else x.decode() for x in whole])
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["_id", *made.schema.names])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False, as_is: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept of each row: the words left, joined by one space (their SHA-256 where digest).
+    as_is: the words left keep what stands between them; of the text only the bytes from the first
+    to the last word of each removed run go.
 
     Words are stretches without white space. A word goes if a window of WINDOW words that covers
     it has the same words as a window starting elsewhere, in the same or another row; windows are
@@ -294,20 +312,21 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     repeat lose all words if they have a window. Other columns don't matter, and an empty table
     gives an empty result. Word sequences, phrases and windows are told apart by 64-bit names.
 
-    Equal texts move once from each task and are judged once. The texts move once in all: both
+    Equal texts move once from each task and are judged once; one that keeps some words and loses
+    others has no copy, so what stands between its words is its own. The texts move once in all: both
     joins read the same shuffle.
     """
     n = width(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("whole", T.StringType())])
     body = named.select("text")
-    rows = named.mapInArrow(_rows(digest), schema)
+    rows = named.mapInArrow(_rows(digest, as_is), schema)
     texts = body.mapInArrow(_texts, "key long, body string")
     found = repeated(body.mapInArrow(_phrases, _OCCURS_DDL), n)
     listed = lambda df: df.groupBy(F.col("text").alias("_key")).agg(F.collect_set("place").alias("places"))
     joined = lambda df: texts.join(listed(df), F.col("key") == F.col("_key")).select("key", "body", "places")
     windows = repeated(joined(found).mapInArrow(_windows, _OCCURS_DDL), n)
-    cut = joined(windows).mapInArrow(_cut, "key long, n_removed long, kept string").select("key", "n_removed", (F.sha2(F.encode("kept", "UTF-8"), 256) if digest else F.col("kept")).alias("kept"))
+    cut = joined(windows).mapInArrow(_cut(as_is), "key long, n_removed long, kept string").select("key", "n_removed", (F.sha2(F.encode("kept", "UTF-8"), 256) if digest else F.col("kept")).alias("kept"))
     cut = cut.groupBy("key").agg(F.max("n_removed").alias("n_removed"), F.any_value("kept").alias("kept"))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     all_gone = F.col("copies").isNotNull() & (F.col("n_words") >= WINDOW)
@@ -323,10 +342,14 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
 
 def without_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """All rows and columns, with the text cut and its characters counted anew; see ``cut_repeats``. A text that loses all words is empty."""
+    """All rows and columns, with the text cut and its characters counted anew; see ``cut_repeats``.
+
+    All bytes outside the removed passages stay, so a text that loses nothing is the same as before.
+    A text that loses all words is empty, as is a null one.
+    """
     rest = [c for c in docs.columns if c not in (text, n_chars)]
     named = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"))
-    cut = cut_repeats(named, "row")
+    cut = cut_repeats(named, "row", as_is=True)
     new = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -308,6 +308,14 @@ def test_substrings(spark, docs, nothing):
     assert substrings.cut_repeats(nothing).count() == 0
 
 
+def test_what_stands_between_words_stays(spark):
+    passage = " \n".join(f"p{i}" for i in range(40))
+    code = "def f(x):\n\tif x:\n        return  1\n\n\n"
+    rows = [(1, code), (2, "\n a\n\n  " + passage + "\n\n\tb  c\r\n"), (3, passage + "  end"), (4, "\n\n"), (5, " q\n" * 40), (6, " q\n" * 40), (7, "  é\n" + passage.replace(" \n", "\t"))]
+    got = {r.doc_id: r.text for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: code, 2: "\n a\n\n  \n\n\tb  c\r\n", 3: "  end", 4: "\n\n", 5: "", 6: "", 7: "  é\n"}
+
+
 def test_equal_windows_share_a_phrase():
     rng = np.random.default_rng(4)
     for trial in range(300):
