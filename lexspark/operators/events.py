@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GAP_MS, SPAN_MS, PER_SPAN = 900, 15_000, 8
 DAILY_GOAL = 10
@@ -13,17 +17,40 @@ DAILY_GOAL = 10
 def rate_limited(events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span: int = SPAN_MS, per_span: int = PER_SPAN) -> DataFrame:
     """key, n_events, n_accepted: an event is accepted ``gap`` after the last accepted one at the earliest, and with fewer than ``per_span`` accepted in the ``span`` before it.
 
-    A fold over each key's events in order; what it carries is at most ``per_span`` times.
+    A fold over each key's events in order; what it carries is at most ``per_span`` times. The events
+    stream by, sorted on disk where memory is short, so a key may have any number of them. An event
+    without a time doesn't count; a null key is a key of its own.
     """
-    queue = F.array().cast("array<bigint>")
-
-    def step(state, t):
-        recent = F.filter(state["q"], lambda a: t - a < span)
-        ok = (F.size(recent) < per_span) & (F.coalesce(t - F.get(recent, F.size(recent) - 1), F.lit(gap)) >= gap)
-        return F.struct(F.when(ok, F.concat(recent, F.array(t))).otherwise(recent).alias("q"), (state["n"] + ok.cast("long")).alias("n"))
-
-    lists = events.groupBy(key).agg(F.sort_array(F.collect_list(F.col(ms).cast("long"))).alias("_t"))
-    return lists.select(key, F.size("_t").cast("long").alias("n_events"), F.aggregate("_t", F.struct(queue.alias("q"), F.lit(0).cast("long").alias("n")), step, lambda s: s["n"]).alias("n_accepted"))
+    kind = events.schema[key].dataType
+    given = events.select(F.col(key).alias("_key"), F.col(ms).cast("long").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, accepted, queue = None, 0, 0, None  # queue is None before the first key
+        for batch in batches:
+            keys, n_events, n_accepted = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if queue is None or not (k == now or (k != k and now != now)):
+                    if queue is not None:
+                        keys.append(now), n_events.append(seen), n_accepted.append(accepted)
+                    now, seen, accepted, queue = k, 0, 0, []
+                if t is None:
+                    continue
+                seen += 1
+                queue = [a for a in queue if t - a < span]
+                if len(queue) < per_span and (not queue or t - queue[-1] >= gap):
+                    queue.append(t)
+                    accepted += 1
+            of_key = batch.schema.field(0).type
+            yield _counts(key, of_key, keys, n_events, n_accepted)
+        if queue is not None:
+            yield _counts(key, of_key, [now], [seen], [accepted])
+
+    made = T.StructType([T.StructField(key, kind), T.StructField("n_events", T.LongType()), T.StructField("n_accepted", T.LongType())])
+    return given.repartition("_key").sortWithinPartitions("_key", "_t").mapInArrow(run, made)
+
+
+def _counts(key: str, kind: pa.DataType, keys: list, n_events: list[int], n_accepted: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n_events, pa.int64()), pa.array(n_accepted, pa.int64())], names=[key, "n_events", "n_accepted"])
 
 
 def daily_progress(events: DataFrame, key: str, ts: str, what: str, goal: int = DAILY_GOAL) -> DataFrame:

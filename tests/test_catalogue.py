@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of its SQL; text rules and event folds on small fixtures."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -70,6 +71,25 @@ def test_rate_limit(spark):
     assert {(r.u, r.n_events, r.n_accepted) for r in rows} == {(1, 13, 10), (2, 1, 1)}
 
 
+def test_rate_limit_gathers_no_user(spark):
+    """Events stream by in order: no plan step holds all events of a user, and the counts are those of a plain fold."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, *range(0, 400_000, 50)])) for _ in range(3000)] + [("none", None)]
+    want = {}
+    for u in {u for u, _ in rows}:
+        times, queue, n = sorted(t for v, t in rows if v == u and t is not None), [], 0
+        for t in times:
+            queue = [a for a in queue if t - a < 15_000]
+            if len(queue) < 8 and (not queue or t - queue[-1] >= 900):
+                queue.append(t)
+                n += 1
+        want[u] = (len(times), n)
+    got = ev.rate_limited(spark.createDataFrame(rows, "u string, ms long").repartition(5), "u", "ms")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {r.u: (r.n_events, r.n_accepted) for r in got.collect()} == want and got.count() == len(want)
+    assert ev.rate_limited(spark.createDataFrame([], "u string, ms long"), "u", "ms").count() == 0
+
+
 def test_entry_has_every_query():
     import __spark_entry__
 
