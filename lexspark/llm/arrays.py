@@ -6,6 +6,7 @@ texts, so memory follows the chunk (a few MB) or one very long text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,23 +30,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)  # masks of the first n bytes of eight
+#: Words of more bytes than this are digested by the standard library.
+_LONG_WORD = 64
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, b, U))]) for b in (self.base, self.inverse))
-        return self.up, self.down
-
-
-_BYTE_POWERS = Powers(0xD6E8FEB86659FD93)  # 3 modulo 8, as is the next
-_WORD_POWERS = Powers(0xA0761D6478BD642B)
-_BYTE_VALUES = mix(np.arange(256, dtype=U), 7)
+def joined(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit name of each pair of names, in order. No sum over places is involved, so names of names stay apart, too."""
+    return mix(a * U(0xA0761D6478BD642B) + b, 101 + seed)
 
 
 @dataclass
@@ -115,24 +107,48 @@ def words(c: Chunk, apart: np.ndarray = _SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, c.at))
 
 
-def word_hashes(c: Chunk, w: Words, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each word's bytes (A to Z as a to z where lower)."""
-    n = len(c.data)
-    up, down = _BYTE_POWERS.upto(n + 1)
-    total = np.zeros(n + 1, U)
-    values = _BYTE_VALUES[_LOWER[c.data] if lower else c.data]
-    values *= up[:n]
-    np.cumsum(values, out=total[1:])
-    h = (total[w.end] - total[w.start]) * down[w.start]
-    return mix(h + (w.end - w.start).astype(U))
-
-
-def gram_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n values of h from each index in at; all must lie within h."""
-    up, down = _WORD_POWERS.upto(len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[at + n] - total[at]) * down[at], n)
+def word_hashes(c: Chunk, w: Words, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word's bytes (A to Z as a to z where lower).
+
+    Eight bytes at a time go through a mixing chain; a word of up to eight bytes shares its hash with
+    none of the same length. Very long words are digested by BLAKE2.
+    """
+    size = w.end - w.start
+    h = mix(size.astype(U), 7 + seed)
+    if not len(size):
+        return h
+    raw = np.zeros(len(c.data) + 16, np.uint8)
+    raw[: len(c.data)] = _LOWER[c.data] if lower else c.data
+    eight = np.ndarray((len(c.data) + 9,), "<u8", raw, strides=(1,))
+    live = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        h[live] = mix(h[live] ^ (eight[w.start[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]), 17 + seed)
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[w.start[i] : w.end[i]].tobytes(), digest_size=8, key=b"%d" % seed).digest(), "little")
+    return h
+
+
+def gram_hashes(h: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of the n values of h from each index in at; all must lie within h. Names of runs of 1, 2, 4, ... values are joined."""
+    level, size, done, out = h, 1, 0, None
+    while True:
+        if n & size:
+            out = level[at + done] if out is None else joined(out, level[at + done], seed)
+            done += size
+        if 2 * size > n:
+            return mix(out, n)
+        level = joined(level[: max(len(level) - size, 0)], level[size:], seed)
+        size *= 2
+
+
+def word_sequences(c: Chunk, lower: bool = False) -> list[bytes]:
+    """The words of each text, joined by one space: texts of equal words give equal bytes."""
+    raw = c.data.tobytes()
+    texts = (raw[a:b] for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True))
+    return [b" ".join((t.lower() if lower else t).split()) for t in texts]
 
 
 def inside(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

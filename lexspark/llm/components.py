@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import saved
+from lexspark.llm.common import forget, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _ordered(both.where("b > a").join(least, "a").select("m", F.col("b").alias("a")).toDF("a", "b"))
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(small, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        now = saved(_ordered(hung.unionByName(small.select(F.col("m").alias("a"), "b"))), "edges")
+        old, now = now, saved(_ordered(hung.unionByName(small.select(F.col("m").alias("a"), "b"))), "edges")
+        forget(old)
         if (new := _mark(now)) == mark:
             break
         mark = new

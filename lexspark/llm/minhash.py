@@ -8,6 +8,7 @@ likely ones are verified on their full sets. Verified links make components.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexspark.llm.arrays import Chunk, U, chunks, gram_hashes, inside, mix, word_hashes, words
-from lexspark.llm.common import emit, read, saved, width
+from lexspark.llm.arrays import Chunk, U, chunks, gram_hashes, inside, mix, word_hashes, word_sequences, words
+from lexspark.llm.common import emit, forget, free_name, read, saved, width
 from lexspark.llm.components import components
 
 SHINGLE = 5
@@ -32,6 +34,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 5.0
 #: Members of a group that are verified against its leader in one run.
 RUN = 256
+#: Parts that the members of a component are dealt over where they learn its smallest id.
+SALTS = 32
 
 _ODD = mix(np.arange(REGISTERS, dtype=U), 31) | U(1)
 
@@ -57,20 +61,29 @@ def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return g[new], np.append(0, np.cumsum(new))[first]
 
 
-def sketches(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Registers (one row for each text, zeros if it has no shingle) and 128-bit identities of the sets."""
+def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles themselves; not for a text without words."""
+    w = text.lower().split()
+    return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)}
+
+
+def sequence_keys(c: Chunk) -> list[bytes]:
+    """128 bits of the SHA-256 of each text's words in lower case; texts that share them have one set."""
+    return [hashlib.sha256(t).digest()[:16] for t in word_sequences(c, lower=True)]
+
+
+def sketches(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Registers: one row for each text, zeros if it has no shingle."""
     n = len(first) - 1
     live = np.flatnonzero(np.diff(first))
-    registers, names = np.zeros((n, REGISTERS), "<u2"), np.zeros((n, 2), U)
+    registers = np.zeros((n, REGISTERS), "<u2")
     if len(live):
         begin = first[:-1][live]
         for i in range(REGISTERS):
             least = np.minimum.reduceat(g * _ODD[i], begin)
             x = -np.log1p(-(least.astype(np.float64) + 0.5) * 2.0**-64) / RATE
             registers[live, i] = np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP)
-        for i in range(2):
-            names[live, i] = np.add.reduceat(mix(g, 41 + i), begin)
-    return registers, names
+    return registers
 
 
 def likeliest(lower: np.ndarray, higher: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -91,7 +104,8 @@ def likeliest(lower: np.ndarray, higher: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return (lo + hi) / 2
 
 
-_DOCS = pa.schema([("n", pa.int64()), ("name", pa.binary()), ("registers", pa.binary())])
+_DOCS = pa.schema([("n", pa.int64()), ("key", pa.binary()), ("registers", pa.binary())])
+_TEXTS = pa.schema([("key", pa.binary()), ("text", pa.string())])
 _BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 _COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
 
@@ -100,9 +114,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in chunks(batch.column("text")):
             g, first = shingles(c)
-            registers, names = sketches(g, first)
-            n = np.diff(first)
-            made = emit(_DOCS, n=n, name=[x.tobytes() for x in names], registers=[x.tobytes() for x in registers])
+            made = emit(_DOCS, n=np.diff(first), key=sequence_keys(c), registers=[x.tobytes() for x in sketches(g, first)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["doc_id", *made.schema.names])
 
 
@@ -128,8 +140,8 @@ def _likely(percent: int):
 
 def _compare(percent: int, apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come as runs: the leader's text, then its members'."""
-        leader, held = None, np.zeros(0, U)
+        """Rows come as runs: the leader's text, then its members'. What the hashed sets call similar is confirmed on the shingles themselves."""
+        leader, held, raw_held, full = None, np.zeros(0, U), b"", None
         for batch in batches:
             a, b, lead = (batch.column(x).to_pylist() for x in ("a", "b", "lead"))
             for c in chunks(batch.column("text")):
@@ -137,13 +149,19 @@ def _compare(percent: int, apart: bool):
                 g, first = shingles(c)
                 for i in range(c.lo, c.hi):
                     mine = g[first[i - c.lo] : first[i - c.lo + 1]]
+                    raw = c.data[c.at[i - c.lo] : c.at[i - c.lo + 1]]
                     if lead[i]:
-                        leader, held = a[i], mine.copy()
+                        leader, held, raw_held, full = a[i], mine.copy(), raw.tobytes(), None
                         continue
                     if leader != a[i]:
                         raise ValueError("a member without its leader")
                     both = len(np.intersect1d(held, mine, assume_unique=True))
-                    linked = 100 * both >= percent * (len(held) + len(mine) - both)
+                    linked = 100 * both >= (percent - 1) * (len(held) + len(mine) - both)
+                    if linked:
+                        full = full or shingle_set(raw_held)
+                        other = shingle_set(raw.tobytes())
+                        shared = len(full & other)
+                        linked = 100 * shared >= percent * (len(full) + len(other) - shared)
                     if linked or apart:
                         row = (a[i], b[i], len(held), len(mine), linked, np.setxor1d(held, mine, assume_unique=True).view(np.int64) if apart else None)
                         for x, v in zip(out.values(), row, strict=True):
@@ -177,53 +195,92 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     by their texts; a null id is its own smallest only if its component has no other. Other
     columns don't matter, and an empty table gives an empty result.
 
-    Equal sets become one node first, so copies are never paired. The nodes of a bucket (those
-    that share a band) are compared with its first node, and where that doesn't make them one
-    component, with its best linked node, too. Of what is then left, two nodes can only be linked
-    if they differ from the leader in the same shingles, and are found by the rarest of these; so
-    no link between nodes of a bucket is lost, and a large group is not paired out.
+    Texts of the same words become one node first (told by 128 bits of SHA-256), so copies are
+    never paired. The nodes of a bucket (those that share a band) are compared with its first node,
+    and where that doesn't make them one component, with its best linked node, too. Of what is then
+    left, two nodes can only be linked if they differ from the leader in the same shingles, and are
+    found by the rarest of these; so no link between nodes of a bucket is lost, and a large group is
+    not paired out. Links are confirmed on the words of both texts.
     """
-    spark = docs.sparkSession
+    return _judged(docs, percent, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The same with each row's key, and its component: null for an empty set."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = saved(named.mapInArrow(_sketch, "doc_id long, n long, name binary, registers binary"), "sketches")
+    sketched = saved(named.mapInArrow(_sketch, "doc_id long, n long, key binary, registers binary"), "sketches")
     full = sketched.where("n > 0")
-    sets = full.groupBy("n", "name").agg(F.min("doc_id").alias("least"), F.first("registers").alias("registers"))
+    sets = full.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers hold
-    linked = _links(named, nodes, percent)
-    groups = components(linked)
-    placed = nodes.select("n", "name", "node", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # hot components are summed in each task first; the join on them may be split
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = placed.join(heads, "component").select("n", "name", "component_id")
-    joined = full.select("doc_id", "n", "name").join(of_set, ["n", "name"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    used: list[DataFrame] = []
+    groups = components(_links(named, nodes, percent, used))
+    forget(*used)
+    placed = nodes.select("key", "node", "least").join(groups, "node", "left")
+    # the members of a component are dealt over some parts, and each part learns the smallest id
+    grouped = placed.where("component IS NOT NULL")
+    heads = grouped.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_group = grouped.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(heads, ["component", "_salt"]).select("key", "component", "component_id")
+    of_set = of_group.unionByName(placed.where("component IS NULL").select("key", F.col("node").alias("component"), F.col("least").alias("component_id")))
+    joined = full.select("doc_id", "n", "key").join(of_set, "key").select("doc_id", F.col("n").alias("n_shingles"), "key", "component", "component_id")
+    empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that are kept, with their own columns; of rows that share id and text, one stays."""
-    kept = saved(near_duplicates(docs, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id, text])
+    """One row of each component, with its own columns: of those with the smallest id that of one text, and one of its repeated rows.
+
+    Empty texts are linked with nothing, so of these one row stays for each id.
+    """
+    key, one = free_name(docs, "_key"), free_name(docs, "_one")
+    judged = _judged(docs, percent, doc_id, text).where("kept")
+    kept = saved(judged.groupBy("component", "doc_id").agg(F.min("key").alias(key)).select(F.col("doc_id").alias(one), key), "kept")
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    kind = T.StructType([T.StructField("row", body.schema["row"].dataType), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType())])
+    told = body.mapInArrow(_told, kind)
+    rows = told.join(kept, told["doc_id"].eqNullSafe(kept[one]) & (told["key"] == kept[key]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "key"]).select("row.*")
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row beside its id and key."""
+    for batch in batches:
+        keys = [k for c in chunks(batch.column("text")) for k in sequence_keys(c)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["row", "doc_id", "key"])
+
 
+def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different text of the task, with its key."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        for c in chunks(batch.column("text")):
+            keys = sequence_keys(c)
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            yield emit(_TEXTS, key=[keys[i] for i in new], text=batch.column("text").slice(c.lo, c.hi - c.lo).take(pa.array(new, pa.int64())).cast(pa.string()))
+
+
+def _links(named: DataFrame, nodes: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
+    """Verified edges (a, b) between nodes, enough of them for the components; the tables that they are read from go to ``used``."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(saved(df, name))
+        return used[-1]
 
-def _links(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Verified edges (a, b) between nodes, enough of them for the components."""
     keys = nodes.select("node", "registers").mapInArrow(_buckets, "key long, node long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
-    live = saved(keys.join(shared, "key").select("key", "node", "first"), "buckets")
-    # texts of the nodes that share a bucket; a row that only shares the id of another set is told by its own set
-    wanted = live.select("node").distinct().join(nodes.select("node", "least", "n", "name"), "node")
-    holds = named.join(wanted, named["doc_id"].eqNullSafe(wanted["least"])).select("node", "n", "name", "text")
-    texts = saved(holds.mapInArrow(_own, "node long, text string").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    live = kept(keys.join(shared, "key").select("key", "node", "first"), "buckets")
+    # one text of each node that shares a bucket
+    wanted = live.select("node").distinct().join(nodes.select("node", "key"), "node")
+    holds = named.select("text").mapInArrow(_distinct_texts, "key binary, text string").join(wanted, "key")
+    texts = kept(holds.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     sizes = nodes.select("node", "n", "registers")
 
     def likely(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sizes.toDF("a", "n_a", "r_a"), "a").join(sizes.toDF("b", "n_b", "r_b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
-        return saved(both.mapInArrow(_likely(percent), "a long, b long"), "likely")
+        return kept(both.mapInArrow(_likely(percent), "a long, b long"), "likely")
 
     stars = live.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    edges = saved(compared(likely(stars), texts, percent).select("a", "b"), "links")
-    group = saved(components(edges), "groups")
+    edges = kept(compared(likely(stars), texts, percent).select("a", "b"), "links")
+    group = kept(components(edges), "groups")
     # buckets that are not in one component, and the best linked node of each
     placed = live.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
@@ -231,9 +288,9 @@ def _links(named: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     live = placed.join(apart, "key").join(degree, "node", "left").select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
     best = live.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
     frames = live.join(best, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    framed = saved(compared(frames, texts, percent, apart=True), "frames")
+    framed = kept(compared(frames, texts, percent, apart=True), "frames")
     edges = edges.unionByName(framed.where("linked").select("a", "b"))
-    group = saved(components(edges), "groups")
+    group = kept(components(edges), "groups")
     rest = _apart(framed, group, percent)
     return edges.unionByName(compared(likely(rest), texts, percent).select("a", "b"))
 
@@ -275,19 +332,5 @@ def _apart(framed: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only the rows whose text has the set that the node stands for."""
-    for batch in batches:
-        n, name = batch.column("n").to_numpy(), batch.column("name").to_pylist()
-        for c in chunks(batch.column("text")):
-            g, first = shingles(c)
-            begin = first[:-1]
-            keep = np.diff(first) == n[c.lo : c.hi]
-            for i in np.flatnonzero(keep).tolist():
-                mine = g[begin[i] : first[i + 1]]
-                keep[i] = b"".join(np.uint64(mix(mine, 41 + k).sum(dtype=U)).tobytes() for k in range(2)) == name[c.lo + i]
-            yield batch.slice(c.lo, c.hi - c.lo).filter(pa.array(keep)).select(["node", "text"])
-
-
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)

@@ -276,6 +276,16 @@ def test_near_duplicates(spark, docs, nothing, percent):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    t, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, t), (5, t + " x"), (5, other), (5, other), (7, other + " y"), (8, ""), (8, None), (8, " "), (None, "lone one"), (None, "lone one"), (9, "p q"), (9, "p q r")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
+    got = minhash.one_of_each(table)
+    assert got.columns == table.columns
+    texts = sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "").strip()) for r in got.collect()))
+    assert texts == sorted([(False, 3, t), (False, 5, other), (False, 8, ""), (True, 0, "lone one"), (False, 9, "p q"), (False, 9, "p q r")])
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(60)]
@@ -316,19 +326,48 @@ def test_what_stands_between_words_stays(spark):
     assert got == {1: code, 2: "\n a\n\n  \n\n\tb  c\r\n", 3: "  end", 4: "\n\n", 5: "", 6: "", 7: "  é\n"}
 
 
-def test_equal_windows_share_a_phrase():
+def revealed(h):
+    """(name, start) of every window of one text that some name would reveal."""
+    symbols = substrings.Symbols(h, np.ones(len(h), np.int64), np.ones(len(h), bool), np.array([0, len(h)]))
+    out = set()
+    for r in range(len(substrings.RUNS)):
+        symbols, long, repeats = substrings.name_runs(symbols, r)
+        which, top, span = substrings.run_places(symbols.at[long], symbols.size[long], substrings.RUNS[r] + 1)
+        out |= {(int(repeats[i]), r, x) for i, t, n in zip(which, top.tolist(), span.tolist(), strict=True) for x in range(t - n, t + 1)}
+        symbols = substrings.name_pairs(symbols, r)
+    assert symbols.size.sum() == len(h)
+    for n, at, size, _ in zip(*substrings.phrases(symbols), strict=True):
+        out |= {(int(n), 9, x) for x in range(at + size - 35, at + 1)}
+    return out
+
+
+def test_equal_windows_are_revealed_alike():
     rng = np.random.default_rng(4)
-    for trial in range(300):
-        small = rng.integers(0, 3 if trial % 3 else 50, 35).astype(np.uint64)
-        shared = []
+    few = lambda n: np.repeat(rng.integers(0, 40, n), rng.integers(1, 9, n))[:n]
+    kinds = [lambda n: rng.integers(0, 50, n), lambda n: rng.integers(0, 3, n), lambda n: rng.integers(0, 2, n), few, lambda n: np.arange(n) // 1 % 2, lambda n: np.zeros(n, np.int64), lambda n: np.arange(n) % 5]
+    for trial in range(600):
+        small = kinds[trial % len(kinds)](35)
+        found = []
         for _ in range(2):
-            h = np.concatenate([rng.integers(0, 50, rng.integers(0, 60)).astype(np.uint64), small, rng.integers(0, 50, rng.integers(0, 60)).astype(np.uint64)])
-            lo = next(i for i in range(len(h) - 34) if (h[i : i + 35] == small).all())
-            h = substrings.mix(h)
-            name, at, size, _ = substrings.phrases(h, np.array([0, len(h)]))
-            inside = (at >= lo) & (at + size <= lo + 35)
-            shared.append(set(zip(name[inside].tolist(), (at[inside] - lo).tolist(), strict=True)))
-        assert shared[0] & shared[1]
+            before, after = (kinds[rng.integers(len(kinds))](rng.integers(0, 60)) for _ in range(2))
+            h = substrings.mix(np.concatenate([before, small, after]).astype(np.uint64))
+            found.append({(n, r) for n, r, x in revealed(h) if x == len(before)})
+        assert found[0] & found[1]
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_texts_that_differ_in_many_places_are_told_apart(spark):
+    """Sums of powers modulo 2**64 are equal for such pairs, whatever the base."""
+    own = [f"w{i}" for i in range(2048)]
+    lines = [" ".join(x for pair in zip(own, thue_morse(2048, *ab), strict=True) for x in pair) for ab in (("a", "b"), ("b", "a"))]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.n_removed for r in substrings.cut_repeats(table).collect()] == [0, 0]
+    words = ["".join(thue_morse(1024, *ab)) for ab in (("a", "b"), ("b", "a"))]
+    table = spark.createDataFrame([(i, f"one two three {w} five six seven") for i, w in enumerate(words)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(table).collect()} == {(0, 0), (1, 1)}
 
 
 def held_out(spark, name, label, folds, held):
