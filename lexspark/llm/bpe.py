@@ -16,6 +16,8 @@ import numpy as np
 
 from lexspark.llm.arrays import U, Chunk, mix
 
+#: The control string that the vocabulary file names; in a text it becomes its id, as the library does by default.
+SPECIAL = "<|endoftext|>"
 LETTER, NUMBER, SPACE, OTHER, ODD = range(1, 6)
 #: Pieces held at once, some 250 bytes each.
 KNOWN_PIECES = 500_000
@@ -91,16 +93,23 @@ class Encoder(Known):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            given = json.load(f)
+        vocabulary = given["model"]["vocab"]
+        special = next(x["id"] for x in given["added_tokens"] if x["content"] == SPECIAL)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != "<|endoftext|>"}
-        self.whole = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != SPECIAL}
+        self.bytes_of = {i: b for b, i in ranks.items()} | {special: SPECIAL.encode()}
+        self.whole = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: special})
         super().__init__()
 
-    def encode(self, c: Chunk) -> list[np.ndarray]:
-        """The ids of each text of the chunk."""
+    def table(self) -> list[bytes]:
+        """The bytes of each id."""
+        return [self.bytes_of[i] for i in range(len(self.bytes_of))]
+
+    def encode(self, c: Chunk, special: bool = True) -> list[np.ndarray]:
+        """The ids of each text of the chunk; unless special, the control string is ordinary text."""
         data, at, n = c.data, c.at, len(c.data)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(at) - 1)
         if not n:
@@ -124,6 +133,13 @@ class Encoder(Known):
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], n)
         raw = data.tobytes()
+        there = raw.find(SPECIAL.encode()) if special else -1
+        while there >= 0:
+            i = int(np.searchsorted(at, there, "right")) - 1
+            if there + len(SPECIAL) <= at[i + 1]:
+                odd[i] = True
+            there = raw.find(SPECIAL.encode(), there + 1)
+        allowed = {SPECIAL} if special else set()
         h = self.keys(raw, begin, end - begin)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.index) > KNOWN_PIECES:
@@ -148,5 +164,5 @@ class Encoder(Known):
         ids, done = self.gather(slot)
         edges = np.append(0, done)[np.searchsorted(begin, at)]
         for i in range(len(out)):
-            out[i] = np.array(self.whole.encode_ordinary(raw[at[i] : at[i + 1]].decode("utf-8")), np.uint32) if odd[i] else ids[edges[i] : edges[i + 1]]
+            out[i] = np.array(self.whole.encode(raw[at[i] : at[i + 1]].decode("utf-8"), allowed_special=allowed, disallowed_special=()), np.uint32) if odd[i] else ids[edges[i] : edges[i + 1]]
         return out

@@ -61,6 +61,24 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys with more than one in so many of all rows are joined by broadcast: there are at most as many of these.
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key, and in ``count`` how many rows ask for it.
+
+    The table's rows of the hottest keys, at most HOT_KEYS, go to every task, so rows of these stay where they are;
+    all others are joined by a shuffle. Both sides are read twice: give saved tables. ``count`` is dropped.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) * HOT_KEYS > total).drop(count)
+    cold = table.where(F.col(count) * HOT_KEYS <= total).drop(count)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return near.unionByName(far)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the cluster has set them for its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -34,7 +34,7 @@ def texts(seed=3):
         out.append(" ".join(near))
     out += [" ".join(base), " ".join(base).upper(), " ".join(base)]
     out += [" ".join(prose(50) + passage + prose(30)) for _ in range(4)]
-    out += ["x " * 100, "a b c\n" * 40, "", None, "   \n\t", "One two", "one TWO", "é# 日本 | $ <b>", "word " + "z" * 5000, " ".join(prose(3000)), "same\n" * 3 + " ".join(prose(40))]
+    out += ["x " * 100, "a b c\n" * 40, "", None, "   \n\t", "One two", "one TWO", "é# 日本 | $ <b>", "a <|endoftext|> b<|endoftext|>", "word " + "z" * 5000, " ".join(prose(3000)), "same\n" * 3 + " ".join(prose(40))]
     return out
 
 
@@ -146,7 +146,6 @@ def test_packing(spark, docs, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for d, t in pairs(docs):
         want[(d, tuple(tokenizer.encode(t, add_special_tokens=False).ids + [0]))] += 1
@@ -176,31 +175,75 @@ def test_packing(spark, docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
-def test_chat(spark):
-    rows = [(1, 0, "user", "hi\\ ### </turn>"), (1, 1, "assistant", "a\nb"), (2, 0, "user", "hi\\ ### </turn>"), (2, 1, "assistant", "c"), (2, 2, "user", None), (3, 0, "sys\ntem%", ""), (3, 1, "assistant", ""), (None, 0, "user", "hi\\ ### </turn>"), (4, None, "user", "x"), (4, 1, "assistant", "\\</turn>### é😀")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    tree, turns = chat.prefix_tree(table)
-    got = {r.conv: r for r in chat.read_back(tree, turns).collect()}
+def test_packing_query(spark, tmp_path):
+    """The ids of every piece of the registered query, over texts that name the control string, too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(i, t) for i, t in enumerate(texts(9))] + [(900, "<|endoftext|>"), (901, "x <|endoftext|><|endoftext|>\n日本")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in rows}
+    got = registry.QUERIES["op4_packing"](spark, f"file://{tmp_path}")
+    assert dict(got.dtypes) == dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "bigint")
+    by = collections.defaultdict(list)
+    for p in got.collect():
+        ids = want[p.doc_id][p.start : p.start + p.length]
+        assert p.doc_tokens == len(want[p.doc_id]) and p.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and p.offset + p.length <= 1024
+        by[p.doc_id].append((p.start, p.length))
+    assert {d: sum(n for _, n in held) for d, held in by.items()} == {d: len(ids) for d, ids in want.items()}
+    assert all(sorted(held) == sorted(held) and sum(n for s, n in sorted(held)[:i]) == sorted(held)[i][0] for held in by.values() for i in range(len(held)))
+
+
+def said_by(rows):
+    """What each conversation of (conv, turn, role, text) says, by plain sorting."""
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
         by["null" if c is None else f"={c}"].append((-1 if t is None else t, r or "", x or ""))
-    assert set(got) == set(by)
+    out = {}
     for c, held in by.items():
         held.sort()
         said = "".join(f"{r}\n{x}\n" for _, r, x in held)
         loss = "".join(x for _, r, x in held if r == "assistant")
-        assert (got[c].n_turns, got[c].turns_sha256) == (len(held), hashlib.sha256(said.encode()).hexdigest())
-        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        out[c] = (len(held), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, 0, "user", "hi\\ ### </turn>"), (1, 1, "assistant", "a\nb"), (2, 0, "user", "hi\\ ### </turn>"), (2, 1, "assistant", "c"), (2, 2, "user", None), (3, 0, "sys\ntem%", ""), (3, 1, "assistant", ""), (None, 0, "user", "hi\\ ### </turn>"), (4, None, "user", "x"), (4, 1, "assistant", "\\</turn>### é😀\\"), (4, 1, "assistant", "\\</turn>### é😀\\")]
+    rows += [(5, 0, "user", "long é </turn>\n \\" * 2000), (5, 1, "assistant", "日本 <|endoftext|>" * 1500), (6, 0, "user", "long é </turn>\n \\" * 2000), (6, 1, "assistant", "</turn>\n"), (6, 2, "assistant", "\\</turn>\n\\")]
+    rows += [(7, i // 2, ("user", "assistant")[i % 2], f"t{i}") for i in range(30)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).withColumn("conv", F.lit("x"))
+    tree, turns = chat.prefix_tree(table, path)
+    got = {r.conv: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(tree, turns, path).collect()}
+    assert got == said_by(rows)
     nodes = tree.orderBy("stream_start").collect()
-    assert len(nodes) == 8  # the shared first turn is there once
+    assert len(nodes) == len(rows) - 3  # the shared first turns are there once
     at = 0
     for n in nodes:
-        assert n.stream_start == at and n.position == sum(s.to - s["from"] for s in n.attends)
-        at += n.chars
-    stream = "".join(n.segment for n in nodes)
-    for n in nodes:  # what a node may attend to is the text of its ancestors
-        seen = "".join(stream[s["from"] : s.to] for s in n.attends)
-        assert any("".join(x.segment for x in path) == seen for path in [[m for m in nodes if any(s["from"] <= m.stream_start < s.to for s in n.attends)]])
+        assert n.stream_start == at and n.position == sum(s.to - s["from"] for s in n.attends) and n.tokens == len(n.ids) // 4
+        at += n.tokens
+    ids = np.concatenate([np.frombuffer(n.ids, "<u4") for n in nodes])
+    blocks = chat.stream(tree).orderBy("block").collect()
+    assert np.concatenate([np.frombuffer(b.ids, "<u4") for b in blocks]).tolist() == ids.tolist() and all(len(b.mask) == len(b.ids) // 4 == 1024 for b in blocks[:-1])
+    for n in nodes:  # what a node may attend to is the tokens of its ancestors
+        seen = np.concatenate([np.zeros(0, np.uint32), *[ids[s["from"] : s.to] for s in n.attends]])
+        path_of = [m for m in nodes if any(s["from"] <= m.stream_start < s.to for s in n.attends)]
+        assert len(path_of) == n.k and sorted(m.k for m in path_of) == list(range(n.k)) and sum(m.tokens for m in path_of) == len(seen)
+    nothing = chat.prefix_tree(table.limit(0), path)
+    assert nothing[0].count() == 0 and chat.read_back(*nothing, path).count() == 0
+
+
+def test_chat_query(spark):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in read(spark, DATA, "conversations").collect()]
+    said = "\\### Assistant: </turn> ok"
+    want = said_by(rows + [(-7, 0, "user", said), (-7, 1, "assistant", said)])
+    got = registry.QUERIES["op5_chat_prefix_tree"](spark, DATA)
+    assert dict(got.dtypes) == {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"}
+    assert {f"={r.conv_id}": (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == want
 
 
 def test_fingerprints(spark, docs, nothing):
