@@ -104,12 +104,13 @@ def reach() -> tuple[int, int]:
 
 
 def phrases(s: Symbols, window: int = WINDOW, least: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names, first words, word counts and texts of the stretches of symbols that are looked up.
+    """Names and texts of the stretches of symbols that are looked up, and the windows that each stands for: the last start, and how many starts before it.
 
-    Two equal windows without a long run in them share at least one: ``reach`` words at either end
-    aside, their symbols are the same. A stretch has ``least`` words or a symbol more; of those that
-    begin in any ``around`` words the one with the least name is kept, and so many words are left for
-    one that both windows share to begin in.
+    Every window has one stretch of its own, unless a long run or the like leaves none: ``reach``
+    words at either end aside, equal windows without a long run have the same symbols. A stretch has
+    ``least`` words or a symbol more; of those that begin in the first ``around`` words after the
+    spoilt ones, which end within the window for sure, its own is the one with the least name. So
+    equal windows have stretches of one name.
     """
     spoilt, most = reach()
     around = window - 2 * spoilt - (least + most - 1) + 1
@@ -131,7 +132,7 @@ def phrases(s: Symbols, window: int = WINDOW, least: int = PHRASE) -> tuple[np.n
     while len(live := live[i[live] + step < stop[live]]):
         name[live] = joined(name[live], s.name[i[live] + step], 31)
         step += 1
-    at, size = done[i], done[stop] - done[i]
+    at = done[i]
     # the least name among the stretches beginning in each ``around`` words; the place in the low bits
     n = int(done[-1])
     bits = max(len(i).bit_length(), 1)
@@ -145,10 +146,13 @@ def phrases(s: Symbols, window: int = WINDOW, least: int = PHRASE) -> tuple[np.n
     if wide < around:
         best = np.minimum(best[: len(best) - (around - wide)], best[around - wide :])
     first_word = done[s.first]
-    begin, _ = inside(first_word, around)
-    got = best[begin]
-    chosen = np.unique(got[got != far] & U((1 << bits) - 1)).astype(np.int64)
-    return name[chosen], at[chosen] - first_word[text[chosen]], size[chosen], text[chosen]
+    start, row = inside(first_word, window)
+    got = best[start + spoilt]
+    own = got != far
+    chosen, start, row = (got[own] & U((1 << bits) - 1)).astype(np.int64), start[own], row[own]
+    head = np.flatnonzero(np.append(np.ones(min(len(chosen), 1), bool), chosen[1:] != chosen[:-1]))
+    size = np.diff(np.append(head, len(chosen)))
+    return name[chosen[head]], start[head] + size - 1 - first_word[row[head]], size - 1, row[head]
 
 
 def run_places(begin: np.ndarray, size: np.ndarray, least: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,17 +248,19 @@ def _round(r: int):
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the stretches and long runs of the last round."""
+    """Occurrences of the stretches and long runs of the last round, by half of the text's key: what is taken for another text's is only looked at in vain."""
     sender = _Sender()
     for batch in _some(batches):
-        key = np.stack([batch.column(x).to_numpy().view(U) for x in ("text", "text2")], 1)
-        name, at, size, text = phrases(_symbols(batch))
+        key = batch.column("text").to_numpy().view(U)
+        name, top, span, text = phrases(_symbols(batch))
         runs = batch.column("runs").to_pylist()
         noted = np.frombuffer(b"".join(runs), _RUN)
         of = np.repeat(np.arange(len(runs)), [len(x) // _RUN.itemsize for x in runs])
-        place = np.concatenate([at * _SPAN + (WINDOW - size), noted["top"] * _SPAN + noted["span"]])
+        place = np.concatenate([top * _SPAN + span, noted["top"] * _SPAN + noted["span"]])
         name = np.concatenate([name, noted["name"]])
-        sender.add(name, np.zeros(len(name), U), key[np.concatenate([text, of])], place)
+        whose = np.zeros((len(name), 2), U)
+        whose[:, 0] = key[np.concatenate([text, of])]
+        sender.add(name, np.zeros(len(name), U), whose, place)
         yield from sender.flush(TOGETHER)
     yield from sender.flush()
 
@@ -482,10 +488,11 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
         symbols = symbols.mapInArrow(_round(r), _ROUND_DDL)
     found = repeated(symbols.mapInArrow(_looked_up, _OCCURS_DDL), n)
     key = ["text", "text2"]
-    listed = lambda df: df.groupBy(*key).agg(F.collect_set("place").alias("places"))
-    joined = lambda df: texts.join(listed(df), key).select(*key, "body", "places")
-    windows = repeated(joined(found).mapInArrow(_windows, _OCCURS_DDL), n)
-    cut = joined(windows).mapInArrow(_cut(as_is), "text long, text2 long, n_removed long, kept string")
+    # both joins go by half of the key, so that they read one shuffle of the texts; the other half is compared where it is known
+    listed = lambda df: texts.join(df.groupBy("text").agg(F.collect_set(F.struct(F.col("text2").alias("other"), "place")).alias("p")), "text")
+    windows = repeated(listed(found).select(*key, "body", F.col("p.place").alias("places")).mapInArrow(_windows, _OCCURS_DDL), n)
+    mine = F.filter("p", lambda x: x["other"] == F.col("text2"))["place"]
+    cut = listed(windows).select(*key, "body", mine.alias("places")).mapInArrow(_cut(as_is), "text long, text2 long, n_removed long, kept string")
     cut = cut.select(*key, "n_removed", (F.sha2(F.encode("kept", "UTF-8"), 256) if digest else F.col("kept")).alias("kept"))
     cut = cut.groupBy(*key).agg(F.max("n_removed").alias("n_removed"), F.any_value("kept").alias("kept"))
     counts = saved(body.mapInArrow(_keys_only, "text long, text2 long").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")

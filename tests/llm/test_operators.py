@@ -379,8 +379,8 @@ def revealed(h):
         out |= {(int(repeats[i]), r, x) for i, t, n in zip(which, top.tolist(), span.tolist(), strict=True) for x in range(t - n, t + 1)}
         symbols = substrings.name_pairs(symbols, r)
     assert symbols.size.sum() == len(h)
-    for n, at, size, _ in zip(*substrings.phrases(symbols), strict=True):
-        out |= {(int(n), 9, x) for x in range(at + size - 35, at + 1)}
+    for n, top, span, _ in zip(*substrings.phrases(symbols), strict=True):
+        out |= {(int(n), 9, x) for x in range(top - span, top + 1)}
     return out
 
 
