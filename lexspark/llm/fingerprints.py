@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import read, width
+from lexspark.llm.common import read, saved, width
 
 BITS = 128
 #: The longest weight of a term: its characters, up to so many; longer words say more about a text.
 HEAVIEST = 16
 #: The chosen radius, and the blocks that fingerprints are cut into: two of the blocks are equal in any two fingerprints within it.
 RADIUS, BLOCKS = 6, 8
+#: Parts that the rows of a block's value are dealt over; each query goes to all of them.
+SALTS = 8
 _LOW = 0xFFFFFFFF
 
 
@@ -130,7 +132,9 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, blocks: int
     Both sides have fp_hi and fp_lo. Each distinct fingerprint counts once, so copies are not
     paired; join the result to the rows for its members. A fingerprint goes to one table for each
     two blocks, under the values of these; within a radius of ``blocks`` - 2 two blocks at least are
-    equal. A pair is taken from the first table that has it. Nulls are left out.
+    equal. A pair is taken from the first table that has it. Nulls are left out. Queries are few
+    beside the rows: they are repeated for each of SALTS parts of a table, so that a group of near
+    fingerprints is no hot key.
     """
     if not 0 <= radius <= blocks - 2 or BITS % blocks:
         raise ValueError(f"with {blocks} blocks the radius is 0 to {blocks - 2}")
@@ -143,13 +147,23 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, blocks: int
     keys = lambda p: F.posexplode(F.array(*[F.shiftleft(block(p, i), size).bitwiseOR(block(p, j)) for i, j in pairs])).alias("_t", "_k")
     ask = queries.select(F.col("fp_hi").alias("q_hi"), F.col("fp_lo").alias("q_lo")).dropna().distinct()
     has = rows.select("fp_hi", "fp_lo").dropna().distinct()
-    a, b = ask.select("*", keys("q")), has.select("*", keys("fp"))
+    a = ask.select("*", keys("q")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    b = has.select("*", keys("fp"), F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.lit(SALTS)).cast("int").alias("_salt"))
     same = reduce(lambda x, y: x.bitwiseOR(y), [F.when(block("q", k) == block("fp", k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)])
     passed = F.get(F.lit([sum(1 << k for k in range(j) if k != i) for i, j in pairs]), F.col("_t"))
     far = distance("q", "fp")
-    return a.join(b, ["_t", "_k"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select("q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance"))
+    return a.join(b, ["_t", "_k", "_salt"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select("q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprints(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", "edited_sha256", hex128("fp_hi", "fp_lo").alias("fingerprint"), hex128("edited_hi", "edited_lo").alias("edited_fingerprint"), likeness("fp", "edited").alias("near_edited"), likeness("fp", "next").alias("near_next"))
+    """Besides the columns of the contract, n_near: for the rows whose id is divisible by 100, how many other fingerprints are within RADIUS of theirs; null for the rest."""
+    found = saved(fingerprints(read(spark, sf_dir, "documents")), "fingerprints")
+    asks = F.col("doc_id") % 100 == 0
+    asked = found.where(asks)
+    counts = near(asked, found).groupBy(F.col("q_hi").alias("fp_hi"), F.col("q_lo").alias("fp_lo")).agg(F.count(F.lit(1)).alias("n"))
+    counted = asked.join(counts, ["fp_hi", "fp_lo"], "left").withColumn("n_near", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    rest = found.where(~F.coalesce(asks, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
+    return counted.unionByName(rest).select(
+        "doc_id", "n_chars", "edited_sha256", hex128("fp_hi", "fp_lo").alias("fingerprint"), hex128("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        likeness("fp", "edited").alias("near_edited"), likeness("fp", "next").alias("near_next"), "n_near",
+    )

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import checkpoint, read, shared_folder
+from lexspark.llm.common import checkpoint, hot_join, read, shared_folder
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Records of one payload that are joined with it together, about.
+SHARE = 256
 
 
 def base32_sha1(payload: F.Column) -> F.Column:
@@ -24,27 +26,33 @@ def base32_sha1(payload: F.Column) -> F.Column:
 
 
 def _header_value(value: F.Column) -> F.Column:
-    """A value on one line: per cent signs before CR and LF escapes stay readable."""
-    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """A value on one line: CR and LF are escaped, and so is the per cent sign, so that it can be read back as it was."""
+    return F.replace(F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
+def _as_it_was(value: F.Column) -> F.Column:
+    return F.replace(F.replace(F.replace(value, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
 def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write ``folder``/payloads (address, payload) and ``folder``/records (address, header).
+    """Write ``folder``/payloads (address, payload, shares) and ``folder``/records (address, share, header).
 
     A null html is an empty payload; a null url has no WARC-Target-URI line; a null page_id makes
     the record id urn:page:null and counts as less than any other. Of the records with equal
     payloads of min_bytes or more, that with the largest page_id is a response and the others
     revisit it; rows that repeat this page_id are responses too, and still share one payload.
-    Equality is that of SHA-256 and length. An empty table gives an empty archive.
+    Equality is that of SHA-256 and length. An empty table gives an empty archive. Other columns are
+    ignored. The records of a payload are dealt over its shares, of SHARE records or so each, so that
+    many records of one payload can be joined with it in many tasks.
     """
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.withColumn("address", F.unhex(F.sha2("payload", 256)))
     records = checkpoint(base.select("page_id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest")))
-    keepers = records.groupBy("address").agg(F.max("page_id").alias("keeper"))
+    keepers = checkpoint(records.groupBy("address").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE)))
     # copies meet within each task before the shuffle, so a payload that a third of the pages share moves once a task
     stored = base.groupBy("address").agg(F.any_value("payload").alias("payload"), (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))).alias("_one"))
     one = F.when(F.col("_one"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one address")).cast("binary"))
-    stored.select("address", one.alias("payload")).write.parquet(f"{folder}/payloads")
+    stored.join(keepers, "address").select("address", one.alias("payload"), "shares").write.parquet(f"{folder}/payloads")
     again = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -60,7 +68,8 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         line("Content-Length", F.when(again, F.lit(0)).otherwise(F.col("size")).cast("string")),
         F.lit(CRLF),
     )
-    records.join(keepers, "address").select("address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/records")
+    share = F.pmod(F.xxhash64("page_id", "url"), F.col("shares"))
+    hot_join(records, keepers, "address", "n").select("address", share.alias("share"), F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/records")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,20 +80,22 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     a response's block is its payload, a revisit's is empty. Columns that the caller doesn't
     select, such as the bytes, are not shuffled.
     """
-    stored = spark.read.schema("address binary, payload binary").parquet(f"{folder}/payloads")
+    stored = spark.read.schema("address binary, payload binary, shares long").parquet(f"{folder}/payloads")
     payloads = stored.select(
         F.col("address").alias("_address"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("_share"),
         F.when(F.unhex(F.sha2("payload", 256)) == F.col("address"), F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("long")).alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
         "payload",
     )
     head = F.decode("header", "UTF-8")
-    value = lambda name: F.nullif(F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    line = lambda name: rf"\r\n{name}: ([^\r\n]*)\r\n"
+    value = lambda name: F.when(head.rlike(line(name)), F.regexp_extract(head, line(name), 1))
     number = lambda name: F.regexp_extract(head, rf"\r\n{name}: <urn:page:(-?\d*)", 1).try_cast("long")
-    records = spark.read.schema("address binary, header binary").parquet(f"{folder}/records").select(
-        "address", "header", number("WARC-Record-ID").alias("page_id"), value("WARC-Target-URI").alias("url"), value("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), value("WARC-Payload-Digest").alias("_digest")
+    records = spark.read.schema("address binary, share long, header binary").parquet(f"{folder}/records").select(
+        "address", "share", "header", number("WARC-Record-ID").alias("page_id"), _as_it_was(value("WARC-Target-URI")).alias("url"), value("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), value("WARC-Payload-Digest").alias("_digest")
     )
-    joined = records.join(payloads, records["address"] == payloads["_address"], "left")
+    joined = records.join(payloads, (records["address"] == payloads["_address"]) & (records["share"] == payloads["_share"]), "left")
     told = F.concat(F.lit("sha1:"), F.col("payload_digest"))
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(

@@ -125,11 +125,14 @@ def test_each_occurrence_draws_its_own_skips():
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://a\r\nX: y", "<p>é</p>"), (5, "u", "<p>é</p>"), (3, None, "<p>é</p>"), (4, "u", None), (9, "u", ""), (7, "u", "other"), (7, "u", "other")]
-    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    rows = [(1, "http://a\r\nX: y", "<p>é</p>"), (5, "u", "<p>é</p>"), (3, None, "<p>é</p>"), (4, "u", None), (9, "u", ""), (7, "u", "other"), (7, "u", "other"), (10, "http://a/%0D", "lone"), (11, "http://a/\r", "lo"), (12, "http://a/%250D%", "l"), (13, "\n%0a%", "long " * 50_000)]
+    rows += [(100 + i, f"v{i}", "hot") for i in range(700)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("address", F.lit(1)).withColumn("n", F.lit("x"))
+    warc.write_archive(table, f"file://{tmp_path}/w")
     got = warc.read_archive(spark, f"file://{tmp_path}/w").collect()
-    assert len(got) == len(rows)
-    keeper = {"<p>é</p>": 5, "": 9, "other": 7}
+    assert len(got) == len(rows) and spark.read.parquet(f"file://{tmp_path}/w/payloads").where("shares = 3").count() == 1
+    assert sorted(((r.page_id, r.url is None, r.url or "") for r in got)) == sorted((p, u is None, u or "") for p, u, _ in rows)
+    keeper = {"<p>é</p>": 5, "": 9, "other": 7, "lone": 10, "lo": 11, "l": 12, "long " * 50_000: 13, "hot": 799}
     for r in got:
         html = next(h or "" for p, _, h in rows if p == r.page_id)
         body = html.encode()
@@ -137,7 +140,18 @@ def test_warc(spark, tmp_path):
         first = keeper[html] == r.page_id
         assert (r.record_type, r.refers_to) == (("response", None) if first else ("revisit", keeper[html]))
         assert bytes(r.record).endswith((body if first else b"") + b"\r\n\r\n") and bytes(r.payload) == body
-    assert spark.read.parquet(f"file://{tmp_path}/w/payloads").count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/w/payloads").count() == len(keeper)
+    warc.write_archive(table.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_warc_query(spark):
+    pages = {r.page_id: (r.html or "").encode() for r in read(spark, DATA, "pages").collect()}
+    last = {b: max(p for p, x in pages.items() if x == b) for b in pages.values()}
+    got = registry.QUERIES["op3_warc"](spark, DATA)
+    assert dict(got.dtypes) == {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
+    want = {(p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *(("response", None) if last[b] == p else ("revisit", last[b]))) for p, b in pages.items()}
+    assert {tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == want and got.count() == len(pages)
 
 
 def test_packing(spark, docs, nothing):
@@ -268,6 +282,42 @@ def test_fingerprints(spark, docs, nothing):
     assert (one.fp_hi, one.fp_lo) == (one.next_hi, one.next_lo)
 
 
+def voted(text):
+    """A fingerprint by plain counting."""
+    import xxhash
+
+    spark_hash = lambda *parts: __import__("functools").reduce(lambda seed, p: xxhash.xxh64_intdigest(p, seed=seed), parts, 42)
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    votes = [0] * 128
+    for i, w in enumerate(words):
+        after = words[i + 1 : i + 2]
+        weight = min(16, len(w) + sum(map(len, after)))
+        term = (spark_hash(w.encode(), *[x.encode() for x in after]) & ~15) | (weight - 1)
+        raw = term.to_bytes(8, "little")
+        bits = spark_hash(raw) << 64 | spark_hash(raw, (1).to_bytes(4, "little"))
+        for b in range(128):
+            votes[b] += weight if bits >> b & 1 else -weight
+    return sum(1 << b for b in range(128) if votes[b] > 0)
+
+
+def test_fingerprint_query(spark, tmp_path):
+    rows = [(i * 25, t) for i, t in enumerate(texts(5))] + [(2000 + i, "one two three four five six seven eight nine ten " * 6 + f"x{i}") for i in range(30)] + [(5000 + i, "one two three four five six seven eight nine ten " * 6 + "y") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = registry.QUERIES["op6_fingerprints"](spark, f"file://{tmp_path}")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "n_near": "bigint"}
+    order = sorted(((d, t or "") for d, t in rows), reverse=True)
+    known = [voted(t) for _, t in order]
+    want = {}
+    for i, (d, t) in enumerate(order):
+        half, after = len(t) // 2, (i + 1) % len(order)
+        edited = voted(t[: len(t) - half] + order[after][1][:half])
+        alike = lambda x, y: 1 - bin(x ^ y).count("1") / 128
+        near = sum(0 < bin(known[i] ^ x).count("1") <= 6 for x in set(known)) if d % 100 == 0 else None
+        want[d] = (f"{known[i]:032x}", f"{edited:032x}", alike(known[i], edited), alike(known[i], known[after]), near)
+    assert {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.n_near) for r in got.collect()} == want
+    assert max(x[4] or 0 for x in want.values()) > 0
+
+
 def test_near_fingerprints_are_all_found(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(128) for _ in range(30)]
