@@ -1,6 +1,6 @@
 """Removal of repeated passages, by recompression.
 
-Every round shortens all texts alike, as a stage of its own: first each run of one symbol becomes a
+Every round shortens all texts alike: first each run of one symbol becomes a
 symbol, named by what it repeats and how often; then two symbols that follow each other become one
 where the first is a left and the second a right symbol, by a bit of their names. A name follows
 from what it stands for, so it is the same in all tasks, and equal passages get equal symbols inside,
@@ -165,7 +165,6 @@ def run_places(begin: np.ndarray, size: np.ndarray, least: int, window: int = WI
 
 
 _ROUND = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("free", pa.binary()), ("runs", pa.binary())])
-_ROUND_DDL = "text long, text2 long, names binary, sizes binary, free binary, runs binary"
 _OCCURS = pa.schema([("name", pa.int64()), ("more", pa.int64()), ("text", pa.int64()), ("text2", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
 _OCCURS_DDL = "name long, more long, text long, text2 long, place long, known byte"
 _PLACES = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("place", pa.int64())])
@@ -265,6 +264,14 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from sender.flush()
 
 
+def _rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rounds, one behind the other, and what they reveal. As stages of Spark's own they would each have a Python worker beside the others in every task."""
+    symbols = _spell(batches)
+    for r in range(len(RUNS)):
+        symbols = _round(r)(symbols)
+    yield from _looked_up(symbols)
+
+
 def _sent(name: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Occurrences on their way to where their name's occurrences meet.
 
@@ -483,10 +490,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     body = named.select("text")
     rows = named.mapInArrow(_rows(digest, as_is), schema)
     texts = body.mapInArrow(_texts, _TEXTS_DDL)
-    symbols = body.mapInArrow(_spell, _ROUND_DDL)
-    for r in range(len(RUNS)):
-        symbols = symbols.mapInArrow(_round(r), _ROUND_DDL)
-    found = repeated(symbols.mapInArrow(_looked_up, _OCCURS_DDL), n)
+    found = repeated(body.mapInArrow(_rounds, _OCCURS_DDL), n)
     key = ["text", "text2"]
     # both joins go by half of the key, so that they read one shuffle of the texts; the other half is compared where it is known
     listed = lambda df: texts.join(df.groupBy("text").agg(F.collect_set(F.struct(F.col("text2").alias("other"), "place")).alias("p")), "text")
