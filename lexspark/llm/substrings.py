@@ -17,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspark.llm.arrays import U, Words, chunks, gram_hashes, inside, joined, mix, word_hashes, word_sequences, words
+from lexspark.llm.arrays import Chunk, U, Words, chunks, gram_hashes, inside, joined, mix, word_hashes, word_sequences, words
 from lexspark.llm.common import emit, read, saved, width
 
 WINDOW = 35
@@ -344,18 +345,30 @@ def repeated(occurrences: DataFrame, n: int) -> DataFrame:
     return occurrences.repartition(n, route).sortWithinPartitions("name", "more", "text", "text2", "place").mapInArrow(_repeated, _PLACES_DDL)
 
 
-_TEXTS = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("body", pa.string())])
-_TEXTS_DDL = "text long, text2 long, body string"
+_TEXTS = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("body", pa.binary())])
+_TEXTS_DDL = "text long, text2 long, body binary"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each different text of the task that is long enough for a window."""
+    """Each different text of the task that is long enough for a window, compressed: it is what moves most."""
     seen: set = set()
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for c in chunks(batch.column("text")):
             key = _text_keys(c)
-            ok = _fresh(key, seen) & (words(c).counts >= WINDOW)
-            yield emit(_TEXTS, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64), body=batch.column("text").slice(c.lo, c.hi - c.lo).filter(pa.array(ok)).cast(pa.string()))
+            ok = np.flatnonzero(_fresh(key, seen) & (words(c).counts >= WINDOW))
+            raw = c.data.tobytes()
+            yield emit(_TEXTS, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64), body=[pack(raw[c.at[i] : c.at[i + 1]]) for i in ok.tolist()])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """Rows with the chunk of their texts, some hundred at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            for c in chunks(pa.array([unpack(x) for x in batch.column("body").to_pylist()], pa.large_binary())):
+                yield batch.slice(c.lo, c.hi - c.lo), c
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -378,18 +391,17 @@ def _starts(first: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarr
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of the windows around what is repeated; two names of each, by hashes that don't depend on each other, make 128 bits."""
     sender = _Sender()
-    for batch in batches:
+    for batch, c in _unpacked(batches):
         keys = np.stack([batch.column(x).to_numpy().view(U) for x in ("text", "text2")], 1)
-        for c in chunks(batch.column("body")):
-            w = words(c)
-            places, first = _flat(batch.column("places").slice(c.lo, c.hi - c.lo))
-            row = np.repeat(np.arange(c.hi - c.lo), np.diff(first))
-            last, before = places // _SPAN, places % _SPAN
-            start = _starts(w.first, last - before, last, row)
-            text = np.searchsorted(w.first, start, "right") - 1
-            name, more = (gram_hashes(word_hashes(c, w, seed=k), start, WINDOW, seed=k) for k in range(2))
-            sender.add(name, more, keys[c.lo + text], start - w.first[text])
-            yield from sender.flush(TOGETHER)
+        w = words(c)
+        places, first = _flat(batch.column("places"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        last, before = places // _SPAN, places % _SPAN
+        start = _starts(w.first, last - before, last, row)
+        text = np.searchsorted(w.first, start, "right") - 1
+        name, more = (gram_hashes(word_hashes(c, w, seed=k), start, WINDOW, seed=k) for k in range(2))
+        sender.add(name, more, keys[text], start - w.first[text])
+        yield from sender.flush(TOGETHER)
     yield from sender.flush()
 
 
@@ -400,26 +412,24 @@ def _cut(as_is: bool):
     """What is left of each text without the words of its repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column("body")):
-                w: Words = words(c)
-                starts, first = _flat(batch.column("places").slice(c.lo, c.hi - c.lo))
-                row = np.repeat(np.arange(c.hi - c.lo), np.diff(first))
-                step = np.zeros(w.first[-1] + 1, np.int64)
-                np.add.at(step, w.first[row] + starts, 1)
-                np.add.at(step, w.first[row] + starts + WINDOW, -1)
-                gone = np.cumsum(step)[:-1] > 0
-                kept = []
-                raw = c.data.tobytes()
-                for i in range(c.hi - c.lo):
-                    mine = slice(w.first[i], w.first[i + 1])
-                    if as_is:
-                        kept.append(_around(raw, c.at[i], c.at[i + 1], w.start[mine], w.end[mine], gone[mine]).decode())
-                    else:
-                        of = raw[c.at[i] : c.at[i + 1]].split()
-                        kept.append(b" ".join([of[j] for j in np.flatnonzero(~gone[mine]).tolist()]).decode())
-                key = batch.slice(c.lo, c.hi - c.lo)
-                yield emit(_CUT, text=key.column("text"), text2=key.column("text2"), n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept)
+        for batch, c in _unpacked(batches):
+            w: Words = words(c)
+            starts, first = _flat(batch.column("places"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            step = np.zeros(w.first[-1] + 1, np.int64)
+            np.add.at(step, w.first[row] + starts, 1)
+            np.add.at(step, w.first[row] + starts + WINDOW, -1)
+            gone = np.cumsum(step)[:-1] > 0
+            kept = []
+            raw = c.data.tobytes()
+            for i in range(batch.num_rows):
+                mine = slice(w.first[i], w.first[i + 1])
+                if as_is:
+                    kept.append(_around(raw, c.at[i], c.at[i + 1], w.start[mine], w.end[mine], gone[mine]).decode())
+                else:
+                    of = raw[c.at[i] : c.at[i + 1]].split()
+                    kept.append(b" ".join([of[j] for j in np.flatnonzero(~gone[mine]).tolist()]).decode())
+            yield emit(_CUT, text=batch.column("text"), text2=batch.column("text2"), n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept)
 
     return run
 
