@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ WHITE = r"[\t\n\x0B\x0C\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{20
 CONTROLS = r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}]"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
 LETTERS = r"[ء-يٱ]"
+LOAD_MARKS = r"[\x{064B}-\x{065F}\x{0670}]"
+NUMBER_RUN = r"[0-9٠-٩۰-۹]+(?:[,.٫٬][0-9٠-٩۰-۹]+)*"
+OPENING, OPENING_WORDS = "بسم الله", 4
 LONGEST_MESSAGE = 500
 LONGEST_EXCERPT, SHORTEST_CUT = 220, 180
 
@@ -29,14 +34,40 @@ def western_digits(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """The form in which texts are compared: no marks, folded letters, lower case, no punctuation, single spaces. Null stays null."""
-    folded = F.translate(F.regexp_replace(western_digits(strip_marks(text)), TATWEEL, ""), FOLDED, FOLDS)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(folded), PUNCTUATION, " "), WHITE, " "))
+    """The form in which texts are compared: no marks, folded letters, lower case, no punctuation, single spaces. Null stays null.
+
+    One pattern takes marks and tatweel away, one table folds digits and letters, and one pattern
+    makes each stretch of punctuation and white space a space.
+    """
+    bare = F.regexp_replace(text, MARKS[:-1] + TATWEEL + "]+", "")
+    folded = F.translate(bare, DIGITS + FOLDED, WESTERN + FOLDS)
+    return F.trim(F.regexp_replace(F.lower(folded), "[" + WHITE[1:-2] + PUNCTUATION[1:-1] + "]+", " "))
+
+
+def normalize_for_load(text: Column) -> Column:
+    """The form that the loading step writes: fewer marks go, and all but Arabic characters and spaces."""
+    folded = F.translate(F.regexp_replace(text, LOAD_MARKS, ""), "إأآٱىة", "اااايه")
+    return F.trim(F.regexp_replace(F.regexp_replace(folded, "[^\\x{0600}-\\x{06FF}" + WHITE[1:-2] + "]", ""), WHITE, " "))
 
 
 def loose_key(norm: Column) -> Column:
     """The normal form without any alif that doesn't begin a word."""
-    return F.regexp_replace(norm, "(?<=[^ ])ا", "")
+    return F.regexp_replace(norm, "([^ ])ا+", "$1")
+
+
+def loose(phrase: str) -> str:
+    """The same of a phrase that is a part of the plan."""
+    return re.sub("([^ ])ا+", r"\1", phrase)
+
+
+def has_phrase(norm: Column, phrase: str) -> Column:
+    """Whether the normal form has the phrase, or the loose form the phrase's."""
+    return norm.contains(phrase) | loose_key(norm).contains(loose(phrase))
+
+
+def phrase_count(norm: Column, phrase: str) -> Column:
+    """Occurrences in the normal form, or in the loose one where these are more."""
+    return F.greatest(count_of(norm, phrase), count_of(loose_key(norm), loose(phrase)))
 
 
 def sanitize(text: Column) -> Column:
@@ -152,3 +183,54 @@ def name_variants(name: Column, other: Column) -> Column:
     forms = [own, F.when(own.startswith("ال") & (F.length(own) > 4), F.substring(own, 3, 1 << 20)), there, one]
     forms += [F.when(F.length(bare) > 3, bare), F.when((F.length(bare) > 3) & bare.endswith("h"), F.regexp_replace(bare, "h$", ""))]
     return F.array_distinct(F.filter(F.array(*forms), lambda x: x.isNotNull() & (x != "")))
+
+
+def is_message(text: Column) -> Column:
+    """Whether anything is left of a message once it is sanitized; false for null."""
+    return F.coalesce(F.length(sanitize(text)) > 0, F.lit(False))
+
+
+def shown_number(value: Column, arabic: Column | bool) -> Column:
+    """A number or text with the digits of its language."""
+    plain = value.cast("string")
+    return F.when(F.lit(arabic) if isinstance(arabic, bool) else arabic, eastern_digits(plain)).otherwise(plain)
+
+
+def bare_name(name: Column) -> Column:
+    """A chapter's name without the word for a chapter before it, vocalised or not."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, "^\\s*سُورَةُ?\\s+", ""), "^\\s*سورة\\s+", ""))
+
+
+def without_opening(text: Column) -> Column:
+    """A verse without the opening formula's words, unless nothing else is in it."""
+    rest = F.array_join(F.slice(F.split(F.trim(text), r"\s+"), OPENING_WORDS + 1, 1 << 20), " ")
+    return F.when(F.startswith(normalize(text), F.lit(OPENING)) & (rest != ""), rest).otherwise(text)
+
+
+def highlight_term(query: Column) -> Column:
+    """The last word of more than two characters of a query's normal form, or the query."""
+    words = F.filter(F.split(normalize(query), " "), lambda w: F.length(w) > 2)
+    return F.coalesce(F.try_element_at(words, F.lit(-1)), F.trim(query))
+
+
+def number_runs(text: Column) -> Column:
+    """The stretches of digits of a text, grouping marks included."""
+    return F.regexp_extract_all(text, F.lit(f"({NUMBER_RUN})"), 1)
+
+
+def sentences(text: Column) -> Column:
+    """Pieces that end with a sentence mark before white space, or with the line."""
+    return F.filter(F.split(text, r"(?<=[.؟!])\s+|\n+"), lambda x: x != "")
+
+
+def extract(text: Column, at_most: int) -> Column:
+    """The first sentences, as many as fit in at_most characters; the first one in any case."""
+    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("done"))
+
+    def add(a: Column, x: Column) -> Column:
+        full = (F.length(a["out"]) + F.length(x) > at_most) & (a["out"] != "")
+        longer = F.when(a["done"] | full, a["out"]).when(a["out"] == "", x).otherwise(F.concat(a["out"], F.lit(" "), x))
+        return F.struct(longer.alias("out"), (a["done"] | full | (F.length(longer) >= at_most)).alias("done"))
+
+    out = F.aggregate(sentences(text), start, add, lambda a: a["out"])
+    return F.when(out == "", F.substring(text, 1, at_most)).otherwise(out)

@@ -11,9 +11,19 @@ SHOWN_GROUPS, SHOWN_LOCATIONS = 5, 15
 
 
 def as_corpus(table: DataFrame, group: str, ordinal: str, text: str) -> DataFrame:
-    """Any table as a corpus; a null text is empty."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return table.select(F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), body.alias("text"), F.explode(F.array(fx.normalize(body))).alias("norm"))  # filters stay above a generator, so the norm is made once
+    """Any table as a corpus, without ``norm``; a null text is empty."""
+    return table.select(F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, if they come in fewer parts, as a small table of one row group does."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def normalized(corpus: DataFrame) -> DataFrame:
+    """The corpus with ``norm``, made once for each row: filters stay above a generator. Write the result to a table for many queries."""
+    return spread(corpus).withColumn("norm", F.explode(F.array(fx.normalize(F.col("text")))))
 
 
 def count_by_group(corpus: DataFrame, counter: Column) -> DataFrame:
@@ -32,14 +42,23 @@ def total(corpus: DataFrame, **counters: Column) -> DataFrame:
 
 def containing(corpus: DataFrame, phrase: str) -> DataFrame:
     """Rows whose normal or loose form has the phrase's."""
-    norm, loose = F.col("norm"), fx.loose_key(F.col("norm"))
-    return corpus.where(norm.contains(phrase) | loose.contains(phrase[:1] + phrase[1:].replace("ا", "")))
+    return corpus.where(fx.has_phrase(F.col("norm"), phrase))
 
 
 def locations(corpus: DataFrame, phrase: str, at_most: int = SHOWN_LOCATIONS) -> DataFrame:
-    """The first rows with the phrase, each with how many there are in all."""
-    rows = containing(corpus, phrase).select("group_key", "row_ord")
-    return rows.orderBy("row_ord").limit(at_most).crossJoin(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
+    """The first rows with the phrase, each with how many there are in all and whether more are left out.
+
+    The keys of the rows found are kept while the query runs, so that the texts are read once.
+    """
+    rows = containing(corpus, phrase).select("group_key", "row_ord").persist()
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return rows.orderBy("row_ord").limit(at_most).join(total, F.lit(True)).withColumn("truncated", F.col("total") > at_most)
+
+
+def phrase_totals(corpus: DataFrame, phrase: str) -> DataFrame:
+    """n_rows and n: rows with the phrase, and its occurrences in them."""
+    counted = corpus.select(fx.phrase_count(F.col("norm"), phrase).alias("_n")).where("_n > 0")
+    return counted.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n"))
 
 
 def first_last(corpus: DataFrame, phrase: str) -> DataFrame:

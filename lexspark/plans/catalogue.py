@@ -47,10 +47,24 @@ def occ(x: str, needle: str) -> str:
     return f"CAST((length({x}) - length(replace({x}, '{needle}', ''))) / {len(needle)} AS BIGINT)"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The loose form in SQL.
+def loose_sql(norm: str) -> str:
+    return f"regexp_replace({norm}, '([^ ])ا+', '\\1', 'g')"
+
+
+def has_phrase_sql(norm: str, phrase: str) -> str:
+    return f"(contains({norm}, '{phrase}') OR contains({loose_sql(norm)}, '{fx.loose(phrase)}'))"
+
+
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.as_corpus(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the normal form."""
+    return cp.normalized(raw_documents(spark, sf_dir))
+
+
 @query(CORPUS + "SELECT row_ord AS doc_id, md5(norm) AS norm_md5 FROM c")
 def corpus_normalize(spark, d):
     return documents(spark, d).select(F.col("row_ord").alias("doc_id"), F.md5("norm").alias("norm_md5"))
@@ -72,12 +86,12 @@ def term_standalone_vs_within(spark, d):
     return cp.total(documents(spark, d), total=fx.count_of(c, TERM), standalone=fx.count_standalone(c, TERM)).withColumn("within", F.col("total") - F.col("standalone"))
 
 
-@query(CORPUS + f"SELECT group_key, row_ord, count(*) OVER () AS total FROM c WHERE contains(norm, '{PHRASE}') ORDER BY row_ord LIMIT 15")
+@query(CORPUS + f"SELECT group_key, row_ord, count(*) OVER () AS total, count(*) OVER () > 15 AS truncated FROM c WHERE {has_phrase_sql('norm', PHRASE)} ORDER BY row_ord LIMIT 15")
 def term_locations(spark, d):
     return cp.locations(documents(spark, d), PHRASE)
 
 
-@query(CORPUS + f"SELECT min(row_ord) AS first_row, max(row_ord) AS last_row, count(*) AS n_rows FROM c WHERE contains(norm, '{PHRASE}')")
+@query(CORPUS + f"SELECT min(row_ord) AS first_row, max(row_ord) AS last_row, count(*) AS n_rows FROM c WHERE {has_phrase_sql('norm', PHRASE)}")
 def term_first_last(spark, d):
     return cp.first_last(documents(spark, d), PHRASE)
 
@@ -91,18 +105,18 @@ def term_compare(spark, d):
 
 @query("WITH c AS (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents) SELECT (SELECT doc_id FROM c ORDER BY n DESC, doc_id LIMIT 1) AS longest_row, max(n) AS longest, (SELECT doc_id FROM c ORDER BY n, doc_id LIMIT 1) AS shortest_row, min(n) AS shortest FROM c")
 def longest_shortest_row(spark, d):
-    return cp.longest_shortest(documents(spark, d))
+    return cp.longest_shortest(raw_documents(spark, d))
 
 
 @query("WITH g AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source) SELECT (SELECT source FROM g ORDER BY n DESC, f LIMIT 1) AS largest_group, max(n) AS largest, (SELECT source FROM g ORDER BY n, f LIMIT 1) AS smallest_group, min(n) AS smallest FROM g")
 def largest_smallest_group(spark, d):
-    return cp.largest_smallest_group(documents(spark, d))
+    return cp.largest_smallest_group(raw_documents(spark, d))
 
 
 @query("WITH c AS (SELECT source AS group_key, coalesce(text, '') AS t FROM documents) SELECT group_key, CAST(sum(length(t) - length(translate(t, 'éèê', ''))) AS BIGINT) AS accented, CAST(sum(len(regexp_extract_all(t, '" + fx.LETTERS + "'))) AS BIGINT) AS letters FROM c GROUP BY group_key")
 def char_class_count(spark, d):
     t = F.col("text")
-    return documents(spark, d).groupBy("group_key").agg(F.sum(fx.count_chars(t, "éèê")).alias("accented"), F.sum(fx.letter_count(t)).alias("letters"))
+    return raw_documents(spark, d).groupBy("group_key").agg(F.sum(fx.count_chars(t, "éèê")).alias("accented"), F.sum(fx.letter_count(t)).alias("letters"))
 
 
 @query(CORPUS + "SELECT count(*) AS n_rows, count(DISTINCT group_key) AS n_groups, CAST(sum(CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM c")
@@ -116,10 +130,12 @@ def prefix_suffix_rows(spark, d):
     return table(spark, d, "part").agg(F.count(F.when(name.startswith("small"), 1)).alias("n_prefix"), F.count(F.when(name.endswith("ring"), 1)).alias("n_suffix"))
 
 
-@query(CORPUS + f"SELECT count(*) AS n_rows, CAST(sum({occ('norm', PHRASE)}) AS BIGINT) AS n FROM c WHERE contains(norm, '{PHRASE}')")
+@query(
+    CORPUS + f"SELECT count(*) AS n_rows, CAST(sum(greatest({occ('norm', PHRASE)}, {occ(loose_sql('norm'), fx.loose(PHRASE))})) AS BIGINT) AS n "
+    f"FROM c WHERE {has_phrase_sql('norm', PHRASE)}"
+)
 def phrase_count(spark, d):
-    rows = cp.containing(documents(spark, d), PHRASE)
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.greatest(fx.count_of(F.col("norm"), PHRASE), fx.count_of(fx.loose_key(F.col("norm")), PHRASE))).cast("long").alias("n"))
+    return cp.phrase_totals(documents(spark, d), PHRASE)
 
 
 @query(CORPUS + f"SELECT row_ord AS doc_id, {occ('norm', 'he')} - {occ('norm', 'the')} AS n FROM c WHERE {occ('norm', 'he')} - {occ('norm', 'the')} > 0")
@@ -146,9 +162,10 @@ def lookup_left_outer(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("last", F.lit(-1)).cast("long").alias("last_order"), F.col("n").isNotNull().alias("has_orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01')")
 def without_match(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    late = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    return table(spark, d, "customer").join(late.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query(CORPUS + "SELECT row_ord AS doc_id, CASE " + " ".join(f"WHEN contains(concat(' ', norm, ' '), ' {n} ') THEN '{n}'" for n in sorted(NAMES, key=lambda n: -len(n))) + " END AS name FROM c")
