@@ -104,3 +104,32 @@ def place_label(parts: list[Column], country: Column, sep: str = ", ") -> Column
     """The first part that isn't empty, and the country."""
     full = lambda c: F.when(F.trim(c) != "", c)
     return F.concat_ws(sep, F.coalesce(*map(full, parts)), full(country))
+
+
+def date_key(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def api_path(day: Column) -> Column:
+    return F.date_format(day, "dd-MM-yyyy")
+
+
+def gregorian_label(day: Column) -> Column:
+    """Weekday, month, day and year in English."""
+    return F.date_format(day, "EEEE, MMMM d, yyyy")
+
+
+def hijri_parts(day: Column, month_ar: Column, month_en: Column, year: Column) -> Column:
+    """Struct of a date's parts, month names standing in for each other; null without a day, a year or a month."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    ar, en = F.coalesce(full(month_ar), full(month_en)), F.coalesce(full(month_en), full(month_ar))
+    return F.when(full(day).isNotNull() & full(year).isNotNull() & ar.isNotNull(), F.struct(day.alias("day"), ar.alias("month_ar"), en.alias("month_en"), year.alias("year")))
+
+
+def hijri_label(parts: Column, arabic: bool) -> Column:
+    """The date as shown; empty for null parts."""
+    if arabic:
+        shown = F.concat(eastern_digits(parts["day"]), F.lit(" "), parts["month_ar"], F.lit(" "), eastern_digits(parts["year"]), F.lit("هـ"))
+    else:
+        shown = F.concat_ws(" ", parts["day"], parts["month_en"], parts["year"], F.lit("AH"))
+    return F.when(parts.isNotNull(), shown).otherwise("")

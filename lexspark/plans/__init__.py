@@ -1,5 +1,5 @@
 """Named queries. Importing the package registers those of all its modules in the catalogue."""
 
-from lexspark.plans import arabic, catalogue, questions, schedules
+from lexspark.plans import arabic, catalogue, questions, schedules, shelves
 
-__all__ = ["arabic", "catalogue", "questions", "schedules"]
+__all__ = ["arabic", "catalogue", "questions", "schedules", "shelves"]
