@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,13 @@ def local_time(ts: Column, zone: str) -> tuple[Column, Column]:
     return F.to_date(there), (F.hour(there) * 3600 + F.minute(there) * 60 + F.second(there)).cast("long")
 
 
+def local_time_in(ts: Column, zone: Column, fallback: str) -> tuple[Column, Column]:
+    """The same with a zone for each row; one that isn't known, or null, is the fallback."""
+    known = F.when(F.array_contains(F.lit(sorted(available_timezones())), zone), zone).otherwise(fallback)
+    there = F.from_utc_timestamp(ts.cast("timestamp"), known)
+    return F.to_date(there), (F.hour(there) * 3600 + F.minute(there) * 60 + F.second(there)).cast("long")
+
+
 def next_entry(now: Column, timetable: list[tuple[str, int]], first_tomorrow: int, current_s: int = CURRENT_S) -> Column:
     """Struct of the next entry after a second of the day.
 

@@ -107,3 +107,10 @@ def track_seconds(n_verses: Column) -> Column:
 def speed_after(clicks: Column) -> Column:
     """The speed after so many clicks through the speeds."""
     return F.get(F.lit(SPEEDS), F.pmod(clicks, F.lit(len(SPEEDS))).cast("int"))
+
+
+def stored_bookmarks(values: DataFrame, key: str) -> DataFrame:
+    """key, id, surah, ayah, place of the valid bookmarks in a JSON array, in order of chapter and verse; none for a value that isn't one. values: key, value."""
+    each = values.select(key, F.explode(F.from_json("value", "array<struct<id: string, surahNumber: int, ayahNumber: int>>")).alias("m"))
+    valid = each.select(key, "m.id", F.col("m.surahNumber").alias("surah"), F.col("m.ayahNumber").alias("ayah")).dropna(subset=["id", "surah", "ayah"])
+    return valid.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("surah", "ayah")))
