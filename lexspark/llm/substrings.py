@@ -362,9 +362,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
-    """Rows with the chunk of their texts, some hundred at a time."""
+    """Rows with the chunk of their texts, some hundred at a time. A text that several tasks have sent is taken once by each task that gets it."""
     unpack = zstandard.ZstdDecompressor().decompress
+    seen: set = set()
     for whole in batches:
+        key = np.stack([whole.column(x).to_numpy() for x in ("text", "text2")], 1)
+        whole = whole.filter(pa.array(_fresh(key, seen)))
         for lo in range(0, whole.num_rows, 256):
             batch = whole.slice(lo, 256)
             for c in chunks(pa.array([unpack(x) for x in batch.column("body").to_pylist()], pa.large_binary())):
