@@ -1,11 +1,15 @@
-"""The best row of a table for each of a set of questions, which are a part of the plan: one scan, sums by question before the shuffle."""
+"""The best row of a table for each of a table of questions: rows are read once for a block of questions, and the best is found in each task before a shuffle.
+
+Questions: id, norm (normal form), tokens (see ``functions.questions.tokens``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions import text as fx
+from lexspark.functions import assistant as fa
+from lexspark.operators.assistant import asked_of
 
 LEAST_ANSWER, LEAST_PASSAGE = 6, 5
 
@@ -14,53 +18,49 @@ def _one_if(c: Column) -> Column:
     return F.coalesce(c.cast("int"), F.lit(0))
 
 
-def _held(keywords: Column, question: str) -> Column:
-    """How many of the keywords the question holds."""
-    return F.coalesce(F.size(F.filter(keywords, lambda k: (k != "") & F.lit(question).contains(k))), F.lit(0))
-
+def _best(scored: DataFrame) -> DataFrame:
+    """id, row_ord, score: the row with most, the first of equal ones."""
+    return scored.groupBy("id").agg(F.max_by("row_ord", F.struct("score", -F.col("row_ord"))).alias("row_ord"), F.max("score").alias("score"))
 
-def _best(rows: DataFrame, scores: dict[str, Column], least: float) -> DataFrame:
-    """question, row_ord, score: the row with most, the first of equal ones; questions under the least score have none."""
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("question"), s.cast("double").alias("score")) for q, s in scores.items()]))
-    scored = rows.select("row_ord", each.alias("_s")).select("row_ord", "_s.*").where(F.col("score") >= least)
-    return scored.groupBy("question").agg(F.max_by("row_ord", F.struct("score", -F.col("row_ord"))).alias("row_ord"), F.max("score").alias("score"))
 
-
-def best_answers(rows: DataFrame, questions: dict[str, list[str]], least: float = LEAST_ANSWER) -> DataFrame:
-    """rows: row_ord, question, answer, keywords, in normal form. questions: normal form and its tokens.
+def best_answers(rows: DataFrame, questions: DataFrame, least: float = LEAST_ANSWER) -> DataFrame:
+    """id, row_ord, score. rows: row_ord, question, answer, keywords, in normal form.
 
     100 for an equal question, or 12 for one that holds the other; 6 for each keyword in the
-    question; 3 and 1 for each token in the row's question and answer. Nulls hold nothing.
+    question; 3 and 1 for each token in the row's question and answer. Nulls hold nothing; a
+    question without a row of the least score has none.
     """
-    scores = {}
-    for q, words in questions.items():
-        own = F.col("question")
-        score = F.when(own == q, 100).when(own.contains(q) | F.lit(q).contains(own), 12).otherwise(0)
-        score = score + 6 * _held(F.col("keywords"), q)
-        for w in words:
-            score = score + 3 * _one_if(own.contains(w)) + _one_if(F.col("answer").contains(w))
-        scores[q] = score
-    return _best(rows, scores, least)
+    own, answer = F.col("question"), F.col("answer")
+
+    def value(r: Column) -> Column:
+        q = r["norm"]
+        score = F.when(own == q, 100).when(own.contains(q) | q.contains(own), 12).otherwise(0)
+        score = score + 6 * F.coalesce(F.size(F.filter("keywords", lambda k: (k != "") & q.contains(k))), F.lit(0))
+        score = F.aggregate(r["tokens"], score, lambda a, w: a + 3 * _one_if(own.contains(w)) + _one_if(answer.contains(w)))
+        return F.when(score >= least, F.struct(score.cast("double").alias("score")))
 
+    return _best(asked_of(rows, questions.select("id", "norm", "tokens"), value, ["row_ord"]))
 
-def best_passages(rows: DataFrame, questions: dict[str, list[str]], least: float = LEAST_PASSAGE) -> DataFrame:
-    """rows: row_ord, heading, body, in normal form. questions: name and tokens.
+
+def best_passages(rows: DataFrame, questions: DataFrame, least: float = LEAST_PASSAGE) -> DataFrame:
+    """id, row_ord, score. rows: row_ord, heading, body, in normal form.
 
     For each token 5 if the heading has it, and 2 and a half for each of up to five times that the
     body has it. Half of the tokens must be found. All tokens in a row add 12 in the heading, else
     8 in the body. A question without tokens finds nothing.
     """
-    scores = {}
-    for q, words in questions.items():
-        if not words:
-            continue
-        score, found = F.lit(0.0), F.lit(0)
-        for w in words:
-            n, there = F.coalesce(fx.count_of(F.col("body"), w), F.lit(0)), F.coalesce(F.col("heading").contains(w), F.lit(False))
-            score = score + 5 * _one_if(there) + F.when(n > 0, 2 + 0.5 * F.least(n, F.lit(5))).otherwise(0)
-            found = found + _one_if(there | (n > 0))
-        if len(words) > 1:
-            phrase = " ".join(words)
-            score = score + F.when(F.col("heading").contains(phrase), 12).when(F.col("body").contains(phrase), 8).otherwise(0)
-        scores[q] = F.when(found >= (len(words) + 1) // 2, score)
-    return _best(rows, scores, least)
+    heading, body = F.coalesce("heading", F.lit("")), F.coalesce("body", F.lit(""))
+
+    def add(a: Column, w: Column) -> Column:
+        n, there = fa.occurrences(body, w), heading.contains(w)
+        score = a["score"] + 5 * _one_if(there) + F.when(n > 0, 2 + 0.5 * F.least(n, F.lit(5))).otherwise(0.0)
+        return F.struct(score.cast("double").alias("score"), (a["found"] + _one_if(there | (n > 0))).alias("found"))
+
+    def value(r: Column) -> Column:
+        words, phrase = F.size(r["tokens"]), F.array_join(r["tokens"], " ")
+        s = F.aggregate(r["tokens"], F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("found")), add)
+        bonus = F.when(words < 2, 0).when(heading.contains(phrase), 12).when(body.contains(phrase), 8).otherwise(0)
+        score = s["score"] + bonus
+        return F.when((words > 0) & (s["found"] >= F.ceil(words / 2)) & (score >= least), F.struct(score.alias("score")))
+
+    return _best(asked_of(rows, questions.select("id", "norm", "tokens"), value, ["row_ord"]))

@@ -199,7 +199,16 @@ def sanitize_truncate(spark, d):
     return table(spark, d, "pages").select("page_id", fx.sanitize(F.col("html")).alias("shown"))
 
 
-@query()
+_OK = f"len(live) < {ev.PER_SPAN} AND (len(live) = 0 OR ms - live[-1] >= {ev.GAP_MS})"
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), "
+    "s AS (SELECT user_id, i, n, [ms] AS queue, 1 AS accepted FROM e WHERE i = 1 UNION ALL "
+    f"SELECT user_id, i, n, CASE WHEN {_OK} THEN list_append(live, ms) ELSE live END, accepted + CASE WHEN {_OK} THEN 1 ELSE 0 END FROM "
+    f"(SELECT e.user_id, e.i, e.n, e.ms, s.accepted, list_filter(s.queue, lambda a: e.ms - a < {ev.SPAN_MS}) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)) "
+    "SELECT user_id, any_value(n) AS n_events, CAST(max(accepted) AS BIGINT) AS n_accepted FROM s GROUP BY user_id"
+)
 def rate_limit_accepts(spark, d):
     return ev.rate_limited(table(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "user_id", "ms")
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import questions as qs
 from lexspark.functions import text as fx
+from lexspark.operators import corpus as cp
 from lexspark.operators import retrieval
-from lexspark.plans.catalogue import CORPUS, NORM, documents, occ, query
+from lexspark.plans.catalogue import NORM, query
+from lexspark.plans.inline import Inline
 from lexspark.sources.tables import table
 
-#: Questions in normal form and their tokens.
-ASKED = {"licensed under the": ["licensed", "under"], "what is the warranty": ["warranty"], "copyright holders": ["copyright", "holders"], "de la": ["de", "la"]}
+#: Questions that are asked of documents and conversations.
+ASKED = Inline("asked", "id int, text string", list(enumerate([
+    "Licensed under the Apache License?", "what is the warranty", "Copyright holders", "de la vida", "Which verse mentions patience and gratitude?", "how do I sort a list in the table", "", "the of and",
+])))
+
+
+def asked(spark):
+    q = ASKED.df(spark).select("id", fx.normalize(F.col("text")).alias("norm"))
+    return q.withColumn("tokens", qs.tokens(F.col("norm")))
+
 
 _LIST = lambda values: ", ".join(f"'{v}'" for v in values)
 _TURNS = f"WITH c AS (SELECT conv_id, turn, role, {NORM} AS norm FROM (SELECT *, coalesce(text, '') AS t FROM conversations)) "
@@ -35,27 +46,42 @@ def question_kind(spark, d):
     return _turns(spark, d).select("conv_id", "turn", "role", qs.kind(F.col("norm")).alias("kind"))
 
 
-def _passage(q: str, words: list[str]) -> str:
-    score = " + ".join(f"5 * CAST(contains(heading, '{w}') AS INT) + CASE WHEN {occ('norm', w)} > 0 THEN 2 + 0.5 * least({occ('norm', w)}, 5) ELSE 0 END" for w in words)
-    if len(words) > 1:
-        score += f" + CASE WHEN contains(heading, '{' '.join(words)}') THEN 12 WHEN contains(norm, '{' '.join(words)}') THEN 8 ELSE 0 END"
-    found = " + ".join(f"CAST(contains(heading, '{w}') OR contains(norm, '{w}') AS INT)" for w in words)
-    return f"SELECT '{q}' AS question, row_ord, CAST({score} AS DOUBLE) AS score FROM h WHERE {found} >= {(len(words) + 1) // 2}"
+_ASKED = (
+    f"{ASKED.cte}, k AS (SELECT id, norm, list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND x NOT IN ({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')) AS tokens "
+    f"FROM (SELECT id, {NORM.replace('(t,', '(text,')} AS norm FROM asked))"
+)
+_N = "(length({x}) - length(replace({x}, w, ''))) // length(w)"
+_PASSAGE = (
+    f"WITH {_ASKED}, h AS (SELECT doc_id AS row_ord, {NORM.replace('(t,', '(string_split(coalesce(text, chr(32)), chr(10))[1],')} AS heading, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS body FROM documents), "
+    f"s AS (SELECT k.id, row_ord, list_sum(list_transform(tokens, lambda w: 5 * CAST(contains(heading, w) AS INT) + CASE WHEN {_N.format(x='body')} > 0 THEN 2 + 0.5 * least({_N.format(x='body')}, 5) ELSE 0 END)) "
+    "+ CASE WHEN len(tokens) < 2 THEN 0 WHEN contains(heading, array_to_string(tokens, ' ')) THEN 12 WHEN contains(body, array_to_string(tokens, ' ')) THEN 8 ELSE 0 END AS score, "
+    "list_sum(list_transform(tokens, lambda w: CAST(contains(heading, w) OR contains(body, w) AS INT))) AS found, len(tokens) AS n FROM k, h WHERE len(tokens) > 0) "
+    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE found >= ceil(n / 2) AND score >= {retrieval.LEAST_PASSAGE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
+)
 
 
-@query(CORPUS + ", h AS (SELECT *, substring(norm, 1, 100) AS heading FROM c), s AS (" + " UNION ALL ".join(_passage(q, w) for q, w in ASKED.items()) + f") SELECT question, row_ord, score FROM s WHERE score >= {retrieval.LEAST_PASSAGE} QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, row_ord) = 1")
+@query(_PASSAGE)
 def best_passages(spark, d):
-    rows = documents(spark, d).select("row_ord", F.substring("norm", 1, 100).alias("heading"), F.col("norm").alias("body"))
-    return retrieval.best_passages(rows, ASKED)
+    """The best document for each question; its first line is the heading."""
+    t = F.coalesce("text", F.lit(""))
+    rows = cp.spread(table(spark, d, "documents").select("doc_id", t.alias("t")))
+    first = fx.normalize(F.get(F.split("t", "\n"), 0))
+    return retrieval.best_passages(rows.select(F.col("doc_id").alias("row_ord"), F.explode(F.array(F.struct(first.alias("heading"), fx.normalize(F.col("t")).alias("body")))).alias("x")).select("row_ord", "x.*"), asked(spark))
 
 
-def _answer(q: str, words: list[str]) -> str:
-    score = f"CASE WHEN question = '{q}' THEN 100 WHEN contains(question, '{q}') OR contains('{q}', question) THEN 12 ELSE 0 END + 6 * len(list_filter(keywords, lambda k: k <> '' AND contains('{q}', k)))"
-    score += "".join(f" + 3 * CAST(contains(question, '{w}') AS INT) + CAST(contains(answer, '{w}') AS INT)" for w in words)
-    return f"SELECT '{q}' AS q, row_ord, CAST({score} AS DOUBLE) AS score FROM h"
+_ANSWER = (
+    f"WITH {_ASKED}, t AS (SELECT conv_id, turn, role, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS norm FROM conversations), w AS (SELECT *, lead(norm) OVER o AS answer, lead(role) OVER o AS r FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role)), "
+    "h AS (SELECT conv_id * 1000 + turn AS row_ord, norm AS question, answer, list_filter(string_split(norm, ' '), lambda x: length(x) > 6) AS keywords FROM w WHERE role = 'user' AND r = 'assistant'), "
+    "s AS (SELECT k.id, row_ord, CASE WHEN question = k.norm THEN 100 WHEN contains(question, k.norm) OR contains(k.norm, question) THEN 12 ELSE 0 END + 6 * len(list_filter(keywords, lambda x: contains(k.norm, x))) "
+    "+ coalesce(list_sum(list_transform(tokens, lambda w: 3 * CAST(contains(question, w) AS INT) + CAST(contains(answer, w) AS INT))), 0) AS score FROM k, h) "
+    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE score >= {retrieval.LEAST_ANSWER} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
+)
 
 
-@query(CORPUS + ", h AS (SELECT row_ord, substring(norm, 1, 100) AS question, norm AS answer, string_split(norm, ' ')[1:2] AS keywords FROM c), s AS (" + " UNION ALL ".join(_answer(q, w) for q, w in ASKED.items()) + f") SELECT q AS question, row_ord, score FROM s WHERE score >= {retrieval.LEAST_ANSWER} QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, row_ord) = 1")
+@query(_ANSWER)
 def best_answers(spark, d):
-    rows = documents(spark, d).select("row_ord", F.substring("norm", 1, 100).alias("question"), F.col("norm").alias("answer"), F.slice(F.split("norm", " "), 1, 2).alias("keywords"))
-    return retrieval.best_answers(rows, ASKED)
+    """The best turn of a user that an assistant answers, for each question; its long words are its keywords."""
+    line = W.partitionBy("conv_id").orderBy("turn", "role")
+    turns = _turns(spark, d).withColumns({"answer": F.lead("norm").over(line), "next": F.lead("role").over(line)}).where("role = 'user' AND next = 'assistant'")
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_ord"), F.col("norm").alias("question"), "answer", F.filter(F.split("norm", " "), lambda w: F.length(w) > 6).alias("keywords"))
+    return retrieval.best_answers(rows, asked(spark))

@@ -64,9 +64,10 @@ def test_highlight(spark):
 
 def test_best_rows_take_the_first_of_ties_and_hold_nulls(spark):
     rows = spark.createDataFrame([(1, "mercy", "x", ["mercy"]), (2, "mercy", "mercy", None), (3, None, None, None)], "row_ord long, question string, answer string, keywords array<string>")
-    got = retrieval.best_answers(rows, {"mercy": ["mercy"], "nothing": ["nothing"]}).collect()
-    assert [tuple(r) for r in got] == [("mercy", 1, 109.0)]
-    found = retrieval.best_passages(rows.select("row_ord", F.col("question").alias("heading"), F.col("answer").alias("body")), {"q": ["mercy", "day"], "none": []}).collect()
+    asked = "id string, norm string, tokens array<string>"
+    got = retrieval.best_answers(rows, spark.createDataFrame([("m", "mercy", ["mercy"]), ("n", "nothing", ["nothing"])], asked)).collect()
+    assert [tuple(r) for r in got] == [("m", 1, 109.0)]
+    found = retrieval.best_passages(rows.select("row_ord", F.col("question").alias("heading"), F.col("answer").alias("body")), spark.createDataFrame([("q", "mercy day", ["mercy", "day"]), ("none", "", [])], asked)).collect()
     assert [tuple(r) for r in found] == [("q", 2, 7.5)]
 
 
