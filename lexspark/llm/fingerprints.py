@@ -134,7 +134,7 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, blocks: int
     two blocks, under the values of these; within a radius of ``blocks`` - 2 two blocks at least are
     equal. A pair is taken from the first table that has it. Nulls are left out. Queries are few
     beside the rows: they are repeated for each of SALTS parts of a table, so that a group of near
-    fingerprints is no hot key.
+    fingerprints is no hot key. The join is by shuffle at every size: the queries grow with the rows.
     """
     if not 0 <= radius <= blocks - 2 or BITS % blocks:
         raise ValueError(f"with {blocks} blocks the radius is 0 to {blocks - 2}")
@@ -152,7 +152,7 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, blocks: int
     same = reduce(lambda x, y: x.bitwiseOR(y), [F.when(block("q", k) == block("fp", k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)])
     passed = F.get(F.lit([sum(1 << k for k in range(j) if k != i) for i, j in pairs]), F.col("_t"))
     far = distance("q", "fp")
-    return a.join(b, ["_t", "_k", "_salt"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select("q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance"))
+    return a.join(b.hint("merge"), ["_t", "_k", "_salt"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select("q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
