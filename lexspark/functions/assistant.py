@@ -24,7 +24,8 @@ BASIC_FILLERS = (
 ).split()
 COUNT_FILLERS = (
     "مره مرات المرات عدد ذكرت ذكر ذكرها وردت ورد جاءت جاء تكررت تكرر كلمه الكلمه لفظ اللفظ اسم "
-    "times time word words mentioned mention mentions appear appears appeared occurrence occurrences repeated does do did was were it"
+    "times time word words mentioned mention mentions appear appears appeared occurrence occurrences repeated does do did was "
+    "were it"
 ).split()
 LOCATION_FILLERS = (
     "اين التي فيها فيه به اعرض الايات ايات موضع مواضع اول اخر الاولي الاخيره مع النص "
@@ -41,12 +42,16 @@ TOTALS = {
 # Names of marks and letters, and the code points that are counted for each.
 MARK_CHARS = {"شده": "ّ", "فتحه": "َ", "ضمه": "ُ", "كسره": "ِ", "سكون": "ْۡ", "تنوين": "ًٌٍ", "مده": "ٓ", "همزه": "ءأؤإئ"}
 MARK_NAMES = {
-    "shadda": "شده", "shaddah": "شده", "shaddas": "شده", "fatha": "فتحه", "fathah": "فتحه", "damma": "ضمه", "dammah": "ضمه", "kasra": "كسره", "kasrah": "كسره",
-    "sukun": "سكون", "sukoon": "سكون", "tanween": "تنوين", "tanwin": "تنوين", "maddah": "مده", "madda": "مده", "hamza": "همزه", "hamzah": "همزه",
+    "shadda": "شده", "shaddah": "شده", "shaddas": "شده", "fatha": "فتحه", "fathah": "فتحه", "damma": "ضمه", "dammah": "ضمه",
+    "kasra": "كسره", "kasrah": "كسره",
+    "sukun": "سكون", "sukoon": "سكون", "tanween": "تنوين", "tanwin": "تنوين", "maddah": "مده", "madda": "مده", "hamza": "همزه",
+    "hamzah": "همزه",
 }
 LETTER_CHARS = {
-    "الف": "اأإآٱ", "همزه": "ءأؤإئ", "ياء": "يى", "با": "ب", "باء": "ب", "تاء": "ت", "ثاء": "ث", "جيم": "ج", "حاء": "ح", "خاء": "خ", "دال": "د", "ذال": "ذ", "راء": "ر", "زاي": "ز", "زاء": "ز",
-    "سين": "س", "شين": "ش", "صاد": "ص", "ضاد": "ض", "طاء": "ط", "ظاء": "ظ", "عين": "ع", "غين": "غ", "فاء": "ف", "قاف": "ق", "كاف": "ك", "لام": "ل", "ميم": "م", "نون": "ن", "هاء": "ه", "واو": "و",
+    "الف": "اأإآٱ", "همزه": "ءأؤإئ", "ياء": "يى", "با": "ب", "باء": "ب", "تاء": "ت", "ثاء": "ث", "جيم": "ج", "حاء": "ح",
+    "خاء": "خ", "دال": "د", "ذال": "ذ", "راء": "ر", "زاي": "ز", "زاء": "ز",
+    "سين": "س", "شين": "ش", "صاد": "ص", "ضاد": "ض", "طاء": "ط", "ظاء": "ظ", "عين": "ع", "غين": "غ", "فاء": "ف", "قاف": "ق",
+    "كاف": "ك", "لام": "ل", "ميم": "م", "نون": "ن", "هاء": "ه", "واو": "و",
 }
 LETTER_WORDS = ["حرف", "letter"]
 
@@ -63,7 +68,8 @@ EXPLAIN = r"(^|\s)(اشرح|فسر)(\s|$)|ما\s*تفسير"
 LOCATE = r"اي\s*سوره\s*وردت|اين\s*توجد\s*ايه|which surah|where is the ayah"
 TOPIC = r"(^|\s)(ايات عن|هات ايات|قصه|قصة|اين ذكرت قصه)|what does the quran say about|verses about|story of"
 PHRASE_FILLERS = (
-    "اشرح فسر شرح تفسير ما اي معني كلمه الكلمه ماذا تعني قوله تعالي ايه الايه قصه عن هات ايات الايات يقول القران الكريم في من سوره لخص ملخص "
+    "اشرح فسر شرح تفسير ما اي معني كلمه الكلمه ماذا تعني قوله تعالي ايه الايه قصه عن هات ايات الايات يقول القران الكريم في من "
+    "سوره لخص ملخص "
     "التي تبدا تنتهي بـ ب عباره جمله وردت ورد ذكرت ذكر كم مره توجد اين وجدت موجوده"
 ).split()
 #: Verses that have a name of their own: name in normal form, chapter, verse.
@@ -107,12 +113,17 @@ def bare(word: Column) -> Column:
 
 def mark_of(word: Column) -> Column:
     """The code points of the mark that a word names; null if it names none."""
-    return F.coalesce(table_of(MARK_CHARS, word), table_of(MARK_CHARS, bare(word)), table_of(MARK_CHARS, table_of(MARK_NAMES, word)))
+    return F.coalesce(
+        table_of(MARK_CHARS, word), table_of(MARK_CHARS, bare(word)), table_of(MARK_CHARS, table_of(MARK_NAMES, word))
+    )
 
 
 def letter_of(word: Column) -> Column:
     """The code points of the letter that a word names or is; null if it is none."""
-    return F.coalesce(table_of(LETTER_CHARS, word), table_of(LETTER_CHARS, bare(word)), F.when((F.length(word) == 1) & word.rlike("[ء-يٱ]"), word))
+    return F.coalesce(
+        table_of(LETTER_CHARS, word), table_of(LETTER_CHARS, bare(word)),
+        F.when((F.length(word) == 1) & word.rlike("[ء-يٱ]"), word)
+    )
 
 
 def numbers(text: Column) -> Column:
@@ -123,14 +134,22 @@ def numbers(text: Column) -> Column:
 def occurrences(text: Column, needle: Column) -> Column:
     """Occurrences of a needle that is a column, as ``count_of``."""
     n = F.length(needle)
-    return F.when(n > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(
+        n > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / n).cast("long")
+    ).otherwise(F.lit(0).cast("long"))
 
 
 def target_occurrences(norm: Column, target: Column) -> Column:
     """Occurrences of a word and of its elided form, as ``count_target``."""
     tail = F.substring(target, 2, 1 << 20)
-    form = F.when(target.startswith("ال") & (F.length(target) > 3), F.when(target.startswith("الل"), tail).otherwise(F.concat(F.lit("ل"), tail)))
-    more = F.when(form.isNotNull(), F.regexp_count(norm, F.concat(F.lit(r"(?<!ا)(?=\Q"), F.coalesce(form, F.lit("-")), F.lit(r"\E)"))).cast("long")).otherwise(0)
+    form = F.when(
+        target.startswith("ال") & (F.length(target) > 3),
+        F.when(target.startswith("الل"), tail).otherwise(F.concat(F.lit("ل"), tail))
+    )
+    more = F.when(
+        form.isNotNull(),
+        F.regexp_count(norm, F.concat(F.lit(r"(?<!ا)(?=\Q"), F.coalesce(form, F.lit("-")), F.lit(r"\E)"))).cast("long")
+    ).otherwise(0)
     return occurrences(norm, target) + more
 
 

@@ -38,7 +38,10 @@ def time_label(minutes: Column, twelve: bool = True, arabic: bool = False) -> Co
     if twelve:
         early, late = ("ص", "م") if arabic else ("AM", "PM")
         of_half = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
-        label = F.concat(digits(F.concat(of_half.cast("string"), F.lit(":"), _two(minute))), F.when(hour < 12, f" {early}").otherwise(f" {late}"))
+        label = F.concat(
+            digits(F.concat(of_half.cast("string"), F.lit(":"), _two(minute))),
+            F.when(hour < 12, f" {early}").otherwise(f" {late}")
+        )
     else:
         label = digits(F.concat(_two(hour), F.lit(":"), _two(minute)))
     return F.coalesce(label, F.lit("—"))
@@ -49,7 +52,9 @@ def countdown(seconds: Column) -> Column:
     s = F.greatest(F.lit(0), F.floor(F.coalesce(seconds, F.lit(0)))).cast("long")
     hours = F.floor(s / 3600)
     tail = F.concat(_two(F.floor(s % 3600 / 60)), F.lit(":"), _two(s % 60))
-    return F.when(hours > 0, F.concat(F.when(hours < 100, _two(hours)).otherwise(hours.cast("string")), F.lit(":"), tail)).otherwise(tail)
+    return F.when(
+        hours > 0, F.concat(F.when(hours < 100, _two(hours)).otherwise(hours.cast("string")), F.lit(":"), tail)
+    ).otherwise(tail)
 
 
 def local_time(ts: Column, zone: str) -> tuple[Column, Column]:
@@ -80,7 +85,9 @@ def next_entry(now: Column, timetable: list[tuple[str, int]], first_tomorrow: in
     name = pick([(c, F.lit(n)) for c, (n, _) in begun], F.lit(None).cast("string"))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (now - before) / (next_s - before)))
     return F.when(now.isNotNull(), F.struct(
-        pick([(c, F.lit(n)) for c, (n, _) in later], F.lit(at[0][0])).alias("next"), (next_s - now).cast("long").alias("seconds_until"), (now >= at[-1][1]).alias("tomorrow"),
+        pick(
+            [(c, F.lit(n)) for c, (n, _) in later], F.lit(at[0][0])
+        ).alias("next"), (next_s - now).cast("long").alias("seconds_until"), (now >= at[-1][1]).alias("tomorrow"),
         F.when(now - before <= current_s, name).alias("current"), share.alias("progress"),
     ))
 
@@ -90,7 +97,9 @@ def age_bucket(days: Column) -> Column:
     case = lambda unit, n: F.struct(F.lit(unit).alias("unit"), n.cast("int").alias("n"))
     return (
         F.when(days <= 0, case("today", F.lit(0))).when(days == 1, case("yesterday", F.lit(1))).when(days < 7, case("days", days))
-        .when(days < 14, case("week", F.lit(1))).when(days < 30, case("weeks", F.floor(days / 7))).otherwise(case("months", F.floor(days / 30)))
+        .when(days < 14, case("week", F.lit(1))).when(
+            days < 30, case("weeks", F.floor(days / 7))
+        ).otherwise(case("months", F.floor(days / 30)))
     )
 
 
@@ -132,13 +141,18 @@ def hijri_parts(day: Column, month_ar: Column, month_en: Column, year: Column) -
     """Struct of a date's parts, month names standing in for each other; null without a day, a year or a month."""
     full = lambda c: F.nullif(c, F.lit(""))
     ar, en = F.coalesce(full(month_ar), full(month_en)), F.coalesce(full(month_en), full(month_ar))
-    return F.when(full(day).isNotNull() & full(year).isNotNull() & ar.isNotNull(), F.struct(day.alias("day"), ar.alias("month_ar"), en.alias("month_en"), year.alias("year")))
+    return F.when(
+        full(day).isNotNull() & full(year).isNotNull() & ar.isNotNull(),
+        F.struct(day.alias("day"), ar.alias("month_ar"), en.alias("month_en"), year.alias("year"))
+    )
 
 
 def hijri_label(parts: Column, arabic: bool) -> Column:
     """The date as shown; empty for null parts."""
     if arabic:
-        shown = F.concat(eastern_digits(parts["day"]), F.lit(" "), parts["month_ar"], F.lit(" "), eastern_digits(parts["year"]), F.lit("هـ"))
+        shown = F.concat(
+            eastern_digits(parts["day"]), F.lit(" "), parts["month_ar"], F.lit(" "), eastern_digits(parts["year"]), F.lit("هـ")
+        )
     else:
         shown = F.concat_ws(" ", parts["day"], parts["month_en"], parts["year"], F.lit("AH"))
     return F.when(parts.isNotNull(), shown).otherwise("")

@@ -124,7 +124,9 @@ def count_target(norm: Column, target: str) -> Column:
 
 def excerpt(text: Column) -> Column:
     """Whole up to LONGEST_EXCERPT characters, else the first so many and an ellipsis."""
-    return F.when(F.length(text) <= LONGEST_EXCERPT, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, LONGEST_EXCERPT)), F.lit("…")))
+    return F.when(
+        F.length(text) <= LONGEST_EXCERPT, text
+    ).otherwise(F.concat(F.rtrim(F.substring(text, 1, LONGEST_EXCERPT)), F.lit("…")))
 
 
 def word_excerpt(text: Column) -> Column:
@@ -170,7 +172,9 @@ def highlighted(text: Column, term: str) -> Column:
     part = lambda lo, n: F.array_join(F.slice(words, lo, n), " ")
     found = at > 0
     return F.struct(
-        F.when(found, part(F.lit(1), at.cast("int") - 1)).otherwise(text).alias("before"), F.when(found, F.get(words, at.cast("int") - 1)).alias("hit"),
+        F.when(
+            found, part(F.lit(1), at.cast("int") - 1)
+        ).otherwise(text).alias("before"), F.when(found, F.get(words, at.cast("int") - 1)).alias("hit"),
         F.when(found, part(at.cast("int") + 1, F.size(words))).otherwise(F.lit("")).alias("after"),
     )
 
@@ -181,7 +185,9 @@ def name_variants(name: Column, other: Column) -> Column:
     one = F.replace(there, F.lit(" "), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(one, r"^a([lstdrzn])\1?", ""), "^al", "")
     forms = [own, F.when(own.startswith("ال") & (F.length(own) > 4), F.substring(own, 3, 1 << 20)), there, one]
-    forms += [F.when(F.length(bare) > 3, bare), F.when((F.length(bare) > 3) & bare.endswith("h"), F.regexp_replace(bare, "h$", ""))]
+    forms += [
+        F.when(F.length(bare) > 3, bare), F.when((F.length(bare) > 3) & bare.endswith("h"), F.regexp_replace(bare, "h$", ""))
+    ]
     return F.array_distinct(F.filter(F.array(*forms), lambda x: x.isNotNull() & (x != "")))
 
 

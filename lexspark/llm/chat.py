@@ -284,6 +284,7 @@ def read_back(tree: DataFrame, turns: DataFrame, path: str) -> DataFrame:
 
 
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``prefix_tree`` for nulls, repeated turns and empty tables."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -333,4 +333,5 @@ def _apart(framed: DataFrame, group: DataFrame, percent: int) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``near_duplicates`` for nulls, empty texts, repeated rows and empty tables; ties can't occur, as a link is a matter of two texts alone."""
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)

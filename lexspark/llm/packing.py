@@ -120,10 +120,12 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
 
 
 def contract(pieces: DataFrame) -> DataFrame:
+    """The pieces with a checksum for their ids; one row for each, with a null doc_id where the document has none."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``pack``: a null text is empty, repeated rows are documents of their own, an empty table gives no piece. Equal costs go to the fullest level."""
     import public_tokenizers
 
     return contract(pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

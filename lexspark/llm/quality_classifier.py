@@ -168,6 +168,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null texts are scored as empty, repeated rows alike; a null id is not held out. Without labels of both kinds all scores are equal."""
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model).drop("text")

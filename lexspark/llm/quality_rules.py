@@ -139,6 +139,7 @@ def _with_verdict(rows: DataFrame, hosts: DataFrame, salt_by: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``quality_rules``: nulls count as empty texts and as a host of their own, repeated rows give a row each."""
     return quality_rules(read(spark, sf_dir, "documents"))
 
 

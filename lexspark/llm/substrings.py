@@ -543,6 +543,7 @@ def without_repeats(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See ``cut_repeats`` for nulls, short and repeated texts and empty tables."""
     return cut_repeats(read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 

@@ -136,6 +136,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "_s
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document. Null texts are scored as empty, repeated rows alike; a null id is not held out. Without labels of both kinds all scores are equal."""
     docs = read(spark, sf_dir, "documents")
     machine = train(docs, read(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), machine).drop("text")

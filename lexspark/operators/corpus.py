@@ -12,7 +12,9 @@ SHOWN_GROUPS, SHOWN_LOCATIONS = 5, 15
 
 def as_corpus(table: DataFrame, group: str, ordinal: str, text: str) -> DataFrame:
     """Any table as a corpus, without ``norm``; a null text is empty."""
-    return table.select(F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return table.select(
+        F.col(group).alias("group_key"), F.col(ordinal).alias("row_ord"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -28,7 +30,9 @@ def normalized(corpus: DataFrame) -> DataFrame:
 
 def count_by_group(corpus: DataFrame, counter: Column) -> DataFrame:
     """group_key, first_row, n of the groups where the counter's sum isn't 0; sums are made before the shuffle."""
-    return corpus.select("group_key", "row_ord", counter.alias("_n")).where("_n > 0").groupBy("group_key").agg(F.min("row_ord").alias("first_row"), F.sum("_n").cast("long").alias("n"))
+    return corpus.select("group_key", "row_ord", counter.alias("_n")).where("_n > 0").groupBy("group_key").agg(
+        F.min("row_ord").alias("first_row"), F.sum("_n").cast("long").alias("n")
+    )
 
 
 def top_groups(counts: DataFrame, at_most: int = SHOWN_GROUPS) -> DataFrame:
@@ -62,7 +66,9 @@ def phrase_totals(corpus: DataFrame, phrase: str) -> DataFrame:
 
 
 def first_last(corpus: DataFrame, phrase: str) -> DataFrame:
-    return containing(corpus, phrase).agg(F.min("row_ord").alias("first_row"), F.max("row_ord").alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
+    return containing(corpus, phrase).agg(
+        F.min("row_ord").alias("first_row"), F.max("row_ord").alias("last_row"), F.count(F.lit(1)).alias("n_rows")
+    )
 
 
 def longest_shortest(corpus: DataFrame) -> DataFrame:
@@ -85,5 +91,8 @@ def largest_smallest_group(corpus: DataFrame) -> DataFrame:
 def keyword_rank(corpus: DataFrame, terms: list[str], at_most: int = 10, most: int = 6) -> DataFrame:
     """Rows by how often they have the terms, each term counted up to ``most`` times, and how many of the terms they have."""
     hits = [F.least(F.lit(most), fx.count_of(F.col("norm"), t)) for t in terms]
-    scored = corpus.select("group_key", "row_ord", sum(hits[1:], hits[0]).cast("long").alias("hits"), sum([(h > 0).cast("long") for h in hits[1:]], (hits[0] > 0).cast("long")).alias("n_terms"))
+    scored = corpus.select(
+        "group_key", "row_ord", sum(hits[1:], hits[0]).cast("long").alias("hits"),
+        sum([(h > 0).cast("long") for h in hits[1:]], (hits[0] > 0).cast("long")).alias("n_terms")
+    )
     return scored.where("hits > 0").orderBy(F.desc("n_terms"), F.desc("hits"), "row_ord").limit(at_most)

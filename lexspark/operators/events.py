@@ -14,7 +14,9 @@ GAP_MS, SPAN_MS, PER_SPAN = 900, 15_000, 8
 DAILY_GOAL = 10
 
 
-def rate_limited(events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span: int = SPAN_MS, per_span: int = PER_SPAN) -> DataFrame:
+def rate_limited(
+    events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span: int = SPAN_MS, per_span: int = PER_SPAN
+) -> DataFrame:
     """key, n_events, n_accepted: an event is accepted ``gap`` after the last accepted one at the earliest, and with fewer than ``per_span`` accepted in the ``span`` before it.
 
     A fold over each key's events in order; what it carries is at most ``per_span`` times. The events
@@ -45,12 +47,17 @@ def rate_limited(events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span:
         if queue is not None:
             yield _counts(key, of_key, [now], [seen], [accepted])
 
-    made = T.StructType([T.StructField(key, kind), T.StructField("n_events", T.LongType()), T.StructField("n_accepted", T.LongType())])
+    made = T.StructType([
+        T.StructField(key, kind), T.StructField("n_events", T.LongType()), T.StructField("n_accepted", T.LongType())
+    ])
     return given.repartition("_key").sortWithinPartitions("_key", "_t").mapInArrow(run, made)
 
 
 def _counts(key: str, kind: pa.DataType, keys: list, n_events: list[int], n_accepted: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n_events, pa.int64()), pa.array(n_accepted, pa.int64())], names=[key, "n_events", "n_accepted"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, kind), pa.array(n_events, pa.int64()), pa.array(n_accepted, pa.int64())],
+        names=[key, "n_events", "n_accepted"]
+    )
 
 
 def daily_progress(events: DataFrame, key: str, ts: str, what: str, goal: int = DAILY_GOAL) -> DataFrame:
@@ -67,7 +74,9 @@ def consecutive_distinct(events: DataFrame, key: str, order: list[str], what: st
 
 def newest(events: DataFrame, key: str, order: list[F.Column], at_most: int) -> DataFrame:
     """The newest events of each key."""
-    return events.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= at_most).drop("_n")
+    return events.withColumn(
+        "_n", F.row_number().over(W.partitionBy(key).orderBy(*order))
+    ).where(F.col("_n") <= at_most).drop("_n")
 
 
 def toggled_on(events: DataFrame, *keys: str) -> DataFrame:

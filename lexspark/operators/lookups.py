@@ -15,7 +15,10 @@ from lexspark.functions import text as fx
 N_PAGES = 604
 MOST_CHAPTERS = 1000
 # The first page of each part of the printed text, and the chapters without an opening formula of their own and of the later period.
-PART_PAGES = [1, 22, 42, 62, 82, 102, 121, 142, 162, 182, 201, 222, 242, 262, 282, 302, 322, 342, 362, 382, 402, 422, 442, 462, 482, 502, 522, 542, 562, 582]
+PART_PAGES = [
+    1, 22, 42, 62, 82, 102, 121, 142, 162, 182, 201, 222, 242, 262, 282, 302, 322, 342, 362, 382, 402, 422, 442, 462, 482, 502,
+    522, 542, 562, 582
+]
 NO_OPENING = [1, 9]
 MEDINAN = [2, 3, 4, 5, 8, 9, 13, 22, 24, 33, 47, 48, 49, 55, 57, 58, 59, 60, 61, 62, 63, 64, 65, 66, 76, 98, 99, 110]
 SHOWN_REFERENCES, SHOWN_RELATED, SHOWN_RESULTS = 12, 6, 30
@@ -103,7 +106,9 @@ def passage_of(asked: DataFrame, passages: DataFrame) -> DataFrame:
 
 def verse_of(asked: DataFrame, verses: DataFrame) -> DataFrame:
     """asked with the verse's text, empty if there is none. asked: surah, ayah."""
-    return asked.join(verses.select("surah", "ayah", "text"), ["surah", "ayah"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return asked.join(
+        verses.select("surah", "ayah", "text"), ["surah", "ayah"], "left"
+    ).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def note_key(key: Column) -> tuple[Column, Column]:
@@ -123,13 +128,17 @@ def related(asked: DataFrame, verses: DataFrame, passages: DataFrame, at_most: i
 
 def topic_verses(topics: DataFrame, verses: DataFrame, at_most: int = SHOWN_REFERENCES) -> DataFrame:
     """topic, place, surah, ayah, text of the first references of a topic that name a verse. topics: topic, place (from 0), surah, ayah."""
-    return topics.where(F.col("place") < at_most).join(verses.select("surah", "ayah", "text"), ["surah", "ayah"]).select("topic", "place", "surah", "ayah", "text")
+    return topics.where(F.col("place") < at_most).join(
+        verses.select("surah", "ayah", "text"), ["surah", "ayah"]
+    ).select("topic", "place", "surah", "ayah", "text")
 
 
 def progress_in_chapter(positions: DataFrame, chapters: DataFrame) -> DataFrame:
     """Positions with progress: the share of the chapter's verses that the last one read makes; 0 for an unknown chapter."""
     n = F.greatest(F.lit(1), F.col("n_verses"))
-    return positions.join(small(chapters.select(F.col("number").alias("surah"), "n_verses")), "surah", "left").withColumn("progress", F.coalesce(F.col("ayah") / n, F.lit(0.0))).drop("n_verses")
+    return positions.join(
+        small(chapters.select(F.col("number").alias("surah"), "n_verses")), "surah", "left"
+    ).withColumn("progress", F.coalesce(F.col("ayah") / n, F.lit(0.0))).drop("n_verses")
 
 
 def continue_label(state: DataFrame, pages: DataFrame, default: str) -> DataFrame:
@@ -137,7 +146,9 @@ def continue_label(state: DataFrame, pages: DataFrame, default: str) -> DataFram
 
     state: id, page, position_name. pages: page, surahs (array of names).
     """
-    held = state.withColumn("page", F.coalesce("page", F.lit(1))).join(pages.select("page", F.get("surahs", 0).alias("_first")), "page", "left")
+    held = state.withColumn("page", F.coalesce("page", F.lit(1))).join(
+        pages.select("page", F.get("surahs", 0).alias("_first")), "page", "left"
+    )
     return held.select("id", fx.bare_name(F.coalesce("_first", "position_name", F.lit(default))).alias("label"))
 
 
@@ -149,7 +160,10 @@ def name_table(chapters: DataFrame) -> DataFrame:
 
 def quoted(references: Column, kind: str = "quran") -> Column:
     """The references of one kind, without it. references: array of (type, surah, ayah, text)."""
-    return F.transform(F.filter(references, lambda r: r["type"] == kind), lambda r: F.struct(r["surah"].alias("surah"), r["ayah"].alias("ayah"), r["text"].alias("text")))
+    return F.transform(
+        F.filter(references, lambda r: r["type"] == kind),
+        lambda r: F.struct(r["surah"].alias("surah"), r["ayah"].alias("ayah"), r["text"].alias("text"))
+    )
 
 
 def shown_references(new: Column, legacy: Column) -> Column:

@@ -20,7 +20,9 @@ def _one_if(c: Column) -> Column:
 
 def _best(scored: DataFrame) -> DataFrame:
     """id, row_ord, score: the row with most, the first of equal ones."""
-    return scored.groupBy("id").agg(F.max_by("row_ord", F.struct("score", -F.col("row_ord"))).alias("row_ord"), F.max("score").alias("score"))
+    return scored.groupBy("id").agg(
+        F.max_by("row_ord", F.struct("score", -F.col("row_ord"))).alias("row_ord"), F.max("score").alias("score")
+    )
 
 
 def best_answers(rows: DataFrame, questions: DataFrame, least: float = LEAST_ANSWER) -> DataFrame:

@@ -61,9 +61,15 @@ def checked_settings(stored: Column) -> Column:
     """Struct of the settings in a JSON text; each field that doesn't hold a valid value has its default, as all have for no JSON."""
     at = lambda path: F.get_json_object(stored, f"$.{path}")
     method = at("methodId").try_cast("int")
-    moved = [F.coalesce(F.greatest(F.lit(-sc.LARGEST_SHIFT), F.least(F.lit(sc.LARGEST_SHIFT), F.floor(at(f"adjustments.{t}").try_cast("double") + 0.5))), F.lit(0)).cast("int").alias(t) for t in MOVED]
+    moved = [F.coalesce(
+        F.greatest(
+            F.lit(-sc.LARGEST_SHIFT), F.least(F.lit(sc.LARGEST_SHIFT), F.floor(at(f"adjustments.{t}").try_cast("double") + 0.5))
+        ),
+        F.lit(0)
+    ).cast("int").alias(t) for t in MOVED]
     return F.struct(
-        F.when(method.isin(METHODS), method).otherwise(DEFAULT_METHOD).alias("method"), F.when(at("school") == "1", 1).otherwise(DEFAULT_SCHOOL).alias("school"),
+        F.when(method.isin(METHODS), method).otherwise(DEFAULT_METHOD).alias("method"),
+        F.when(at("school") == "1", 1).otherwise(DEFAULT_SCHOOL).alias("school"),
         F.when(at("timeFormat").isin(FORMATS), at("timeFormat")).otherwise(DEFAULT_FORMAT).alias("format"), *moved,
     )
 
@@ -80,7 +86,9 @@ def is_day(date_key: Column, times: Column) -> Column:
 
 def cached_days(cache: DataFrame) -> DataFrame:
     """Caches of the current version with a valid today and a place; an invalid tomorrow is null. cache: id, version, label, today, tomorrow (structs of date_key and times)."""
-    good = cache.where((F.col("version") == CACHE_VERSION) & F.col("label").isNotNull() & is_day(F.col("today.date_key"), F.col("today.times")))
+    good = cache.where((F.col("version") == CACHE_VERSION) & F.col("label").isNotNull() & is_day(
+        F.col("today.date_key"), F.col("today.times")
+    ))
     return good.withColumn("tomorrow", F.when(is_day(F.col("tomorrow.date_key"), F.col("tomorrow.times")), F.col("tomorrow")))
 
 
@@ -91,7 +99,9 @@ def must_fetch(now_ms: Column, fetched_ms: Column, today: Column, cached_day: Co
 
 def stored_messages(values: DataFrame, at_most: int = KEPT_MESSAGES) -> DataFrame:
     """key, id, role, text of the valid messages in a JSON array, the last ones; none for a value that isn't one. values: key, value."""
-    each = values.select("key", F.posexplode(F.from_json("value", "array<struct<id: string, role: string, text: string>>")).alias("i", "m"))
+    each = values.select(
+        "key", F.posexplode(F.from_json("value", "array<struct<id: string, role: string, text: string>>")).alias("i", "m")
+    )
     valid = each.where(F.col("m.id").isNotNull() & F.col("m.text").isNotNull() & F.col("m.role").isin("user", "bot"))
     return ev.newest(valid, "key", [F.desc("i")], at_most).select("key", "m.id", "m.role", "m.text")
 
@@ -111,6 +121,10 @@ def speed_after(clicks: Column) -> Column:
 
 def stored_bookmarks(values: DataFrame, key: str) -> DataFrame:
     """key, id, surah, ayah, place of the valid bookmarks in a JSON array, in order of chapter and verse; none for a value that isn't one. values: key, value."""
-    each = values.select(key, F.explode(F.from_json("value", "array<struct<id: string, surahNumber: int, ayahNumber: int>>")).alias("m"))
-    valid = each.select(key, "m.id", F.col("m.surahNumber").alias("surah"), F.col("m.ayahNumber").alias("ayah")).dropna(subset=["id", "surah", "ayah"])
+    each = values.select(
+        key, F.explode(F.from_json("value", "array<struct<id: string, surahNumber: int, ayahNumber: int>>")).alias("m")
+    )
+    valid = each.select(
+        key, "m.id", F.col("m.surahNumber").alias("surah"), F.col("m.ayahNumber").alias("ayah")
+    ).dropna(subset=["id", "surah", "ayah"])
     return valid.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("surah", "ayah")))

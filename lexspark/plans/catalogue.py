@@ -37,8 +37,10 @@ def _quote(s: str) -> str:
 
 #: The normal form in SQL; t is the text.
 NORM = (
-    f"trim(regexp_replace(regexp_replace(lower(translate(regexp_replace(translate(regexp_replace(t, {_quote(fx.MARKS)}, '', 'g'), "
-    f"'{fx.DIGITS}', '{fx.WESTERN}'), {_quote(fx.TATWEEL)}, '', 'g'), '{fx.FOLDED}', '{fx.FOLDS}')), {_quote(fx.PUNCTUATION)}, ' ', 'g'), {_quote(fx.WHITE)}, ' ', 'g'))"
+    f"trim(regexp_replace(regexp_replace(lower(translate(regexp_replace(translate(regexp_replace(t, {_quote(fx.MARKS)}, '', "
+    f"'g'), "
+    f"'{fx.DIGITS}', '{fx.WESTERN}'), {_quote(fx.TATWEEL)}, '', 'g'), '{fx.FOLDED}', '{fx.FOLDS}')), {_quote(fx.PUNCTUATION)}, "
+    f"' ', 'g'), {_quote(fx.WHITE)}, ' ', 'g'))"
 )
 CORPUS = f"WITH c AS (SELECT source AS group_key, doc_id AS row_ord, t AS text, {NORM} AS norm FROM (SELECT *, coalesce(text, '') AS t FROM documents)) "
 
@@ -70,102 +72,148 @@ def corpus_normalize(spark, d):
     return documents(spark, d).select(F.col("row_ord").alias("doc_id"), F.md5("norm").alias("norm_md5"))
 
 
-@query(CORPUS + f"SELECT group_key, min(row_ord) AS first_row, CAST(sum({occ('norm', TERM)}) AS BIGINT) AS n FROM c WHERE {occ('norm', TERM)} > 0 GROUP BY group_key")
+@query(CORPUS + f"SELECT group_key, min(row_ord) AS first_row, CAST(sum({occ('norm', TERM)}) AS BIGINT) AS n FROM c "
+    f"WHERE {occ('norm', TERM)} > 0 GROUP BY group_key")
 def term_count_by_group(spark, d):
     return cp.count_by_group(documents(spark, d), fx.count_of(F.col("norm"), TERM))
 
 
-@query(CORPUS + f"SELECT group_key, min(row_ord) AS first_row, CAST(sum({occ('norm', TERM)}) AS BIGINT) AS n FROM c WHERE {occ('norm', TERM)} > 0 GROUP BY group_key ORDER BY n DESC, first_row, group_key LIMIT 5")
+@query(CORPUS + f"SELECT group_key, min(row_ord) AS first_row, CAST(sum({occ('norm', TERM)}) AS BIGINT) AS n FROM c "
+    f"WHERE {occ('norm', TERM)} > 0 GROUP BY group_key ORDER BY n DESC, first_row, group_key LIMIT 5")
 def term_top_groups(spark, d):
     return cp.top_groups(term_count_by_group(spark, d))
 
 
-@query(CORPUS + f", s AS (SELECT {occ('norm', TERM)} AS a, {occ(f'concat(chr(32), norm, chr(32))', f' {TERM} ')} AS b FROM c) SELECT CAST(sum(a) AS BIGINT) AS total, CAST(sum(b) AS BIGINT) AS standalone, CAST(sum(a) - sum(b) AS BIGINT) AS within FROM s")
+@query(CORPUS + f", s AS (SELECT {occ('norm', TERM)} AS a, {occ(f'concat(chr(32), norm, chr(32))', f' {TERM} ')} AS b FROM c) "
+    f"SELECT CAST(sum(a) AS BIGINT) AS total, CAST(sum(b) AS BIGINT) AS standalone, CAST(sum(a) - sum(b) AS BIGINT) AS within "
+    f"FROM s")
 def term_standalone_vs_within(spark, d):
     c = F.col("norm")
-    return cp.total(documents(spark, d), total=fx.count_of(c, TERM), standalone=fx.count_standalone(c, TERM)).withColumn("within", F.col("total") - F.col("standalone"))
+    return cp.total(
+        documents(spark, d), total=fx.count_of(c, TERM), standalone=fx.count_standalone(c, TERM)
+    ).withColumn("within", F.col("total") - F.col("standalone"))
 
 
-@query(CORPUS + f"SELECT group_key, row_ord, count(*) OVER () AS total, count(*) OVER () > 15 AS truncated FROM c WHERE {has_phrase_sql('norm', PHRASE)} ORDER BY row_ord LIMIT 15")
+@query(CORPUS + f"SELECT group_key, row_ord, count(*) OVER () AS total, count(*) OVER () > 15 AS truncated FROM c "
+    f"WHERE {has_phrase_sql('norm', PHRASE)} ORDER BY row_ord LIMIT 15")
 def term_locations(spark, d):
     return cp.locations(documents(spark, d), PHRASE)
 
 
-@query(CORPUS + f"SELECT min(row_ord) AS first_row, max(row_ord) AS last_row, count(*) AS n_rows FROM c WHERE {has_phrase_sql('norm', PHRASE)}")
+@query(CORPUS + f"SELECT min(row_ord) AS first_row, max(row_ord) AS last_row, count(*) AS n_rows FROM c "
+    f"WHERE {has_phrase_sql('norm', PHRASE)}")
 def term_first_last(spark, d):
     return cp.first_last(documents(spark, d), PHRASE)
 
 
-@query(CORPUS + f", s AS (SELECT CAST(sum({occ('norm', TERM)}) AS BIGINT) AS a, CAST(sum({occ('norm', OTHER)}) AS BIGINT) AS b FROM c) SELECT a, b, CASE WHEN a > b THEN '{TERM}' WHEN b > a THEN '{OTHER}' ELSE 'tie' END AS winner FROM s")
+@query(CORPUS + f", s AS (SELECT CAST(sum({occ('norm', TERM)}) AS BIGINT) AS a, CAST(sum({occ('norm', OTHER)}) AS BIGINT) AS b "
+    f"FROM c) SELECT a, b, CASE WHEN a > b THEN '{TERM}' WHEN b > a THEN '{OTHER}' ELSE 'tie' END AS winner FROM s")
 def term_compare(spark, d):
     c = F.col("norm")
     both = cp.total(documents(spark, d), a=fx.count_of(c, TERM), b=fx.count_of(c, OTHER))
     return both.withColumn("winner", F.when(F.col("a") > F.col("b"), TERM).when(F.col("b") > F.col("a"), OTHER).otherwise("tie"))
 
 
-@query("WITH c AS (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents) SELECT (SELECT doc_id FROM c ORDER BY n DESC, doc_id LIMIT 1) AS longest_row, max(n) AS longest, (SELECT doc_id FROM c ORDER BY n, doc_id LIMIT 1) AS shortest_row, min(n) AS shortest FROM c")
+@query("WITH c AS (SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents) SELECT (SELECT doc_id FROM c "
+    "ORDER BY n DESC, doc_id LIMIT 1) AS longest_row, max(n) AS longest, (SELECT doc_id FROM c ORDER BY n, doc_id LIMIT 1) AS "
+    "shortest_row, min(n) AS shortest FROM c")
 def longest_shortest_row(spark, d):
     return cp.longest_shortest(raw_documents(spark, d))
 
 
-@query("WITH g AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source) SELECT (SELECT source FROM g ORDER BY n DESC, f LIMIT 1) AS largest_group, max(n) AS largest, (SELECT source FROM g ORDER BY n, f LIMIT 1) AS smallest_group, min(n) AS smallest FROM g")
+@query("WITH g AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source) SELECT (SELECT source FROM g "
+    "ORDER BY n DESC, f LIMIT 1) AS largest_group, max(n) AS largest, (SELECT source FROM g ORDER BY n, f LIMIT 1) AS "
+    "smallest_group, min(n) AS smallest FROM g")
 def largest_smallest_group(spark, d):
     return cp.largest_smallest_group(raw_documents(spark, d))
 
 
-@query("WITH c AS (SELECT source AS group_key, coalesce(text, '') AS t FROM documents) SELECT group_key, CAST(sum(length(t) - length(translate(t, 'éèê', ''))) AS BIGINT) AS accented, CAST(sum(len(regexp_extract_all(t, '" + fx.LETTERS + "'))) AS BIGINT) AS letters FROM c GROUP BY group_key")
+@query("WITH c AS (SELECT source AS group_key, coalesce(text, '') AS t FROM documents) SELECT group_key, CAST(sum(length(t) - "
+    "length(translate(t, 'éèê', ''))) AS BIGINT) AS accented, CAST(sum(len(regexp_extract_all(t, '" + fx.LETTERS + "'))) AS BIGINT) AS letters FROM c GROUP BY group_key")
 def char_class_count(spark, d):
     t = F.col("text")
-    return raw_documents(spark, d).groupBy("group_key").agg(F.sum(fx.count_chars(t, "éèê")).alias("accented"), F.sum(fx.letter_count(t)).alias("letters"))
+    return raw_documents(spark, d).groupBy("group_key").agg(
+        F.sum(fx.count_chars(t, "éèê")).alias("accented"), F.sum(fx.letter_count(t)).alias("letters")
+    )
 
 
-@query(CORPUS + "SELECT count(*) AS n_rows, count(DISTINCT group_key) AS n_groups, CAST(sum(CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM c")
+@query(CORPUS + "SELECT count(*) AS n_rows, count(DISTINCT group_key) AS n_groups, CAST(sum(CASE WHEN norm = '' THEN 0 ELSE "
+    "len(string_split(norm, ' ')) END) AS BIGINT) AS n_words, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM c")
 def corpus_totals(spark, d):
-    return documents(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_key").alias("n_groups"), F.sum(fx.word_count(F.col("norm"))).alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    return documents(spark, d).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("group_key").alias("n_groups"),
+        F.sum(fx.word_count(F.col("norm"))).alias("n_words"), F.sum(F.length("text")).cast("long").alias("n_chars")
+    )
 
 
-@query("SELECT count(*) FILTER (WHERE starts_with(p_name, 'small')) AS n_prefix, count(*) FILTER (WHERE ends_with(p_name, 'ring')) AS n_suffix FROM part")
+@query("SELECT count(*) FILTER (WHERE starts_with(p_name, 'small')) AS n_prefix, count(*) FILTER (WHERE ends_with(p_name, "
+    "'ring')) AS n_suffix FROM part")
 def prefix_suffix_rows(spark, d):
     name = F.col("p_name")
-    return table(spark, d, "part").agg(F.count(F.when(name.startswith("small"), 1)).alias("n_prefix"), F.count(F.when(name.endswith("ring"), 1)).alias("n_suffix"))
+    return table(spark, d, "part").agg(
+        F.count(F.when(name.startswith("small"), 1)).alias("n_prefix"),
+        F.count(F.when(name.endswith("ring"), 1)).alias("n_suffix")
+    )
 
 
 @query(
-    CORPUS + f"SELECT count(*) AS n_rows, CAST(sum(greatest({occ('norm', PHRASE)}, {occ(loose_sql('norm'), fx.loose(PHRASE))})) AS BIGINT) AS n "
+    CORPUS + f"SELECT count(*) AS n_rows, CAST(sum(greatest({occ('norm', PHRASE)}, {occ(loose_sql('norm'), fx.loose(PHRASE))})) "
+        f"AS BIGINT) AS n "
     f"FROM c WHERE {has_phrase_sql('norm', PHRASE)}"
 )
 def phrase_count(spark, d):
     return cp.phrase_totals(documents(spark, d), PHRASE)
 
 
-@query(CORPUS + f"SELECT row_ord AS doc_id, {occ('norm', 'he')} - {occ('norm', 'the')} AS n FROM c WHERE {occ('norm', 'he')} - {occ('norm', 'the')} > 0")
+@query(CORPUS + f"SELECT row_ord AS doc_id, {occ('norm', 'he')} - {occ('norm', 'the')} AS n FROM c WHERE {occ('norm', 'he')} "
+    f"- {occ('norm', 'the')} > 0")
 def excluded_prev_count(spark, d):
-    return documents(spark, d).select(F.col("row_ord").alias("doc_id"), fx.count_unless_after(F.col("norm"), "he", "t").alias("n")).where("n > 0")
+    return documents(spark, d).select(
+        F.col("row_ord").alias("doc_id"), fx.count_unless_after(F.col("norm"), "he", "t").alias("n")
+    ).where("n > 0")
 
 
-@query("WITH w AS (SELECT conv_id, turn, role, lag(turn) OVER o AS p, lag(role) OVER o AS prole, lead(turn) OVER o AS n, lead(role) OVER o AS nrole FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role)) SELECT conv_id, turn, role, CASE WHEN p = turn - 1 THEN prole END AS prev_role, CASE WHEN n = turn + 1 THEN nrole END AS next_role FROM w")
+@query("WITH w AS (SELECT conv_id, turn, role, lag(turn) OVER o AS p, lag(role) OVER o AS prole, lead(turn) OVER o AS n, "
+    "lead(role) OVER o AS nrole FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role)) SELECT conv_id, "
+    "turn, role, CASE WHEN p = turn - 1 THEN prole END AS prev_role, CASE WHEN n = turn + 1 THEN nrole END AS next_role FROM w")
 def prev_next_row(spark, d):
     line = W.partitionBy("conv_id").orderBy("turn", "role")
     side = lambda f, k: F.when(f("turn").over(line) == F.col("turn") + k, f("role").over(line))
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", side(F.lag, -1).alias("prev_role"), side(F.lead, 1).alias("next_role"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", "role", side(F.lag, -1).alias("prev_role"), side(F.lead, 1).alias("next_role")
+    )
 
 
-@query("SELECT n_name, count(*) AS n_customers, min(c_custkey) AS first_customer, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r_name FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey")
+@query("SELECT n_name, count(*) AS n_customers, min(c_custkey) AS first_customer, (SELECT r_name FROM region WHERE r_regionkey "
+    "= n_regionkey) AS r_name FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey")
 def group_metadata(spark, d):
-    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_customers"), F.min("c_custkey").alias("first_customer"))
-    return counts.join(table(spark, d, "nation"), "n_nationkey").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "n_customers", "first_customer", "r_name")
+    counts = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.count(F.lit(1)).alias("n_customers"), F.min("c_custkey").alias("first_customer")
+    )
+    return counts.join(table(spark, d, "nation"), "n_nationkey").join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_name", "n_customers", "first_customer", "r_name")
 
 
-@query("SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(max(o_orderkey), -1) AS last_order, count(o_orderkey) > 0 AS has_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(max(o_orderkey), -1) AS last_order, count(o_orderkey) > 0 AS "
+    "has_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def lookup_left_outer(spark, d):
-    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
-    return table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("last", F.lit(-1)).cast("long").alias("last_order"), F.col("n").isNotNull().alias("has_orders"))
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last")
+    )
+    return table(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left").select(
+        "c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("last", F.lit(-1)).cast("long").alias("last_order"),
+        F.col("n").isNotNull().alias("has_orders")
+    )
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2001-01-01')")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= "
+    "TIMESTAMP '2001-01-01')")
 def without_match(spark, d):
     late = table(spark, d, "orders").where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return table(spark, d, "customer").join(late.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(
+        late.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"
+    ).select("c_custkey")
 
 
 @query(CORPUS + "SELECT row_ord AS doc_id, CASE " + " ".join(f"WHEN contains(concat(' ', norm, ' '), ' {n} ') THEN '{n}'" for n in sorted(NAMES, key=lambda n: -len(n))) + " END AS name FROM c")
@@ -179,22 +227,27 @@ _HITS = "+".join(f"least(6, {occ('norm', t)})" for t in TERMS)
 _DISTINCT = "+".join(f"CAST({occ('norm', t)} > 0 AS BIGINT)" for t in TERMS)
 
 
-@query(CORPUS + f"SELECT group_key, row_ord, CAST({_HITS} AS BIGINT) AS hits, CAST({_DISTINCT} AS BIGINT) AS n_terms FROM c WHERE {_HITS} > 0 ORDER BY n_terms DESC, hits DESC, row_ord LIMIT 10")
+@query(CORPUS + f"SELECT group_key, row_ord, CAST({_HITS} AS BIGINT) AS hits, CAST({_DISTINCT} AS BIGINT) AS n_terms FROM c "
+    f"WHERE {_HITS} > 0 ORDER BY n_terms DESC, hits DESC, row_ord LIMIT 10")
 def keyword_rank(spark, d):
     return cp.keyword_rank(documents(spark, d), TERMS)
 
 
-@query("SELECT item_id, CASE WHEN length(text) <= 220 THEN text ELSE rtrim(substring(text, 1, 220)) || '…' END AS excerpt FROM benchmark")
+@query("SELECT item_id, CASE WHEN length(text) <= 220 THEN text ELSE rtrim(substring(text, 1, 220)) || '…' END AS excerpt FROM "
+    "benchmark")
 def excerpt(spark, d):
     return table(spark, d, "benchmark").select("item_id", fx.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query(f"WITH f AS (SELECT item_id, trim(regexp_replace(text, {_quote(fx.WHITE)}, ' ', 'g')) AS t FROM benchmark), h AS (SELECT *, substring(t, 1, 220) AS s FROM f) SELECT item_id, CASE WHEN length(t) <= 220 THEN t ELSE left(s, greatest(length(s) - instr(reverse(s), ' '), 180)) || '…' END AS excerpt FROM h")
+@query(f"WITH f AS (SELECT item_id, trim(regexp_replace(text, {_quote(fx.WHITE)}, ' ', 'g')) AS t FROM benchmark), h AS (SELECT "
+    f"*, substring(t, 1, 220) AS s FROM f) SELECT item_id, CASE WHEN length(t) <= 220 THEN t ELSE left(s, greatest(length(s) - "
+    f"instr(reverse(s), ' '), 180)) || '…' END AS excerpt FROM h")
 def word_boundary_excerpt(spark, d):
     return table(spark, d, "benchmark").select("item_id", fx.word_excerpt(F.col("text")).alias("excerpt"))
 
 
-@query(f"SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, {_quote(fx.CONTROLS)}, '', 'g'), {_quote(fx.INVISIBLE)}, '', 'g'), {_quote(fx.WHITE)}, ' ', 'g')), 1, 500) AS shown FROM pages")
+@query(f"SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(html, {_quote(fx.CONTROLS)}, '', "
+    f"'g'), {_quote(fx.INVISIBLE)}, '', 'g'), {_quote(fx.WHITE)}, ' ', 'g')), 1, 500) AS shown FROM pages")
 def sanitize_truncate(spark, d):
     return table(spark, d, "pages").select("page_id", fx.sanitize(F.col("html")).alias("shown"))
 
@@ -203,24 +256,33 @@ _OK = f"len(live) < {ev.PER_SPAN} AND (len(live) = 0 OR ms - live[-1] >= {ev.GAP
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), "
+    "WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, "
+    "count(*) OVER (PARTITION BY user_id) AS n FROM events), "
     "s AS (SELECT user_id, i, n, [ms] AS queue, 1 AS accepted FROM e WHERE i = 1 UNION ALL "
-    f"SELECT user_id, i, n, CASE WHEN {_OK} THEN list_append(live, ms) ELSE live END, accepted + CASE WHEN {_OK} THEN 1 ELSE 0 END FROM "
-    f"(SELECT e.user_id, e.i, e.n, e.ms, s.accepted, list_filter(s.queue, lambda a: e.ms - a < {ev.SPAN_MS}) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)) "
+    f"SELECT user_id, i, n, CASE WHEN {_OK} THEN list_append(live, ms) ELSE live END, accepted + CASE WHEN {_OK} THEN 1 ELSE 0 "
+    f"END FROM "
+    f"(SELECT e.user_id, e.i, e.n, e.ms, s.accepted, list_filter(s.queue, lambda a: e.ms - a < {ev.SPAN_MS}) AS live FROM s "
+    f"JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)) "
     "SELECT user_id, any_value(n) AS n_events, CAST(max(accepted) AS BIGINT) AS n_accepted FROM s GROUP BY user_id"
 )
 def rate_limit_accepts(spark, d):
-    return ev.rate_limited(table(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "user_id", "ms")
+    return ev.rate_limited(
+        table(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")), "user_id", "ms"
+    )
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS n, least(1.0, count(DISTINCT event_type) / 10) AS progress FROM events GROUP BY ALL")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS n, least(1.0, count(DISTINCT event_type) / 10) "
+    "AS progress FROM events GROUP BY ALL")
 def daily_distinct_progress(spark, d):
     return ev.daily_progress(table(spark, d, "events"), "user_id", "ts", "event_type")
 
 
-@query("WITH w AS (SELECT *, row_number() OVER o AS n, lag(event_type) OVER o AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, event_type FROM w WHERE n = 1 OR b IS DISTINCT FROM event_type")
+@query("WITH w AS (SELECT *, row_number() OVER o AS n, lag(event_type) OVER o AS b FROM events WINDOW o AS (PARTITION BY "
+    "user_id ORDER BY ts, event_id)) SELECT user_id, event_id, event_type FROM w WHERE n = 1 OR b IS DISTINCT FROM event_type")
 def consecutive_dedup(spark, d):
-    return ev.consecutive_distinct(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+    return ev.consecutive_distinct(
+        table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type"
+    ).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) % 2 = 1")
@@ -228,9 +290,12 @@ def toggle_state(spark, d):
     return ev.toggled_on(table(spark, d, "events"), "user_id", "event_type")
 
 
-@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id "
+    "DESC) <= 5")
 def newest_n(spark, d):
-    return ev.newest(table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id", "ts")
+    return ev.newest(
+        table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5
+    ).select("user_id", "event_id", "ts")
 
 
 @query("SELECT event_type, max(ts) AS last_ts FROM events GROUP BY event_type ORDER BY last_ts DESC, event_type LIMIT 6")
@@ -238,19 +303,31 @@ def recent_terms(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"), "event_type").limit(6)
 
 
-@query("WITH w AS (SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS chunk FROM conversations) SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, min(turn) AS first_turn, count(*) AS n FROM w GROUP BY ALL")
+@query("WITH w AS (SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY "
+    "turn, role ROWS UNBOUNDED PRECEDING) AS chunk FROM conversations) SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, "
+    "min(turn) AS first_turn, count(*) AS n FROM w GROUP BY ALL")
 def island_chunks(spark, d):
     line = W.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(W.unboundedPreceding, 0)
-    marked = table(spark, d, "conversations").select("conv_id", "turn", F.sum((F.col("role") == "user").cast("long")).over(line).alias("chunk"))
+    marked = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.sum((F.col("role") == "user").cast("long")).over(line).alias("chunk")
+    )
     return marked.groupBy("conv_id", "chunk").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase') SELECT event_id, (SELECT min(p.ts) FROM p WHERE p.user_id = e.user_id AND p.ts > e.ts) AS next_purchase FROM events e")
+@query("WITH p AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase') SELECT event_id, (SELECT min(p.ts) FROM p "
+    "WHERE p.user_id = e.user_id AND p.ts > e.ts) AS next_purchase FROM events e")
 def next_event_asof(spark, d):
-    micros = table(spark, d, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
+    micros = table(spark, d, "events").select(
+        "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type"
+    )
     # the next later purchase: times fall from the end, so each row looks back over what is later
     back = W.partitionBy("user_id").orderBy(F.desc("ts")).rangeBetween(W.unboundedPreceding, -1)
-    return micros.select("event_id", F.timestamp_micros(F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(back)).cast("timestamp_ntz").alias("next_purchase"))
+    return micros.select(
+        "event_id",
+        F.timestamp_micros(F.min(F.when(
+            F.col("event_type") == "purchase", F.col("ts")
+        )).over(back)).cast("timestamp_ntz").alias("next_purchase")
+    )
 
 
 @query(CORPUS + "SELECT group_key, row_ord FROM c WHERE contains(norm, 'licensed') ORDER BY row_ord LIMIT 50")
@@ -258,11 +335,19 @@ def row_search(spark, d):
     return documents(spark, d).where(F.col("norm").contains("licensed")).select("group_key", "row_ord").orderBy("row_ord").limit(50)
 
 
-@query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS INT) AS first_number, regexp_matches(coalesce(html, ''), '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]') AS arabic FROM pages")
+@query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS INT) AS first_number, "
+    "regexp_matches(coalesce(html, ''), '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}]') AS arabic FROM pages")
 def first_number_and_script(spark, d):
-    return table(spark, d, "pages").select("page_id", fx.first_number(F.col("url")).alias("first_number"), fx.contains_arabic(F.coalesce("html", F.lit(""))).alias("arabic"))
+    return table(spark, d, "pages").select(
+        "page_id", fx.first_number(F.col("url")).alias("first_number"),
+        fx.contains_arabic(F.coalesce("html", F.lit(""))).alias("arabic")
+    )
 
 
-@query("SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant') AS first_answer, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant') AS first_answer, count(DISTINCT role) AS n_roles FROM "
+    "conversations GROUP BY conv_id")
 def first_match_by_group(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.count_distinct("role").alias("n_roles"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"),
+        F.count_distinct("role").alias("n_roles")
+    )

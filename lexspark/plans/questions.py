@@ -15,7 +15,8 @@ from lexspark.sources.tables import table
 
 #: Questions that are asked of documents and conversations.
 ASKED = Inline("asked", "id int, text string", list(enumerate([
-    "Licensed under the Apache License?", "what is the warranty", "Copyright holders", "de la vida", "Which verse mentions patience and gratitude?", "how do I sort a list in the table", "", "the of and",
+    "Licensed under the Apache License?", "what is the warranty", "Copyright holders", "de la vida",
+    "Which verse mentions patience and gratitude?", "how do I sort a list in the table", "", "the of and",
 ])))
 
 
@@ -29,10 +30,13 @@ _TURNS = f"WITH c AS (SELECT conv_id, turn, role, {NORM} AS norm FROM (SELECT *,
 
 
 def _turns(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", fx.normalize(F.coalesce("text", F.lit(""))).alias("norm"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", "role", fx.normalize(F.coalesce("text", F.lit(""))).alias("norm")
+    )
 
 
-@query(_TURNS + f"SELECT conv_id, turn, role, array_to_string(list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND x NOT IN ({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')), ' ') AS tokens FROM c")
+@query(_TURNS + f"SELECT conv_id, turn, role, array_to_string(list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND "
+    f"x NOT IN ({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')), ' ') AS tokens FROM c")
 def question_tokens(spark, d):
     return _turns(spark, d).select("conv_id", "turn", "role", F.array_join(qs.tokens(F.col("norm")), " ").alias("tokens"))
 
@@ -41,22 +45,30 @@ _RULING = " OR ".join(f"contains(' ' || norm || ' ', ' {t} ')" for t in qs.RULIN
 _KINDS = " ".join(f"WHEN regexp_matches(norm, '{p}') THEN '{k}'" for k, p in qs.KINDS)
 
 
-@query(_TURNS + f"SELECT conv_id, turn, role, CASE WHEN NOT (length(norm) >= 2 AND regexp_matches(norm, '{qs.ANY_LETTER}')) THEN '{qs.UNKNOWN}' WHEN {_RULING} THEN '{qs.SAFETY}' {_KINDS} ELSE '{qs.GENERAL}' END AS kind FROM c")
+@query(_TURNS + f"SELECT conv_id, turn, role, CASE WHEN NOT (length(norm) >= 2 AND regexp_matches(norm, '{qs.ANY_LETTER}')) "
+    f"THEN '{qs.UNKNOWN}' WHEN {_RULING} THEN '{qs.SAFETY}' {_KINDS} ELSE '{qs.GENERAL}' END AS kind FROM c")
 def question_kind(spark, d):
     return _turns(spark, d).select("conv_id", "turn", "role", qs.kind(F.col("norm")).alias("kind"))
 
 
 _ASKED = (
-    f"{ASKED.cte}, k AS (SELECT id, norm, list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND x NOT IN ({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')) AS tokens "
+    f"{ASKED.cte}, k AS (SELECT id, norm, list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND x NOT IN "
+    f"({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')) AS tokens "
     f"FROM (SELECT id, {NORM.replace('(t,', '(text,')} AS norm FROM asked))"
 )
 _N = "(length({x}) - length(replace({x}, w, ''))) // length(w)"
 _PASSAGE = (
-    f"WITH {_ASKED}, h AS (SELECT doc_id AS row_ord, {NORM.replace('(t,', '(string_split(coalesce(text, chr(32)), chr(10))[1],')} AS heading, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS body FROM documents), "
-    f"s AS (SELECT k.id, row_ord, list_sum(list_transform(tokens, lambda w: 5 * CAST(contains(heading, w) AS INT) + CASE WHEN {_N.format(x='body')} > 0 THEN 2 + 0.5 * least({_N.format(x='body')}, 5) ELSE 0 END)) "
-    "+ CASE WHEN len(tokens) < 2 THEN 0 WHEN contains(heading, array_to_string(tokens, ' ')) THEN 12 WHEN contains(body, array_to_string(tokens, ' ')) THEN 8 ELSE 0 END AS score, "
-    "list_sum(list_transform(tokens, lambda w: CAST(contains(heading, w) OR contains(body, w) AS INT))) AS found, len(tokens) AS n FROM k, h WHERE len(tokens) > 0) "
-    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE found >= ceil(n / 2) AND score >= {retrieval.LEAST_PASSAGE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
+    f"WITH {_ASKED}, h AS (SELECT doc_id AS "
+    f"row_ord, {NORM.replace('(t,', '(string_split(coalesce(text, chr(32)), chr(10))[1],')} AS "
+    f"heading, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS body FROM documents), "
+    f"s AS (SELECT k.id, row_ord, list_sum(list_transform(tokens, lambda w: 5 * CAST(contains(heading, w) AS INT) + CASE "
+    f"WHEN {_N.format(x='body')} > 0 THEN 2 + 0.5 * least({_N.format(x='body')}, 5) ELSE 0 END)) "
+    "+ CASE WHEN len(tokens) < 2 THEN 0 WHEN contains(heading, array_to_string(tokens, ' ')) THEN 12 WHEN contains(body, "
+    "array_to_string(tokens, ' ')) THEN 8 ELSE 0 END AS score, "
+    "list_sum(list_transform(tokens, lambda w: CAST(contains(heading, w) OR contains(body, w) AS INT))) AS found, len(tokens) "
+    "AS n FROM k, h WHERE len(tokens) > 0) "
+    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE found >= ceil(n / 2) AND score "
+    f">= {retrieval.LEAST_PASSAGE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
 )
 
 
@@ -66,15 +78,27 @@ def best_passages(spark, d):
     t = F.coalesce("text", F.lit(""))
     rows = cp.spread(table(spark, d, "documents").select("doc_id", t.alias("t")))
     first = fx.normalize(F.get(F.split("t", "\n"), 0))
-    return retrieval.best_passages(rows.select(F.col("doc_id").alias("row_ord"), F.explode(F.array(F.struct(first.alias("heading"), fx.normalize(F.col("t")).alias("body")))).alias("x")).select("row_ord", "x.*"), asked(spark))
+    return retrieval.best_passages(
+        rows.select(
+            F.col("doc_id").alias("row_ord"),
+            F.explode(F.array(F.struct(first.alias("heading"), fx.normalize(F.col("t")).alias("body")))).alias("x")
+        ).select("row_ord", "x.*"),
+        asked(spark)
+    )
 
 
 _ANSWER = (
-    f"WITH {_ASKED}, t AS (SELECT conv_id, turn, role, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS norm FROM conversations), w AS (SELECT *, lead(norm) OVER o AS answer, lead(role) OVER o AS r FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role)), "
-    "h AS (SELECT conv_id * 1000 + turn AS row_ord, norm AS question, answer, list_filter(string_split(norm, ' '), lambda x: length(x) > 6) AS keywords FROM w WHERE role = 'user' AND r = 'assistant'), "
-    "s AS (SELECT k.id, row_ord, CASE WHEN question = k.norm THEN 100 WHEN contains(question, k.norm) OR contains(k.norm, question) THEN 12 ELSE 0 END + 6 * len(list_filter(keywords, lambda x: contains(k.norm, x))) "
-    "+ coalesce(list_sum(list_transform(tokens, lambda w: 3 * CAST(contains(question, w) AS INT) + CAST(contains(answer, w) AS INT))), 0) AS score FROM k, h) "
-    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE score >= {retrieval.LEAST_ANSWER} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
+    f"WITH {_ASKED}, t AS (SELECT conv_id, turn, role, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS norm FROM "
+    f"conversations), w AS (SELECT *, lead(norm) OVER o AS answer, lead(role) OVER o AS r FROM t WINDOW o AS (PARTITION BY "
+    f"conv_id ORDER BY turn, role)), "
+    "h AS (SELECT conv_id * 1000 + turn AS row_ord, norm AS question, answer, list_filter(string_split(norm, ' '), lambda x: "
+    "length(x) > 6) AS keywords FROM w WHERE role = 'user' AND r = 'assistant'), "
+    "s AS (SELECT k.id, row_ord, CASE WHEN question = k.norm THEN 100 WHEN contains(question, k.norm) OR contains(k.norm, "
+    "question) THEN 12 ELSE 0 END + 6 * len(list_filter(keywords, lambda x: contains(k.norm, x))) "
+    "+ coalesce(list_sum(list_transform(tokens, lambda w: 3 * CAST(contains(question, w) AS INT) + CAST(contains(answer, w) AS "
+    "INT))), 0) AS score FROM k, h) "
+    f"SELECT id, row_ord, CAST(score AS DOUBLE) AS score FROM s WHERE score >= {retrieval.LEAST_ANSWER} QUALIFY row_number() "
+    f"OVER (PARTITION BY id ORDER BY score DESC, row_ord) = 1"
 )
 
 
@@ -82,6 +106,11 @@ _ANSWER = (
 def best_answers(spark, d):
     """The best turn of a user that an assistant answers, for each question; its long words are its keywords."""
     line = W.partitionBy("conv_id").orderBy("turn", "role")
-    turns = _turns(spark, d).withColumns({"answer": F.lead("norm").over(line), "next": F.lead("role").over(line)}).where("role = 'user' AND next = 'assistant'")
-    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_ord"), F.col("norm").alias("question"), "answer", F.filter(F.split("norm", " "), lambda w: F.length(w) > 6).alias("keywords"))
+    turns = _turns(spark, d).withColumns({
+        "answer": F.lead("norm").over(line), "next": F.lead("role").over(line)
+    }).where("role = 'user' AND next = 'assistant'")
+    rows = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_ord"), F.col("norm").alias("question"), "answer",
+        F.filter(F.split("norm", " "), lambda w: F.length(w) > 6).alias("keywords")
+    )
     return retrieval.best_answers(rows, asked(spark))

@@ -42,7 +42,9 @@ class _Reader(DataSourceReader):
         for key in partition.value:
             headers = {"Accept": "application/json"} | ({"x-auth-token": self.token} if self.token else {})
             try:
-                with urllib.request.urlopen(urllib.request.Request(self.url.replace("{key}", key), headers=headers), timeout=self.timeout) as answer:
+                with urllib.request.urlopen(
+                    urllib.request.Request(self.url.replace("{key}", key), headers=headers), timeout=self.timeout
+                ) as answer:
                     yield key, answer.status or 200, answer.read().decode("utf-8"), None
             except urllib.error.HTTPError as e:
                 yield key, e.code, None, "http"

@@ -9,7 +9,8 @@ from lexspark.functions import schedule as sc
 from lexspark.operators.state import TIMES
 
 ANSWER = (
-    "code int, data struct<timings: map<string,string>, date: struct<hijri: struct<day: string, month: struct<number: int, en: string, ar: string>, year: string>>, "
+    "code int, data struct<timings: map<string,string>, date: struct<hijri: struct<day: string, month: struct<number: int, en: "
+    "string, ar: string>, year: string>>, "
     "meta: struct<timezone: string, method: struct<id: int, name: string>, school: string>>"
 )
 
@@ -17,13 +18,22 @@ ANSWER = (
 def day_of(body: Column) -> Column:
     """Struct of times (map of minutes by name), timezone, method_name and hijri; null unless the code is 200 and all six times can be read."""
     a = F.from_json(body, ANSWER)
-    minutes = F.map_from_entries(F.transform(F.lit(TIMES), lambda t: F.struct(t.alias("k"), sc.minutes_of(F.try_element_at(a["data"]["timings"], F.initcap(t))).alias("m"))))
+    minutes = F.map_from_entries(F.transform(
+        F.lit(TIMES),
+        lambda t: F.struct(t.alias("k"), sc.minutes_of(F.try_element_at(a["data"]["timings"], F.initcap(t))).alias("m"))
+    ))
     hijri = a["data"]["date"]["hijri"]
     parts = sc.hijri_parts(hijri["day"], hijri["month"]["ar"], hijri["month"]["en"], hijri["year"])
     meta = a["data"]["meta"]
     good = (a["code"] == 200) & F.forall(F.map_values(minutes), lambda m: m.isNotNull())
     text = lambda c: F.coalesce(c, F.lit(""))
-    return F.when(good, F.struct(minutes.alias("times"), text(meta["timezone"]).alias("timezone"), text(meta["method"]["name"]).alias("method_name"), parts.alias("hijri")))
+    return F.when(
+        good,
+        F.struct(
+            minutes.alias("times"), text(meta["timezone"]).alias("timezone"), text(meta["method"]["name"]).alias("method_name"),
+            parts.alias("hijri")
+        )
+    )
 
 
 def days(answers: DataFrame) -> DataFrame:

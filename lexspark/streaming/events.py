@@ -12,7 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lexspark.operators.events import DAILY_GOAL, GAP_MS, PER_SPAN, SPAN_MS
 
 
-def rate_limited(events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span: int = SPAN_MS, per_span: int = PER_SPAN) -> DataFrame:
+def rate_limited(
+    events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span: int = SPAN_MS, per_span: int = PER_SPAN
+) -> DataFrame:
     """key, ms, accepted of each event of a stream, by the rule of the batch operator; events of a batch are taken in order of time.
 
     A key's state is the times accepted last, per_span at most. An event earlier than one already
@@ -34,7 +36,9 @@ def rate_limited(events: DataFrame, key: str, ms: str, gap: int = GAP_MS, span:
 
     kind = dict(events.dtypes)[key]
     given = events.select(key, F.col(ms).cast("long").alias("ms")).dropna()
-    return given.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ms long, accepted boolean", "queue array<long>", "append", GroupStateTimeout.NoTimeout)
+    return given.groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, ms long, accepted boolean", "queue array<long>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def daily_progress(events: DataFrame, key: str, ts: str, what: str, late: str = "1 day", goal: int = DAILY_GOAL) -> DataFrame:

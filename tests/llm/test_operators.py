@@ -515,6 +515,83 @@ def test_pairs_without_a_lean_count():
     assert np.allclose(machine.scores(np.array([1, 2, 1]), np.array([0, 0, 2, 3, 3])), [score([]), score([1, 2]), score([1]), score([])])
 
 
+def test_attention_by_plain_loops():
+    """Scores against a forward pass written out, passage by passage."""
+    rng = np.random.default_rng(3)
+    x, first = rng.normal(size=(30, 12)), np.array([0, 4, 5, 17, 30])
+    model = quality_classifier.fit(x, first, np.array([1.0, 0, 1, 0]))
+    w, sig = model.w, lambda z: 1 / (1 + np.exp(-z))
+    for i, got in enumerate(model.scores(x, first)):
+        hs, es = [], []
+        for row in x[first[i] : first[i + 1]]:
+            h = np.tanh(((row - model.mean) / model.scale) @ w["We"] + w["be"])
+            hs.append(h)
+            es.append(float(np.sum(w["a"] * np.tanh(h @ w["V"]) * sig(h @ w["U"]))))
+        share = np.exp(es) / np.sum(np.exp(es))
+        z = sum(s * h for s, h in zip(share, hs, strict=True))
+        assert abs(got - sig(float(z @ w["c"]) + float(w["b"][0]))) < 1e-9
+
+
+def test_passages_see_words():
+    texts = ["alpha beta gamma delta", "omega sigma kappa theta"]  # of one shape
+    x = np.concatenate([quality_classifier.passages(c)[0] for t in texts for c in quality_classifier.chunks(sentence_pieces.pa.array([t]))])
+    assert np.allclose(x[0, 11:13], x[1, 11:13]) and not np.allclose(x[0, -quality_classifier.BUCKETS :], x[1, -quality_classifier.BUCKETS :])
+
+
+def test_machine_by_plain_loops():
+    rng = np.random.default_rng(4)
+    k = 40
+    machine = toxicity.Machine(-0.3, rng.normal(size=k), rng.normal(size=(k, 4)), np.arange(0, 2 * k, 2))
+    bags = [[], [0], [0, 2, 6, 8], [1, 3], [4, 5, 78]]
+    got = machine.logits(np.array(sum(bags, [])), np.append(0, np.cumsum([len(b) for b in bags])))
+    for bag, value in zip(bags, got, strict=True):
+        slots = [b // 2 for b in bag if b % 2 == 0]
+        want = -0.3 + sum(machine.w[i] for i in slots) + sum(machine.v[i] @ machine.v[j] for n, i in enumerate(slots) for j in slots[n + 1 :])
+        assert abs(want - value) < 1e-9
+
+
+def test_labelled_samples_are_bounded(spark):
+    from lexspark.llm import labelled
+
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text").unionByName(spark.createDataFrame([(1, "a"), (1, None)], "doc_id long, text string"))
+    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS y").unionByName(spark.createDataFrame([(None, 1), (5, None), (9999, 1)], "doc_id long, y int"))
+    few = labelled.sample(docs, labels, "y", 4, 2, 200).collect()
+    assert 150 <= len(few) <= 200 and few == few
+    every = labelled.sample(docs, labels, "y", 4, 2, 5000).collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(3000)) and ("a", 1) in {tuple(r) for r in every}
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op9_substring_dedup"])
+def test_queries_with_sql(spark, name):
+    documents = read(spark, DATA, "documents")
+    got = registry.QUERIES[name](spark, DATA)
+    kinds = {"op1_quality_rules": {"n_words": "bigint", "base_failed": "boolean", "kept": "boolean"}, "op9_substring_dedup": {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}}
+    assert {c: dict(got.dtypes)[c] for c in kinds[name]} == kinds[name]
+    same_as_sql(spark, documents, got, registry.ORACLES[name])
+
+
+def test_near_duplicate_query(spark):
+    rows = pairs(read(spark, DATA, "documents"))
+    got = registry.QUERIES["op8_minhash_dedup"](spark, DATA)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows, 85)
+
+
+def test_sentence_piece_query(spark):
+    want = {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in pairs(read(spark, DATA, "documents"))}
+    assert {r.doc_id: (r.n_chars, r.decoded_sha256) for r in registry.QUERIES["op2_sentencepiece"](spark, DATA).collect()} == want
+
+
+def test_stages_take_awkward_rows(spark, docs):
+    import corpus_pipeline
+
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(None, "no id " * 30, None, None, None), (None, None, None, None, None), (7, "a second text of an id " * 9, "en", "s0", 3)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, rows, DATA)
+        assert name == "packing" or got.columns == rows.columns, name
+        assert 0 < got.count() and stage(spark, rows.limit(0), DATA).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

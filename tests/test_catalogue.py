@@ -41,7 +41,10 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "norm"),
-    [("كم شدة في القرآن؟", "كم شده في القران"), ("البقرة آية ١٥٣", "البقره ايه 153"), ("2:255", "2 255"), ("؟", ""), ("A  b\t(C)", "a b c"), ("", ""), (None, None)],
+    [
+        ("كم شدة في القرآن؟", "كم شده في القران"), ("البقرة آية ١٥٣", "البقره ايه 153"), ("2:255", "2 255"), ("؟", ""),
+        ("A  b\t(C)", "a b c"), ("", ""), (None, None)
+    ],
 )
 def test_normal_form(spark, text, norm):
     assert one(spark, fx.normalize(F.lit(text).cast("string"))) == norm
@@ -49,11 +52,16 @@ def test_normal_form(spark, text, norm):
 
 @pytest.mark.parametrize(
     ("text", "word", "standalone", "plain_n", "all_n"),
-    [("الله ولله بالله لله", "الله", 1, 2, 4), ("الرحمن للرحمن الرحمن", "الرحمن", 2, 2, 3), ("الله الله الله", "الله", 2, 3, 3), ("النار وبالنار للنار نار", "النار", 1, 2, 3)],
+    [
+        ("الله ولله بالله لله", "الله", 1, 2, 4), ("الرحمن للرحمن الرحمن", "الرحمن", 2, 2, 3),
+        ("الله الله الله", "الله", 2, 3, 3), ("النار وبالنار للنار نار", "النار", 1, 2, 3)
+    ],
 )
 def test_counts(spark, text, word, standalone, plain_n, all_n):
     t = F.lit(text)
-    assert (one(spark, fx.count_standalone(t, word)), one(spark, fx.count_of(t, word)), one(spark, fx.count_target(t, word))) == (standalone, plain_n, all_n)
+    assert (
+        one(spark, fx.count_standalone(t, word)), one(spark, fx.count_of(t, word)), one(spark, fx.count_target(t, word))
+    ) == (standalone, plain_n, all_n)
 
 
 def test_overlaps_letters_and_cuts(spark):
@@ -74,7 +82,9 @@ def test_rate_limit(spark):
 def test_rate_limit_gathers_no_user(spark):
     """Events stream by in order: no plan step holds all events of a user, and the counts are those of a plain fold."""
     rng = random.Random(4)
-    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, *range(0, 400_000, 50)])) for _ in range(3000)] + [("none", None)]
+    rows = [(
+        rng.choice([None, "a", "b", "c"]), rng.choice([None, *range(0, 400_000, 50)])
+    ) for _ in range(3000)] + [("none", None)]
     want = {}
     for u in {u for u, _ in rows}:
         times, queue, n = sorted(t for v, t in rows if v == u and t is not None), [], 0

@@ -40,15 +40,21 @@ def test_json_behind_urls(spark, tmp_path):
     server.shutdown()
     (tmp_path / "5.json").write_text('{"a": 1}')
     files = read.option("url", f"file://{tmp_path}/{{key}}.json").option("keys", "5,6").load()
-    assert sorted((r.key, r.status, r.body, r.error) for r in files.collect()) == [("5", 200, '{"a": 1}', None), ("6", None, None, "network")]
+    assert sorted((r.key, r.status, r.body, r.error) for r in files.collect()) == [
+        ("5", 200, '{"a": 1}', None), ("6", None, None, "network")
+    ]
     assert read.option("url", "file:///{key}").option("keys", "").load().count() == 0
 
 
 def test_loaders_leave_out_what_is_not_whole(spark, tmp_path):
     good = {"surah": 1, "surah_name": "a", "ayah_start": 1, "ayah_end": 1, "ayah_text": "t", "explanation": "e"}
-    (tmp_path / "p.json").write_text(json.dumps([good, good | {"surah": "x"}, {k: v for k, v in good.items() if k != "explanation"}]))
+    (tmp_path / "p.json").write_text(json.dumps([
+        good, good | {"surah": "x"}, {k: v for k, v in good.items() if k != "explanation"}
+    ]))
     assert dj.load_passages(spark, str(tmp_path / "p.json")).count() == 1
-    verse = dict.fromkeys(("id", "surahNameArabic", "surahNameEnglish", "textUthmani", "textSimple", "textNormalized"), "x") | dict.fromkeys(("surahNumber", "ayahNumber", "juz", "page"), 1)
+    verse = dict.fromkeys(
+        ("id", "surahNameArabic", "surahNameEnglish", "textUthmani", "textSimple", "textNormalized"), "x"
+    ) | dict.fromkeys(("surahNumber", "ayahNumber", "juz", "page"), 1)
     (tmp_path / "v.json").write_text(json.dumps([verse, verse | {"page": None}]))
     assert dj.load_verses(spark, str(tmp_path / "v.json")).count() == 1
     (tmp_path / "l.json").write_text(json.dumps([{"pageNumber": 1, "juz": 1, "surahs": [], "lines": []}, {"pageNumber": 2}]))
@@ -58,7 +64,9 @@ def test_loaders_leave_out_what_is_not_whole(spark, tmp_path):
 def test_layout_without_lines_or_verses_fails(spark):
     words = [{"text": "a", "line_number": None, "position": 1, "char_type_name": "word"}]
     for verses in ([{"verse_key": "1:1", "juz_number": 1, "words": words}], []):
-        pages = spark.createDataFrame([(1, json.dumps({"verses": verses}))], "page int, body string").select("page", F.from_json("body", dj.API_PAGE).alias("b")).select("page", "b.verses")
+        pages = spark.createDataFrame(
+            [(1, json.dumps({"verses": verses}))], "page int, body string"
+        ).select("page", F.from_json("body", dj.API_PAGE).alias("b")).select("page", "b.verses")
         with pytest.raises(Exception, match="a word without a line|no verses"):
             dj.api_words(pages).collect()
 
@@ -85,9 +93,14 @@ def test_large_lists_are_not_broadcast(spark):
 
 
 def test_ties_nulls_and_empty_tables(spark):
-    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, " "), ("b", 1, None), ("c", 1, " y "), (None, 1, "z")], "k string, at int, note string")
+    rows = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 2, " "), ("b", 1, None), ("c", 1, " y "), (None, 1, "z")], "k string, at int, note string"
+    )
     assert {tuple(r) for r in st.upserts(rows, ["k"], ["at"], "note").collect()} == {("c", "y"), (None, "z")}
     assert st.upserts(rows.limit(0), ["k"], ["at"], "note").count() == 0
     assert lk.listed_chapters(spark.createDataFrame([], "id int, query string, kind int"), CHAPTERS.df(spark)).count() == 0
-    one = spark.range(1).select(fx.loose_key(F.lit("كتاب الله ا اا")).alias("a"), lk.nearest_step(F.lit(26), [22, 25, 27]).alias("b"), fx.extract(F.lit(""), 5).alias("c")).first()
+    one = spark.range(1).select(
+        fx.loose_key(F.lit("كتاب الله ا اا")).alias("a"), lk.nearest_step(F.lit(26), [22, 25, 27]).alias("b"),
+        fx.extract(F.lit(""), 5).alias("c")
+    ).first()
     assert tuple(one) == ("كتب الله ا ا", 1, "") and fx.loose("كتاب الله ا اا") == "كتب الله ا ا"
