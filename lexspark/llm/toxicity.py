@@ -65,16 +65,19 @@ class Machine:
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The sum of each run of values; first: where each begins (and the end)."""
-    out = np.zeros(len(first) - 1)
+    """The sum of each run of values (or of rows of values); first: where each begins (and the end)."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), values.dtype)
     some = np.flatnonzero(np.diff(first) > 0)
     if len(some):
-        out[some] = np.add.reduceat(values, first[some])
+        out[some] = np.add.reduceat(values, first[some], axis=0)
     return out
 
 
 def fit(bucket: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Full-batch Adam on the log loss; every term has a weight and a vector, which decay."""
+    """Full-batch Adam on the log loss; every term has a weight and a vector, which decay.
+
+    A term's weight and vector stand side by side, so that each term of a text is one look-up in memory.
+    """
     n, positive = len(y), float(y.sum()) if len(y) else 0.0
     if n == 0 or positive in (0, n):  # nothing to tell apart: the same score for all
         return Machine(float(np.log((positive + 1) / (n - positive + 1))), np.zeros(0), np.zeros((0, FACTORS)), np.zeros(0, np.int64))
@@ -85,23 +88,31 @@ def fit(bucket: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) ->
     of_slot = np.append(0, np.cumsum(np.bincount(slot, minlength=k)))
     # what chance alone does to a term's gradient, and one text to the vectors of its terms, is held down
     share, df = positive / n, np.diff(of_slot)
-    pull = PULL * np.sqrt(share * (1 - share) * df * (n - df) / n) / n
-    shrink = SHRINK * len(slot) / n**2
+    pull = (PULL * np.sqrt(share * (1 - share) * df * (n - df) / n) / n).astype(np.float32)
+    shrink = np.float32(SHRINK * len(slot) / n**2)
     rng = np.random.default_rng(seed)
-    p = {"bias": np.array([np.log(positive / (n - positive))]), "w": np.zeros(k), "v": rng.normal(0, 0.05, (FACTORS, k))}
-    m, s = ({x: np.zeros_like(q) for x, q in p.items()} for _ in range(2))
+    bias, p = np.log(positive / (n - positive)), np.zeros((k, 1 + FACTORS), np.float32)  # weight, vector
+    p[:, 1:] = rng.normal(0, 0.05, (FACTORS, k)).T
+    m, s, own, grad = np.zeros_like(p), np.zeros_like(p), np.empty_like(p), np.empty_like(p)
+    m_bias = s_bias = 0.0
     for step in range(1, STEPS + 1):
-        total = [sums(v[slot], first) for v in p["v"]]
-        logit = p["bias"] + sums((p["w"] - 0.5 * (p["v"] ** 2).sum(0))[slot], first) + 0.5 * sum(t**2 for t in total)
+        own[:, 1:] = p[:, 1:]
+        own[:, 0] = p[:, 0] - 0.5 * np.einsum("ij,ij->i", p[:, 1:], p[:, 1:])
+        total = sums(np.take(own, slot, axis=0), first).astype(np.float64)
+        logit = bias + total[:, 0] + 0.5 * (total[:, 1:] ** 2).sum(1)
         err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
-        dw = sums(err[text], of_slot)
-        dv = np.stack([sums((err * t)[text], of_slot) for t in total]) - p["v"] * dw
-        grad = {"bias": err.sum(keepdims=True), "w": dw + DECAY * p["w"] + pull * np.sign(p["w"]), "v": dv + shrink * p["v"]}
-        for x, q in p.items():
-            m[x] = 0.9 * m[x] + 0.1 * grad[x]
-            s[x] = 0.999 * s[x] + 0.001 * grad[x] ** 2
-            q -= RATE * (1 - step / (STEPS + 1)) * (m[x] / (1 - 0.9**step)) / (np.sqrt(s[x] / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(p["bias"][0]), p["w"], np.ascontiguousarray(p["v"].T), known)
+        total[:, 0] = 1
+        back = sums(np.take((err[:, None] * total).astype(np.float32), text, axis=0), of_slot)
+        np.multiply(p[:, 1:], back[:, :1], out=grad[:, 1:])
+        grad[:, 1:] = back[:, 1:] - grad[:, 1:] + shrink * p[:, 1:]
+        grad[:, 0] = back[:, 0] + np.float32(DECAY) * p[:, 0] + pull * np.sign(p[:, 0])
+        rate, even, odd = RATE * (1 - step / (STEPS + 1)), 1 - 0.9**step, 1 - 0.999**step
+        m_bias, s_bias = 0.9 * m_bias + 0.1 * err.sum(), 0.999 * s_bias + 0.001 * err.sum() ** 2
+        bias -= rate * (m_bias / even) / (np.sqrt(s_bias / odd) + 1e-8)
+        m += np.float32(0.1) * (grad - m)
+        s += np.float32(0.001) * (grad * grad - s)
+        p -= np.float32(rate / even) * m / (np.sqrt(s / np.float32(odd)) + np.float32(1e-8))
+    return Machine(float(bias), p[:, 0].copy(), p[:, 1:].copy(), known)
 
 
 _BAG = pa.schema([("y", pa.int32()), ("terms", pa.binary())])
