@@ -58,7 +58,9 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     if not n:
         return
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
+    offsets = np.frombuffer(
+        column.buffers()[1], np.int64 if wide else np.int32
+    )[column.offset : column.offset + n + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     lo = 0
@@ -127,7 +129,9 @@ def word_hashes(c: Chunk, w: Words, lower: bool = False, seed: int = 0) -> np.nd
             break
         h[live] = mix(h[live] ^ (eight[w.start[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]), 17 + seed)
     for i in np.flatnonzero(size > _LONG_WORD).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(raw[w.start[i] : w.end[i]].tobytes(), digest_size=8, key=b"%d" % seed).digest(), "little")
+        h[i] = int.from_bytes(
+            hashlib.blake2b(raw[w.start[i] : w.end[i]].tobytes(), digest_size=8, key=b"%d" % seed).digest(), "little"
+        )
     return h
 
 

@@ -101,7 +101,9 @@ class Encoder(Known):
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != SPECIAL}
         self.bytes_of = {i: b for b, i in ranks.items()} | {special: SPECIAL.encode()}
-        self.whole = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: special})
+        self.whole = tiktoken.Encoding(
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: special}
+        )
         super().__init__()
 
     def table(self) -> list[bytes]:
@@ -164,5 +166,8 @@ class Encoder(Known):
         ids, done = self.gather(slot)
         edges = np.append(0, done)[np.searchsorted(begin, at)]
         for i in range(len(out)):
-            out[i] = np.array(self.whole.encode(raw[at[i] : at[i + 1]].decode("utf-8"), allowed_special=allowed, disallowed_special=()), np.uint32) if odd[i] else ids[edges[i] : edges[i + 1]]
+            out[i] = np.array(
+                self.whole.encode(raw[at[i] : at[i + 1]].decode("utf-8"), allowed_special=allowed, disallowed_special=()),
+                np.uint32
+            ) if odd[i] else ids[edges[i] : edges[i + 1]]
         return out

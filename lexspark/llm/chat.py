@@ -28,17 +28,28 @@ HEAD, STOP, TRAINED = "### ", "</turn>", "assistant"
 BLOCK = 1024
 _END = f"{STOP}\n".encode()
 
-_TURNS = pa.schema([("conv", pa.string()), ("k", pa.int64()), ("node", pa.binary()), ("role", pa.string()), ("text", pa.string())])
+_TURNS = pa.schema([
+    ("conv", pa.string()), ("k", pa.int64()), ("node", pa.binary()), ("role", pa.string()), ("text", pa.string())
+])
 _TURNS_DDL = "conv string, k long, node binary, role string, text string"
-_NODES = pa.schema([("node", pa.binary()), ("branch", pa.string()), ("k", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
+_NODES = pa.schema([
+    ("node", pa.binary()), ("branch", pa.string()), ("k", pa.int64()), ("ids", pa.binary()), ("tokens", pa.int64()),
+    ("loss_from", pa.int64()), ("loss_to", pa.int64())
+])
 _NODES_DDL = "node binary, branch string, k long, ids binary, tokens long, loss_from long, loss_to long"
-_READ = pa.schema([("conv", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+_READ = pa.schema([
+    ("conv", pa.string()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+    ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())
+])
 _READ_DDL = "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: F.Column) -> F.Column:
     r"""A backslash before each backslash and before each control string, so none is left bare."""
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(HEAD.strip()), F.lit("\\" + HEAD.strip())), F.lit(STOP), F.lit("\\" + STOP))
+    return F.replace(
+        F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(HEAD.strip()), F.lit("\\" + HEAD.strip())), F.lit(STOP),
+        F.lit("\\" + STOP)
+    )
 
 
 def unescape(text: str) -> str:
@@ -74,7 +85,10 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks.append(k)
             names.append(name)
             k += 1
-        yield emit(_TURNS, conv=batch.column("conv").cast(pa.string()), k=ks, node=names, role=batch.column("role").cast(pa.string()), text=batch.column("text").cast(pa.string()))
+        yield emit(
+            _TURNS, conv=batch.column("conv").cast(pa.string()), k=ks, node=names, role=batch.column("role").cast(pa.string()),
+            text=batch.column("text").cast(pa.string())
+        )
 
 
 def _tokenized(path: str):
@@ -88,7 +102,10 @@ def _tokenized(path: str):
             begin = np.array([len(x) if yes else 0 for x, yes in zip(parts[0], loss, strict=True)], np.int64)
             end = begin + np.array([len(x) if yes else 0 for x, yes in zip(parts[1], loss, strict=True)], np.int64)
             ids = [np.concatenate(x).astype("<u4") for x in zip(*parts, strict=True)]
-            yield emit(_NODES, node=batch.column("node"), branch=batch.column("branch").cast(pa.string()), k=batch.column("k"), ids=[x.tobytes() for x in ids], tokens=[len(x) for x in ids], loss_from=begin, loss_to=end)
+            yield emit(
+                _NODES, node=batch.column("node"), branch=batch.column("branch").cast(pa.string()), k=batch.column("k"),
+                ids=[x.tobytes() for x in ids], tokens=[len(x) for x in ids], loss_from=begin, loss_to=end
+            )
         del known
         encoder.cache_clear()
 
@@ -173,7 +190,9 @@ def _digest(path: str):
     return run
 
 
-def prefix_tree(conversations: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def prefix_tree(
+    conversations: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
     """(nodes, turns) of the tree.
 
     nodes: node, branch (the first conversation that has it), k (its depth), ids (the tokens of the
@@ -192,18 +211,31 @@ def prefix_tree(conversations: DataFrame, path: str, conv: str = "conv_id", turn
     a chain. Turns that very many conversations share are few, and joined by broadcast.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("null"))
-    rows = conversations.select(key.alias("conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    run = rows.repartition(width(conversations.sparkSession), "conv").sortWithinPartitions("conv", "_turn", "role", "text").select("conv", "role", "text")
+    rows = conversations.select(
+        key.alias("conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    run = rows.repartition(
+        width(conversations.sparkSession), "conv"
+    ).sortWithinPartitions("conv", "_turn", "role", "text").select("conv", "role", "text")
     turns = checkpoint(run.mapInArrow(_chain, _TURNS_DDL))
     # the owner of a node: the first conversation through it; owners rise along a path, and each one's nodes are a run
     owners = checkpoint(turns.groupBy("node").agg(F.min("conv").alias("branch"), F.count(F.lit(1)).alias("n")))
     placed = checkpoint(hot_join(turns.select("conv", "k", "node"), owners, "node", "n"))
-    head = F.concat(F.lit(HEAD), escape(F.replace(F.replace(F.col("role"), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))), F.lit(":\n"))
+    head = F.concat(
+        F.lit(HEAD), escape(F.replace(F.replace(F.col("role"), F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))),
+        F.lit(":\n")
+    )
     owned = turns.join(owners.select("node", F.col("branch").alias("conv")), ["node", "conv"], "left_semi")
-    said = owned.select("node", F.col("conv").alias("branch"), "k", head.alias("head"), escape(F.col("text")).alias("body"), F.lit(f"{STOP}\n").alias("tail"), (F.col("role") == TRAINED).alias("loss"))
+    said = owned.select(
+        "node", F.col("conv").alias("branch"), "k", head.alias("head"), escape(F.col("text")).alias("body"),
+        F.lit(f"{STOP}\n").alias("tail"), (F.col("role") == TRAINED).alias("loss")
+    )
     along = W.partitionBy("branch").orderBy("k")
     nodes = said.mapInArrow(_tokenized(path), _NODES_DDL)
-    nodes = checkpoint(nodes.withColumn("_within", F.coalesce(F.sum("tokens").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))))
+    nodes = checkpoint(nodes.withColumn(
+        "_within", F.coalesce(F.sum("tokens").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ))
     # a branch's path: its ancestors' branches and the depth at which each forks off, deepest fork first among siblings
     forks = placed.groupBy("conv", "branch").agg(F.min("k").alias("k"))
     own = forks.where(F.col("conv") == F.col("branch")).select("conv")
@@ -212,16 +244,33 @@ def prefix_tree(conversations: DataFrame, path: str, conv: str = "conv_id", turn
     order = F.transform("path", lambda s: F.struct((-s["k"]).alias("up"), s["branch"].alias("branch")))
     branches = starts(paths.join(sizes, "conv").withColumn("order", order))
     # each ancestor branch gives one interval: from where it starts to where the path leaves it
-    step = checkpoint(branches.select("conv", F.posexplode("path").alias("i", "s"), "path").select("conv", "i", F.col("s.branch").alias("branch"), F.expr("get(path, i + 1).k").alias("leaves")).where("leaves IS NOT NULL"))
+    step = checkpoint(branches.select("conv", F.posexplode("path").alias("i", "s"), "path").select(
+        "conv", "i", F.col("s.branch").alias("branch"), F.expr("get(path, i + 1).k").alias("leaves")
+    ).where("leaves IS NOT NULL"))
     place = F.struct("branch", "leaves")
     asked = step.groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    upto = nodes.select(F.struct("branch", (F.col("k") + 1).alias("leaves")).alias("at"), (F.col("_within") + F.col("tokens")).alias("upto"), "branch")
-    reach = upto.join(branches.select(F.col("conv").alias("branch"), F.col("start").alias("from")), "branch").join(asked, "at").select("at", "upto", "from", "n")
+    upto = nodes.select(
+        F.struct("branch", (F.col("k") + 1).alias("leaves")).alias("at"), (F.col("_within") + F.col("tokens")).alias("upto"),
+        "branch"
+    )
+    reach = upto.join(
+        branches.select(F.col("conv").alias("branch"), F.col("start").alias("from")), "branch"
+    ).join(asked, "at").select("at", "upto", "from", "n")
     passed = hot_join(step.select("conv", "i", place.alias("at")), checkpoint(reach), "at", "n")
-    above = passed.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("i", F.col("from"), (F.col("from") + F.col("upto")).alias("to")))).alias("spans"), F.sum("upto").alias("depth"))
-    per_branch = branches.select(F.col("conv").alias("branch"), "start").join(above.withColumnRenamed("conv", "branch"), "branch", "left")
-    spans = F.transform(F.coalesce("spans", F.array().cast("array<struct<i:int,from:bigint,to:bigint>>")), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))
-    mine = F.when(F.col("_within") > 0, F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("_within")).alias("to")))).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
+    above = passed.groupBy("conv").agg(
+        F.sort_array(F.collect_list(F.struct("i", F.col("from"), (F.col("from") + F.col("upto")).alias("to")))).alias("spans"),
+        F.sum("upto").alias("depth")
+    )
+    per_branch = branches.select(F.col("conv").alias("branch"), "start").join(
+        above.withColumnRenamed("conv", "branch"), "branch", "left"
+    )
+    spans = F.transform(
+        F.coalesce("spans", F.array().cast("array<struct<i:int,from:bigint,to:bigint>>")),
+        lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))
+    )
+    mine = F.when(
+        F.col("_within") > 0, F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("_within")).alias("to")))
+    ).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
     tree = nodes.join(per_branch, "branch").select(
         "node", "branch", "k", "ids", "tokens",
         (F.col("start") + F.col("_within")).alias("stream_start"),
@@ -235,15 +284,28 @@ def stream(tree: DataFrame) -> DataFrame:
     """The output itself: block, ids, mask (a digit for each token, 1 under the loss mask), BLOCK tokens a row."""
     one = lambda lo, hi: F.repeat(F.lit("1"), (hi - lo).cast("int"))
     none = lambda lo, hi: F.repeat(F.lit("0"), (hi - lo).cast("int"))
-    mask = F.concat(none(F.lit(0), F.col("loss_from")), one(F.col("loss_from"), F.col("loss_to")), none(F.col("loss_to"), F.col("tokens")))
+    mask = F.concat(
+        none(F.lit(0), F.col("loss_from")), one(F.col("loss_from"), F.col("loss_to")), none(F.col("loss_to"), F.col("tokens"))
+    )
     last = F.col("stream_start") + F.col("tokens") - 1
-    cut = tree.select("stream_start", "tokens", "ids", mask.alias("mask"), F.explode(F.sequence(F.floor(F.col("stream_start") / BLOCK), F.floor(last / BLOCK))).alias("block"))
+    cut = tree.select(
+        "stream_start", "tokens", "ids", mask.alias("mask"),
+        F.explode(F.sequence(F.floor(F.col("stream_start") / BLOCK), F.floor(last / BLOCK))).alias("block")
+    )
     lo = F.greatest(F.col("stream_start"), F.col("block") * BLOCK)
     n = (F.least(F.col("stream_start") + F.col("tokens"), (F.col("block") + 1) * BLOCK) - lo).cast("int")
     at = (lo - F.col("stream_start")).cast("int")
-    pieces = cut.select("block", F.struct(lo.alias("at"), F.substring("ids", 4 * at + 1, 4 * n).alias("ids"), F.substring("mask", at + 1, n).alias("mask")).alias("p"))
+    pieces = cut.select(
+        "block",
+        F.struct(
+            lo.alias("at"), F.substring("ids", 4 * at + 1, 4 * n).alias("ids"), F.substring("mask", at + 1, n).alias("mask")
+        ).alias("p")
+    )
     held = pieces.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return held.select("block", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"), F.array_join("p.mask", "").alias("mask"))
+    return held.select(
+        "block", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+        F.array_join("p.mask", "").alias("mask")
+    )
 
 
 def starts(branches: DataFrame) -> DataFrame:
@@ -257,7 +319,9 @@ def starts(branches: DataFrame) -> DataFrame:
     parts = ranged.groupBy("_part").agg(F.sum("size").alias("_sum"))
     before = parts.select("_part", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_before"))
     within = F.sum("size").over(W.partitionBy("_part").orderBy("order")) - F.col("size")
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn("start", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(
+        "start", F.col("_before") + F.col("_within")
+    ).drop("_part", "_within", "_before")
 
 
 def read_back(tree: DataFrame, turns: DataFrame, path: str) -> DataFrame:
@@ -271,7 +335,13 @@ def read_back(tree: DataFrame, turns: DataFrame, path: str) -> DataFrame:
     own = F.array(F.struct(F.col("stream_start").alias("from"), (F.col("stream_start") + F.col("tokens")).alias("to")))
     ends = checkpoint(tree.select("node", F.concat("attends", own).alias("spans")).join(asked, "node"))
     spans = hot_join(leaves, ends, "node", "n").select("conv", F.posexplode("spans").alias("i", "s"))
-    wanted = saved(spans.select("conv", "i", "s.*", F.explode(F.sequence(F.floor(F.col("s.from") / BLOCK), F.floor((F.col("s.to") - 1) / BLOCK))).alias("block")), "spans")
+    wanted = saved(
+        spans.select(
+            "conv", "i", "s.*",
+            F.explode(F.sequence(F.floor(F.col("s.from") / BLOCK), F.floor((F.col("s.to") - 1) / BLOCK))).alias("block")
+        ),
+        "spans"
+    )
     blocks = saved(stream(tree).join(wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "block"), "stream")
     full = hot_join(wanted, blocks, "block", "n")
     lo = F.greatest(F.col("from"), F.col("block") * BLOCK)
@@ -292,4 +362,7 @@ def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], table.schema)
     tree, turns = prefix_tree(table.unionByName(extra), path)
-    return read_back(tree, turns, path).select(F.expr("try_cast(substr(conv, 2) AS BIGINT)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return read_back(tree, turns, path).select(
+        F.expr("try_cast(substr(conv, 2) AS BIGINT)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
+        "formatted_chars"
+    )

@@ -91,7 +91,9 @@ def row_key(*columns: str) -> F.Column:
 
 def emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch in the order of the schema."""
-    return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays(
+        [x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema
+    )
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -31,7 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = new
     # all edges are now from a component's smallest node
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select("a", "a").toDF("node", "component").distinct())
+    return now.select(
+        F.col("b").alias("node"), F.col("a").alias("component")
+    ).unionByName(now.select("a", "a").toDF("node", "component").distinct())
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

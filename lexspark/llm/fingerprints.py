@@ -45,12 +45,21 @@ def votes(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     weight = lambda w, i: F.least(F.lit(HEAVIEST), F.length(w) + F.coalesce(F.length(after(i)), F.lit(0))) - 1
     marked = F.transform("_w", lambda w, i: F.xxhash64(w, after(i)).bitwiseAND(F.lit(-16)).bitwiseOR(weight(w, i).cast("long")))
     term = words.select(*key, F.explode_outer(marked).alias("_t"))
-    hashed = term.select(*key, F.when(F.col("_t").isNotNull(), F.xxhash64("_t")).otherwise(0).alias("_h"), F.xxhash64("_t", F.lit(1)).alias("_g"), F.coalesce(F.col("_t").bitwiseAND(F.lit(15)) + 1, F.lit(0)).alias("_weight"))
+    hashed = term.select(
+        *key, F.when(F.col("_t").isNotNull(), F.xxhash64("_t")).otherwise(0).alias("_h"), F.xxhash64("_t", F.lit(1)).alias("_g"),
+        F.coalesce(F.col("_t").bitwiseAND(F.lit(15)) + 1, F.lit(0)).alias("_weight")
+    )
     lane = lambda h, i: F.sum(F.shiftrightunsigned(F.col(h), i).bitwiseAND(F.lit(0x100000001)) * F.col("_weight"))
-    sums = hashed.groupBy(*key).agg(F.sum("_weight").alias("_all"), *[lane(h, i).alias(f"{h}{i}") for h in ("_h", "_g") for i in range(32)])
-    bit = lambda value, i: F.when(2 * value > F.col("_all"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long"))
+    sums = hashed.groupBy(*key).agg(
+        F.sum("_weight").alias("_all"), *[lane(h, i).alias(f"{h}{i}") for h in ("_h", "_g") for i in range(32)]
+    )
+    bit = lambda value, i: F.when(
+        2 * value > F.col("_all"), F.lit(_signed(1 << i))
+    ).otherwise(F.lit(0).cast("long"))
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(_LOW))), (lambda c: F.shiftrightunsigned(F.col(c), 32))
-    packed = lambda h: reduce(lambda a, b: a.bitwiseOR(b), [bit(half(f"{h}{i}"), i + at) for half, at in ((low, 0), (high, 32)) for i in range(32)])
+    packed = lambda h: reduce(
+        lambda a, b: a.bitwiseOR(b), [bit(half(f"{h}{i}"), i + at) for half, at in ((low, 0), (high, 32)) for i in range(32)]
+    )
     return sums.select(*key, packed("_h").alias("fp_hi"), packed("_g").alias("fp_lo"))
 
 
@@ -89,7 +98,9 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
         table = F.lit(bounds).cast("array<bigint>")
         # how many boundaries the id is not under, by halving
-        found = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= F.col("doc_id"), at + s).otherwise(at))
+        found = F.aggregate(
+            steps, F.lit(0), lambda at, s: F.when(F.get(table, at + s - 1) <= F.col("doc_id"), at + s).otherwise(at)
+        )
         bucket = F.lit(len(bounds)) - found
     else:
         bucket = F.lit(0)
@@ -99,11 +110,24 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     top = [None] * (len(bounds) + 1)
     for i, (b, highest) in enumerate(tops):
         before[b], top[b] = tops[i - 1][0], highest
-    leads = F.col("doc_id").eqNullSafe(F.get(F.lit(top).cast("array<bigint>") if any(x is not None for x in top) else F.array(*[F.lit(None).cast("bigint")] * len(top)), F.col("_b")))
-    to = F.when(leads, F.array(F.struct(F.col("_b"), F.lit(True).alias("_own")), F.struct(F.get(F.lit(before).cast("array<int>"), F.col("_b")).alias("_b"), F.lit(False).alias("_own")))).otherwise(F.array(F.struct(F.col("_b"), F.lit(True).alias("_own"))))
-    sent = placed.withColumn("_to", F.explode(to)).select("doc_id", "text", F.col("_to._b").alias("_b"), F.col("_to._own").alias("_own"))
+    leads = F.col("doc_id").eqNullSafe(F.get(
+        F.lit(top).cast("array<bigint>") if any(x is not None for x in top) else F.array(*[F.lit(None).cast("bigint")] * len(top)),
+        F.col("_b")
+    ))
+    to = F.when(
+        leads,
+        F.array(
+            F.struct(F.col("_b"), F.lit(True).alias("_own")),
+            F.struct(F.get(F.lit(before).cast("array<int>"), F.col("_b")).alias("_b"), F.lit(False).alias("_own"))
+        )
+    ).otherwise(F.array(F.struct(F.col("_b"), F.lit(True).alias("_own"))))
+    sent = placed.withColumn("_to", F.explode(to)).select(
+        "doc_id", "text", F.col("_to._b").alias("_b"), F.col("_to._own").alias("_own")
+    )
     line = W.partitionBy("_b").orderBy(F.col("_own").desc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return sent.select("_b", "_own", "doc_id", "text", F.lead("text").over(line).alias("next_text"), F.row_number().over(line).alias("_rn"))
+    return sent.select(
+        "_b", "_own", "doc_id", "text", F.lead("text").over(line).alias("next_text"), F.row_number().over(line).alias("_rn")
+    )
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,10 +143,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("next_text", F.lit("")), half))
     both = rows.select("_b", "_rn", F.posexplode(F.array("text", edited)).alias("_v", "_text"))
     found = votes(both, ["_b", "_rn", "_v"], "_text")
-    side = found.groupBy("_b", "_rn").agg(*[F.max(F.when(F.col("_v") == v, F.col(f"fp_{x}"))).alias(f"{name}_{x}") for v, name in ((0, "fp"), (1, "edited")) for x in ("hi", "lo")])
+    side = found.groupBy("_b", "_rn").agg(*[
+        F.max(F.when(F.col("_v") == v, F.col(f"fp_{x}"))).alias(f"{name}_{x}") for v,
+        name in ((0, "fp"), (1, "edited")) for x in ("hi", "lo")
+    ])
     line = W.partitionBy("_b").orderBy("_rn")
     side = side.select("*", *[F.lead(f"fp_{x}").over(line).alias(f"next_{x}") for x in ("hi", "lo")])
-    shown = rows.where("_own").select("_b", "_rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"))
+    shown = rows.where("_own").select(
+        "_b", "_rn", "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256")
+    )
     return shown.join(side, ["_b", "_rn"]).drop("_b", "_rn")
 
 
@@ -143,16 +173,25 @@ def near(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, blocks: int
         raise ValueError("blocks must divide 64 bits into at most 31 each")
     pairs = list(combinations(range(blocks), 2))
     per = 64 // size
-    block = lambda p, k: F.shiftrightunsigned(F.col(f"{p}_hi" if k < per else f"{p}_lo"), (k % per) * size).bitwiseAND(F.lit((1 << size) - 1))
-    keys = lambda p: F.posexplode(F.array(*[F.shiftleft(block(p, i), size).bitwiseOR(block(p, j)) for i, j in pairs])).alias("_t", "_k")
+    block = lambda p, k: F.shiftrightunsigned(
+        F.col(f"{p}_hi" if k < per else f"{p}_lo"), (k % per) * size
+    ).bitwiseAND(F.lit((1 << size) - 1))
+    keys = lambda p: F.posexplode(F.array(*[
+        F.shiftleft(block(p, i), size).bitwiseOR(block(p, j)) for i, j in pairs
+    ])).alias("_t", "_k")
     ask = queries.select(F.col("fp_hi").alias("q_hi"), F.col("fp_lo").alias("q_lo")).dropna().distinct()
     has = rows.select("fp_hi", "fp_lo").dropna().distinct()
     a = ask.select("*", keys("q")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     b = has.select("*", keys("fp"), F.pmod(F.xxhash64("fp_hi", "fp_lo"), F.lit(SALTS)).cast("int").alias("_salt"))
-    same = reduce(lambda x, y: x.bitwiseOR(y), [F.when(block("q", k) == block("fp", k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)])
+    same = reduce(
+        lambda x, y: x.bitwiseOR(y),
+        [F.when(block("q", k) == block("fp", k), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(blocks)]
+    )
     passed = F.get(F.lit([sum(1 << k for k in range(j) if k != i) for i, j in pairs]), F.col("_t"))
     far = distance("q", "fp")
-    return a.join(b.hint("merge"), ["_t", "_k", "_salt"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select("q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance"))
+    return a.join(b.hint("merge"), ["_t", "_k", "_salt"]).where((far > 0) & (far <= radius) & (same.bitwiseAND(passed) == 0)).select(
+        "q_hi", "q_lo", "fp_hi", "fp_lo", far.alias("distance")
+    )
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +199,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = saved(fingerprints(read(spark, sf_dir, "documents")), "fingerprints")
     asks = F.col("doc_id") % 100 == 0
     asked = found.where(asks)
-    counts = near(asked, found).groupBy(F.col("q_hi").alias("fp_hi"), F.col("q_lo").alias("fp_lo")).agg(F.count(F.lit(1)).alias("n"))
-    counted = asked.join(counts, ["fp_hi", "fp_lo"], "left").withColumn("n_near", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    counts = near(asked, found).groupBy(
+        F.col("q_hi").alias("fp_hi"), F.col("q_lo").alias("fp_lo")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    counted = asked.join(counts, ["fp_hi", "fp_lo"], "left").withColumn(
+        "n_near", F.coalesce("n", F.lit(0)).cast("long")
+    ).drop("n")
     rest = found.where(~F.coalesce(asks, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
     return counted.unionByName(rest).select(
-        "doc_id", "n_chars", "edited_sha256", hex128("fp_hi", "fp_lo").alias("fingerprint"), hex128("edited_hi", "edited_lo").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", hex128("fp_hi", "fp_lo").alias("fingerprint"),
+        hex128("edited_hi", "edited_lo").alias("edited_fingerprint"),
         likeness("fp", "edited").alias("near_edited"), likeness("fp", "next").alias("near_next"), "n_near",
     )

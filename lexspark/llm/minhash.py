@@ -107,7 +107,10 @@ def likeliest(lower: np.ndarray, higher: np.ndarray, n_a: np.ndarray, n_b: np.nd
 _DOCS = pa.schema([("n", pa.int64()), ("key", pa.binary()), ("registers", pa.binary())])
 _TEXTS = pa.schema([("key", pa.binary()), ("text", pa.string())])
 _BUCKETS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
-_COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("linked", pa.bool_()), ("apart", pa.list_(pa.int64()))])
+_COMPARED = pa.schema([
+    ("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("linked", pa.bool_()),
+    ("apart", pa.list_(pa.int64()))
+])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batch.column("text")):
             g, first = shingles(c)
             made = emit(_DOCS, n=np.diff(first), key=sequence_keys(c), registers=[x.tobytes() for x in sketches(g, first)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["doc_id", *made.schema.names])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["doc_id", *made.schema.names]
+            )
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +135,9 @@ def _likely(percent: int):
         least = percent / 100 - MARGIN * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
         for batch in batches:
             n_a, n_b = (batch.column(x).to_numpy().astype(np.float64) for x in ("n_a", "n_b"))
-            r_a, r_b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<u2").reshape(-1, REGISTERS) for x in ("r_a", "r_b"))
+            r_a, r_b = (np.frombuffer(
+                b"".join(batch.column(x).to_pylist()), "<u2"
+            ).reshape(-1, REGISTERS) for x in ("r_a", "r_b"))
             # a lower minimum is a higher register
             j = likeliest((r_a < r_b).sum(1), (r_a > r_b).sum(1), n_a, n_b) if len(n_a) else np.zeros(0)
             yield batch.select(["a", "b"]).filter(pa.array((j >= least) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))))
@@ -163,7 +170,10 @@ def _compare(percent: int, apart: bool):
                         shared = len(full & other)
                         linked = 100 * shared >= percent * (len(full) + len(other) - shared)
                     if linked or apart:
-                        row = (a[i], b[i], len(held), len(mine), linked, np.setxor1d(held, mine, assume_unique=True).view(np.int64) if apart else None)
+                        row = (
+                            a[i], b[i], len(held), len(mine), linked,
+                            np.setxor1d(held, mine, assume_unique=True).view(np.int64) if apart else None
+                        )
                         for x, v in zip(out.values(), row, strict=True):
                             x.append(v)
                 yield emit(_COMPARED, **out)
@@ -179,10 +189,18 @@ def compared(pairs: DataFrame, texts: DataFrame, percent: int, apart: bool = Fal
     """
     spark = pairs.sparkSession
     salted = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs")), "a")
-    members = salted.select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run")).join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", F.lit(False).alias("lead"), "b", "text")
-    leaders = salted.select("a", "runs").distinct().select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")).join(texts.withColumnRenamed("node", "a"), "a").select("a", "run", F.lit(True).alias("lead"), F.lit(None).cast("long").alias("b"), "text")
+    members = salted.select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run")
+    ).join(texts.withColumnRenamed("node", "b"), "b").select("a", "run", F.lit(False).alias("lead"), "b", "text")
+    leaders = salted.select("a", "runs").distinct().select(
+        "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")
+    ).join(texts.withColumnRenamed("node", "a"), "a").select(
+        "a", "run", F.lit(True).alias("lead"), F.lit(None).cast("long").alias("b"), "text"
+    )
     runs = members.unionByName(leaders).repartition(width(spark), "a", "run").sortWithinPartitions("a", "run", F.col("lead").desc())
-    return runs.select("a", "b", "lead", "text").mapInArrow(_compare(percent, apart), "a long, b long, n_a long, n_b long, linked boolean, apart array<long>")
+    return runs.select("a", "b", "lead", "text").mapInArrow(
+        _compare(percent, apart), "a long, b long, n_a long, n_b long, linked boolean, apart array<long>"
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +228,9 @@ def _judged(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = saved(named.mapInArrow(_sketch, "doc_id long, n long, key binary, registers binary"), "sketches")
     full = sketched.where("n > 0")
-    sets = full.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    sets = full.groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers")
+    )
     nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers hold
     used: list[DataFrame] = []
     groups = components(_links(named, nodes, percent, used))
@@ -218,11 +238,22 @@ def _judged(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     placed = nodes.select("key", "node", "least").join(groups, "node", "left")
     # the members of a component are dealt over some parts, and each part learns the smallest id
     grouped = placed.where("component IS NOT NULL")
-    heads = grouped.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of_group = grouped.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(heads, ["component", "_salt"]).select("key", "component", "component_id")
-    of_set = of_group.unionByName(placed.where("component IS NULL").select("key", F.col("node").alias("component"), F.col("least").alias("component_id")))
-    joined = full.select("doc_id", "n", "key").join(of_set, "key").select("doc_id", F.col("n").alias("n_shingles"), "key", "component", "component_id")
-    empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), "key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    heads = grouped.groupBy("component").agg(F.min("least").alias("component_id")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    of_group = grouped.withColumn(
+        "_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    ).join(heads, ["component", "_salt"]).select("key", "component", "component_id")
+    of_set = of_group.unionByName(placed.where("component IS NULL").select(
+        "key", F.col("node").alias("component"), F.col("least").alias("component_id")
+    ))
+    joined = full.select("doc_id", "n", "key").join(of_set, "key").select(
+        "doc_id", F.col("n").alias("n_shingles"), "key", "component", "component_id"
+    )
+    empty = sketched.where("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), "key", F.lit(None).cast("long").alias("component"),
+        F.col("doc_id").alias("component_id")
+    )
     return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -233,9 +264,17 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id",
     """
     key, one = free_name(docs, "_key"), free_name(docs, "_one")
     judged = _judged(docs, percent, doc_id, text).where("kept")
-    kept = saved(judged.groupBy("component", "doc_id").agg(F.min("key").alias(key)).select(F.col("doc_id").alias(one), key), "kept")
-    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = T.StructType([T.StructField("row", body.schema["row"].dataType), T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType())])
+    kept = saved(
+        judged.groupBy("component", "doc_id").agg(F.min("key").alias(key)).select(F.col("doc_id").alias(one), key), "kept"
+    )
+    body = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
+        F.col(text).alias("text")
+    )
+    kind = T.StructType([
+        T.StructField("row", body.schema["row"].dataType), T.StructField("doc_id", T.LongType()),
+        T.StructField("key", T.BinaryType())
+    ])
     told = body.mapInArrow(_told, kind)
     rows = told.join(kept, told["doc_id"].eqNullSafe(kept[one]) & (told["key"] == kept[key]), "left_semi")
     return rows.dropDuplicates(["doc_id", "key"]).select("row.*")
@@ -245,7 +284,9 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row beside its id and key."""
     for batch in batches:
         keys = [k for c in chunks(batch.column("text")) for k in sequence_keys(c)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["row", "doc_id", "key"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["row", "doc_id", "key"]
+        )
 
 
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +296,10 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for c in chunks(batch.column("text")):
             keys = sequence_keys(c)
             new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            yield emit(_TEXTS, key=[keys[i] for i in new], text=batch.column("text").slice(c.lo, c.hi - c.lo).take(pa.array(new, pa.int64())).cast(pa.string()))
+            yield emit(
+                _TEXTS, key=[keys[i] for i in new],
+                text=batch.column("text").slice(c.lo, c.hi - c.lo).take(pa.array(new, pa.int64())).cast(pa.string())
+            )
 
 
 def _links(named: DataFrame, nodes: DataFrame, percent: int, used: list[DataFrame]) -> DataFrame:
@@ -283,9 +327,13 @@ def _links(named: DataFrame, nodes: DataFrame, percent: int, used: list[DataFram
     group = kept(components(edges), "groups")
     # buckets that are not in one component, and the best linked node of each
     placed = live.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
+    apart = placed.groupBy("key").agg(
+        F.min("component").alias("_lo"), F.max("component").alias("_hi")
+    ).where("_lo <> _hi").select("key")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    live = placed.join(apart, "key").join(degree, "node", "left").select("key", "node", F.coalesce("degree", F.lit(0)).alias("degree"))
+    live = placed.join(apart, "key").join(degree, "node", "left").select(
+        "key", "node", F.coalesce("degree", F.lit(0)).alias("degree")
+    )
     best = live.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
     frames = live.join(best, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     framed = kept(compared(frames, texts, percent, apart=True), "frames")
@@ -309,10 +357,14 @@ def _apart(framed: DataFrame, group: DataFrame, percent: int) -> DataFrame:
     """
     c = (100 - percent) / (100 + percent)
     of = group.toDF("b", "component")
-    sides = framed.join(of, "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"), "n_a", "n_b", "linked", "apart", F.size("apart").alias("s"))
+    sides = framed.join(of, "b", "left").select(
+        "a", "b", F.coalesce("component", "b").alias("component"), "n_a", "n_b", "linked", "apart", F.size("apart").alias("s")
+    )
     tokens = sides.select("a", F.explode("apart").alias("token"))
     often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    kept = sides.select("a", "b", "component", "n_a", "n_b", "linked", "s", F.explode("apart").alias("token")).join(often, ["a", "token"])
+    kept = sides.select(
+        "a", "b", "component", "n_a", "n_b", "linked", "s", F.explode("apart").alias("token")
+    ).join(often, ["a", "token"])
     # those that no other node has come first, and match nothing
     line = W.partitionBy("a", "b").orderBy("df", "token")
     place = F.col("s") - F.count(F.lit(1)).over(W.partitionBy("a", "b")) + F.row_number().over(line)
@@ -322,8 +374,14 @@ def _apart(framed: DataFrame, group: DataFrame, percent: int) -> DataFrame:
         "_any": F.col("_place") <= least(F.greatest((F.col("s") + (F.col("n_a") - F.col("n_b")) * c) / 2, F.col("s") - widest)),
         "_lone": ~F.col("linked") & (F.col("_place") <= least(F.col("s") - widest)),
     })
-    x = ranked.where("_lone").select("a", "token", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("n_b").alias("nx"), F.col("_place").alias("px"))
-    y = ranked.where("_any").select("a", "token", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("s").alias("sy"), F.col("n_b").alias("ny"), F.col("_place").alias("py"), F.col("linked").alias("ly"))
+    x = ranked.where("_lone").select(
+        "a", "token", F.col("b").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("n_b").alias("nx"),
+        F.col("_place").alias("px")
+    )
+    y = ranked.where("_any").select(
+        "a", "token", F.col("b").alias("y"), F.col("component").alias("cy"), F.col("s").alias("sy"), F.col("n_b").alias("ny"),
+        F.col("_place").alias("py"), F.col("linked").alias("ly")
+    )
     d = (F.col("nx") + F.col("ny")) * c
     share = F.greatest(F.lit(1), F.ceil((F.col("sx") + F.col("sy") - d) / 2 - 1e-6))
     able = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.abs(F.col("sx") - F.col("sy")) <= d + 1e-6)

@@ -17,7 +17,10 @@ from lexspark.llm.common import emit, read
 WINDOW = 1024
 END_ID = 0
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64())
+])
 _DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _FLUSH = 4 << 20
 
@@ -89,7 +92,9 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
     return emit(_SCHEMA, **{f.name: pa.array([x[i] for x in done], f.type) for i, f in enumerate(_SCHEMA)})
 
 
-def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID
+) -> DataFrame:
     """Pieces of all documents, placed in windows: see the columns of _SCHEMA; ids are little-endian unsigned 32-bit.
 
     A document is the ids of its text (a null or empty one has none) and end_id. Whole windows

@@ -30,7 +30,10 @@ HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 150, 0.02, 3e-3
 
 # byte classes: 0 lower, 1 upper, 2 digit, 3 beyond ASCII, 4 blank, 5 line end, 6 sentence mark, 7 shout, 8 pipe, 9 symbol, 10 other
 _CLASS = np.full(256, 10, np.uint8)
-for _i, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "", " \t\r\x0b\x0c", "\n", ".,;:?'\"-", "!", "|", "#*$%&<>@=_~^{}[]()/\\+`")):
+for _i, _chars in enumerate((
+    "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "", " \t\r\x0b\x0c", "\n", ".,;:?'\"-", "!", "|",
+    "#*$%&<>@=_~^{}[]()/\\+`"
+)):
     _CLASS[[ord(x) for x in _chars]] = _i
 _CLASS[128:] = 3
 _KINDS = 11
@@ -59,9 +62,17 @@ def passages(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     per = lambda x: np.bincount(of_word, x, len(n)) / np.maximum(n, 1)
     top = _CLASS[c.data[w.start]]
     last = _CLASS[c.data[w.end - 1]]
-    again = lambda k: np.append(h[k:] == h[:-k], np.zeros(min(k, len(h)), bool)) if len(h) > k else np.zeros(len(h), bool)
+    again = lambda k: np.append(
+        h[k:] == h[:-k], np.zeros(min(k, len(h)), bool)
+    ) if len(h) > k else np.zeros(len(h), bool)
     mean = per(length)
-    words_part = np.stack([n / PASSAGE_WORDS, mean / 10, np.sqrt(np.maximum(per(length**2) - mean**2, 0)) / 10, per((length <= 3) * 1.0), per((top == 1) * 1.0), per((last == 6) * 1.0), per((last >= 7) * 1.0), per(again(1) * 1.0), per(again(2) * 1.0)], 1)
+    words_part = np.stack(
+        [
+            n / PASSAGE_WORDS, mean / 10, np.sqrt(np.maximum(per(length**2) - mean**2, 0)) / 10, per((length <= 3) * 1.0),
+            per((top == 1) * 1.0), per((last == 6) * 1.0), per((last >= 7) * 1.0), per(again(1) * 1.0), per(again(2) * 1.0)
+        ],
+        1
+    )
     live = np.flatnonzero(n)
     at = w.start[begin[live]]
     span = np.diff(np.append(at, len(c.data)))
@@ -70,7 +81,9 @@ def passages(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     share = kinds / np.maximum(kinds.sum(1, keepdims=True), 1)
     low = word_hashes(c, w, lower=True)
     bucket, sign = (low & U(BUCKETS - 1)).astype(np.int64), 1.0 - 2.0 * ((low >> U(40)) & U(1)).astype(np.float64)
-    hashed = np.bincount(of_word * BUCKETS + bucket, sign, len(n) * BUCKETS).reshape(-1, BUCKETS) / np.sqrt(np.maximum(n, 1))[:, None]
+    hashed = np.bincount(
+        of_word * BUCKETS + bucket, sign, len(n) * BUCKETS
+    ).reshape(-1, BUCKETS) / np.sqrt(np.maximum(n, 1))[:, None]
     return np.concatenate([share, words_part, hashed], 1).astype(np.float32), first
 
 
@@ -92,7 +105,10 @@ class Model:
         e = np.exp(e - np.maximum.reduceat(e, first[:-1])[bag])
         attention = e / np.add.reduceat(e, first[:-1])[bag]
         z = np.add.reduceat(attention[:, None] * h, first[:-1], axis=0)
-        return {"x": x, "h": h, "t": t, "g": g, "bag": bag, "attention": attention, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))}
+        return {
+            "x": x, "h": h, "t": t, "g": g, "bag": bag, "attention": attention, "z": z,
+            "score": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))
+        }
 
     def scores(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.forward(x, first)["score"]
@@ -103,7 +119,10 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    w = {"We": draw(d, HIDDEN), "be": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE), "c": draw(HIDDEN), "b": np.zeros(1)}
+    w = {
+        "We": draw(d, HIDDEN), "be": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE),
+        "c": draw(HIDDEN), "b": np.zeros(1)
+    }
     model = Model(x.mean(0) if len(x) else np.zeros(d), (x.std(0) if len(x) else np.ones(d)) + 1e-2, w)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart: the same score for all
         model.w["c"][:] = 0
@@ -121,7 +140,10 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
         dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
         dh = att[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
         dpre = dh * (1 - h * h)
-        grad = {"We": f["x"].T @ dpre, "be": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": f["z"].T @ err, "b": err.sum(keepdims=True)}
+        grad = {
+            "We": f["x"].T @ dpre, "be": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": f["z"].T @ err,
+            "b": err.sum(keepdims=True)
+        }
         for k, p in w.items():
             q = grad[k] + DECAY * p * (k not in ("be", "b"))
             m[k] = 0.9 * m[k] + 0.1 * q
@@ -138,7 +160,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ys = batch.column("y").to_pylist()
         for c in chunks(batch.column("text")):
             x, first = passages(c)
-            some = [x[np.unique(np.linspace(a, b - 1, min(b - a, FITTED_PASSAGES)).astype(np.int64))] for a, b in zip(first[:-1], first[1:], strict=True)]
+            some = [
+                x[np.unique(np.linspace(a, b - 1, min(b - a, FITTED_PASSAGES)).astype(np.int64))] for a,
+                b in zip(first[:-1], first[1:], strict=True)
+            ]
             yield emit(_BAG, y=ys[c.lo : c.hi], n=[len(p) for p in some], x=[p.tobytes() for p in some])
 
 
@@ -146,8 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> Model:
     """Fit on the passages of at most ``at_most`` labelled documents, the only rows that reach the driver."""
     rows = labelled.sample(docs, labels, "quality", 4, 2, at_most).mapInArrow(_bags, "y int, n int, x binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["x"])))
-    x = np.concatenate([np.zeros((0, FEATURES), np.float32), *[np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]])
-    return fit(x.astype(np.float64), np.append(0, np.cumsum([r["n"] for r in rows])).astype(np.int64), np.array([r["y"] for r in rows], np.float64))
+    x = np.concatenate([
+        np.zeros((0, FEATURES), np.float32), *[np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
+    ])
+    return fit(
+        x.astype(np.float64), np.append(0, np.cumsum([r["n"] for r in rows])).astype(np.int64),
+        np.array([r["y"] for r in rows], np.float64)
+    )
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "_score") -> DataFrame:
@@ -156,7 +186,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "_score
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.scores(*passages(c)) for c in chunks(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())],
+                names=[*batch.schema.names, name]
+            )
 
     return docs.mapInArrow(run, with_column_type(docs, name, T.DoubleType()))
 
@@ -172,4 +205,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs, read(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), model).drop("text")
-    return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", (labelled.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
+    )

@@ -57,7 +57,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     windows = F.when(
         F.col("n_words") >= 8,
-        F.transform(F.sequence(F.lit(0), (F.col("n_words") - 8).cast("int")), lambda i: F.xxhash64(*[at(F.col("_hashes"), i + k) for k in range(8)])),
+        F.transform(
+            F.sequence(F.lit(0), (F.col("n_words") - 8).cast("int")),
+            lambda i: F.xxhash64(*[at(F.col("_hashes"), i + k) for k in range(8)])
+        ),
     ).otherwise(F.array().cast("array<bigint>"))
     df = df.select(*keep, "n_symbols", "n_words", "word_chars", "n_dup_lines", windows.alias("_windows"))
     df = df.withColumn("_twice", F.size(F.array_distinct("_windows")) < F.size("_windows"))
@@ -66,7 +69,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     same = lambda i, j: at(F.col("_ordered"), i)["h"].eqNullSafe(at(F.col("_ordered"), j)["h"])  # noqa: E731  null outside the array
     starts = F.when(
         F.col("_ordered").isNotNull(),
-        F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), F.size("_ordered") - 1), lambda i: same(i, i - 1) | same(i, i + 1)), lambda i: at(F.col("_ordered"), i)["i"])),
+        F.sort_array(F.transform(
+            F.filter(F.sequence(F.lit(0), F.size("_ordered") - 1), lambda i: same(i, i - 1) | same(i, i + 1)),
+            lambda i: at(F.col("_ordered"), i)["i"]
+        )),
     )
     df = df.select(*keep, "n_symbols", "n_words", "word_chars", "n_dup_lines", starts.alias("_starts"))
     covered = F.aggregate(
@@ -75,7 +81,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(8), x - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return df.select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words")
+    )
 
 
 def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
@@ -87,7 +96,10 @@ def host_verdicts(measured: DataFrame, host: str = "host") -> DataFrame:
     with a third of all rows costs no more than others. One row, the priors, goes to the driver.
     A null host is a host of its own.
     """
-    hosts = checkpoint(measured.groupBy(F.col(host)).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.expr(f"CAST({c} AS INT)")).cast("long").alias(f"fails_{r}") for r, c in RULES.items()]))
+    hosts = checkpoint(measured.groupBy(F.col(host)).agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        *[F.sum(F.expr(f"CAST({c} AS INT)")).cast("long").alias(f"fails_{r}") for r, c in RULES.items()]
+    ))
     moments = hosts.agg(
         *[F.expr(f"CAST(sum(fails_{r}) AS DOUBLE) / sum(n_docs)").alias(f"m_{r}") for r in RULES],
         *[F.expr(f"var_pop(CAST(fails_{r} AS DOUBLE) / n_docs)").alias(f"v_{r}") for r in RULES],
@@ -108,12 +120,17 @@ def quality_rules(docs: DataFrame, host: str = "source", text: str = "text", key
     empty table gives an empty result. The measures are kept in a checkpoint (some 100 bytes a
     document), as both the hosts' counts and the join read them.
     """
-    named = docs.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(host).alias("host"), F.col(text).alias("_text"))
+    named = docs.select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(key)], F.col(host).alias("host"), F.col(text).alias("_text")
+    )
     measured = checkpoint(measure(named, "_text").drop("_text"))
     hosts = checkpoint(host_verdicts(measured).select("host", "host_ok"))
     joined = _with_verdict(measured, hosts, "_key0")
     failed = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
-    return joined.select(*[F.col(f"_key{i}").alias(c) for i, c in enumerate(key)], *MEASURES, failed.alias("base_failed"), "host_ok", (~failed & F.col("host_ok")).alias("kept"))
+    return joined.select(
+        *[F.col(f"_key{i}").alias(c) for i, c in enumerate(key)], *MEASURES, failed.alias("base_failed"), "host_ok",
+        (~failed & F.col("host_ok")).alias("kept")
+    )
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -121,21 +138,33 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> Data
 
     The texts are measured twice, for the hosts' counts and for the rows, rather than moved or stored.
     """
-    measured = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).alias("host"), F.col(text).alias("_text")), "_text")
+    measured = measure(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(host).alias("host"),
+            F.col(text).alias("_text")
+        ),
+        "_text"
+    )
     # rules on what a generator gives are not pushed below it, where the measures would be worked out once for each mention
     measured = measured.select("_row", "host", F.explode(F.array(F.struct(*MEASURES))).alias("_m")).select("_row", "host", "_m.*")
     hosts = checkpoint(host_verdicts(measured.select("host", *MEASURES)).select("host", "host_ok"))
     failed = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
-    return _with_verdict(measured.where(~failed).select("_row", "host", *MEASURES), hosts, "_row").where("host_ok").select("_row.*")
+    return _with_verdict(
+        measured.where(~failed).select("_row", "host", *MEASURES), hosts, "_row"
+    ).where("host_ok").select("_row.*")
 
 
 def _with_verdict(rows: DataFrame, hosts: DataFrame, salt_by: str) -> DataFrame:
     """The rows with host_ok: a small table of hosts is broadcast, a larger one joined by salted keys."""
     if hosts.count() <= BROADCAST_HOSTS:
-        return rows.alias("m").join(F.broadcast(hosts.alias("h")), F.col("m.host").eqNullSafe(F.col("h.host")), "left").select("m.*", "host_ok")
+        return rows.alias("m").join(
+            F.broadcast(hosts.alias("h")), F.col("m.host").eqNullSafe(F.col("h.host")), "left"
+        ).select("m.*", "host_ok")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by, *MEASURES), F.lit(SALTS)).cast("int"))
     spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.alias("m").join(spread.alias("h"), F.col("m.host").eqNullSafe(F.col("h.host")) & (F.col("m._salt") == F.col("h._salt")), "left").select("m.*", "host_ok")
+    return salted.alias("m").join(
+        spread.alias("h"), F.col("m.host").eqNullSafe(F.col("h.host")) & (F.col("m._salt") == F.col("h._salt")), "left"
+    ).select("m.*", "host_ok")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +212,10 @@ FROM m LEFT JOIN verdict ON m.source IS NOT DISTINCT FROM verdict.source
 """
 for _mark, _sql in {
     "__FAILS__": ", ".join(f"count(*) FILTER (WHERE {c}) AS fails_{r}" for r, c in RULES.items()),
-    "__MOMENTS__": ", ".join(f"CAST(sum(fails_{r}) AS DOUBLE) / sum(n_docs) AS m_{r}, var_pop(CAST(fails_{r} AS DOUBLE) / n_docs) AS v_{r}" for r in RULES),
-    "__STRENGTHS__": ", ".join(f"CASE WHEN v_{r} > 0 THEN least({MAX_STRENGTH}, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE {MAX_STRENGTH} END AS s_{r}" for r in RULES),
+    "__MOMENTS__": ", ".join(f"CAST(sum(fails_{r}) AS DOUBLE) / sum(n_docs) AS m_{r}, var_pop(CAST(fails_{r} AS DOUBLE) / "
+    f"n_docs) AS v_{r}" for r in RULES),
+    "__STRENGTHS__": ", ".join(f"CASE WHEN v_{r} > 0 THEN least({MAX_STRENGTH}, greatest(1.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) "
+    f"ELSE {MAX_STRENGTH} END AS s_{r}" for r in RULES),
     "__RATES__": ", ".join(f"(fails_{r} + m_{r} * s_{r}) / (n_docs + s_{r})" for r in RULES),
     "__LIMIT__": str(HOST_LIMIT),
 }.items():

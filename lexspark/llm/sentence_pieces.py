@@ -50,13 +50,21 @@ class Pieces(Known):
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = [model.is_control(i) or model.is_unknown(i) for i in range(len(names))]
         byte = [model.is_byte(i) for i in range(len(names))]
-        self.byte_ids = np.array([i for i, _ in sorted(((i, n) for i, n in enumerate(names) if byte[i]), key=lambda x: x[1])], np.uint32)
+        self.byte_ids = np.array(
+            [i for i, _ in sorted(((i, n) for i, n in enumerate(names) if byte[i]), key=lambda x: x[1])], np.uint32
+        )
         ids = {n: i for i, n in enumerate(names) if not byte[i] and not special[i]}
-        self.bytes = [b"" if special[i] else bytes([int(n[3:5], 16)]) if byte[i] else n.replace(_SPACE, " ").encode() for i, n in enumerate(names)]
+        self.bytes = [
+            b"" if special[i] else bytes([int(n[3:5], 16)]) if byte[i] else n.replace(_SPACE, " ").encode() for i,
+            n in enumerate(names)
+        ]
         symbol = lambda part: ids.get(part, len(names) + ord(part) if len(part) == 1 else -1)
         order = np.array([-model.get_score(i) for i in range(len(names))])
         self.rank = np.argsort(np.argsort(order, kind="stable"), kind="stable").astype(np.int64)
-        made = {(symbol(n[:k]) << 21) | symbol(n[k:]): i for n, i in ids.items() for k in range(1, len(n)) if symbol(n[:k]) >= 0 and symbol(n[k:]) >= 0}
+        made = {
+            (symbol(n[:k]) << 21) | symbol(n[k:]): i for n,
+            i in ids.items() for k in range(1, len(n)) if symbol(n[:k]) >= 0 and symbol(n[k:]) >= 0
+        }
         self.made = made
         self.pair = np.array(sorted(made), np.int64)
         self.merged = np.array([made[k] for k in self.pair.tolist()], np.int64)
@@ -110,7 +118,9 @@ class Pieces(Known):
         n, salt, least = len(part), int(salt), self.dropout * 2.0**53
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         made = self.candidates(symbols[:-1], symbols[1:])
-        agenda = [(int(self.rank[made[i]]), i, i + 1, int(made[i]), part[i], part[i + 1]) for i in np.flatnonzero(made >= 0).tolist()]
+        agenda = [(
+            int(self.rank[made[i]]), i, i + 1, int(made[i]), part[i], part[i + 1]
+        ) for i in np.flatnonzero(made >= 0).tolist()]
         heapify(agenda)
 
         def offer(i: int, j: int) -> None:
@@ -133,7 +143,9 @@ class Pieces(Known):
                 offer(left[i], i)
         return [p for p in part if p >= 0]
 
-    def segments(self, symbols: np.ndarray, first: np.ndarray, salt: np.ndarray, forced: np.ndarray | None = None, done: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def segments(
+        self, symbols: np.ndarray, first: np.ndarray, salt: np.ndarray, forced: np.ndarray | None = None, done: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The same for many stretches: first has where each begins (and the end).
 
         Each round takes the best candidate of every stretch that still has one; long stretches
@@ -241,7 +253,9 @@ class Pieces(Known):
         n_chars = lead[begin + length] - lead[begin]
 
         def symbols(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            bare = b"".join([raw[x:y] for x, y in zip(begin[which].tolist(), (begin + length)[which].tolist(), strict=True)]).decode()
+            bare = b"".join([
+                raw[x:y] for x, y in zip(begin[which].tolist(), (begin + length)[which].tolist(), strict=True)
+            ]).decode()
             return self.of_char[np.frombuffer(bare.encode("utf-32-le"), np.uint32)], np.append(0, np.cumsum(n_chars[which]))
 
         if len(self.index) > KNOWN_PIECES:
@@ -263,7 +277,10 @@ class Pieces(Known):
                 row[which] = np.arange(len(which))
                 held = skips[:, row[skips[0]] >= 0]
                 done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
-                made = self.segments(*symbols(which), salt[which], np.sort((row[held[0]] << (6 + PIECE_BITS)) | held[1]), done if self.dropout else None)
+                made = self.segments(
+                    *symbols(which), salt[which], np.sort((row[held[0]] << (6 + PIECE_BITS)) | held[1]),
+                    done if self.dropout else None
+                )
                 self.keep(*self.spelled(*made), distinct[new].tolist(), *(np.concatenate(x) for x in zip(*done, strict=True)))
             slot[of] = found[back]
             if not self.dropout:
@@ -319,7 +336,9 @@ def _mixed(x: int) -> int:
 _IDS = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """key, n_tokens and ids (little-endian unsigned 32-bit) of each text.
 
     Whether a candidate merge is skipped follows from the seed, the row's key, the place of its
@@ -328,7 +347,9 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     columns don't matter, and an empty table gives an empty result. path: a BPE model file of the
     sentencepiece library, present on the executors.
     """
-    named = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), F.col(text).alias("_text"))
+    named = docs.select(
+        F.col(key).alias("_key"), F.xxhash64(F.col(key).cast("string")).alias("_hash"), F.col(text).alias("_text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, dropout, seed)
@@ -337,7 +358,9 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
             for c in chunks(batch.column("_text"), AT_ONCE):
                 ids = model.encode(c, hashes[c.lo : c.hi])
                 made = emit(_IDS, n_tokens=[len(x) for x in ids], ids=[x.astype("<u4").tobytes() for x in ids])
-                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", *made.schema.names])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_key").slice(c.lo, c.hi - c.lo), *made.columns], names=["_key", *made.schema.names]
+                )
         model.forget()  # the worker outlives the task
 
     kind = docs.schema[key].dataType.simpleString()
@@ -367,4 +390,6 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the ids go through the decoder beside the other columns, so nothing is joined
     packed = coded.select(F.struct("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")).alias("row"), "ids")
     back = decode(packed, path, key="row")
-    return back.select("row.*", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    return back.select(
+        "row.*", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256")
+    )

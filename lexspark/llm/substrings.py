@@ -156,7 +156,9 @@ def phrases(s: Symbols, window: int = WINDOW, least: int = PHRASE) -> tuple[np.n
     return name[chosen[head]], start[head] + size - 1 - first_word[row[head]], size - 1, row[head]
 
 
-def run_places(begin: np.ndarray, size: np.ndarray, least: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_places(
+    begin: np.ndarray, size: np.ndarray, least: int, window: int = WINDOW
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that hold ``least`` words of a run or more: which run, the last start, and how many starts before it; at most 32 together."""
     lo, hi = np.maximum(begin + least - window, 0), begin + size - least
     parts = (hi - lo) // 32 + 1
@@ -165,8 +167,14 @@ def run_places(begin: np.ndarray, size: np.ndarray, least: int, window: int = WI
     return which, top, np.minimum(top - lo[which], 31)
 
 
-_ROUND = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("free", pa.binary()), ("runs", pa.binary())])
-_OCCURS = pa.schema([("name", pa.int64()), ("more", pa.int64()), ("text", pa.int64()), ("text2", pa.int64()), ("place", pa.int64()), ("known", pa.int8())])
+_ROUND = pa.schema([
+    ("text", pa.int64()), ("text2", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("free", pa.binary()),
+    ("runs", pa.binary())
+])
+_OCCURS = pa.schema([
+    ("name", pa.int64()), ("more", pa.int64()), ("text", pa.int64()), ("text2", pa.int64()), ("place", pa.int64()),
+    ("known", pa.int8())
+])
 _OCCURS_DDL = "name long, more long, text long, text2 long, place long, known byte"
 _PLACES = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("place", pa.int64())])
 _PLACES_DDL = "text long, text2 long, place long"
@@ -206,9 +214,14 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = _text_keys(c)
             h = word_hashes(c, w)
             ok = np.flatnonzero(_fresh(key, seen) & (w.counts >= WINDOW))
-            part = lambda x: [x[a:b].tobytes() for a, b in zip(w.first[ok].tolist(), w.first[ok + 1].tolist(), strict=True)]
+            part = lambda x: [
+                x[a:b].tobytes() for a, b in zip(w.first[ok].tolist(), w.first[ok + 1].tolist(), strict=True)
+            ]
             one = np.ones(len(h), np.int32)
-            yield emit(_ROUND, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64), names=part(h), sizes=part(one), free=part(one.astype(bool)), runs=[b""] * len(ok))
+            yield emit(
+                _ROUND, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64), names=part(h), sizes=part(one),
+                free=part(one.astype(bool)), runs=[b""] * len(ok)
+            )
 
 
 def _symbols(batch: pa.RecordBatch) -> Symbols:
@@ -239,10 +252,18 @@ def _round(r: int):
             noted = np.empty(len(which), _RUN)
             noted["name"], noted["top"], noted["span"] = joined(repeats, np.full(len(repeats), 41 + r, U))[which], top, span
             edge = np.searchsorted(s.text[long][which], np.arange(batch.num_rows + 1))
-            runs = [old + noted[a:b].tobytes() for old, a, b in zip(batch.column("runs").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            runs = [
+                old + noted[a:b].tobytes() for old, a,
+                b in zip(batch.column("runs").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)
+            ]
             s = name_pairs(s, r)
-            part = lambda x, s=s: [x[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)]
-            yield emit(_ROUND, text=batch.column("text"), text2=batch.column("text2"), names=part(s.name), sizes=part(s.size.astype(np.int32)), free=part(s.free), runs=runs)
+            part = lambda x, s=s: [
+                x[a:b].tobytes() for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist(), strict=True)
+            ]
+            yield emit(
+                _ROUND, text=batch.column("text"), text2=batch.column("text2"), names=part(s.name),
+                sizes=part(s.size.astype(np.int32)), free=part(s.free), runs=runs
+            )
 
     return run
 
@@ -284,7 +305,9 @@ def _sent(name: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarra
     alike = same | np.append(same[1:], False) if len(order) else same
     alone, rest = order[~alike], order[alike]
     rest = rest[np.lexsort((place[rest], text[rest, 1], text[rest, 0], more[rest], name[rest]))]
-    changed = lambda *xs: np.append(np.ones(min(len(xs[0]), 1), bool), np.logical_or.reduce([x[1:] != x[:-1] for x in xs]))
+    changed = lambda *xs: np.append(
+        np.ones(min(len(xs[0]), 1), bool), np.logical_or.reduce([x[1:] != x[:-1] for x in xs])
+    )
     cols = (name[rest], more[rest], text[rest, 0], text[rest, 1], place[rest])
     once = changed(*cols)
     rest, cols = rest[once], [x[once] for x in cols]
@@ -292,9 +315,14 @@ def _sent(name: np.ndarray, more: np.ndarray, text: np.ndarray, place: np.ndarra
     several = np.diff(np.append(np.flatnonzero(head), len(rest)))[np.cumsum(head) - 1] > 1 if len(rest) else head
     tells = rest[several & head]
     take = np.concatenate([alone, rest, tells])
-    known = np.concatenate([np.full(len(alone), NEW, np.int8), np.where(several, KNOWN, NEW).astype(np.int8), np.full(len(tells), TELLS, np.int8)])
+    known = np.concatenate([
+        np.full(len(alone), NEW, np.int8), np.where(several, KNOWN, NEW).astype(np.int8), np.full(len(tells), TELLS, np.int8)
+    ])
     of = lambda x: x[take].view(np.int64)
-    return emit(_OCCURS, name=of(name), more=of(more), text=of(np.ascontiguousarray(text[:, 0])), text2=of(np.ascontiguousarray(text[:, 1])), place=place[take], known=known)
+    return emit(
+        _OCCURS, name=of(name), more=of(more), text=of(np.ascontiguousarray(text[:, 0])),
+        text2=of(np.ascontiguousarray(text[:, 1])), place=place[take], known=known
+    )
 
 
 class _Sender:
@@ -342,7 +370,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(occurrences: DataFrame, n: int) -> DataFrame:
     """text, text2, place of the occurrences whose name has two; they may come more than once."""
     route = F.when(F.col("known") == KNOWN, F.xxhash64("text", "place")).otherwise(F.col("name"))
-    return occurrences.repartition(n, route).sortWithinPartitions("name", "more", "text", "text2", "place").mapInArrow(_repeated, _PLACES_DDL)
+    return occurrences.repartition(n, route).sortWithinPartitions(
+        "name", "more", "text", "text2", "place"
+    ).mapInArrow(_repeated, _PLACES_DDL)
 
 
 _TEXTS = pa.schema([("text", pa.int64()), ("text2", pa.int64()), ("body", pa.binary())])
@@ -358,7 +388,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = _text_keys(c)
             ok = np.flatnonzero(_fresh(key, seen) & (words(c).counts >= WINDOW))
             raw = c.data.tobytes()
-            yield emit(_TEXTS, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64), body=[pack(raw[c.at[i] : c.at[i + 1]]) for i in ok.tolist()])
+            yield emit(
+                _TEXTS, text=key[ok, 0].view(np.int64), text2=key[ok, 1].view(np.int64),
+                body=[pack(raw[c.at[i] : c.at[i + 1]]) for i in ok.tolist()]
+            )
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
@@ -432,7 +465,10 @@ def _cut(as_is: bool):
                 else:
                     of = raw[c.at[i] : c.at[i + 1]].split()
                     kept.append(b" ".join([of[j] for j in np.flatnonzero(~gone[mine]).tolist()]).decode())
-            yield emit(_CUT, text=batch.column("text"), text2=batch.column("text2"), n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept)
+            yield emit(
+                _CUT, text=batch.column("text"), text2=batch.column("text2"),
+                n_removed=np.add.reduceat(np.append(gone, 0), w.first[:-1]), kept=kept
+            )
 
     return run
 
@@ -464,8 +500,12 @@ def _rows(digest: bool, as_is: bool):
                     whole = [raw[a:b].decode() for a, b in zip(c.at[:-1].tolist(), c.at[1:].tolist(), strict=True)]
                 else:
                     whole = [x.decode() for x in said]
-                made = emit(_ROWS, text=key[:, 0].view(np.int64), text2=key[:, 1].view(np.int64), n_words=words(c).counts, whole=whole)
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["_id", *made.schema.names])
+                made = emit(
+                    _ROWS, text=key[:, 0].view(np.int64), text2=key[:, 1].view(np.int64), n_words=words(c).counts, whole=whole
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id").slice(c.lo, c.hi - c.lo), *made.columns], names=["_id", *made.schema.names]
+                )
 
     return run
 
@@ -480,7 +520,9 @@ def _keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield emit(_KEY, text=key[:, 0].view(np.int64), text2=key[:, 1].view(np.int64))
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False, as_is: bool = False) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False, as_is: bool = False
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept of each row: the words left, joined by one space (their SHA-256 where digest).
     as_is: the words left keep what stands between them; of the text only the bytes from the first
     to the last word of each removed run go.
@@ -499,24 +541,36 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     """
     n = width(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("_id", docs.schema[doc_id].dataType), *[T.StructField(x, T.LongType()) for x in ("text", "text2", "n_words")], T.StructField("whole", T.StringType())])
+    schema = T.StructType([
+        T.StructField("_id", docs.schema[doc_id].dataType),
+        *[T.StructField(x, T.LongType()) for x in ("text", "text2", "n_words")], T.StructField("whole", T.StringType())
+    ])
     body = named.select("text")
     rows = named.mapInArrow(_rows(digest, as_is), schema)
     texts = body.mapInArrow(_texts, _TEXTS_DDL)
     found = repeated(body.mapInArrow(_rounds, _OCCURS_DDL), n)
     key = ["text", "text2"]
     # both joins go by half of the key, so that they read one shuffle of the texts; the other half is compared where it is known
-    listed = lambda df: texts.join(df.groupBy("text").agg(F.collect_set(F.struct(F.col("text2").alias("other"), "place")).alias("p")), "text")
+    listed = lambda df: texts.join(
+        df.groupBy("text").agg(F.collect_set(F.struct(F.col("text2").alias("other"), "place")).alias("p")), "text"
+    )
     windows = repeated(listed(found).select(*key, "body", F.col("p.place").alias("places")).mapInArrow(_windows, _OCCURS_DDL), n)
     mine = F.filter("p", lambda x: x["other"] == F.col("text2"))["place"]
-    cut = listed(windows).select(*key, "body", mine.alias("places")).mapInArrow(_cut(as_is), "text long, text2 long, n_removed long, kept string")
+    cut = listed(windows).select(*key, "body", mine.alias("places")).mapInArrow(
+        _cut(as_is), "text long, text2 long, n_removed long, kept string"
+    )
     cut = cut.select(*key, "n_removed", (F.sha2(F.encode("kept", "UTF-8"), 256) if digest else F.col("kept")).alias("kept"))
     cut = cut.groupBy(*key).agg(F.max("n_removed").alias("n_removed"), F.any_value("kept").alias("kept"))
-    counts = saved(body.mapInArrow(_keys_only, "text long, text2 long").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    counts = saved(
+        body.mapInArrow(_keys_only, "text long, text2 long").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "copies"
+    )
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("n") * HOT_TEXTS > total).select(*key, F.lit(True).alias("_hot")))
     # a row of a hot text gets a second half of its key that no text has
-    apart = rows.join(hot, key, "left").withColumn("text2", F.when(F.col("_hot"), F.xxhash64(F.col("_id").cast("string"))).otherwise(F.col("text2")))
+    apart = rows.join(hot, key, "left").withColumn(
+        "text2", F.when(F.col("_hot"), F.xxhash64(F.col("_id").cast("string"))).otherwise(F.col("text2"))
+    )
     all_gone = (F.col("n").isNotNull() | F.col("_hot").isNotNull()) & (F.col("n_words") >= WINDOW)
     nothing = hashlib.sha256(b"").hexdigest() if digest else ""
     return (

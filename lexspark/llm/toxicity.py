@@ -80,7 +80,9 @@ def fit(bucket: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) ->
     """
     n, positive = len(y), float(y.sum()) if len(y) else 0.0
     if n == 0 or positive in (0, n):  # nothing to tell apart: the same score for all
-        return Machine(float(np.log((positive + 1) / (n - positive + 1))), np.zeros(0), np.zeros((0, FACTORS)), np.zeros(0, np.int64))
+        return Machine(
+            float(np.log((positive + 1) / (n - positive + 1))), np.zeros(0), np.zeros((0, FACTORS)), np.zeros(0, np.int64)
+        )
     known, slot = np.unique(bucket, return_inverse=True)
     k, slot = len(known), slot.astype(np.int32)
     # the texts of each term in runs, too, so that sums go along memory in both directions
@@ -123,7 +125,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ys = batch.column("y").to_pylist()
         for c in chunks(batch.column("text")):
             bucket, first = terms(c)
-            yield emit(_BAG, y=ys[c.lo : c.hi], terms=[bucket[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])
+            yield emit(
+                _BAG, y=ys[c.lo : c.hi],
+                terms=[bucket[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            )
 
 
 def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> Machine:
@@ -132,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> Machine:
     rows.sort(key=lambda r: (r["y"], bytes(r["terms"])))
     bags = [np.frombuffer(r["terms"], np.int32) for r in rows]
     bucket = np.concatenate([np.zeros(0, np.int32), *bags]).astype(np.int64)
-    return fit(bucket, np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64), np.array([r["y"] for r in rows], np.float64))
+    return fit(
+        bucket, np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64), np.array([r["y"] for r in rows], np.float64)
+    )
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "_score") -> DataFrame:
@@ -141,7 +148,10 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", name: str = "_s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [machine.scores(*terms(c)) for c in chunks(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())],
+                names=[*batch.schema.names, name]
+            )
 
     return docs.mapInArrow(run, with_column_type(docs, name, T.DoubleType()))
 
@@ -151,4 +161,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     machine = train(docs, read(spark, sf_dir, "labels"))
     scored = score(docs.select("doc_id", "text"), machine).drop("text")
-    return scored.select("doc_id", (labelled.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", (labelled.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
+    )

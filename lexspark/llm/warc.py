@@ -20,7 +20,9 @@ SHARE = 256
 def base32_sha1(payload: F.Column) -> F.Column:
     """Bare upper-case base32 of the SHA-1 of a binary column: 8 times 5 hex digits, 4 letters each."""
     digits = F.sha1(payload)
-    letter = lambda value, shift: F.substring(F.lit(_BASE32), (F.shiftright(value, shift).bitwiseAND(F.lit(31)) + 1), F.lit(1))
+    letter = lambda value, shift: F.substring(
+        F.lit(_BASE32), (F.shiftright(value, shift).bitwiseAND(F.lit(31)) + 1), F.lit(1)
+    )
     part = lambda i: F.conv(F.substring(digits, i * 5 + 1, 5), 16, 10).cast("int")
     return F.concat(*[letter(part(i), s) for i in range(8) for s in (15, 10, 5, 0)])
 
@@ -34,7 +36,10 @@ def _as_it_was(value: F.Column) -> F.Column:
     return F.replace(F.replace(F.replace(value, F.lit("%0D"), F.lit("\r")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archive(
+    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0,
+    date: str = "1970-01-01T00:00:00Z"
+) -> None:
     """Write ``folder``/payloads (address, payload, shares) and ``folder``/records (address, share, header).
 
     A null html is an empty payload; a null url has no WARC-Target-URI line; a null page_id makes
@@ -45,12 +50,21 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     ignored. The records of a payload are dealt over its shares, of SHARE records or so each, so that
     many records of one payload can be joined with it in many tasks.
     """
-    base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload"))
+    base = pages.select(
+        F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
+        F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload")
+    )
     base = base.withColumn("address", F.unhex(F.sha2("payload", 256)))
-    records = checkpoint(base.select("page_id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest")))
-    keepers = checkpoint(records.groupBy("address").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE)))
+    records = checkpoint(base.select(
+        "page_id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("digest")
+    ))
+    keepers = checkpoint(records.groupBy("address").agg(
+        F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")
+    ).withColumn("shares", F.ceil(F.col("n") / SHARE)))
     # copies meet within each task before the shuffle, so a payload that a third of the pages share moves once a task
-    stored = base.groupBy("address").agg(F.any_value("payload").alias("payload"), (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))).alias("_one"))
+    stored = base.groupBy("address").agg(
+        F.any_value("payload").alias("payload"), (F.min(F.xxhash64("payload")) == F.max(F.xxhash64("payload"))).alias("_one")
+    )
     one = F.when(F.col("_one"), F.col("payload")).otherwise(F.raise_error(F.lit("different payloads have one address")).cast("binary"))
     stored.join(keepers, "address").select("address", one.alias("payload"), "shares").write.parquet(f"{folder}/payloads")
     again = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
@@ -63,13 +77,21 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", _header_value(F.col("url"))), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(again, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("keeper"))))).otherwise(F.lit("")),
+        F.when(
+            again,
+            F.concat(
+                line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+                line("WARC-Refers-To", urn(F.col("keeper")))
+            )
+        ).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=UTF-8")),
         line("Content-Length", F.when(again, F.lit(0)).otherwise(F.col("size")).cast("string")),
         F.lit(CRLF),
     )
     share = F.pmod(F.xxhash64("page_id", "url"), F.col("shares"))
-    hot_join(records, keepers, "address", "n").select("address", share.alias("share"), F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/records")
+    hot_join(records, keepers, "address", "n").select(
+        "address", share.alias("share"), F.encode(header, "UTF-8").alias("header")
+    ).write.parquet(f"{folder}/records")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +106,9 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     payloads = stored.select(
         F.col("address").alias("_address"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("_share"),
-        F.when(F.unhex(F.sha2("payload", 256)) == F.col("address"), F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("long")).alias("payload_bytes"),
+        F.when(
+            F.unhex(F.sha2("payload", 256)) == F.col("address"), F.length("payload").cast("long")
+        ).otherwise(F.raise_error(F.lit("a payload differs from its address")).cast("long")).alias("payload_bytes"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
         "payload",
     )
@@ -93,14 +117,20 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     value = lambda name: F.when(head.rlike(line(name)), F.regexp_extract(head, line(name), 1))
     number = lambda name: F.regexp_extract(head, rf"\r\n{name}: <urn:page:(-?\d*)", 1).try_cast("long")
     records = spark.read.schema("address binary, share long, header binary").parquet(f"{folder}/records").select(
-        "address", "share", "header", number("WARC-Record-ID").alias("page_id"), _as_it_was(value("WARC-Target-URI")).alias("url"), value("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), value("WARC-Payload-Digest").alias("_digest")
+        "address", "share", "header", number("WARC-Record-ID").alias("page_id"),
+        _as_it_was(value("WARC-Target-URI")).alias("url"), value("WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"), value("WARC-Payload-Digest").alias("_digest")
+    )
+    joined = records.join(
+        payloads, (records["address"] == payloads["_address"]) & (records["share"] == payloads["_share"]), "left"
     )
-    joined = records.join(payloads, (records["address"] == payloads["_address"]) & (records["share"] == payloads["_share"]), "left")
     told = F.concat(F.lit("sha1:"), F.col("payload_digest"))
     block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(
         "page_id", "url", "record_type", "refers_to", "payload_bytes",
-        F.when(told == F.col("_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record has no payload of its digest")).cast("string")).alias("payload_digest"),
+        F.when(
+            told == F.col("_digest"), F.col("payload_digest")
+        ).otherwise(F.raise_error(F.lit("a record has no payload of its digest")).cast("string")).alias("payload_digest"),
         "payload",
         F.concat(F.col("header"), block, F.lit(b"\r\n\r\n")).alias("record"),
     )

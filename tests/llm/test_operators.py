@@ -34,7 +34,10 @@ def texts(seed=3):
         out.append(" ".join(near))
     out += [" ".join(base), " ".join(base).upper(), " ".join(base)]
     out += [" ".join(prose(50) + passage + prose(30)) for _ in range(4)]
-    out += ["x " * 100, "a b c\n" * 40, "", None, "   \n\t", "One two", "one TWO", "é# 日本 | $ <b>", "a <|endoftext|> b<|endoftext|>", "word " + "z" * 5000, " ".join(prose(3000)), "same\n" * 3 + " ".join(prose(40))]
+    out += [
+        "x " * 100, "a b c\n" * 40, "", None, "   \n\t", "One two", "one TWO", "é# 日本 | $ <b>", "a <|endoftext|> b<|endoftext|>",
+        "word " + "z" * 5000, " ".join(prose(3000)), "same\n" * 3 + " ".join(prose(40))
+    ]
     return out
 
 
@@ -59,7 +62,9 @@ def same_as_sql(spark, docs, got, sql):
     want = c.sql(sql)
     order = sorted(want.columns)
     assert sorted(got.columns) == order
-    wanted = sorted(map(repr, zip(*[[r[want.columns.index(k)] for r in rows] for rows in [want.fetchall()] for k in order], strict=True)))
+    wanted = sorted(map(
+        repr, zip(*[[r[want.columns.index(k)] for r in rows] for rows in [want.fetchall()] for k in order], strict=True)
+    ))
     assert sorted(repr(tuple(r[k] for k in order)) for r in got.collect()) == wanted
 
 
@@ -125,9 +130,15 @@ def test_each_occurrence_draws_its_own_skips():
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://a\r\nX: y", "<p>é</p>"), (5, "u", "<p>é</p>"), (3, None, "<p>é</p>"), (4, "u", None), (9, "u", ""), (7, "u", "other"), (7, "u", "other"), (10, "http://a/%0D", "lone"), (11, "http://a/\r", "lo"), (12, "http://a/%250D%", "l"), (13, "\n%0a%", "long " * 50_000)]
+    rows = [
+        (1, "http://a\r\nX: y", "<p>é</p>"), (5, "u", "<p>é</p>"), (3, None, "<p>é</p>"), (4, "u", None), (9, "u", ""),
+        (7, "u", "other"), (7, "u", "other"), (10, "http://a/%0D", "lone"), (11, "http://a/\r", "lo"),
+        (12, "http://a/%250D%", "l"), (13, "\n%0a%", "long " * 50_000)
+    ]
     rows += [(100 + i, f"v{i}", "hot") for i in range(700)]
-    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("address", F.lit(1)).withColumn("n", F.lit("x"))
+    table = spark.createDataFrame(
+        rows, "page_id long, url string, html string"
+    ).withColumn("address", F.lit(1)).withColumn("n", F.lit("x"))
     warc.write_archive(table, f"file://{tmp_path}/w")
     got = warc.read_archive(spark, f"file://{tmp_path}/w").collect()
     assert len(got) == len(rows) and spark.read.parquet(f"file://{tmp_path}/w/payloads").where("shares = 3").count() == 1
@@ -149,9 +160,19 @@ def test_warc_query(spark):
     pages = {r.page_id: (r.html or "").encode() for r in read(spark, DATA, "pages").collect()}
     last = {b: max(p for p, x in pages.items() if x == b) for b in pages.values()}
     got = registry.QUERIES["op3_warc"](spark, DATA)
-    assert dict(got.dtypes) == {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
-    want = {(p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *(("response", None) if last[b] == p else ("revisit", last[b]))) for p, b in pages.items()}
-    assert {tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == want and got.count() == len(pages)
+    assert dict(got.dtypes) == {
+        "page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"
+    }
+    want = {
+        (
+            p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(),
+            *(("response", None) if last[b] == p else ("revisit", last[b]))
+        ) for p,
+        b in pages.items()
+    }
+    assert {tuple(r) for r in got.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    ).collect()} == want and got.count() == len(pages)
 
 
 def test_packing(spark, docs, nothing):
@@ -199,7 +220,9 @@ def test_packing_query(spark, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for d, t in rows}
     got = registry.QUERIES["op4_packing"](spark, f"file://{tmp_path}")
-    assert dict(got.dtypes) == dict.fromkeys(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "bigint")
+    assert dict(got.dtypes) == dict.fromkeys(
+        ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), "bigint"
+    )
     by = collections.defaultdict(list)
     for p in got.collect():
         ids = want[p.doc_id][p.start : p.start + p.length]
@@ -227,10 +250,20 @@ def test_chat(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(1, 0, "user", "hi\\ ### </turn>"), (1, 1, "assistant", "a\nb"), (2, 0, "user", "hi\\ ### </turn>"), (2, 1, "assistant", "c"), (2, 2, "user", None), (3, 0, "sys\ntem%", ""), (3, 1, "assistant", ""), (None, 0, "user", "hi\\ ### </turn>"), (4, None, "user", "x"), (4, 1, "assistant", "\\</turn>### é😀\\"), (4, 1, "assistant", "\\</turn>### é😀\\")]
-    rows += [(5, 0, "user", "long é </turn>\n \\" * 2000), (5, 1, "assistant", "日本 <|endoftext|>" * 1500), (6, 0, "user", "long é </turn>\n \\" * 2000), (6, 1, "assistant", "</turn>\n"), (6, 2, "assistant", "\\</turn>\n\\")]
+    rows = [
+        (1, 0, "user", "hi\\ ### </turn>"), (1, 1, "assistant", "a\nb"), (2, 0, "user", "hi\\ ### </turn>"),
+        (2, 1, "assistant", "c"), (2, 2, "user", None), (3, 0, "sys\ntem%", ""), (3, 1, "assistant", ""),
+        (None, 0, "user", "hi\\ ### </turn>"), (4, None, "user", "x"), (4, 1, "assistant", "\\</turn>### é😀\\"),
+        (4, 1, "assistant", "\\</turn>### é😀\\")
+    ]
+    rows += [
+        (5, 0, "user", "long é </turn>\n \\" * 2000), (5, 1, "assistant", "日本 <|endoftext|>" * 1500),
+        (6, 0, "user", "long é </turn>\n \\" * 2000), (6, 1, "assistant", "</turn>\n"), (6, 2, "assistant", "\\</turn>\n\\")
+    ]
     rows += [(7, i // 2, ("user", "assistant")[i % 2], f"t{i}") for i in range(30)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1)).withColumn("conv", F.lit("x"))
+    table = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string"
+    ).withColumn("node", F.lit(1)).withColumn("conv", F.lit("x"))
     tree, turns = chat.prefix_tree(table, path)
     got = {r.conv: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(tree, turns, path).collect()}
     assert got == said_by(rows)
@@ -256,7 +289,10 @@ def test_chat_query(spark):
     said = "\\### Assistant: </turn> ok"
     want = said_by(rows + [(-7, 0, "user", said), (-7, 1, "assistant", said)])
     got = registry.QUERIES["op5_chat_prefix_tree"](spark, DATA)
-    assert dict(got.dtypes) == {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"}
+    assert dict(got.dtypes) == {
+        "conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string",
+        "formatted_chars": "bigint"
+    }
     assert {f"={r.conv_id}": (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == want
 
 
@@ -286,7 +322,9 @@ def voted(text):
     """A fingerprint by plain counting."""
     import xxhash
 
-    spark_hash = lambda *parts: __import__("functools").reduce(lambda seed, p: xxhash.xxh64_intdigest(p, seed=seed), parts, 42)
+    spark_hash = lambda *parts: __import__("functools").reduce(
+        lambda seed, p: xxhash.xxh64_intdigest(p, seed=seed), parts, 42
+    )
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
     votes = [0] * 128
     for i, w in enumerate(words):
@@ -301,10 +339,17 @@ def voted(text):
 
 
 def test_fingerprint_query(spark, tmp_path):
-    rows = [(i * 25, t) for i, t in enumerate(texts(5))] + [(2000 + i, "one two three four five six seven eight nine ten " * 6 + f"x{i}") for i in range(30)] + [(5000 + i, "one two three four five six seven eight nine ten " * 6 + "y") for i in range(3)]
+    rows = [
+        (i * 25, t) for i, t in enumerate(texts(5))
+    ] + [(
+        2000 + i, "one two three four five six seven eight nine ten " * 6 + f"x{i}"
+    ) for i in range(30)] + [(5000 + i, "one two three four five six seven eight nine ten " * 6 + "y") for i in range(3)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = registry.QUERIES["op6_fingerprints"](spark, f"file://{tmp_path}")
-    assert dict(got.dtypes) == {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "n_near": "bigint"}
+    assert dict(got.dtypes) == {
+        "doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string",
+        "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "n_near": "bigint"
+    }
     order = sorted(((d, t or "") for d, t in rows), reverse=True)
     known = [voted(t) for _, t in order]
     want = {}
@@ -329,13 +374,17 @@ def test_near_fingerprints_are_all_found(spark):
                 x ^= 1 << i
             marks.append(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    table = spark.createDataFrame([(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in marks] + [(None, 1)], "fp_hi long, fp_lo long")
+    table = spark.createDataFrame(
+        [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in marks] + [(None, 1)], "fp_hi long, fp_lo long"
+    )
     asked = table.limit(100)
     queries = {(r.fp_hi, r.fp_lo) for r in asked.collect() if r.fp_hi is not None}
     bits = lambda p: ((p[0] & (1 << 64) - 1) << 64) | (p[1] & (1 << 64) - 1)
     every = {(r.fp_hi, r.fp_lo) for r in table.collect() if r.fp_hi is not None}
     want = sorted((q, x, n) for q in queries for x in every if 0 < (n := bin(bits(q) ^ bits(x)).count("1")) <= 6)
-    got = sorted(((r.q_hi, r.q_lo), (r.fp_hi, r.fp_lo), r.distance) for r in fingerprints.near(spark.createDataFrame(list(queries), "fp_hi long, fp_lo long"), table).collect())
+    got = sorted(((r.q_hi, r.q_lo), (r.fp_hi, r.fp_lo), r.distance) for r in fingerprints.near(
+        spark.createDataFrame(list(queries), "fp_hi long, fp_lo long"), table
+    ).collect())
     assert got == want
 
 
@@ -371,12 +420,17 @@ def test_near_duplicates(spark, docs, nothing, percent):
 
 def test_one_row_of_each_component_stays(spark):
     t, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
-    rows = [(3, t), (5, t + " x"), (5, other), (5, other), (7, other + " y"), (8, ""), (8, None), (8, " "), (None, "lone one"), (None, "lone one"), (9, "p q"), (9, "p q r")]
+    rows = [
+        (3, t), (5, t + " x"), (5, other), (5, other), (7, other + " y"), (8, ""), (8, None), (8, " "), (None, "lone one"),
+        (None, "lone one"), (9, "p q"), (9, "p q r")
+    ]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
     got = minhash.one_of_each(table)
     assert got.columns == table.columns
     texts = sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "").strip()) for r in got.collect()))
-    assert texts == sorted([(False, 3, t), (False, 5, other), (False, 8, ""), (True, 0, "lone one"), (False, 9, "p q"), (False, 9, "p q r")])
+    assert texts == sorted([
+        (False, 3, t), (False, 5, other), (False, 8, ""), (True, 0, "lone one"), (False, 9, "p q"), (False, 9, "p q r")
+    ])
 
 
 def test_hot_group_of_near_copies(spark):
@@ -397,14 +451,18 @@ def test_hot_group_of_near_copies(spark):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(50)] + [(7, 7), (None, 3), (41, 200), (200, 201)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(50)] + [
+        (7, 7), (None, 3), (41, 200), (200, 201)
+    ]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[40] == got[0] == 0 and got[201] == 41 and all(got[x] == 100 for x in got if 100 <= x <= 130)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_substrings(spark, docs, nothing):
-    same_as_sql(spark, docs, substrings.cut_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256"), substrings.ORACLE_SQL)
+    same_as_sql(
+        spark, docs, substrings.cut_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256"), substrings.ORACLE_SQL
+    )
     cut = substrings.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert all(r.n_chars == len(r.text) for r in cut.collect())
@@ -414,7 +472,10 @@ def test_substrings(spark, docs, nothing):
 def test_what_stands_between_words_stays(spark):
     passage = " \n".join(f"p{i}" for i in range(40))
     code = "def f(x):\n\tif x:\n        return  1\n\n\n"
-    rows = [(1, code), (2, "\n a\n\n  " + passage + "\n\n\tb  c\r\n"), (3, passage + "  end"), (4, "\n\n"), (5, " q\n" * 40), (6, " q\n" * 40), (7, "  é\n" + passage.replace(" \n", "\t"))]
+    rows = [
+        (1, code), (2, "\n a\n\n  " + passage + "\n\n\tb  c\r\n"), (3, passage + "  end"), (4, "\n\n"), (5, " q\n" * 40),
+        (6, " q\n" * 40), (7, "  é\n" + passage.replace(" \n", "\t"))
+    ]
     got = {r.doc_id: r.text for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: code, 2: "\n a\n\n  \n\n\tb  c\r\n", 3: "  end", 4: "\n\n", 5: "", 6: "", 7: "  é\n"}
 
@@ -426,7 +487,10 @@ def revealed(h):
     for r in range(len(substrings.RUNS)):
         symbols, long, repeats = substrings.name_runs(symbols, r)
         which, top, span = substrings.run_places(symbols.at[long], symbols.size[long], substrings.RUNS[r] + 1)
-        out |= {(int(repeats[i]), r, x) for i, t, n in zip(which, top.tolist(), span.tolist(), strict=True) for x in range(t - n, t + 1)}
+        out |= {
+            (int(repeats[i]), r, x) for i, t,
+            n in zip(which, top.tolist(), span.tolist(), strict=True) for x in range(t - n, t + 1)
+        }
         symbols = substrings.name_pairs(symbols, r)
     assert symbols.size.sum() == len(h)
     for n, top, span, _ in zip(*substrings.phrases(symbols), strict=True):
@@ -437,7 +501,10 @@ def revealed(h):
 def test_equal_windows_are_revealed_alike():
     rng = np.random.default_rng(4)
     few = lambda n: np.repeat(rng.integers(0, 40, n), rng.integers(1, 9, n))[:n]
-    kinds = [lambda n: rng.integers(0, 50, n), lambda n: rng.integers(0, 3, n), lambda n: rng.integers(0, 2, n), few, lambda n: np.arange(n) // 1 % 2, lambda n: np.zeros(n, np.int64), lambda n: np.arange(n) % 5]
+    kinds = [
+        lambda n: rng.integers(0, 50, n), lambda n: rng.integers(0, 3, n), lambda n: rng.integers(0, 2, n), few,
+        lambda n: np.arange(n) // 1 % 2, lambda n: np.zeros(n, np.int64), lambda n: np.arange(n) % 5
+    ]
     for trial in range(600):
         small = kinds[trial % len(kinds)](35)
         found = []
@@ -455,11 +522,15 @@ def thue_morse(n, a, b):
 def test_texts_that_differ_in_many_places_are_told_apart(spark):
     """Sums of powers modulo 2**64 are equal for such pairs, whatever the base."""
     own = [f"w{i}" for i in range(2048)]
-    lines = [" ".join(x for pair in zip(own, thue_morse(2048, *ab), strict=True) for x in pair) for ab in (("a", "b"), ("b", "a"))]
+    lines = [" ".join(x for pair in zip(
+        own, thue_morse(2048, *ab), strict=True
+    ) for x in pair) for ab in (("a", "b"), ("b", "a"))]
     table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert [r.n_removed for r in substrings.cut_repeats(table).collect()] == [0, 0]
     words = ["".join(thue_morse(1024, *ab)) for ab in (("a", "b"), ("b", "a"))]
-    table = spark.createDataFrame([(i, f"one two three {w} five six seven") for i, w in enumerate(words)], "doc_id long, text string")
+    table = spark.createDataFrame(
+        [(i, f"one two three {w} five six seven") for i, w in enumerate(words)], "doc_id long, text string"
+    )
     assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(table).collect()} == {(0, 0), (1, 1)}
 
 
@@ -482,7 +553,9 @@ def test_quality_classifier(spark, docs, nothing):
     model = quality_classifier.train(read(spark, DATA, "documents"), labels)
     assert quality_classifier.score(docs, model).count() == docs.count() and quality_classifier.score(nothing, model).count() == 0
     assert quality_classifier.keep_good(docs, model).columns == docs.columns
-    assert quality_classifier.train(nothing, labels.limit(0)).scores(np.zeros((1, quality_classifier.FEATURES)), np.array([0, 1])) is not None
+    assert quality_classifier.train(nothing, labels.limit(0)).scores(
+        np.zeros((1, quality_classifier.FEATURES)), np.array([0, 1])
+    ) is not None
 
 
 def test_toxicity(spark, docs, nothing):
@@ -512,7 +585,9 @@ def test_pairs_without_a_lean_count():
     assert machine.buckets.tolist() == sorted({int(x) for b in bags for x in b})  # none is left out
     score = lambda b: machine.scores(np.array(b), np.array([0, len(b)]))[0]
     assert min(score([1, 2]), score([])) > 0.5 > max(score([1]), score([2]))
-    assert np.allclose(machine.scores(np.array([1, 2, 1]), np.array([0, 0, 2, 3, 3])), [score([]), score([1, 2]), score([1]), score([])])
+    assert np.allclose(
+        machine.scores(np.array([1, 2, 1]), np.array([0, 0, 2, 3, 3])), [score([]), score([1, 2]), score([1]), score([])]
+    )
 
 
 def test_attention_by_plain_loops():
@@ -535,7 +610,9 @@ def test_attention_by_plain_loops():
 def test_passages_see_words():
     texts = ["alpha beta gamma delta", "omega sigma kappa theta"]  # of one shape
     x = np.concatenate([quality_classifier.passages(c)[0] for t in texts for c in quality_classifier.chunks(sentence_pieces.pa.array([t]))])
-    assert np.allclose(x[0, 11:13], x[1, 11:13]) and not np.allclose(x[0, -quality_classifier.BUCKETS :], x[1, -quality_classifier.BUCKETS :])
+    assert np.allclose(x[0, 11:13], x[1, 11:13]) and not np.allclose(
+        x[0, -quality_classifier.BUCKETS :], x[1, -quality_classifier.BUCKETS :]
+    )
 
 
 def test_machine_by_plain_loops():
@@ -546,15 +623,21 @@ def test_machine_by_plain_loops():
     got = machine.logits(np.array(sum(bags, [])), np.append(0, np.cumsum([len(b) for b in bags])))
     for bag, value in zip(bags, got, strict=True):
         slots = [b // 2 for b in bag if b % 2 == 0]
-        want = -0.3 + sum(machine.w[i] for i in slots) + sum(machine.v[i] @ machine.v[j] for n, i in enumerate(slots) for j in slots[n + 1 :])
+        want = -0.3 + sum(machine.w[i] for i in slots) + sum(
+            machine.v[i] @ machine.v[j] for n, i in enumerate(slots) for j in slots[n + 1 :]
+        )
         assert abs(want - value) < 1e-9
 
 
 def test_labelled_samples_are_bounded(spark):
     from lexspark.llm import labelled
 
-    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text").unionByName(spark.createDataFrame([(1, "a"), (1, None)], "doc_id long, text string"))
-    labels = spark.range(3000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS y").unionByName(spark.createDataFrame([(None, 1), (5, None), (9999, 1)], "doc_id long, y int"))
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", "concat('t', id) AS text"
+    ).unionByName(spark.createDataFrame([(1, "a"), (1, None)], "doc_id long, text string"))
+    labels = spark.range(3000).selectExpr(
+        "id AS doc_id", "cast(id % 2 AS int) AS y"
+    ).unionByName(spark.createDataFrame([(None, 1), (5, None), (9999, 1)], "doc_id long, y int"))
     few = labelled.sample(docs, labels, "y", 4, 2, 200).collect()
     assert 150 <= len(few) <= 200 and few == few
     every = labelled.sample(docs, labels, "y", 4, 2, 5000).collect()
@@ -565,7 +648,10 @@ def test_labelled_samples_are_bounded(spark):
 def test_queries_with_sql(spark, name):
     documents = read(spark, DATA, "documents")
     got = registry.QUERIES[name](spark, DATA)
-    kinds = {"op1_quality_rules": {"n_words": "bigint", "base_failed": "boolean", "kept": "boolean"}, "op9_substring_dedup": {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}}
+    kinds = {
+        "op1_quality_rules": {"n_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+        "op9_substring_dedup": {"n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}
+    }
     assert {c: dict(got.dtypes)[c] for c in kinds[name]} == kinds[name]
     same_as_sql(spark, documents, got, registry.ORACLES[name])
 
@@ -585,7 +671,15 @@ def test_sentence_piece_query(spark):
 def test_stages_take_awkward_rows(spark, docs):
     import corpus_pipeline
 
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame([(None, "no id " * 30, None, None, None), (None, None, None, None, None), (7, "a second text of an id " * 9, "en", "s0", 3)], "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = docs.select(
+        "doc_id", "text", "lang", "source", "n_chars"
+    ).unionByName(spark.createDataFrame(
+        [
+            (None, "no id " * 30, None, None, None), (None, None, None, None, None),
+            (7, "a second text of an id " * 9, "en", "s0", 3)
+        ],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ))
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, rows, DATA)
         assert name == "packing" or got.columns == rows.columns, name
