@@ -156,3 +156,9 @@ def hijri_label(parts: Column, arabic: bool) -> Column:
     else:
         shown = F.concat_ws(" ", parts["day"], parts["month_en"], parts["year"], F.lit("AH"))
     return F.when(parts.isNotNull(), shown).otherwise("")
+
+
+def updated_label(ms: Column, zone: str, twelve: bool = True) -> Column:
+    """The time of the day at which something was last updated; empty if it never was."""
+    _, second = local_time(F.timestamp_millis(ms), zone)
+    return F.when(ms > 0, time_label(F.floor(second / 60), twelve)).otherwise("")

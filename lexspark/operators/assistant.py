@@ -478,12 +478,13 @@ def confidence(kind: Column, source: Column, step: Column) -> Column:
 
 
 def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known: DataFrame) -> DataFrame:
-    """One row for each question: id, reply, step, kind, source, op, total, refs, text, excerpt, confidence.
+    """One row for each question: id, reply, step, kind, source, op, total, refs, text, excerpt, badges, confidence.
 
     step: the first of STEPS that gives anything. kind: answer, clarify (the question must be put
     otherwise, goes to scholars, or asks for what the data don't have) or fallback. source: qa,
     tafseer, metadata, analytics; null without an answer. refs: verses (surah, ayah) that are cited.
-    text: the words of the source; for counts there are none but the numbers.
+    text: the words of the source; for counts there are none but the numbers. badges: what the answer
+    is labelled with: its source, and that verses are cited.
     passages, verses: of ``passage_index``. known: of ``question_index``, with ord.
     """
     from lexspark.operators import retrieval
@@ -579,7 +580,9 @@ def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known:
     first = every.groupBy("id").agg(F.min_by("a", "place").alias("a")).select("id", "a.*")
     told = q.select("id", "reply").join(first, "id")
     excerpt = F.when(F.col("source") == "tafseer", fx.excerpt(F.col("text")))
-    return told.withColumns({"excerpt": excerpt, "confidence": confidence(F.col("kind"), F.col("source"), F.col("step"))})
+    kind_of = F.when(F.col("source") == "tafseer", "tafsir").otherwise(F.col("source"))
+    badges = F.array_compact(F.array(kind_of, F.when((F.size("refs") > 0) & (F.col("source") != "analytics"), "quran")))
+    return told.withColumns({"excerpt": excerpt, "badges": badges, "confidence": confidence(F.col("kind"), F.col("source"), F.col("step"))})
 
 
 def cited(answered: DataFrame, passages: DataFrame, verses: DataFrame) -> DataFrame:

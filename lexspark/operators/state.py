@@ -128,3 +128,14 @@ def stored_bookmarks(values: DataFrame, key: str) -> DataFrame:
         key, "m.id", F.col("m.surahNumber").alias("surah"), F.col("m.ayahNumber").alias("ayah")
     ).dropna(subset=["id", "surah", "ayah"])
     return valid.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("surah", "ayah")))
+
+
+def as_values(rows: DataFrame, key: str) -> DataFrame:
+    """key and value: each row's other columns as a JSON text, for a store of values by key. A null column is left out of the text."""
+    return rows.select(key, F.to_json(F.struct(*[c for c in rows.columns if c != key])).alias("value"))
+
+
+def from_values(values: DataFrame, key: str, schema: str, required: list[str]) -> DataFrame:
+    """The rows of such texts that are JSON of the schema and have the required columns; others are left out."""
+    read = values.select(key, F.from_json("value", schema).alias("_v"))
+    return read.where(F.forall(F.array(*[F.col(f"_v.{c}").isNotNull() for c in required]), lambda x: x)).select(key, "_v.*")

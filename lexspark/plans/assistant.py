@@ -390,7 +390,7 @@ _C = (
     "SELECT id, reply, step, kind, source, op, total, refs, text, CASE WHEN source = 'tafseer' THEN CASE WHEN length(text) <= "
     "220 THEN text ELSE rtrim(substring(text, 1, 220)) || '…' END END AS excerpt, "
     "CASE WHEN kind <> 'answer' THEN 'low' WHEN source IN ('qa', 'metadata') OR step = 'reference' THEN 'high' ELSE 'medium' "
-    "END AS confidence FROM f JOIN g USING (id)"
+    "END AS confidence, concat_ws(',', CASE WHEN source = 'tafseer' THEN 'tafsir' ELSE source END, CASE WHEN refs <> '' AND source <> 'analytics' THEN 'quran' END) AS badges FROM f JOIN g USING (id)"
 )
 
 
@@ -399,7 +399,7 @@ def answers(spark, d):
     passages, verses = dj.passage_index(passages_of(spark))
     known = dj.question_index(ANSWERED.df(spark).withColumn("keywords", F.split("words", "\\|")))
     known = known.withColumn("ord", F.expr("CASE id WHEN 'p' THEN 1 WHEN 'q' THEN 2 ELSE 3 END"))
-    return oa.answers(QUESTIONS.df(spark), passages, verses, known).withColumn("refs", _shown("refs"))
+    return oa.answers(QUESTIONS.df(spark), passages, verses, known).withColumns({"refs": _shown("refs"), "badges": F.array_join("badges", ",")})
 
 
 @query(_Q + _A + _P + " SELECT h0.id, CAST(place - 1 AS INT) AS place, 'quran' AS type, CASE WHEN reply = 'ar' THEN name ELSE "

@@ -472,3 +472,22 @@ def newest_two(spark, d):
     return ev.newest(
         table(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 2
     ).select("user_id", "ts", "event_id")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 4 <> 0")
+def values_kept(spark, d):
+    """Suppliers as values of a store and back; every fourth value is broken."""
+    values = st.as_values(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_suppkey")
+    broken = values.withColumn("value", F.when(F.col("s_suppkey") % 4 == 0, F.substring("value", 1, 9)).otherwise(F.col("value")))
+    return st.from_values(broken, "s_suppkey", "s_name string, s_acctbal double", ["s_name", "s_acctbal"])
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id = 0 THEN '' ELSE CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END || strftime(ts, ':%M') || "
+    "CASE WHEN hour(ts) < 12 THEN ' AM' ELSE ' PM' END END AS label FROM events"
+)
+def last_updated(spark, d):
+    from lexspark.functions import schedule as sc
+
+    ms = F.when(F.col("event_id") == 0, F.lit(0)).otherwise(F.unix_millis(F.col("ts").cast("timestamp")))
+    return table(spark, d, "events").select("event_id", sc.updated_label(ms, "UTC").alias("label"))

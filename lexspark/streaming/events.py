@@ -48,3 +48,24 @@ def daily_progress(events: DataFrame, key: str, ts: str, what: str, late: str =
     once = marked.select(key, ts, what, day.alias("_day")).dropDuplicates([key, what, "_day"])
     counts = once.groupBy("_day", key).agg(F.count(what).alias("n"))
     return counts.select(key, F.to_date("_day.start").alias("day"), "n", F.least(F.lit(1.0), F.col("n") / goal).alias("progress"))
+
+
+def reading_log(events: DataFrame, key: str, ms: str, what: str) -> DataFrame:
+    """key, ms and value of the events of a stream whose value differs from that of the key's event before; a key's state is its last value.
+
+    Events of a batch are taken in order of time, and of value at one time; a null value differs from all others.
+    """
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(t), "" if v is None else f"={v}", v) for f in frames for t, v in zip(f["ms"], f["value"], strict=True))
+        last, kept = (state.get[0] if state.exists else None), []
+        for t, mark, v in rows:
+            if mark != last:
+                kept.append((t, v))
+            last = mark
+        state.update((last,))
+        yield pd.DataFrame({key: [k[0]] * len(kept), "ms": [t for t, _ in kept], "value": [v for _, v in kept]})
+
+    kind = dict(events.dtypes)[key]
+    given = events.select(key, F.col(ms).cast("long").alias("ms"), F.col(what).cast("string").alias("value")).dropna(subset=[key, "ms"])
+    return given.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ms long, value string", "last string", "append", GroupStateTimeout.NoTimeout)

@@ -112,6 +112,16 @@ def test_best_rows_take_the_first_of_ties_and_hold_nulls(spark):
     assert [tuple(r) for r in found] == [("q", 2, 7.5)]
 
 
+def test_streamed_reading_log(spark, tmp_path):
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("b", 1, "x"), ("a", 5, "x"), ("a", 6, None), ("a", 7, None), (None, 1, "z")]
+    spark.createDataFrame(rows, "u string, ms long, v string").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("u string, ms long, v string").json(f"{tmp_path}/in")
+    run = se.reading_log(stream, "u", "ms", "v").writeStream.format("memory").queryName("readings").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = sorted((r.u, r.ms, r.value) for r in spark.table("readings").collect())
+    assert got == [("a", 1, "x"), ("a", 3, "y"), ("a", 5, "x"), ("a", 6, None), ("b", 1, "x")]
+
+
 def test_streamed_rate_limit(spark, tmp_path):
     ms = [1000, 1500, 1900, 2800, 3700, 4600, 5500, 6400, 7300, 8200, 15999, 16000, 16900]
     for part in (ms[:5], ms[5:]):  # the state carries over from one batch to the next
