@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import minhash, packing, quality_classifier, quality_rules, substrings
-from lexspark.llm.common import read, saved
+from lexspark.llm.common import forget, read, saved
 
 
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; between them the documents are a table in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        forget(*before)  # nothing reads the predecessor's table any more
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
