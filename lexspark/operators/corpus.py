@@ -89,7 +89,7 @@ def largest_smallest_group(corpus: DataFrame) -> DataFrame:
 
 
 def keyword_rank(corpus: DataFrame, terms: list[str], at_most: int = 10, most: int = 6) -> DataFrame:
-    """Rows by how often they have the terms, each term counted up to ``most`` times, and how many of the terms they have."""
+    """Rows by how often they have the terms, each term counted up to ``most`` times, and how many of the terms they have. Rows with equally many are in order of ``row_ord``; rows without any are left out, and an empty table gives none."""
     hits = [F.least(F.lit(most), fx.count_of(F.col("norm"), t)) for t in terms]
     scored = corpus.select(
         "group_key", "row_ord", sum(hits[1:], hits[0]).cast("long").alias("hits"),

@@ -61,24 +61,24 @@ def _counts(key: str, kind: pa.DataType, keys: list, n_events: list[int], n_acce
 
 
 def daily_progress(events: DataFrame, key: str, ts: str, what: str, goal: int = DAILY_GOAL) -> DataFrame:
-    """Distinct values of each key and day, and the share of the goal that they make."""
+    """Distinct values of each key and day, and the share of the goal that they make. Null values don't count; a null key or day is one of its own."""
     days = events.groupBy(key, F.to_date(ts).alias("day")).agg(F.count_distinct(what).alias("n"))
     return days.withColumn("progress", F.least(F.lit(1.0), F.col("n") / goal))
 
 
 def consecutive_distinct(events: DataFrame, key: str, order: list[str], what: str) -> DataFrame:
-    """Events whose value differs from that of the key's event before."""
+    """Events whose value differs from that of the key's event before; the first one always stays. Nulls are equal to each other, a null key is a key of its own, and ``order`` must settle ties."""
     line = W.partitionBy(key).orderBy(*order)
     return events.withColumn("_n", F.row_number().over(line)).withColumn("_before", F.lag(what).over(line)).where((F.col("_n") == 1) | ~F.col(what).eqNullSafe(F.col("_before"))).drop("_n", "_before")
 
 
 def newest(events: DataFrame, key: str, order: list[F.Column], at_most: int) -> DataFrame:
-    """The newest events of each key."""
+    """The newest events of each key, ``at_most`` of them however many are equal in ``order``; a null key is a key of its own. A group limit runs in each task before the shuffle."""
     return events.withColumn(
         "_n", F.row_number().over(W.partitionBy(key).orderBy(*order))
     ).where(F.col("_n") <= at_most).drop("_n")
 
 
 def toggled_on(events: DataFrame, *keys: str) -> DataFrame:
-    """Keys that were toggled an odd number of times."""
+    """Keys that were toggled an odd number of times; repeated rows are toggles of their own, a null is a key like others."""
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(*keys)
