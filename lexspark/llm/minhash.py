@@ -33,7 +33,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates whose estimate lies so many standard errors under the threshold are not verified.
 MARGIN = 5.0
 #: Members of a group that are verified against its leader in one run.
-RUN = 256
+RUN = 64
 #: Parts that the members of a component are dealt over where they learn its smallest id.
 SALTS = 32
 
