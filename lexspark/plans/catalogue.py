@@ -15,6 +15,8 @@ from lexspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The index of each session and folder.
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
 
 TERM, OTHER, PHRASE = "the", "and", "de la"
 TERMS = ["the", "licensed", "under"]
@@ -63,8 +65,11 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the normal form."""
-    return cp.normalized(raw_documents(spark, sf_dir))
+    """With the normal form; the index of a folder serves all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = cp.index(raw_documents(spark, sf_dir))
+    return _INDEXES[key]
 
 
 @query(CORPUS + "SELECT row_ord AS doc_id, md5(norm) AS norm_md5 FROM c")
