@@ -23,7 +23,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Integer components go from minus this to this, so that squared distances fit in 64 bits; larger ones are set to it.
 LARGEST = 1 << 26
 #: Rows that are compared with a codebook at once.
-ROWS = 4096
+ROWS = 1024
 #: More than what rounding adds to a bound, relative to the lengths that it is made of.
 SLACK = 1e-11
 
@@ -53,7 +53,8 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Index and exact squared distance of each row's nearest entry (the first of equal ones), and how many exact distances it took.
 
     x: rows of integers; entries: at least one. The entry of the least coarse bound gives a first
-    distance; an entry whose bound is larger, by more than rounding may make of it, can't be nearer.
+    distance, that of the least finer bound a better one; an entry whose bound is larger, by more than
+    rounding may make of it, can't be nearer.
     """
     if x.size == 0:
         return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0
@@ -65,20 +66,24 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     scale = (x.astype(np.float64) ** 2).sum(axis=1)[:, None] + (entries.astype(np.float64) ** 2).sum(axis=1)[None, :]
     low -= SLACK * scale
     exact = lambda i, k: ((x[i] - entries[k]) ** 2).sum(axis=1)
-    every = np.arange(len(x))
-    first = low.argmin(axis=1)
-    found = exact(every, first)
+    starts = lambda i: np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    found = exact(np.arange(len(x)), low.argmin(axis=1))
+    taken = len(x)
     i, k = np.nonzero(low <= found[:, None])
     for block in blocks[1:]:
         (mean, rest), (mean_c, rest_c) = summary(x, block), summary(entries, block)
         bound = ((mean[i] - mean_c[k]) ** 2 + (rest[i] - rest_c[k]) ** 2).sum(axis=1) - SLACK * scale[i, k]
+        at = starts(i)  # each row is still there: that of its nearest entry is among its bounds
+        likely = np.flatnonzero(bound == np.repeat(np.minimum.reduceat(bound, at), np.diff(np.r_[at, len(i)])))
+        far = exact(i[likely], k[likely])
+        taken += len(likely)
+        found = np.minimum(found, np.minimum.reduceat(far, starts(i[likely])))
         stays = bound <= found[i]
         i, k = i[stays], k[stays]
-    far = exact(i, k)  # a row's nearest entry survives, so each row has one here
-    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-    least = np.minimum.reduceat(far, starts)
-    tie = np.where(far == np.repeat(least, np.diff(np.r_[starts, len(i)])), k, len(entries))
-    return np.minimum.reduceat(tie, starts), least, len(x) + len(i)
+    far, at = exact(i, k), starts(i)
+    least = np.minimum.reduceat(far, at)
+    tie = np.where(far == np.repeat(least, np.diff(np.r_[at, len(i)])), k, len(entries))
+    return np.minimum.reduceat(tie, at), least, taken + len(i)
 
 
 def integers(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", scale: int = SCALE) -> DataFrame:
