@@ -21,6 +21,7 @@ from lexspark.functions import assistant as fa
 from lexspark.functions import questions as qs
 from lexspark.functions import text as fx
 from lexspark.operators.lookups import small
+from lexspark.operators.word_index import WordIndex
 
 BLOCK = 1000
 LOCATIONS, REFERENCES, TOP_GROUPS, SUMMARY_PASSAGES = 15, 12, 5, 6
@@ -477,7 +478,7 @@ def confidence(kind: Column, source: Column, step: Column) -> Column:
     ).when(source.isin("tafseer", "analytics"), "medium").otherwise("low")
 
 
-def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known: DataFrame) -> DataFrame:
+def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known: DataFrame, index: WordIndex | None = None) -> DataFrame:
     """One row for each question: id, reply, step, kind, source, op, total, refs, text, excerpt, badges, confidence.
 
     step: the first of STEPS that gives anything. kind: answer, clarify (the question must be put
@@ -485,7 +486,9 @@ def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known:
     tafseer, metadata, analytics; null without an answer. refs: verses (surah, ayah) that are cited.
     text: the words of the source; for counts there are none but the numbers. badges: what the answer
     is labelled with: its source, and that verses are cited.
-    passages, verses: of ``passage_index``. known: of ``question_index``, with ord.
+    passages, verses: of ``passage_index``. known: of ``question_index``, with ord. index: of the
+    passages by idx, with the fields heading (norm_text) and norm (norm_explanation); without it, as
+    for a small table, every question meets every passage.
     """
     from lexspark.operators import retrieval
     from lexspark.operators.lookups import name_table
@@ -537,7 +540,9 @@ def answers(questions: DataFrame, passages: DataFrame, verses: DataFrame, known:
     held = passages.select(
         F.col("idx").alias("row_ord"), F.col("norm_text").alias("heading"), F.col("norm_explanation").alias("body")
     )
-    searched = retrieval.best_passages(held, readable).join(explained, F.col("row_ord") == F.col("_idx"))
+    searched = (
+        retrieval.best_passages(index, readable) if index else retrieval.best_passages_by_rows(held, readable)
+    ).join(explained, F.col("row_ord") == F.col("_idx"))
     own = F.array(F.struct(F.col("_surah").alias("surah"), F.col("_ayah").alias("ayah"))).cast(refs_of)
     missing = F.col("op").isin("missing", "script")
     ways = [

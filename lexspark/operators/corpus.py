@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexspark.functions import text as fx
+from lexspark.sources import shared
 
 SHOWN_GROUPS, SHOWN_LOCATIONS = 5, 15
-#: A corpus of at most so many bytes, as the planner takes it, is kept with its normal form.
-KEPT_BYTES = 1 << 30
 
 
 def as_corpus(table: DataFrame, group: str, ordinal: str, text: str) -> DataFrame:
@@ -28,29 +25,10 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def normalized(corpus: DataFrame) -> DataFrame:
-    """The corpus with ``norm``, made once for each row: filters stay above a generator. Write the result to a table for many queries."""
+    """The corpus with ``norm``, made once for each row: filters stay above a generator. For many queries see ``word_index``."""
     return spread(corpus).withColumn("norm", F.explode(F.array(fx.normalize(F.col("text")))))
 
 
-def index(corpus: DataFrame) -> DataFrame:
-    """The corpus with ``norm`` for many queries: a small one is kept on the executors once it is made, a large one is made anew each time.
-
-    Small is what the planner takes for at most KEPT_BYTES; write a larger one with ``write_index`` instead.
-    """
-    size = int(str(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    made = normalized(corpus)
-    return made.persist(StorageLevel.MEMORY_AND_DISK) if size <= KEPT_BYTES else made
-
-
-def write_index(corpus: DataFrame, folder: str) -> DataFrame:
-    """Write the corpus with ``norm``, in folders by group, and read it back: queries of one group read its folder only."""
-    normalized(corpus).write.partitionBy("group_key").parquet(folder)
-    kind = T.StructType([T.StructField("group_key", corpus.schema["group_key"].dataType)])
-    fields = [f for f in corpus.schema.fields if f.name != "group_key"]
-    back = corpus.sparkSession.read.schema(T.StructType([*fields, T.StructField("norm", T.StringType()), *kind.fields])).parquet(folder)
-    return back.select("group_key", "row_ord", "text", "norm")
-
-
 def count_by_group(corpus: DataFrame, counter: Column) -> DataFrame:
     """group_key, first_row, n of the groups where the counter's sum isn't 0; sums are made before the shuffle."""
     return corpus.select("group_key", "row_ord", counter.alias("_n")).where("_n > 0").groupBy("group_key").agg(
@@ -72,12 +50,12 @@ def containing(corpus: DataFrame, phrase: str) -> DataFrame:
     return corpus.where(fx.has_phrase(F.col("norm"), phrase))
 
 
-def locations(corpus: DataFrame, phrase: str, at_most: int = SHOWN_LOCATIONS) -> DataFrame:
-    """The first rows with the phrase, each with how many there are in all and whether more are left out.
+def locations(found: DataFrame, at_most: int = SHOWN_LOCATIONS) -> DataFrame:
+    """The first of the rows found, each with how many there are in all and whether more are left out.
 
-    The keys of the rows found are kept while the query runs, so that the texts are read once.
+    The keys of the rows found are written, so that the texts are read once.
     """
-    rows = containing(corpus, phrase).select("group_key", "row_ord").persist()
+    rows = shared.saved(found.select("group_key", "row_ord"), "locations")
     total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
     return rows.orderBy("row_ord").limit(at_most).join(total, F.lit(True)).withColumn("truncated", F.col("total") > at_most)
 

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as fx
 from lexspark.operators import corpus as cp
 from lexspark.operators import events as ev
+from lexspark.operators import word_index as wi
 from lexspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: The index of each session and folder.
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
 
 TERM, OTHER, PHRASE = "the", "and", "de la"
 TERMS = ["the", "licensed", "under"]
@@ -64,17 +63,25 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.as_corpus(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first_line = fx.normalize(F.get(F.split("text", "\n"), 0))
+    return cp.normalized(raw_documents(spark, sf_dir)).withColumn("heading", first_line)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the normal form; the index of a folder serves all queries of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = cp.index(raw_documents(spark, sf_dir))
-    return _INDEXES[key]
+    """With the normal form, as a table that serves all queries until the files of documents change."""
+    rows = wi.rows_for(table(spark, sf_dir, "documents"), _indexed(spark, sf_dir), "documents-index")
+    return rows.select("group_key", "row_ord", "text", "norm")
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> wi.WordIndex:
+    return wi.for_table(table(spark, sf_dir, "documents"), _indexed(spark, sf_dir), ["norm", "heading"], "documents-index")
 
 
 @query(CORPUS + "SELECT row_ord AS doc_id, md5(norm) AS norm_md5 FROM c")
 def corpus_normalize(spark, d):
-    return documents(spark, d).select(F.col("row_ord").alias("doc_id"), F.md5("norm").alias("norm_md5"))
+    """The normal form as it is made, without an index."""
+    return cp.normalized(raw_documents(spark, d)).select(F.col("row_ord").alias("doc_id"), F.md5("norm").alias("norm_md5"))
 
 
 @query(CORPUS + f"SELECT group_key, min(row_ord) AS first_row, CAST(sum({occ('norm', TERM)}) AS BIGINT) AS n FROM c "
@@ -102,7 +109,7 @@ def term_standalone_vs_within(spark, d):
 @query(CORPUS + f"SELECT group_key, row_ord, count(*) OVER () AS total, count(*) OVER () > 15 AS truncated FROM c "
     f"WHERE {has_phrase_sql('norm', PHRASE)} ORDER BY row_ord LIMIT 15")
 def term_locations(spark, d):
-    return cp.locations(documents(spark, d), PHRASE)
+    return cp.locations(wi.having(document_index(spark, d), PHRASE))
 
 
 @query(CORPUS + f"SELECT min(row_ord) AS first_row, max(row_ord) AS last_row, count(*) AS n_rows FROM c "
@@ -337,7 +344,8 @@ def next_event_asof(spark, d):
 
 @query(CORPUS + "SELECT group_key, row_ord FROM c WHERE contains(norm, 'licensed') ORDER BY row_ord LIMIT 50")
 def row_search(spark, d):
-    return documents(spark, d).where(F.col("norm").contains("licensed")).select("group_key", "row_ord").orderBy("row_ord").limit(50)
+    found = wi.containing(document_index(spark, d), "licensed")
+    return found.select("group_key", "row_ord").orderBy("row_ord").limit(50)
 
 
 @query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS INT) AS first_number, "

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import questions as qs
 from lexspark.functions import text as fx
-from lexspark.operators import corpus as cp
 from lexspark.operators import retrieval
-from lexspark.plans.catalogue import NORM, query
+from lexspark.plans.catalogue import NORM, document_index, query
 from lexspark.plans.inline import Inline
 from lexspark.sources.tables import table
 
@@ -57,8 +56,14 @@ _ASKED = (
     f"FROM (SELECT id, {NORM.replace('(t,', '(text,')} AS norm FROM asked))"
 )
 _N = "(length({x}) - length(replace({x}, w, ''))) // length(w)"
+_ITEMS = (
+    f"{ASKED.cte}, i AS (SELECT -1 - id AS id, text FROM asked UNION ALL SELECT item_id, coalesce(text, '') FROM benchmark), k AS "
+    f"(SELECT id, list_filter(string_split(norm, ' '), lambda x: length(x) >= 2 AND x NOT IN "
+    f"({_LIST(qs.STOP_WORDS)}) AND NOT regexp_full_match(x, '[0-9]+')) AS tokens "
+    f"FROM (SELECT id, {NORM.replace('(t,', '(text,')} AS norm FROM i))"
+)
 _PASSAGE = (
-    f"WITH {_ASKED}, h AS (SELECT doc_id AS "
+    f"WITH {_ITEMS}, h AS (SELECT doc_id AS "
     f"row_ord, {NORM.replace('(t,', '(string_split(coalesce(text, chr(32)), chr(10))[1],')} AS "
     f"heading, {NORM.replace('(t,', '(coalesce(text, chr(32)),')} AS body FROM documents), "
     f"s AS (SELECT k.id, row_ord, list_sum(list_transform(tokens, lambda w: 5 * CAST(contains(heading, w) AS INT) + CASE "
@@ -72,19 +77,17 @@ _PASSAGE = (
 )
 
 
+def items(spark, d):
+    """Every item of benchmark as a question, and the questions above under negative ids."""
+    texts = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = ASKED.df(spark).select((-1 - F.col("id")).cast("long").alias("id"), "text").unionByName(texts)
+    return every.select("id", qs.tokens(fx.normalize(F.col("text"))).alias("tokens"))
+
+
 @query(_PASSAGE)
 def best_passages(spark, d):
-    """The best document for each question; its first line is the heading."""
-    t = F.coalesce("text", F.lit(""))
-    rows = cp.spread(table(spark, d, "documents").select("doc_id", t.alias("t")))
-    first = fx.normalize(F.get(F.split("t", "\n"), 0))
-    return retrieval.best_passages(
-        rows.select(
-            F.col("doc_id").alias("row_ord"),
-            F.explode(F.array(F.struct(first.alias("heading"), fx.normalize(F.col("t")).alias("body")))).alias("x")
-        ).select("row_ord", "x.*"),
-        asked(spark)
-    )
+    """The best document for each item of benchmark; a document's first line is its heading."""
+    return retrieval.best_passages(document_index(spark, d), items(spark, d))
 
 
 _ANSWER = (

@@ -105,7 +105,7 @@ def test_best_rows_take_the_first_of_ties_and_hold_nulls(spark):
         rows, spark.createDataFrame([("m", "mercy", ["mercy"]), ("n", "nothing", ["nothing"])], asked)
     ).collect()
     assert [tuple(r) for r in got] == [("m", 1, 109.0)]
-    found = retrieval.best_passages(
+    found = retrieval.best_passages_by_rows(
         rows.select("row_ord", F.col("question").alias("heading"), F.col("answer").alias("body")),
         spark.createDataFrame([("q", "mercy day", ["mercy", "day"]), ("none", "", [])], asked)
     ).collect()

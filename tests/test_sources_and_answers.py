@@ -104,17 +104,3 @@ def test_ties_nulls_and_empty_tables(spark):
         fx.extract(F.lit(""), 5).alias("c")
     ).first()
     assert tuple(one) == ("كتب الله ا ا", 1, "") and fx.loose("كتاب الله ا اا") == "كتب الله ا ا"
-
-
-def test_index_of_a_corpus(spark, tmp_path, monkeypatch):
-    from lexspark.operators import corpus as cp
-
-    spark.createDataFrame([("a", 1, "A. b"), ("b", 2, None), ("a", 3, "كتاب")], "g string, i long, t string").write.parquet(f"file://{tmp_path}/t")
-    rows = cp.as_corpus(spark.read.parquet(f"file://{tmp_path}/t"), "g", "i", "t")
-    want = {("a", 1, "A. b", "a b"), ("b", 2, "", ""), ("a", 3, "كتاب", "كتاب")}
-    kept = cp.index(rows)
-    assert kept.is_cached and {tuple(r) for r in kept.collect()} == want
-    kept.unpersist()
-    monkeypatch.setattr(cp, "KEPT_BYTES", 0)
-    assert not cp.index(rows).is_cached
-    assert {tuple(r) for r in cp.write_index(rows, f"file://{tmp_path}/index").collect()} == want
