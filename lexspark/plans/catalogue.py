@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as fx
 from lexspark.operators import corpus as cp
 from lexspark.operators import events as ev
 from lexspark.operators import word_index as wi
+from lexspark.operators.ordered import Line
 from lexspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,11 +189,11 @@ def excluded_prev_count(spark, d):
     "lead(role) OVER o AS nrole FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role)) SELECT conv_id, "
     "turn, role, CASE WHEN p = turn - 1 THEN prole END AS prev_role, CASE WHEN n = turn + 1 THEN nrole END AS next_role FROM w")
 def prev_next_row(spark, d):
-    line = W.partitionBy("conv_id").orderBy("turn", "role")
-    side = lambda f, k: F.when(f("turn").over(line) == F.col("turn") + k, f("role").over(line))
-    return table(spark, d, "conversations").select(
-        "conv_id", "turn", "role", side(F.lag, -1).alias("prev_role"), side(F.lead, 1).alias("next_role")
-    )
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    line = Line(rows, "conv_id", ["turn", "role"])
+    both = Line(line.lag("p", "turn", "role"), "conv_id", ["turn", "role"], like=line).lead("n", "turn", "role")
+    side = lambda c, k: F.when(F.col(f"{c}.turn") == F.col("turn") + k, F.col(f"{c}.role"))
+    return both.select("conv_id", "turn", "role", side("p", -1).alias("prev_role"), side("n", 1).alias("next_role"))
 
 
 @query("SELECT n_name, count(*) AS n_customers, min(c_custkey) AS first_customer, (SELECT r_name FROM region WHERE r_regionkey "
@@ -319,10 +319,8 @@ def recent_terms(spark, d):
     "turn, role ROWS UNBOUNDED PRECEDING) AS chunk FROM conversations) SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, "
     "min(turn) AS first_turn, count(*) AS n FROM w GROUP BY ALL")
 def island_chunks(spark, d):
-    line = W.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(W.unboundedPreceding, 0)
-    marked = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.sum((F.col("role") == "user").cast("long")).over(line).alias("chunk")
-    )
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    marked = Line(rows, "conv_id", ["turn", "role"]).running_sum("chunk", F.coalesce((F.col("role") == "user").cast("long"), F.lit(0)))
     return marked.groupBy("conv_id", "chunk").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n"))
 
 
@@ -332,14 +330,9 @@ def next_event_asof(spark, d):
     micros = table(spark, d, "events").select(
         "event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_type"
     )
-    # the next later purchase: times fall from the end, so each row looks back over what is later
-    back = W.partitionBy("user_id").orderBy(F.desc("ts")).rangeBetween(W.unboundedPreceding, -1)
-    return micros.select(
-        "event_id",
-        F.timestamp_micros(F.min(F.when(
-            F.col("event_type") == "purchase", F.col("ts")
-        )).over(back)).cast("timestamp_ntz").alias("next_purchase")
-    )
+    bought = F.when(F.col("event_type") == "purchase", F.col("ts"))
+    later = Line(micros, "user_id", ["ts"]).least_later("next", bought)
+    return later.select("event_id", F.timestamp_micros("next").cast("timestamp_ntz").alias("next_purchase"))
 
 
 @query(CORPUS + "SELECT group_key, row_ord FROM c WHERE contains(norm, 'licensed') ORDER BY row_ord LIMIT 50")
