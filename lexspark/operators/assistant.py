@@ -21,6 +21,7 @@ from lexspark.functions import assistant as fa
 from lexspark.functions import questions as qs
 from lexspark.functions import text as fx
 from lexspark.operators.lookups import small
+from lexspark.operators.names import longest_name
 from lexspark.operators.word_index import WordIndex
 
 BLOCK = 1000
@@ -68,9 +69,7 @@ def chapters_of(passages: DataFrame) -> DataFrame:
 
 def named_chapter(q: DataFrame, names: DataFrame) -> DataFrame:
     """q with chapter: that of the longest name that the question has as whole words, the smallest number of equally long ones; null if none. names: variant, number."""
-    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    met = q.select("id", "norm").join(small(names), padded.contains(F.concat(F.lit(" "), F.col("variant"), F.lit(" "))))
-    best = met.groupBy("id").agg(F.max_by("number", F.struct(F.length("variant"), -F.col("number"))).alias("chapter"))
+    best = longest_name(q, names, "id", "norm", "variant", "number").select("id", F.col("number").alias("chapter"))
     return q.join(best, "id", "left")
 
 

@@ -197,3 +197,20 @@ def having(index: WordIndex, phrase: str, field: str = "norm") -> DataFrame:
 def containing(index: WordIndex, part: str, field: str = "norm") -> DataFrame:
     """The rows whose field has the string."""
     return rows_of(index, blocks_with(index, part, field)).where(F.col(field).contains(part))
+
+
+def counts_of_terms(index: WordIndex, terms: DataFrame, group: str = "group_key", field: str = "norm") -> DataFrame:
+    """term, the group, n: how often each of a table of terms occurs in a field, by a column of the rows, where it does.
+
+    Terms (column ``term``) have two characters or more and no spaces; repeated ones count once. A
+    term occurs where a word has it, also more than once. All terms are looked up in the vocabulary
+    at once, and only postings of words that have one are read; rows come in by their number for
+    their group, without texts.
+    """
+    asked = terms.where((F.length("term") > 1) & ~F.col("term").contains(" ")).select(F.col("term").alias("token")).distinct()
+    words = words_with(index, asked).where(F.col("field") == field).drop("field")
+    met = index.postings.where(F.col("field") == field).select("word", "rows").join(words.select("word").distinct(), "word", "left_semi")
+    of_row = met.select("word", F.explode("rows").alias("r")).select("word", "r.row", "r.n")
+    # a word's occurrences are summed by group before they meet the terms, of which many may have it
+    by_group = of_row.join(index.rows.select("row", group), "row").groupBy("word", group).agg(F.sum("n").alias("n"))
+    return by_group.join(words, "word").groupBy(F.col("token").alias("term"), group).agg(F.sum(F.col("n") * F.col("occurs")).alias("n"))

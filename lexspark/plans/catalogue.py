@@ -11,6 +11,7 @@ from lexspark.functions import text as fx
 from lexspark.operators import corpus as cp
 from lexspark.operators import events as ev
 from lexspark.operators import word_index as wi
+from lexspark.operators.names import longest_name
 from lexspark.operators.ordered import Line
 from lexspark.sources.tables import table
 
@@ -235,6 +236,37 @@ def longest_containment_match(spark, d):
     return documents(spark, d).select(F.col("row_ord").alias("doc_id"), found.alias("name"))
 
 
+#: Names: of parts and nations, and the first words of the items of benchmark.
+_NAMED = (
+    f"n AS (SELECT DISTINCT name FROM (SELECT {NORM.replace('(t,', '(p_name,')} AS name FROM part UNION ALL SELECT "
+    f"{NORM.replace('(t,', '(n_name,')} FROM nation UNION ALL SELECT array_to_string(string_split(norm, ' ')[1:k], ' ') FROM (SELECT "
+    f"{NORM.replace('(t,', '(text,')} AS norm FROM benchmark), (VALUES (1), (2), (3), (12)) AS v(k)) WHERE name <> '')"
+)
+
+
+@query(CORPUS + f", {_NAMED} SELECT row_ord AS doc_id, name FROM c LEFT JOIN n ON contains(concat(' ', norm, ' '), concat(' ', name, ' ')) "
+    "QUALIFY row_number() OVER (PARTITION BY row_ord ORDER BY length(name) DESC, name) = 1")
+def names_in_documents(spark, d):
+    """The longest of a table of names in each document."""
+    norm = F.split(fx.normalize(F.col("text")), " ")
+    names = table(spark, d, "part").select(fx.normalize(F.col("p_name")).alias("name")).unionByName(
+        table(spark, d, "nation").select(fx.normalize(F.col("n_name")).alias("name"))
+    ).unionByName(table(spark, d, "benchmark").select(
+        F.explode(F.array(*[F.array_join(F.slice(norm, 1, k), " ") for k in (1, 2, 3, 12)])).alias("name")
+    )).where("name <> ''").distinct()
+    rows = documents(spark, d).select(F.col("row_ord").alias("doc_id"), "norm")
+    return rows.select("doc_id").join(longest_name(rows, names, "doc_id"), "doc_id", "left").select("doc_id", "name")
+
+
+@query(CORPUS + f", b AS (SELECT DISTINCT term FROM (SELECT unnest(string_split({NORM.replace('(t,', '(text,')}, ' ')) AS term FROM benchmark) "
+    "WHERE length(term) > 1) SELECT term, group_key, CAST(sum((length(norm) - length(replace(norm, term, ''))) // length(term)) AS BIGINT) AS n "
+    "FROM b, c GROUP BY ALL HAVING n > 0")
+def terms_by_group(spark, d):
+    """How often every word of benchmark occurs in documents, by source, in one pass over the postings."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.split(fx.normalize(F.col("text")), " ")).alias("term"))
+    return wi.counts_of_terms(document_index(spark, d), terms)
+
+
 _HITS = "+".join(f"least(6, {occ('norm', t)})" for t in TERMS)
 _DISTINCT = "+".join(f"CAST({occ('norm', t)} > 0 AS BIGINT)" for t in TERMS)
 
