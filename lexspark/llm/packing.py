@@ -38,7 +38,7 @@ class Packer:
         self.level = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
         self.done: list[tuple] = []
-        self.bytes = 0
+        self.bytes = self.cut = 0
 
     def close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -71,20 +71,30 @@ class Packer:
             level[h + r] += 1
 
     def finish(self) -> None:
-        """At the stream's end, what open windows hold is run together and cut, so that at most one window is padded."""
-        held, size = [], 0
-        for h in sorted(self.open, reverse=True):
-            for pieces in self.open[h]:
-                for doc, start, ids, tokens in pieces:
-                    while len(ids):
-                        take = min(len(ids), self.window - size)
-                        held.append((doc, start, ids[:take], tokens))
-                        size, start, ids = size + take, start + take, ids[take:]
-                        if size == self.window:
-                            self.close(held)
-                            held, size = [], 0
-        if held:
-            self.close(held)
+        """At the stream's end open windows stay as they are, the fullest first, and are filled up with what the least full ones hold, cut to fit, so that at most one window is padded.
+
+        ``cut`` counts the pieces that are moved so.
+        """
+        windows = [pieces for h in sorted(self.open, reverse=True) for pieces in self.open[h]]
+        free = [self.window - h for h in sorted(self.open, reverse=True) for _ in self.open[h]]
+        lo, hi = 0, len(windows) - 1
+        while lo < hi:
+            doc, start, ids, tokens = windows[hi].pop()
+            self.cut += 1
+            while len(ids) and lo < hi:
+                take = min(len(ids), free[lo])
+                windows[lo].append((doc, start, ids[:take], tokens))
+                start, ids = start + take, ids[take:]
+                free[lo] -= take
+                if not free[lo]:
+                    self.close(windows[lo])
+                    lo += 1
+            if len(ids):  # the last window is the only one left, and what was taken from it goes back
+                windows[hi].append((doc, start, ids, tokens))
+            elif not windows[hi]:
+                hi -= 1
+        if lo == hi and windows[lo]:
+            self.close(windows[lo])
         self.open.clear()
 
 

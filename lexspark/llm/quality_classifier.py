@@ -23,8 +23,8 @@ from lexspark.llm.common import emit, free_name, read, with_column_type
 PASSAGE_WORDS = 64
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 2_000
-#: Passages of a document that the model is fitted on, at most, at even steps; all are scored.
-FITTED_PASSAGES = 256
+#: Passages whose gradients are added up at once, about: the fit goes through the documents in blocks.
+BLOCK = 4096
 THRESHOLD = 0.7
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 150, 0.02, 3e-3
 
@@ -114,8 +114,25 @@ class Model:
         return self.forward(x, first)["score"]
 
 
+def _gradients(model: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted log loss of some bags."""
+    w, f = model.w, model.forward(x, first)
+    err = (f["score"] - y) * weight
+    dz = err[:, None] * w["c"]
+    bag, att, h, t, g = f["bag"], f["attention"], f["h"], f["t"], f["g"]
+    datt = (dz[bag] * h).sum(1)
+    de = att * (datt - np.add.reduceat(att * datt, first[:-1])[bag])
+    dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
+    dh = att[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
+    dpre = dh * (1 - h * h)
+    return {
+        "We": f["x"].T @ dpre, "be": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": f["z"].T @ err,
+        "b": err.sum(keepdims=True)
+    }
+
+
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
-    """Full-batch Adam on the log loss of the bags, classes weighted alike."""
+    """Full-batch Adam on the log loss of the bags, classes weighted alike; gradients are added up over blocks of whole bags."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
@@ -123,27 +140,22 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Model
         "We": draw(d, HIDDEN), "be": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "a": draw(GATE),
         "c": draw(HIDDEN), "b": np.zeros(1)
     }
-    model = Model(x.mean(0) if len(x) else np.zeros(d), (x.std(0) if len(x) else np.ones(d)) + 1e-2, w)
+    mean, std = (x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)) if len(x) else (np.zeros(d), np.ones(d))
+    model = Model(mean, std + 1e-2, w)
     if len(y) == 0 or y.min() == y.max():  # nothing to tell apart: the same score for all
         model.w["c"][:] = 0
         model.w["b"][:] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) if len(y) else 0
         return model
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
+    cuts = np.unique(np.append(np.searchsorted(first[:-1], np.arange(0, len(x), BLOCK)), len(y)))
     for step in range(1, STEPS + 1):
-        f = model.forward(x, first)
-        err = (f["score"] - y) * weight
-        dz = err[:, None] * w["c"]
-        bag, att, h, t, g = f["bag"], f["attention"], f["h"], f["t"], f["g"]
-        datt = (dz[bag] * h).sum(1)
-        de = att * (datt - np.add.reduceat(att * datt, first[:-1])[bag])
-        dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
-        dh = att[:, None] * dz[bag] + dt @ w["V"].T + dg @ w["U"].T
-        dpre = dh * (1 - h * h)
-        grad = {
-            "We": f["x"].T @ dpre, "be": dpre.sum(0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": f["z"].T @ err,
-            "b": err.sum(keepdims=True)
-        }
+        grad = {k: np.zeros_like(p) for k, p in w.items()}
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            block = first[lo : hi + 1]
+            part = _gradients(model, x[block[0] : block[-1]].astype(np.float64), block - block[0], y[lo:hi], weight[lo:hi])
+            for k, g in part.items():
+                grad[k] += g
         for k, p in w.items():
             q = grad[k] + DECAY * p * (k not in ("be", "b"))
             m[k] = 0.9 * m[k] + 0.1 * q
@@ -160,22 +172,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ys = batch.column("y").to_pylist()
         for c in chunks(batch.column("text")):
             x, first = passages(c)
-            some = [
-                x[np.unique(np.linspace(a, b - 1, min(b - a, FITTED_PASSAGES)).astype(np.int64))] for a,
-                b in zip(first[:-1], first[1:], strict=True)
-            ]
-            yield emit(_BAG, y=ys[c.lo : c.hi], n=[len(p) for p in some], x=[p.tobytes() for p in some])
+            yield emit(_BAG, y=ys[c.lo : c.hi], n=np.diff(first).astype(np.int32), x=[p.tobytes() for p in np.split(x, first[1:-1])])
 
 
 def train(docs: DataFrame, labels: DataFrame, at_most: int = SAMPLE) -> Model:
-    """Fit on the passages of at most ``at_most`` labelled documents, the only rows that reach the driver."""
+    """Fit on all passages of at most ``at_most`` labelled documents, the only rows that reach the driver: half as many bytes more than their texts have."""
     rows = labelled.sample(docs, labels, "quality", 4, 2, at_most).mapInArrow(_bags, "y int, n int, x binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["x"])))
     x = np.concatenate([
         np.zeros((0, FEATURES), np.float32), *[np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
     ])
     return fit(
-        x.astype(np.float64), np.append(0, np.cumsum([r["n"] for r in rows])).astype(np.int64),
+        x, np.append(0, np.cumsum([r["n"] for r in rows])).astype(np.int64),
         np.array([r["y"] for r in rows], np.float64)
     )
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexspark.llm import exact_dedup, ranked_search, registry, vector_codes
+from lexspark.llm import exact_dedup, packing, quality_classifier, ranked_search, registry, vector_codes
 from lexspark.llm.common import read
 
 DATA = "/root/testdata/sf0.001"
@@ -249,3 +249,73 @@ def test_lists_that_cannot_win_are_not_walked(monkeypatch):
     light, heavy = make(np.arange(20_000), 5), make(np.arange(0, 20_000, 100), 5000)
     got = ranked_search.best([light, heavy], 10)
     assert [p for _, p in got] == list(range(0, 1000, 100)) and len(looked) < 3000
+
+
+# --- packing by sums of squares, and the classifier's fit
+
+
+def test_packing_follows_the_sum_of_squares():
+    """Every placement is that of least squared counts, the fullest of equal ones, by trying all."""
+    rng, window = random.Random(1), 64
+    packer, held = packing.Packer(window, 0), []
+    for doc in range(600):
+        r = rng.randint(1, window - 1)
+        counts = collections.Counter(map(sum, held))
+        costs = {}
+        for h in {0, *counts}:
+            if h + r <= window:
+                after = collections.Counter(counts)
+                after[h] -= h > 0
+                after[h + r] += h + r < window
+                costs[h] = sum(n * n for n in after.values())
+        least = max(h for h, c in costs.items() if c == min(costs.values()))
+        if least:
+            to = next(i for i in range(len(held) - 1, -1, -1) if sum(held[i]) == least)
+            now = [*held.pop(to), r]
+        else:
+            now = [r]
+        if sum(now) < window:
+            held.append(now)
+        packer.place((doc, 0, np.arange(r, dtype=np.uint32), r), r)
+        assert {h: int(n) for h, n in enumerate(packer.level) if n} == dict(collections.Counter(map(sum, held)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 400])
+def test_packing_keeps_what_is_placed(n):
+    """The closing step fills the fullest windows from the least full ones; most pieces stay where they were placed."""
+    rng, window = random.Random(n), 64
+    packer = packing.Packer(window, 7)
+    for doc in range(n):
+        packer.add(doc, np.arange(rng.randint(1, 150), dtype=np.uint32))
+    before = {h: [[p[:2] for p in w] for w in ws] for h, ws in packer.open.items()}
+    total, closed = sum(len(ws) for ws in before.values()), len(packer.done)
+    packer.finish()
+    by, ids = collections.defaultdict(list), collections.defaultdict(list)
+    for doc, start, length, octets, tokens, sequence, offset in packer.done:
+        by[sequence].append((offset, length))
+        ids[doc].append((start, np.frombuffer(octets, "<u4").tolist()))
+        assert len(octets) == 4 * length and length > 0
+    assert all(sum(x for _, x in sorted(v)[:i]) == o for v in by.values() for i, (o, _) in enumerate(sorted(v)))
+    assert sum(sum(x for _, x in v) < window for v in by.values()) <= 1
+    assert all([x for _, xs in sorted(v) for x in xs] == list(range(sum(len(xs) for _, xs in v))) for v in ids.values())
+    if n == 400:
+        kept = sum(len(ws) for ws in before.values()) - packer.cut
+        assert total > 20 and kept > 0 and packer.cut < len(packer.done) - closed
+
+
+def test_gradients_add_up_over_blocks(monkeypatch):
+    """All passages enter the fit, those of long documents too, and blocks change nothing but rounding."""
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 700, 3, 1, 40, 2, 900, 5] * 6)
+    first = np.append(0, np.cumsum(counts))
+    x = rng.normal(size=(first[-1], quality_classifier.FEATURES)).astype(np.float32)
+    y = (np.arange(len(counts)) % 2).astype(np.float64)
+    monkeypatch.setattr(quality_classifier, "STEPS", 5)
+    whole = []
+    for block in (1 << 30, 500):
+        monkeypatch.setattr(quality_classifier, "BLOCK", block)
+        whole.append(quality_classifier.fit(x, first, y).scores(x.astype(float), first))
+    assert np.allclose(*whole, atol=1e-9)
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"y": [1, 0], "text": ["word " * 20_000, ""]})
+    made = [r for b in quality_classifier._bags(iter([batch])) for r in b.to_pylist()]
+    assert [r["n"] for r in made] == [-(-20_000 // quality_classifier.PASSAGE_WORDS), 1]
