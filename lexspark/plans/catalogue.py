@@ -65,7 +65,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first_line = fx.normalize(F.get(F.split("text", "\n"), 0))
+    first_line = fx.normalize(F.substring_index("text", "\n", 1))
     return cp.normalized(raw_documents(spark, sf_dir)).withColumn("heading", first_line)
 
 
