@@ -72,7 +72,7 @@ PHRASE_FILLERS = (
     "سوره لخص ملخص "
     "التي تبدا تنتهي بـ ب عباره جمله وردت ورد ذكرت ذكر كم مره توجد اين وجدت موجوده"
 ).split()
-#: Verses that have a name of their own: name in normal form, chapter, verse.
+#: Verses that have a name of their own, as name in normal form, chapter, verse.
 NAMED = [("ايه الكرسي", 2, 255), ("ايه الدين", 2, 282)]
 
 
