@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import json
 
 from pyspark.sql import Window as W
@@ -11,8 +13,10 @@ from lexspark.functions import text as fx
 from lexspark.operators import events as ev
 from lexspark.operators import lookups as lk
 from lexspark.operators import state as st
+from lexspark.operators.store import DELETE, PATCH, PUT, KeyedStore
 from lexspark.plans.catalogue import NORM, query
 from lexspark.plans.inline import CHAPTERS, PASSAGES, VERSES, Inline, with_tables
+from lexspark.sources import shared
 from lexspark.sources.tables import table
 
 
@@ -491,3 +495,33 @@ def last_updated(spark, d):
 
     ms = F.when(F.col("event_id") == 0, F.lit(0)).otherwise(F.unix_millis(F.col("ts").cast("timestamp")))
     return table(spark, d, "events").select("event_id", sc.updated_label(ms, "UTC").alias("label"))
+
+
+_OPERATIONS = (
+    "o AS (SELECT user_id, (event_id % 3) * 1000000000000 + event_id AS pos, CASE event_type WHEN 'signup' THEN 'put' WHEN 'error' THEN "
+    "'delete' ELSE 'patch' END AS op, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS state, CASE WHEN event_type "
+    "IN ('signup', 'click', 'purchase') THEN value END AS value, CASE WHEN event_type IN ('signup', 'view') THEN props END AS props FROM events)"
+)
+
+
+@query(f"WITH {_OPERATIONS}, w AS (SELECT user_id, max(pos) AS since, arg_max(struct_pack(op := op, s := state, v := value, p := props), pos) "
+    "AS b FROM o WHERE op <> 'patch' GROUP BY user_id), p AS (SELECT o.user_id, arg_max(state, pos) FILTER (WHERE state IS NOT NULL) AS s, "
+    "arg_max(value, pos) FILTER (WHERE value IS NOT NULL) AS v, arg_max(props, pos) FILTER (WHERE props IS NOT NULL) AS p FROM o LEFT JOIN w "
+    "USING (user_id) WHERE o.op = 'patch' AND (since IS NULL OR pos > since) GROUP BY o.user_id) SELECT user_id, coalesce(p.s, CASE WHEN "
+    "b.op = 'put' THEN b.s END) AS state, coalesce(p.v, CASE WHEN b.op = 'put' THEN b.v END) AS value, coalesce(p.p, CASE WHEN b.op = 'put' "
+    "THEN b.p END) AS props FROM w FULL JOIN p USING (user_id) WHERE b.op = 'put' OR p.user_id IS NOT NULL")
+def events_stored(spark, d):
+    """Events as puts, patches and deletes of users, written to a keyed store in three batches, the first two compacted, and read back."""
+    kind, given = F.col("event_type"), lambda c, *types: F.when(F.col("event_type").isin(*types), F.col(c)).alias(c)
+    operations = table(spark, d, "events").select(
+        "user_id", F.when(kind.isin("signup", "purchase"), kind).alias("state"), given("value", "signup", "click", "purchase"),
+        given("props", "signup", "view"), F.when(kind == "signup", PUT).when(kind == "error", DELETE).otherwise(PATCH).alias("op"),
+        F.col("event_id").alias("at")
+    )
+    schema = operations.drop("op", "at").schema
+    store = KeyedStore(spark, f"{shared.top(spark)}/events-store-{uuid.uuid4().hex}", "user_id", schema)
+    for batch in range(3):
+        store.write(operations.where(F.col("at") % 3 == batch), batch)
+        if batch == 1:
+            store.compact()
+    return store.read()
