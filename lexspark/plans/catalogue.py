@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as fx
 from lexspark.operators import corpus as cp
 from lexspark.operators import events as ev
+from lexspark.operators import extracts as ex
 from lexspark.operators import word_index as wi
 from lexspark.operators.names import longest_name
 from lexspark.operators.ordered import Line
@@ -329,6 +330,30 @@ def consecutive_dedup(spark, d):
     ).select("user_id", "event_id", "event_type")
 
 
+_SENTENCES = (
+    "string_split(regexp_replace(regexp_replace(t, '([.؟!])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))"
+)
+
+
+@query(
+    "WITH RECURSIVE f AS (SELECT source, doc_id, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, "
+    f"text NULLS FIRST) AS place FROM documents QUALIFY place <= {ex.PARTS}), "
+    f"n AS (SELECT source, place, t, list_filter({_SENTENCES}, lambda x: x <> '') AS s FROM f WHERE t IS NOT NULL), "
+    f"steps AS (SELECT source, place, t, s, 1 AS i, coalesce(s[1], '') AS taken, len(s) = 0 OR length(s[1]) >= {ex.PART_CHARS} AS "
+    "done FROM n UNION ALL SELECT source, place, t, s, i + 1, CASE WHEN length(taken) + length(s[i + 1]) > "
+    f"{ex.PART_CHARS} THEN taken ELSE taken || ' ' || s[i + 1] END, length(taken) + length(s[i + 1]) > {ex.PART_CHARS} OR "
+    f"length(taken || ' ' || s[i + 1]) >= {ex.PART_CHARS} FROM steps WHERE NOT done AND i < len(s)), "
+    f"parts AS (SELECT source, place, CASE WHEN arg_max(taken, i) = '' THEN substring(any_value(t), 1, {ex.PART_CHARS}) ELSE "
+    "arg_max(taken, i) END AS part FROM steps GROUP BY ALL) "
+    "SELECT d.source, d.n_rows, d.n_shown, coalesce(p.extract, '') AS extract FROM (SELECT source, count(*) AS n_rows, "
+    f"least(count(*), {ex.PARTS}) AS n_shown FROM documents GROUP BY source) d LEFT JOIN (SELECT source, string_agg(part, "
+    f"'{ex.BETWEEN}' ORDER BY place) AS extract FROM parts GROUP BY source) p ON d.source IS NOT DISTINCT FROM p.source"
+)
+def extracts_by_group(spark, d):
+    """The first sentences of the first documents of each source."""
+    return ex.extracts(table(spark, d, "documents"), "source", "doc_id", "text")
+
+
 @query("SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) % 2 = 1")
 def toggle_state(spark, d):
     return ev.toggled_on(table(spark, d, "events"), "user_id", "event_type")
