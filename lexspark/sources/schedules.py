@@ -15,6 +15,20 @@ ANSWER = (
 )
 
 
+def request_of(day: Column, city: Column, country: Column, latitude: Column, longitude: Column, method: Column, school: Column) -> Column:
+    """Path and query of a request for a day: by coordinates if both are there, else by city and country; null if one of these is blank or null.
+
+    To be put after the service's address, as a key of ``json_urls``.
+    """
+    date, written = F.date_format(day, "dd-MM-yyyy"), lambda c: F.replace(F.url_encode(F.trim(c)), F.lit("+"), F.lit("%20"))
+    common = F.concat(F.lit("&method="), method.cast("string"), F.lit("&school="), school.cast("string"), F.lit("&iso8601=false"))
+    there = latitude.isNotNull() & longitude.isNotNull()
+    at = F.concat(F.lit("timings/"), date, F.lit("?latitude="), latitude.cast("string"), F.lit("&longitude="), longitude.cast("string"), common)
+    named = (F.trim(city) != "") & (F.trim(country) != "")
+    of = F.concat(F.lit("timingsByCity/"), date, F.lit("?city="), written(city), F.lit("&country="), written(country), common)
+    return F.when(there, at).when(named, of)
+
+
 def day_of(body: Column) -> Column:
     """Struct of times (map of minutes by name), timezone, method_name and hijri; null unless the code is 200 and all six times can be read."""
     a = F.from_json(body, ANSWER)
