@@ -137,7 +137,12 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages, read them back; see ``write_archive`` for nulls, repeated rows, ties and empty tables."""
+    """Write all pages, read every record back whole; ``record_sha256`` is the digest of a record's bytes (header, block, closing line ends).
+
+    See ``write_archive`` for nulls, repeated rows, ties and empty tables.
+    """
     folder = shared_folder(spark, "warc")
     write_archive(read(spark, sf_dir, "pages"), folder)
-    return read_archive(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256")
+    )

@@ -156,22 +156,36 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def record_by_hand(page, url, body, digest, refers_to):
+    """A record's bytes in plain Python."""
+    lines = ["WARC/1.1", "WARC-Type: " + ("response" if refers_to is None else "revisit"), f"WARC-Record-ID: <urn:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if refers_to is not None:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    block = body if refers_to is None else b""
+    lines += ["Content-Type: text/html; charset=UTF-8", f"Content-Length: {len(block)}"]
+    return "".join(f"{x}\r\n" for x in [*lines, ""]).encode() + block + b"\r\n\r\n"
+
+
 def test_warc_query(spark):
-    pages = {r.page_id: (r.html or "").encode() for r in read(spark, DATA, "pages").collect()}
+    rows = read(spark, DATA, "pages").collect()
+    pages = {r.page_id: (r.html or "").encode() for r in rows}
     last = {b: max(p for p, x in pages.items() if x == b) for b in pages.values()}
     got = registry.QUERIES["op3_warc"](spark, DATA)
     assert dict(got.dtypes) == {
-        "page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"
-    }
-    want = {
-        (
-            p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(),
-            *(("response", None) if last[b] == p else ("revisit", last[b]))
-        ) for p,
-        b in pages.items()
+        "page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint",
+        "record_sha256": "string"
     }
+    want = set()
+    for r in rows:
+        body = pages[r.page_id]
+        digest, other = base64.b32encode(hashlib.sha1(body).digest()).decode(), None if last[body] == r.page_id else last[body]
+        record = record_by_hand(r.page_id, r.url, body, digest, other)
+        want.add((r.page_id, len(body), digest, "response" if other is None else "revisit", other, hashlib.sha256(record).hexdigest()))
     assert {tuple(r) for r in got.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_sha256"
     ).collect()} == want and got.count() == len(pages)
 
 
