@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.llm.arrays import Chunk, U, chunks, gram_hashes, inside, mix, word_hashes, word_sequences, words
-from lexspark.llm.common import emit, forget, free_name, read, saved, width
+from lexspark.llm.common import emit, forget, free_name, hot_join, read, saved, width
 from lexspark.llm.components import components
 
 SHINGLE = 5
@@ -229,13 +229,13 @@ def _judged(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     sketched = saved(named.mapInArrow(_sketch, "doc_id long, n long, key binary, registers binary"), "sketches")
     full = sketched.where("n > 0")
     sets = full.groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers")
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("rows")
     )
     nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers hold
     used: list[DataFrame] = []
     groups = components(_links(named, nodes, percent, used))
     forget(*used)
-    placed = nodes.select("key", "node", "least").join(groups, "node", "left")
+    placed = nodes.select("key", "node", "least", "rows").join(groups, "node", "left")
     # the members of a component are dealt over some parts, and each part learns the smallest id
     grouped = placed.where("component IS NOT NULL")
     heads = grouped.groupBy("component").agg(F.min("least").alias("component_id")).withColumn(
@@ -243,11 +243,12 @@ def _judged(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     )
     of_group = grouped.withColumn(
         "_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    ).join(heads, ["component", "_salt"]).select("key", "component", "component_id")
-    of_set = of_group.unionByName(placed.where("component IS NULL").select(
-        "key", F.col("node").alias("component"), F.col("least").alias("component_id")
-    ))
-    joined = full.select("doc_id", "n", "key").join(of_set, "key").select(
+    ).join(heads, ["component", "_salt"]).select("key", "component", "component_id", "rows")
+    of_set = saved(of_group.unionByName(placed.where("component IS NULL").select(
+        "key", F.col("node").alias("component"), F.col("least").alias("component_id"), "rows"
+    )), "sets")
+    # rows of a text that very many share stay where they are
+    joined = hot_join(full.select("doc_id", "n", "key"), of_set, "key", "rows").select(
         "doc_id", F.col("n").alias("n_shingles"), "key", "component", "component_id"
     )
     empty = sketched.where("n = 0").select(
@@ -309,9 +310,11 @@ def _links(named: DataFrame, nodes: DataFrame, percent: int, used: list[DataFram
         used.append(saved(df, name))
         return used[-1]
 
-    keys = nodes.select("node", "registers").mapInArrow(_buckets, "key long, node long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
-    live = kept(keys.join(shared, "key").select("key", "node", "first"), "buckets")
+    keys = kept(nodes.select("node", "registers").mapInArrow(_buckets, "key long, node long"), "bands")
+    shared = kept(keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("first")
+    ).where("size > 1"), "shared-bands")
+    live = kept(hot_join(keys, shared, "key", "size").select("key", "node", "first"), "buckets")
     # one text of each node that shares a bucket
     wanted = live.select("node").distinct().join(nodes.select("node", "key"), "node")
     holds = named.select("text").mapInArrow(_distinct_texts, "key binary, text string").join(wanted, "key")
@@ -326,16 +329,17 @@ def _links(named: DataFrame, nodes: DataFrame, percent: int, used: list[DataFram
     edges = kept(compared(likely(stars), texts, percent).select("a", "b"), "links")
     group = kept(components(edges), "groups")
     # buckets that are not in one component, and the best linked node of each
-    placed = live.select("key", "node").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("key").agg(
-        F.min("component").alias("_lo"), F.max("component").alias("_hi")
-    ).where("_lo <> _hi").select("key")
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    live = placed.join(apart, "key").join(degree, "node", "left").select(
-        "key", "node", F.coalesce("degree", F.lit(0)).alias("degree")
-    )
-    best = live.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("a"))
-    frames = live.join(best, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    placed = kept(live.select("key", "node").join(group, "node", "left").join(degree, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")
+    ), "placed")
+    best = kept(placed.groupBy("key").agg(
+        F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max_by("node", F.struct("degree", "node")).alias("a"),
+        F.count(F.lit(1)).alias("size")
+    ).where("_lo <> _hi").select("key", "a", "size"), "leaders")
+    frames = hot_join(placed.select("key", "node"), best, "key", "size").where("node <> a").select(
+        "a", F.col("node").alias("b")
+    ).distinct()
     framed = kept(compared(frames, texts, percent, apart=True), "frames")
     edges = edges.unionByName(framed.where("linked").select("a", "b"))
     group = kept(components(edges), "groups")

@@ -463,6 +463,26 @@ def test_hot_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_hot_text_and_hot_band(spark):
+    """A third of all rows share one text, and very many different texts share their bands: rows of neither are shuffled by it."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(3 * i, " ".join(base)) for i in range(300)]
+    for i in range(150):  # one edit each: all are near the hot text
+        near = list(base)
+        near[rng.randrange(400)] = f"e{i}"
+        rows.append((3 * i + 1, " ".join(near)))
+    for i in range(450):
+        rows.append((3 * i + 2, " ".join(f"{i}v{j}" for j in range(8))))
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 85)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()}
+    assert len(found) == len(rows)
+    assert found == {d: (396 if len(t.split()) == 400 else 4, 0 if len(t.split()) == 400 else d) for d, t in rows}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + rng.randint(1, 30)) for _ in range(50)] + [
