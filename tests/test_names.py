@@ -70,3 +70,20 @@ def test_counts_of_terms(spark, corpus, tmp_path):
     assert {(r.term, r.group_key): r.n for r in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_texts_do_not_go_along_with_their_stretches(spark):
+    """What is shuffled grows with the words of a text, not with their square; a long name must stand in one text in whole."""
+    words = [f"w{i}" for i in range(8000)]
+    name = " ".join(words[100:121])
+    rows = spark.createDataFrame([
+        (1, " ".join(words)), (2, " ".join(words[100:112])), (2, " ".join(["z"] * 12 + words[112:121])), (3, " ".join(words[100:120])),
+        (4, f"a {name} b"), (5, f"{name}x"), (5, " ".join(words[100:108] + words[100:121]))
+    ], "row long, norm string")
+    names = spark.createDataFrame([(name, 1), (name, 2), (" ".join(words[7992:]), 3), ("w5", 4)], "name string, id int")
+    got = nm.found_names(rows, names)
+    assert sorted((r.row, r.id) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (4, 1), (4, 2), (5, 1), (5, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan()
+    above = lambda node: [node, *[x for i in range(node.children().size()) for x in above(node.children().apply(i))]]
+    outs = [n.output().mkString(",") for n in above(plan) if n.nodeName() == "Generate"]
+    assert outs and not any("norm" in o for o in outs)
