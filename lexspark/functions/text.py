@@ -33,15 +33,27 @@ def western_digits(text: Column) -> Column:
     return F.translate(text, DIGITS, WESTERN)
 
 
+#: Spaces and punctuation of the normal form, without the plain space, and those up to U+00FF.
+_GAPS = WHITE[1:-2].replace(" ", "") + PUNCTUATION[1:-1]
+_LATIN_GAPS = r"\t\n\x0B\x0C\r\x{00A0}.,;:!?\"'«»()\[\]{}/\\|*+~^%$#@&_=<>-"
+
+
+def _spaced(text: Column, gaps: str) -> Column:
+    """Each stretch of gaps and spaces as one space; a lone space is no match."""
+    return F.regexp_replace(text, f" [ {gaps}]+|[{gaps}][ {gaps}]*", " ")
+
+
 def normalize(text: Column) -> Column:
     """The form in which texts are compared: no marks, folded letters, lower case, no punctuation, single spaces. Null stays null.
 
     One pattern takes marks and tatweel away, one table folds digits and letters, and one pattern
-    makes each stretch of punctuation and white space a space.
+    makes each stretch of punctuation and white space a space. Texts without a character beyond
+    U+00FF have nothing to take away or fold, and a pattern of such characters only is a table of bits.
     """
     bare = F.regexp_replace(text, MARKS[:-1] + TATWEEL + "]+", "")
     folded = F.translate(bare, DIGITS + FOLDED, WESTERN + FOLDS)
-    return F.trim(F.regexp_replace(F.lower(folded), "[" + WHITE[1:-2] + PUNCTUATION[1:-1] + "]+", " "))
+    full = _spaced(F.lower(folded), _GAPS)
+    return F.trim(F.when(text.rlike(r"[^\x{0000}-\x{00FF}]"), full).otherwise(_spaced(F.lower(text), _LATIN_GAPS)))
 
 
 def normalize_for_load(text: Column) -> Column:

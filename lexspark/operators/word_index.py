@@ -108,20 +108,32 @@ def read(spark: SparkSession, folder: str) -> WordIndex:
     return WordIndex(*[spark.read.parquet(f"{folder}/{t}") for t in WordIndex._fields])
 
 
+def _folder(table: DataFrame, name: str) -> str:
+    return f"{shared.top(table.sparkSession)}/{name}-{shared.state_of(table)}"
+
+
+def rows_standing(table: DataFrame, name: str) -> DataFrame | None:
+    """The rows that stand in the shared folder for the table's files as they are now; None if there are none."""
+    spark, folder = table.sparkSession, _folder(table, name)
+    return spark.read.parquet(f"{folder}/rows") if shared.exists(spark, f"{folder}/rows/_SUCCESS") else None
+
+
 def rows_for(table: DataFrame, corpus: DataFrame, name: str) -> DataFrame:
-    """The rows of a corpus that is made from a table: those which stand in the shared folder for the table's files as they are now, or else new ones. Other sessions find them too."""
-    spark = corpus.sparkSession
-    folder = f"{shared.top(spark)}/{name}-{shared.state_of(table)}"
-    return spark.read.parquet(f"{folder}/rows") if shared.exists(spark, f"{folder}/rows/_SUCCESS") else write_rows(corpus, folder)
+    """The rows of a corpus that is made from a table: those which stand, or else new ones. Other sessions find them too."""
+    rows = rows_standing(table, name)
+    return write_rows(corpus, _folder(table, name)) if rows is None else rows
+
+
+def standing(table: DataFrame, name: str) -> WordIndex | None:
+    """The whole index, as far as its last table stands."""
+    spark, folder = table.sparkSession, _folder(table, name)
+    return read(spark, folder) if shared.exists(spark, f"{folder}/grams/_SUCCESS") else None
 
 
 def for_table(table: DataFrame, corpus: DataFrame, fields: list[str], name: str) -> WordIndex:
     """The same with the tables of words; they are complete once the last one is."""
-    spark = corpus.sparkSession
-    folder = f"{shared.top(spark)}/{name}-{shared.state_of(table)}"
-    if shared.exists(spark, f"{folder}/grams/_SUCCESS"):
-        return read(spark, folder)
-    return write(rows_for(table, corpus, name), folder, fields)
+    index = standing(table, name)
+    return write(rows_for(table, corpus, name), _folder(table, name), fields) if index is None else index
 
 
 def occurrences(word: Column, token: Column) -> Column:

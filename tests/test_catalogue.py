@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as fx
 from lexspark.operators import events as ev
+from lexspark.operators import word_index as wi
 from lexspark.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -105,3 +108,26 @@ def test_entry_has_every_query():
 
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_normal_form_of_all_gaps(spark):
+    """Every character below U+3100 and U+FEFF between letters, alone, twice and beside spaces, as the plain rules have it."""
+    white, drop = r"[\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+", re.sub(r"\\x\{(\w+)\}", r"\\u\1", fx.MARKS[:-1] + fx.TATWEEL + "]")
+    gaps = re.compile(f"[{white[1:-2]}{fx.PUNCTUATION[1:-1]}]+")
+
+    def plain_rules(t):
+        bare = re.sub(drop, "", t).translate(str.maketrans(fx.DIGITS + fx.FOLDED, fx.WESTERN + fx.FOLDS))
+        return gaps.sub(" ", bare.lower()).strip(" ")
+
+    chars = [c for c in map(chr, [*range(1, 0x3100), 0xFEFF]) if c.lower() == c and unicodedata.category(c) != "Cn"]
+    texts = [f"{c}A{c}b {c}c{c} d {c} e{c}{c}f {c}" for c in chars] + ["", " ", " . ", "a  b", "A.\u2014b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fx.normalize(F.col("t")).alias("n")).collect()
+    assert [(r.t, r.n) for r in rows if r.n != plain_rules(r.t)] == []
+
+
+def test_one_pass_writes_no_table(spark, tmp_path):
+    """Totals of a table without an index leave nothing in the shared folder; they need one scan."""
+    folder = f"file://{tmp_path}/d"
+    spark.createDataFrame([("a", 1, "A. b", "x"), ("b", 2, None, "y")], "source string, doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    assert catalogue.QUERIES["corpus_totals"](spark, folder).collect() == [(2, 2, 2, 4)]
+    assert wi.rows_standing(spark.read.parquet(f"{folder}/documents.parquet"), "documents-index") is None
