@@ -81,9 +81,8 @@ def write(rows: DataFrame, folder: str, fields: list[str]) -> WordIndex:
     words = shared.written(
         postings.groupBy("field", "word").agg(F.count_distinct("block").alias("n_blocks")), f"{folder}/words"
     )
-    of = lambda c: F.array_union(*[F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1)) for k in (2, 3)])
     loose = fx.loose_key(F.col("word"))
-    every = F.when(loose == F.col("word"), of(F.col("word"))).otherwise(F.array_union(of(F.col("word")), of(loose)))
+    every = F.when(loose == F.col("word"), _grams(F.col("word"))).otherwise(F.array_union(_grams(F.col("word")), _grams(loose)))
     grams = words.select(F.explode(every).alias("gram"), "field", "word")
     shared.written(
         grams.repartition(n, "gram", F.pmod(F.xxhash64("word"), F.lit(16))).sortWithinPartitions("gram", "field", "word"),
@@ -92,6 +91,11 @@ def write(rows: DataFrame, folder: str, fields: list[str]) -> WordIndex:
     return read(spark, folder)
 
 
+def _grams(word: Column) -> Column:
+    """All stretches of two and three characters."""
+    return F.array_union(*[F.regexp_extract_all(word, F.lit(f"(?s)(?=({'.' * k}))"), F.lit(1)) for k in (2, 3)])
+
+
 def _posted(block: int, held: dict[tuple[str, str], list[tuple]]) -> pa.RecordBatch:
     row, row_ord, n = zip(*[x for rows in held.values() for x in rows], strict=True)
     ends = [0]
@@ -212,17 +216,24 @@ def containing(index: WordIndex, part: str, field: str = "norm") -> DataFrame:
 
 
 def counts_of_terms(index: WordIndex, terms: DataFrame, group: str = "group_key", field: str = "norm") -> DataFrame:
+    """``counts_in_rows`` of an index."""
+    return counts_in_rows(index.rows, terms, group, field)
+
+
+def counts_in_rows(rows: DataFrame, terms: DataFrame, group: str = "group_key", field: str = "norm") -> DataFrame:
     """term, the group, n: how often each of a table of terms occurs in a field, by a column of the rows, where it does.
 
     Terms (column ``term``) have two characters or more and no spaces; repeated ones count once. A
-    term occurs where a word has it, also more than once. All terms are looked up in the vocabulary
-    at once, and only postings of words that have one are read; rows come in by their number for
-    their group, without texts.
+    term occurs where a word has it, also more than once. Words are counted by group before they
+    meet the terms, so what is shuffled grows with the vocabulary of the groups and not with the
+    texts, of which none is written. A word meets terms by its stretches of two or three characters
+    that begin a term.
     """
-    asked = terms.where((F.length("term") > 1) & ~F.col("term").contains(" ")).select(F.col("term").alias("token")).distinct()
-    words = words_with(index, asked).where(F.col("field") == field).drop("field")
-    met = index.postings.where(F.col("field") == field).select("word", "rows").join(words.select("word").distinct(), "word", "left_semi")
-    of_row = met.select("word", F.explode("rows").alias("r")).select("word", "r.row", "r.n")
-    # a word's occurrences are summed by group before they meet the terms, of which many may have it
-    by_group = of_row.join(index.rows.select("row", group), "row").groupBy("word", group).agg(F.sum("n").alias("n"))
-    return by_group.join(words, "word").groupBy(F.col("token").alias("term"), group).agg(F.sum(F.col("n") * F.col("occurs")).alias("n"))
+    asked = terms.where((F.length("term") > 1) & ~F.col("term").contains(" ")).select(
+        "term", F.substring("term", 1, 3).alias("_gram")
+    ).distinct()
+    words = rows.select(F.col(group), F.explode(F.split(field, " ")).alias("_word")).where(F.length("_word") > 1)
+    by_group = words.groupBy("_word", group).agg(F.count(F.lit(1)).alias("_n"))
+    told = by_group.select("*", F.explode(_grams(F.col("_word"))).alias("_gram"))
+    met = told.join(asked, "_gram").where(F.col("_word").contains(F.col("term")))
+    return met.groupBy("term", group).agg(F.sum(F.col("_n") * occurrences(F.col("_word"), F.col("term"))).alias("n"))
