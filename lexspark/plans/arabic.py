@@ -133,4 +133,7 @@ def verse_flags(spark, d):
 def grouped_thousands(spark, d):
     from lexspark.sources.tables import table
 
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.format_number(F.round(F.sum("o_totalprice")), 0).alias("total"))
+    # doubles are added in the order of the table's rows, as the SQL does on one thread: other orders round otherwise
+    placed = table(spark, d, "orders").select("o_custkey", "o_totalprice", "_metadata.file_path", "_metadata.row_index")
+    line = placed.repartition("o_custkey").sortWithinPartitions("o_custkey", "file_path", "row_index")
+    return line.groupBy("o_custkey").agg(F.format_number(F.round(F.sum("o_totalprice")), 0).alias("total"))

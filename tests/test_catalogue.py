@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from lexspark.functions import text as fx
 from lexspark.operators import events as ev
 from lexspark.operators import word_index as wi
@@ -146,3 +147,21 @@ def test_one_search_writes_no_index(spark, tmp_path, name):
     assert wi.standing(spark.read.parquet(f"{folder}/documents.parquet"), "documents-index") is None and len(alone) > 1
     catalogue.document_index(spark, folder)
     assert rows() == alone
+
+
+def test_sums_in_the_order_of_rows(spark, tmp_path):
+    """Sums of doubles that end in a half are those of the SQL, though a customer's orders stand in many files."""
+    rng, rows = random.Random(4), []
+    for k in range(400):
+        cents = [rng.randrange(100_000, 50_000_000) for _ in range(23)]
+        cents.append(10_000_000 + (50 - sum(cents)) % 100)
+        rows += [(i, k, c / 100) for i, c in enumerate(cents)]
+    rows.sort()
+    folder = f"{tmp_path}/d/orders.parquet"
+    for i in range(8):
+        part = spark.createDataFrame(rows[i * 1200:(i + 1) * 1200], "n int, o_custkey long, o_totalprice double").coalesce(1)
+        part.drop("n").write.parquet(f"file://{folder}/part={i}")
+    c = duckdb.connect()
+    c.execute(f"SET threads=1; CREATE VIEW orders AS SELECT o_custkey, o_totalprice FROM read_parquet('{folder}/*/*.parquet') ")
+    got = __spark_entry__.queries()["grouped_thousands"](spark, f"file://{tmp_path}/d")
+    assert plain(got.collect(), ["k", "t"]) == plain(c.sql(__spark_entry__.oracle_sql()["grouped_thousands"]).fetchall(), ["k", "t"])
