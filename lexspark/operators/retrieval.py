@@ -6,6 +6,11 @@ row by row for a block of questions; passages are found by the postings of an in
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,6 +160,74 @@ def best_passages(index: wi.WordIndex, questions: DataFrame, least: float = LEAS
     return Passages(index, questions, least).best()
 
 
+#: Up to so many questions go to all tasks; more are worth an index.
+SCANNED = 2000
+#: A task remembers the tokens of so many words.
+KNOWN_WORDS = 200_000
+
+
+def best_passages_by_scan(rows: DataFrame, questions: DataFrame, least: float = LEAST_PASSAGE) -> DataFrame:
+    """The same for at most SCANNED questions and rows that have no index (row_ord, heading, norm): one scan, and one row of each task for each question.
+
+    A token has no spaces, so it occurs in words only: a row's words are counted, and each different
+    word is looked up once in a task for the tokens that it has. A phrase is looked for where a row
+    has all of its tokens and could be the best one of the task with it.
+    """
+    asked = [(r.id, r.tokens) for r in questions.where(F.size("tokens") > 0).select("id", "tokens").limit(SCANNED + 1).collect()]
+    if len(asked) > SCANNED:
+        raise ValueError(f"more than {SCANNED} questions need an index")
+    kind = rows.select("row_ord").join(questions.select("id"), F.lit(False)).select("id", "row_ord", F.lit(0.0).alias("score")).schema
+    if not asked:
+        return rows.sparkSession.createDataFrame([], kind)
+    number = {t: i for i, t in enumerate(dict.fromkeys(t for _, ts in asked for t in ts))}
+    starting = defaultdict(list)
+    for t in number:
+        starting[t[:3]].append(t)
+    size = np.array([len(ts) for _, ts in asked])
+    of_question, first = np.array([number[t] for _, ts in asked for t in ts]), np.concatenate([[0], np.cumsum(size)[:-1]])
+    phrases = [" ".join(ts) for _, ts in asked]
+
+    def tokens_in(word: str) -> list[tuple[int, int]]:
+        """The tokens that a word has, and how often."""
+        grams = {word[i:i + k] for i in range(len(word)) for k in (1, 2, 3)}
+        return [(number[t], word.count(t)) for g in grams for t in starting.get(g, ()) if t in word]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at, known = np.full(len(asked), float(least)), [None] * len(asked), {}
+        for batch in batches:
+            for row_ord, heading, norm in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                heading, norm = heading or "", norm or ""
+                times, head = np.zeros(len(number)), np.zeros(len(number), bool)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                for text, is_head in ((norm, False), (heading, True)):
+                    for word, n in Counter(text.split(" ")).items():
+                        if (has := known.get(word)) is None:
+                            has = known[word] = tokens_in(word)
+                        for t, occurs in has:
+                            if is_head:
+                                head[t] = True
+                            else:
+                                times[t] += n * occurs
+                points = np.where(head, IN_HEADING, 0.0) + np.where(times > 0, IN_BODY + HALF * np.minimum(times, TIMES), 0.0)
+                score = np.add.reduceat(points[of_question], first)
+                found = np.add.reduceat(((times > 0) | head)[of_question].astype(int), first)
+                whole = (found == size) & (size > 1)
+                for q in np.nonzero((2 * found >= size) & (score + HEADING_PHRASE * whole >= best))[0].tolist():
+                    s = float(score[q])
+                    if whole[q]:
+                        s += HEADING_PHRASE if phrases[q] in heading else BODY_PHRASE if phrases[q] in norm else 0
+                    rank = (row_ord is not None, -(row_ord or 0))
+                    if s > best[q] or s == best[q] and (at[q] is None or rank > at[q][0]):
+                        best[q], at[q] = s, (rank, row_ord)
+        have = [q for q, x in enumerate(at) if x is not None]
+        ids, rows_at, scores = [asked[q][0] for q in have], [at[q][1] for q in have], [float(best[q]) for q in have]
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, types[0]), "row_ord": pa.array(rows_at, types[1]), "score": pa.array(scores, pa.float64())})
+
+    types = [pa.int32() if kind[c].dataType.simpleString() == "int" else pa.int64() for c in ("id", "row_ord")]
+    return _best(rows.select("row_ord", "heading", "norm").mapInArrow(run, kind))
+
+
 def best_passages_by_rows(rows: DataFrame, questions: DataFrame, least: float = LEAST_PASSAGE) -> DataFrame:
     """The same for a few questions and rows that have no index (row_ord, heading, body in normal form): every question meets every row."""
     heading, body = F.coalesce("heading", F.lit("")), F.coalesce("body", F.lit(""))

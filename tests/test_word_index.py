@@ -126,3 +126,16 @@ def test_nothing_indexed_or_asked(spark, index, tmp_path):
     assert retrieval.best_passages(empty, asked).collect() == [] and wi.having(empty, "needle").collect() == []
     assert retrieval.best_passages(index, asked.where("false")).collect() == []
     assert shared.exists(spark, f"file://{tmp_path}/none/grams")
+
+
+def test_best_passages_by_scan(spark, index):
+    """Without an index: every question, in one scan that shuffles no texts."""
+    rows = index.rows.collect()
+    rng = random.Random(5)
+    asked = [(i, [w for w in rng.choice(rows).norm.split(" ")[:rng.randint(1, 25)] if len(w) > 1]) for i in range(25)]
+    asked += [(100, []), (101, ["zzzz", "qqqq"]), (102, ["needle", "in", "hay"]), (103, ["the", "the", "of"]), (104, ["no", "needle"]), (105, ["th"]), (106, ["xx", "xxx"])]
+    questions = spark.createDataFrame(asked, "id long, tokens array<string>")
+    got = retrieval.best_passages_by_scan(index.rows, questions)
+    assert {r.id: (r.row_ord, r.score) for r in got.collect()} == by_hand(rows, asked)
+    assert "norm" not in got._jdf.queryExecution().executedPlan().toString().split("Exchange")[1].split("MapInArrow")[0]
+    assert retrieval.best_passages_by_scan(index.rows, questions.where("false")).collect() == []
