@@ -6,7 +6,7 @@ row by row for a block of questions; passages are found by the postings of an in
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,35 +180,50 @@ def best_passages_by_scan(rows: DataFrame, questions: DataFrame, least: float =
     if not asked:
         return rows.sparkSession.createDataFrame([], kind)
     number = {t: i for i, t in enumerate(dict.fromkeys(t for _, ts in asked for t in ts))}
-    starting = defaultdict(list)
-    for t in number:
-        starting[t[:3]].append(t)
+    tree = {}  # of the tokens' characters; "" holds a token's number
+    for t, i in number.items():
+        node = tree
+        for c in t:
+            node = node.setdefault(c, {})
+        node[""] = i
+    tokens = list(number)
     size = np.array([len(ts) for _, ts in asked])
     of_question, first = np.array([number[t] for _, ts in asked for t in ts]), np.concatenate([[0], np.cumsum(size)[:-1]])
     phrases = [" ".join(ts) for _, ts in asked]
 
-    def tokens_in(word: str) -> list[tuple[int, int]]:
-        """The tokens that a word has, and how often."""
-        grams = {word[i:i + k] for i in range(len(word)) for k in (1, 2, 3)}
-        return [(number[t], word.count(t)) for g in grams for t in starting.get(g, ()) if t in word]
+    def tokens_in(word: str) -> tuple[np.ndarray, np.ndarray] | tuple[()]:
+        """The tokens that a word has, and how often; nothing if it has none."""
+        has = set()
+        for i in range(len(word)):
+            node, j = tree, i
+            while j < len(word) and (node := node.get(word[j])) is not None:
+                j += 1
+                if "" in node:
+                    has.add(node[""])
+        return (np.array([*has]), np.array([word.count(tokens[t]) for t in has], float)) if has else ()
+
+    def times_of(text: str, known: dict) -> np.ndarray:
+        """How often a text has each token."""
+        met = []
+        for word, n in Counter(text.split(" ")).items():
+            if (has := known.get(word)) is None:
+                has = known[word] = tokens_in(word)
+            if has:
+                met.append((*has, n))
+        if not met:
+            return np.zeros(len(tokens))
+        which, occurs, n = zip(*met, strict=True)
+        times = np.concatenate(occurs) * np.repeat(n, [len(w) for w in which])
+        return np.bincount(np.concatenate(which), times, len(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, at, known = np.full(len(asked), float(least)), [None] * len(asked), {}
         for batch in batches:
             for row_ord, heading, norm in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 heading, norm = heading or "", norm or ""
-                times, head = np.zeros(len(number)), np.zeros(len(number), bool)
                 if len(known) > KNOWN_WORDS:
                     known.clear()
-                for text, is_head in ((norm, False), (heading, True)):
-                    for word, n in Counter(text.split(" ")).items():
-                        if (has := known.get(word)) is None:
-                            has = known[word] = tokens_in(word)
-                        for t, occurs in has:
-                            if is_head:
-                                head[t] = True
-                            else:
-                                times[t] += n * occurs
+                times, head = times_of(norm, known), times_of(heading, known) > 0
                 points = np.where(head, IN_HEADING, 0.0) + np.where(times > 0, IN_BODY + HALF * np.minimum(times, TIMES), 0.0)
                 score = np.add.reduceat(points[of_question], first)
                 found = np.add.reduceat(((times > 0) | head)[of_question].astype(int), first)
